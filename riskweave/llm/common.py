@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,6 @@ class WordHashes(dict):
     BOUND = 400_000
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.BOUND:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -80,7 +79,7 @@ def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hashes of the runs of n consecutive word hashes, by a polynomial over uint64."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    out = np.full(len(h) - n + 1, np.uint64(seed) * M2 + M1, np.uint64)
+    out = np.full(len(h) - n + 1, (seed * int(M2) + int(M1)) % (1 << 64), np.uint64)
     for j in range(n):
         out *= M1
         out += h[j : len(h) - n + 1 + j]

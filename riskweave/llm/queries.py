@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_preferences, pairs_from
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .packing import pack
 from .sharding import shard
 from .toxicity import toxicity
@@ -25,6 +27,10 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(pairs_from(_table(spark, sf_dir, "conversations")))
 
 
+def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -33,11 +39,15 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), 8)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_preferences, op5_exact_dedup, op6_shard, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op10_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """
