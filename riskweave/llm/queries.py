@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
 from .sharding import shard
+from .substring import substring_dedup
 from .toxicity import toxicity
 
 
@@ -43,11 +44,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=2)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op9_substring, op10_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """
