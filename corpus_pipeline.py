@@ -1,15 +1,60 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+from riskweave.llm.common import materialise, text_of
+from riskweave.llm.decontaminate import find_leaks
+from riskweave.llm.exact_dedup import exact_dedup
+from riskweave.llm.near_dedup import near_dedup
+from riskweave.llm.packing import pack
+from riskweave.llm.toxicity import keep_clean
+from riskweave.ship import ship
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows whose id is among those dropped; rows without an id stay."""
+    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score as toxic."""
+    return keep_clean(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id stays; rows that repeat an id with other texts are told apart."""
+    dropped = exact_dedup(docs).filter("not kept").select("doc_id", "text_sha256").distinct()
+    marked = docs.withColumn("text_sha256", F.sha2(text_of(), 256))
+    match = marked["doc_id"].eqNullSafe(dropped["doc_id"]) & (marked["text_sha256"] == dropped["text_sha256"])
+    return marked.join(dropped, match, "left_anti").select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five-word shingles, similarity 0.8), the row with the smallest id stays."""
+    return _without(docs, near_dedup(docs).filter("not kept"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 1024 ids."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontaminate", benchmark_stage), ("packing", packing_stage)]
+
+#: Models, retrieval and packing aren't SQL; tests hold the stages against plain versions.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
+from .pii import find_pii
 from .sharding import shard
 from .substring import substring_dedup
 from .toxicity import toxicity
@@ -24,6 +25,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(pairs_from(_table(spark, sf_dir, "conversations")))
 
@@ -52,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op9_substring, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op9_substring, op10_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """

@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from .common import text_of
 
@@ -163,28 +164,39 @@ def fit(labelled: DataFrame, rows: int = LABELLED_ROWS) -> Lexicon:
     return Lexicon(weights, exceptions, float(w[0]), (float(w[1]), float(w[2])))
 
 
-def _scored(lexicon: Lexicon):
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def score_column(lexicon: Lexicon, text: Column) -> Column:
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = lexicon.automaton()
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [lexicon.score(machine, body) for body in frame["body"]]})
+        for part in parts:
+            yield pd.Series([lexicon.score(machine, body) for body in part], dtype=float)
 
-    return scored
+    return F.pandas_udf(scored, "double", PandasUDFType.SCALAR_ITER)(text)
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Lexicon:
+    """A lexicon from the labelled documents that aren't held out; of repeated labels of an id the highest counts."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
+    known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    return fit(slim.filter(~held_out()).join(known.filter(~held_out()), "doc_id"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 where score >= threshold) for every row of docs.
 
-    Learns from rows of labels whose id isn't held out (crc32 of the id as text, modulo 4, is not 2); of repeated labels
-    of an id the highest counts. Null and empty texts match nothing and get the lowest score. A null id is held_out null. With no toxic or
-    no clean label to learn from, every score is low. An empty table gives an empty result. Only the text is scored.
+    Learns from rows of labels whose id isn't held out (crc32 of the id as text, modulo 4, is not 2). Null and empty
+    texts match nothing and get the lowest score. A null id is held_out null. With no toxic or no clean label to learn
+    from, every score is low. Repeated rows are scored each. An empty table gives an empty result. Only the text is scored.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    lexicon = fit(slim.filter(~held_out()).join(known.filter(~held_out()), "doc_id"))
-    scored = slim.mapInPandas(_scored(lexicon), "doc_id long, score double")
+    scored = slim.withColumn("score", score_column(learn(docs, labels, doc_id, text), F.col("body")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    scored = docs.withColumn("__score", score_column(learn(docs, labels), text_of()))
+    return scored.filter(F.col("__score") < threshold).drop("__score")
