@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from .common import text_of
 
@@ -170,7 +169,7 @@ def score_column(lexicon: Lexicon, text: Column) -> Column:
         for part in parts:
             yield pd.Series([lexicon.score(machine, body) for body in part], dtype=float)
 
-    return F.pandas_udf(scored, "double", PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(scored, "double")(text)
 
 
 def held_out(doc_id: str = "doc_id"):
