@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_preferences, pairs_from
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .lm_score import lm_score
 from .near_dedup import near_dedup
 from .packing import pack
 from .pii import find_pii
@@ -49,6 +50,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=2)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op9_substring, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """
