@@ -22,6 +22,8 @@ _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M1) | np.uint64(1)
 _B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2)
 #: Of 128 one-byte values that agree, so many at least in a pair beyond the first hub; at a similarity of 0.8 fewer have a chance of 1e-8.
 LEAST_AGREE = 76
+#: Rounds with hubs drawn by hash after the first; members of a block in the last round.
+HUB_TURNS, BLOCK = 2, 128
 
 
 def shingles(words: WordHashes, text: str, n: int) -> np.ndarray:
@@ -84,41 +86,65 @@ def _sets(n: int):
     return sets
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirm(percent: int):
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             kept = []
             for a, b, x, y in frame[["a", "b", "x", "y"]].itertuples(index=False):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
+                if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                     kept.append((a, b))
             yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
     return confirm
 
 
-def _agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        if len(frame):
-            x, y = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), -1) for c in ("x", "y"))
-            yield frame.loc[(x == y).sum(1) >= LEAST_AGREE, ["a", "b"]]
-
-
-def _linked(pairs: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
+def _resolve(percent: int):
+    """Links between the members of two blocks of a group: pairs that share a bucket and aren't connected yet."""
+
+    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", ignore_index=True)
+        reps, digests = rows["rep"].tolist(), np.frombuffer(b"".join(rows["digest"]), np.uint8).reshape(len(rows), -1)
+        sets, at = [np.frombuffer(x, np.uint64) for x in rows["members"]], {}
+        above = {c: c for c in rows["comp"]}
+
+        def top(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        for i, keys in enumerate(rows["keys"]):
+            for k in keys:
+                at.setdefault(k, []).append(i)
+        comps, mates, found = rows["comp"].tolist(), [set() for _ in reps], []
+        for members in at.values():
+            for n, i in enumerate(members):
+                mates[i].update(members[n + 1 :])
+        for i, others in enumerate(mates):
+            others = np.array(sorted(others), np.int64)
+            others = others[(digests[others] == digests[i]).sum(1) >= LEAST_AGREE] if len(others) else others
+            for j in others.tolist():
+                if (a := top(comps[i])) != (b := top(comps[j])) and similar(sets[i], sets[j], percent):
+                    above[max(a, b)] = min(a, b)
+                    found.append((reps[i], reps[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return resolve
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets of a and b confirm. A hub's set meets each partner's once."""
-    pairs = materialise(pairs, "near-pairs")
-    ids = pairs.selectExpr("a as doc_id").unionByName(pairs.selectExpr("b as doc_id")).distinct()
-    sets = materialise(slim.join(ids, "doc_id", "left_semi").mapInPandas(_sets(n), "id long, members binary"), "near-sets")
     met = pairs.join(sets.selectExpr("id as b", "members as y"), "b").join(sets.selectExpr("id as a", "members as x"), "a")
-    links = materialise(met.select("a", "b", "x", "y").mapInPandas(_confirm(percent), "a long, b long").distinct(), "near-links")
-    discard(pairs)
-    discard(sets)
-    return links
+    return materialise(met.select("a", "b", "x", "y").mapInPandas(_confirm(percent), "a long, b long").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -137,6 +163,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _last_links(left: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among rows (key, rep, comp, hub) of torn buckets: members of buckets that touch form a group, met block by block."""
+    groups = components(left.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).filter("a <> b")).withColumnRenamed("comp", "grp")
+    members = left.groupBy("rep", "comp").agg(F.collect_list("key").alias("keys")).join(groups.withColumnRenamed("id", "rep"), "rep")
+    members = materialise(members, "near-members")
+    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", "rep", "comp", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = dealt.join(classes.select("rep", "digest"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return materialise(full.groupBy("grp", "i", "j").applyInPandas(_resolve(percent), "a long, b long").distinct(), "near-links")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -145,8 +184,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     component_id is the smallest id reachable. kept: it is the row's own id.
 
     Equal sets are one class, which takes part once. In each bucket of a band all classes are held against the smallest
-    one, not against each other; only where a bucket still spans several components are pairs across them compared,
-    after a look at one-byte signatures. So a large group of copies costs as many comparisons as it has members.
+    one, not against each other; where a bucket then spans several components, against a few hubs drawn by hash; and only
+    what still isn't connected is compared across components, block by block, after a look at one-byte signatures. So a
+    large group of near copies costs a few comparisons for each member, and no link between components is lost.
     Null text, or one without words, has an empty set and no links. Null ids keep a null component and aren't kept. Rows that repeat an
     id are one node. An empty table gives an empty result. Other columns play no part.
     """
@@ -159,19 +199,24 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     rows = classes.select("rep", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub")
     shared = materialise(rows.join(hubs, "key"), "near-buckets")
-    links = _linked(shared.filter("hub < rep").selectExpr("hub as a", "rep as b").distinct(), slim, words, percent)
+    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialise(slim.join(ids, "doc_id", "left_semi").mapInPandas(_sets(words), "id long, members binary"), "near-sets")
+    links = _linked(shared.filter("hub < rep").selectExpr("hub as a", "rep as b").distinct(), sets, percent)
     labels = components(links)
-
-    placed = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "hub", "rep", F.coalesce("comp", "rep").alias("comp"))
-    torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    left = placed.join(torn, "key", "left_semi")
-    across = left.selectExpr("key", "rep as a", "hub", "comp as ca").join(left.selectExpr("key", "rep as b", "comp as cb"), "key").filter("ca < cb and a <> hub and b <> hub")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    digests = classes.select("rep", "digest")
-    across = across.join(digests.selectExpr("rep as a", "digest as x"), "a").join(digests.selectExpr("rep as b", "digest as y"), "b")
-    more = _linked(across.mapInPandas(_agree, "a long, b long"), slim, words, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for turn in range(HUB_TURNS + 1):
+        placed = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
+        left = materialise(placed.join(torn.filter("low < high").select("key", "hub"), "key"), "near-torn")
+        if left.isEmpty():
+            break
+        if turn < HUB_TURNS:
+            pairs = left.filter("comp <> hub.comp").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+            more = _linked(pairs, sets, percent)
+        else:
+            more = _last_links(left, classes, sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
 
     out = signed.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
