@@ -2,15 +2,15 @@
 
 The first level is half of the window (halved again while it is long). Only the least hash of each run of such short windows is
 exchanged (two documents that share a whole window share that least hash too), as sorted compressed fingerprints in
-the manner of exact dedup: owners answer with bitmaps. Only windows whose short window repeats reach the next level; those
-that are left at full length are counted exactly, with 128-bit hashes and the smallest document id.
+the manner of exact dedup: owners answer with bitmaps. Only windows whose short window repeats reach the next level. What
+is left at full length goes to owners in the same way, with its smallest document id, and they answer with the smallest of all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from .exact_dedup import _bitmap, _flags, _judge, rice_decode, rice_encode
 WINDOW = 13
 #: Bits of the fingerprints that are exchanged; too few only leave more for the next level.
 BITS = 50
+#: Bits at full length. Two different windows among n share a fingerprint with a chance of about n * n / 2**63.
+FULL_BITS = 62
 #: Bytes of text that are handled together.
 CHUNK_BYTES = 6 << 20
 
@@ -55,11 +57,15 @@ def _prints(h: np.ndarray, level: int, window: int) -> np.ndarray:
     return least_of_runs(short, window - level + 1).astype(np.int64)
 
 
+def _edges(values: np.ndarray, owners: int, bits: int) -> np.ndarray:
+    return np.searchsorted(values, np.array([min((o << bits) // owners, (1 << bits) - 1) + (o == owners) for o in range(owners + 1)], np.uint64).astype(np.int64))
+
+
 def _messages(chunk: int, prints: list[np.ndarray], owners: int) -> pd.DataFrame:
     """What a chunk sends: for each owner its sorted fingerprints, and which of them several of its documents have."""
     each = [np.unique(p) for p in prints]
     values, counts = np.unique(np.concatenate([np.empty(0, np.int64), *each]), return_counts=True)
-    edges = np.searchsorted(values, [(o << BITS) // owners for o in range(owners + 1)])
+    edges = _edges(values, owners, BITS)
     rows = [(o, chunk, int(b - a), *rice_encode(values[a:b]), _bitmap(counts[a:b] > 1)) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
     return pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "twice"])
 
@@ -100,63 +106,80 @@ def _level(level: int, window: int, owners: int):
     return send
 
 
-def _survivors(window: int):
-    """Windows at full length that all levels have left: (doc_id, w1, w2), each once for a document."""
+def _zip(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unzip(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _full(h: np.ndarray, window: int) -> np.ndarray:
+    return (windows(h, window) >> np.uint64(64 - FULL_BITS)).astype(np.int64)
+
 
-    def survivors(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        hashes, tried, out = WordHashes(), _tried(answers), []
-        for chunk, doc_id, body, copy in docs[["chunk", "doc_id", "body", "copy"]].itertuples(index=False):
-            if copy:
-                continue
-            h = hashes.of(_words(body))
-            if len(h) < window:
-                continue
-            ok = _alive(h, tried, window)
-            if ok.any():
-                w1, at = np.unique(windows(h, window)[ok], return_index=True)
-                out.append(pd.DataFrame({"chunk": chunk, "doc_id": doc_id, "w1": w1.view(np.int64), "w2": windows(h, window, seed=1)[ok][at].view(np.int64)}))
-        empty = pd.DataFrame({"chunk": [], "doc_id": [], "w1": [], "w2": []}, dtype="int64")
-        return pd.concat(out) if out else empty
+def _last_level(window: int, owners: int):
+    """Windows at full length that all levels have left: fingerprints, and the smallest id of the chunk's documents that have each."""
+
+    def send(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        hashes, tried, prints, ids = WordHashes(), _tried(told), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for doc_id, body in docs.sort_values("doc_id")[["doc_id", "body"]].itertuples(index=False):
+            if len(h := hashes.of(_words(body))) >= window and (ok := _alive(h, tried, window)).any():
+                prints.append(np.unique(_full(h, window)[ok]))
+                ids.append(np.full(len(prints[-1]), doc_id, np.int64))
+        values, at = np.unique(np.concatenate(prints), return_index=True)  # the first place is that of the smallest id
+        least = np.concatenate(ids)[at]
+        edges, rows = _edges(values, owners, FULL_BITS), []
+        for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if b > a:
+                rows.append((o, int(docs["chunk"].iloc[0]), int(b - a), *rice_encode(values[a:b]), _zip(least[a:b])))
+        return pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "least"])
+
+    return send
 
-    return survivors
+
+def _settle(messages: pd.DataFrame) -> pd.DataFrame:
+    """Answers each message with the smallest id of all, fingerprint by fingerprint."""
+    sent = [rice_decode(n, k, u, r) for n, k, u, r in messages[["n", "k", "unary", "rest"]].itertuples(index=False)]
+    values, ids = np.concatenate(sent), np.concatenate([_unzip(b) for b in messages["least"]])
+    order = np.lexsort((ids, values))
+    values, first = np.unique(values[order], return_index=True)
+    least = ids[order][first]
+    return pd.DataFrame({"owner": messages["owner"], "sender": messages["sender"], "answer": [_zip(least[np.searchsorted(values, v)]) for v in sent]})
 
 
 def _cut(window: int):
-    def cut(docs: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
+    def cut(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         hashes, rows = WordHashes(), []
-        of = {i: np.sort(np.concatenate([np.frombuffer(b, np.int64) for b in g])) for i, g in repeats.groupby("doc_id")["windows"]}
+        parts = [(rice_decode(n, k, u, r), _unzip(b)) for n, k, u, r, b in told[["n", "k", "unary", "rest", "answer"]].itertuples(index=False)]
+        known, least = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2
+        order = np.argsort(known)
+        known, least = known[order], least[order]
         for doc_id, body, copy in docs[["doc_id", "body", "copy"]].itertuples(index=False):
             words = _words(body)
             gone = np.zeros(len(words), bool)
-            if copy and len(words) >= window:
+            if len(words) >= window and copy:
                 gone[:] = True
-            elif doc_id in of and len(words) >= window:
-                hit = _among(windows(hashes.of(words), window).view(np.int64), of[doc_id])
+            elif len(words) >= window and len(known):
+                prints = _full(hashes.of(words), window)
+                at = np.minimum(np.searchsorted(known, prints), len(known) - 1)
+                starts = np.flatnonzero((known[at] == prints) & (least[at] < doc_id))
                 edge = np.zeros(len(words) + 1, np.int64)
-                starts = np.flatnonzero(hit)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + window, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-            kept = [w for w, g in zip(words, gone, strict=True) if not g] if gone.any() else words
+            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
             rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": docs["doc_id"].dtype})
 
     return cut
 
 
-def _pack_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one document stand together only by chance: windows of each run in a batch go out as one row."""
-    for f in frames:
-        if len(f):
-            g = f.groupby(["chunk", "doc_id"])["w1"].agg(lambda s: s.to_numpy(np.int64).tobytes()).reset_index(name="windows")
-            yield g
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs.
 
     Words are runs of other bytes than ASCII white space. A word is removed if a window of `window` consecutive words covers it whose words
-    also start in a document with a smaller id. Windows are judged on the input. Hashes of 128 bits stand for windows.
+    also start in a document with a smaller id. Windows are judged on the input. Hashes of 62 bits stand for windows.
 
     Whole copies are settled first: of equal texts all but the one with the smallest id lose every word (if they have
     a window at all), and take no further part. Null text has no words. A null id is below every other and its row loses nothing.
@@ -188,9 +211,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
         heard = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "k", "unary", "rest", "bitmap", F.lit(level).alias("level"))
         told = told.unionByName(materialise(heard, "told"))
         discard(messages)
-    left = materialise(reps.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_survivors(window), "chunk int, doc_id long, w1 long, w2 long"), "windows")
-    found = left.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w1", "w2", "first")
-    later = left.join(found, ["w1", "w2"]).filter("doc_id > first").select("chunk", "doc_id", "w1")
-    packed = later.mapInPandas(_pack_windows, "chunk int, doc_id long, windows binary")
-    done = table.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInPandas(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kinds = "owner int, sender int, n int, k int, unary binary, rest binary, least binary"
+    messages = materialise(reps.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_last_level(window, owners), kinds), "windows")
+    answers = messages.groupBy("owner").applyInPandas(_settle, "owner int, sender int, answer binary")
+    replies = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "k", "unary", "rest", "answer")
+    done = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
