@@ -21,7 +21,7 @@ from .common import text_of
 
 # Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһνκαορτιΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aeopcyxijsdhvkaoptiabezhikmnoptyxabekmhopctx")
-DIGITS = str.maketrans("0134578@$!", "oieastbasi")
+DIGITS = str.maketrans("0134578@$", "oieastbas")
 
 #: Labelled rows that the lexicon is fitted on, at most: those with the lowest hashes of their ids.
 LABELLED_ROWS = 40_000
@@ -31,44 +31,72 @@ STEM, ENTRIES, LEAST_DOCS = (4, 8), 20_000, 4
 LEAST_WEIGHT = 2.0
 THRESHOLD = 0.3
 
-_MIXED = re.compile(r"[^\W_]*[0-9@$!]+[^\W_][^\s]*|[^\W_]+[0-9@$!]+[^\W_]*")
+_FOREIGN = re.compile("[\u0370-\u04ff\u0500-\u052f]")
+_SIGN = re.compile(r"[0-9@$]")
+_NEXT_TO_LETTER = re.compile(r"[a-z][0-9@$]|[0-9@$][a-z]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _unmask(match: re.Match) -> str:
-    token = match[0]
-    return token.translate(DIGITS) if sum(map(str.isalpha, token)) >= 2 else token
+def _unmask(token: str) -> str:
+    if _SIGN.search(token) and sum(map(str.isalpha, token)) >= 2:
+        return token.rstrip("@$").translate(DIGITS)
+    return token
 
 
-def fold(text: str) -> list[str]:
-    """Lower-case words, look-alikes as plain letters, digits inside words as the letters they stand for."""
+def fold(text: str) -> str:
+    """Lower case, look-alikes as plain letters, digits and signs inside words as the letters they stand for."""
     low = text.lower()
-    if not low.isascii():
+    if not low.isascii() and _FOREIGN.search(low):
         low = low.translate(HOMOGLYPHS)
-    return _WORD.findall(_MIXED.sub(_unmask, low))
+    if _NEXT_TO_LETTER.search(low):
+        low = " ".join(map(_unmask, low.split()))
+    return low
 
 
 def _terms(word: str) -> set[str]:
     return {word + " ", *(word[:n] for n in range(STEM[0], min(STEM[1], len(word)) + 1))}
 
 
-def _count_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """term, in how many toxic and how many clean documents; sent on before the table grows large."""
-    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+def _toxic_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """term, n: in how many of the documents a term is; sent on before the table grows large."""
+    counts: Counter = Counter()
+    for frame in frames:
+        for body in frame["body"]:
+            counts.update(set().union(*map(_terms, set(_WORD.findall(fold(body))))))
+        if len(counts) > 300_000:
+            yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+            counts = Counter()
+    yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": object, "n": "int64"})
 
-    def out() -> pd.DataFrame:
-        table = pd.DataFrame({"toxic": pd.Series(counts[True]), "clean": pd.Series(counts[False])}, dtype=float).fillna(0).astype("int64")
-        return table.rename_axis("term").reset_index()
 
-    for frame in frames:
-        for body, toxic in frame[["body", "toxic"]].itertuples(index=False):
-            words = set(fold(body))
-            counts[bool(toxic)].update(set().union(*map(_terms, words)) if words else ())
-        if sum(map(len, counts.values())) > 400_000:
-            yield out()
-            counts = {True: Counter(), False: Counter()}
-    if any(counts.values()):
-        yield out()
+def _clean_terms(candidates: frozenset):
+    """How many of the documents have each candidate."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for frame in frames:
+            for body in frame["body"]:
+                found: set[str] = set()
+                for word in set(_WORD.findall(fold(body))):
+                    if word[: STEM[0]] in candidates or word + " " in candidates:
+                        found |= candidates & _terms(word)
+                counts.update(found)
+        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": object, "n": "int64"})
+
+    return count
+
+
+def _words_with(stems: frozenset):
+    """How many of the documents have each whole word that begins with a stem."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for frame in frames:
+            for body in frame["body"]:
+                counts.update(w + " " for w in set(_WORD.findall(fold(body))) if any(w[:k] in stems for k in range(STEM[0], STEM[1] + 1)))
+        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": object, "n": "int64"})
+
+    return count
 
 
 @dataclass
@@ -81,28 +109,35 @@ class Lexicon:
     slopes: tuple[float, float] = (0.0, 0.0)
 
     def automaton(self):
+        """key -> (its length, weight as a beginning, weight as a whole word); exceptions weigh nothing as whole words."""
         import ahocorasick
 
+        entries: dict[str, list] = {}
+        for term, weight in [*((t, 0.0) for t in self.exceptions), *self.weights.items()]:
+            entries.setdefault(term.rstrip(" "), [None, None])[term.endswith(" ")] = weight
         machine = ahocorasick.Automaton()
-        for term, weight in self.weights.items():
-            machine.add_word(" " + term, (len(term), weight))
-        for phrase in self.exceptions:
-            machine.add_word(" " + phrase, (len(phrase), 0.0) if phrase not in self.weights else (len(phrase), self.weights[phrase]))
+        for key, (stem, whole) in entries.items():
+            machine.add_word(key, (len(key), stem, whole))
         if len(machine):
             machine.make_automaton()
         return machine
 
     def measure(self, machine, text: str) -> tuple[float, float]:
         """The sum of weights of matched words (each word's longest match counts), and that by length."""
-        words = fold(text)
-        if not words or not len(machine):
+        low = fold(text)
+        if not low or not len(machine):
             return 0.0, 0.0
         best: dict[int, tuple[int, float]] = {}
-        for end, (n, weight) in machine.iter(" " + " ".join(words) + " "):
-            if best.get(at := end - n, (0, 0))[0] < n:
-                best[at] = (n, weight)
+        for last, (n, stem, whole) in machine.iter(low):
+            start = last - n + 1
+            if start and low[start - 1].isalpha():
+                continue
+            ends = last + 1 == len(low) or not low[last + 1].isalpha()
+            weight = whole if ends and whole is not None else stem
+            if weight is not None and best.get(start, (0, 0))[0] < n:
+                best[start] = (n, weight)
         total = sum(w for _, w in best.values())
-        return math.log1p(total), total / math.sqrt(len(words) + 10)
+        return math.log1p(total), total / math.sqrt(len(low) / 6 + 10)
 
     def score(self, machine, text: str) -> float:
         x = self.measure(machine, text)
@@ -130,35 +165,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, rows: int = LABELLED_ROWS) -> Lexicon:
-    """A lexicon from (doc_id, body, toxic) rows, of which those with the lowest hashes serve, up to `rows`."""
-    lot = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
-    labelled = labelled.filter("toxic is not null")
-    n = labelled.count()
-    if n > rows:
-        labelled = labelled.filter(lot < int(1_000_000 * rows / n))
-    totals = {bool(r["toxic"]): r["n"] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+def fit(labelled: DataFrame) -> Lexicon:
+    """A lexicon from (body, toxic) rows: terms of toxic documents, how often clean ones have them, then the exceptions."""
+    toxic, clean = labelled.filter("toxic = 1").select("body"), labelled.filter("toxic <> 1").select("body")
+    totals = {r["toxic"]: r["n"] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
     if not pos or not neg:
         return Lexicon()
-    sample = labelled.select("body", (F.col("toxic") == 1).alias("toxic"))
-    counts = sample.mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    weight = F.log((F.col("toxic") + 0.1) / (pos + 0.2)) - F.log((F.col("clean") + 0.1) / (neg + 0.2))
-    counts = counts.withColumn("weight", weight).persist()
-    kept = counts.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(ENTRIES).collect()
-    weights = {r["term"]: r["weight"] for r in kept}
-    stems = {t for t in weights if not t.endswith(" ")}
-    exceptions = set()
+    kinds = "term string, n long"
+    often = toxic.mapInPandas(_toxic_terms, kinds).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    n_toxic = {r["term"]: r["n"] for r in often.orderBy(F.desc("n"), "term").limit(5 * ENTRIES).collect()}
+    counted = clean.mapInPandas(_clean_terms(frozenset(n_toxic)), kinds).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n_clean = {r["term"]: r["n"] for r in counted}
+    weigh = {t: math.log((n + 0.1) / (pos + 0.2)) - math.log((n_clean.get(t, 0) + 0.1) / (neg + 0.2)) for t, n in n_toxic.items()}
+    best = sorted((t for t, w in weigh.items() if w >= LEAST_WEIGHT), key=lambda t: (-weigh[t], -n_toxic[t], t))[:ENTRIES]
+    weights = {t: weigh[t] for t in best}
+    stems = frozenset(t for t in weights if not t.endswith(" "))
+    exceptions: set[str] = set()
     if stems:
-        word = F.col("term").endswith(" ") & (F.col("toxic") == 0) & (F.col("clean") >= 2)
-        fits = F.lit(False)
-        for k in range(STEM[0], STEM[1] + 1):
-            some = [t for t in stems if len(t) == k]
-            fits = fits | F.substring("term", 1, k).isin(some) if some else fits
-        exceptions = {r["term"] for r in counts.filter(word & fits).orderBy(F.desc("clean"), "term").limit(ENTRIES).collect()}
-    counts.unpersist()
+        fair = clean.mapInPandas(_words_with(stems), kinds).groupBy("term").agg(F.sum("n").alias("n")).filter("n >= 2")
+        fair = {r["term"] for r in fair.orderBy(F.desc("n"), "term").limit(ENTRIES).collect()}
+        exceptions = {t for t in fair if t not in n_toxic}
     lexicon = Lexicon(weights, exceptions)
-    seen = sample.mapInPandas(_measured(lexicon), "toxic boolean, a double, b double").toPandas()
+    seen = labelled.select("body", (F.col("toxic") == 1).alias("toxic")).mapInPandas(_measured(lexicon), "toxic boolean, a double, b double").toPandas()
     w = _logistic(seen[["a", "b"]].to_numpy(), seen["toxic"].to_numpy(float))
     return Lexicon(weights, exceptions, float(w[0]), (float(w[1]), float(w[2])))
 
@@ -176,11 +205,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = LABELLED_ROWS) -> Lexicon:
     """A lexicon from the labelled documents that aren't held out; of repeated labels of an id the highest counts."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return fit(slim.filter(~held_out()).join(known.filter(~held_out()), "doc_id"))
+    known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out())
+    n = known.count()
+    if n > rows:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return fit(slim.join(F.broadcast(known), "doc_id").select("body", "toxic"))  # so many labels at most, whatever the input
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
