@@ -23,7 +23,7 @@ _B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2)
 #: Of 128 one-byte values that agree, so many at least in a pair beyond the first hub; at a similarity of 0.8 fewer have a chance of 1e-8.
 LEAST_AGREE = 76
 #: Rounds with hubs drawn by hash after the first; members of a block in the last round.
-HUB_TURNS, BLOCK = 2, 128
+HUB_TURNS, BLOCK = 2, 256
 
 
 def shingles(words: WordHashes, text: str, n: int) -> np.ndarray:
@@ -109,33 +109,30 @@ def _confirm(percent: int):
 
 
 def _resolve(percent: int):
-    """Links between the members of two blocks of a group: pairs that share a bucket and aren't connected yet."""
+    """Links between a block's members and its visitors: pairs that share a bucket and aren't connected yet."""
 
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
-        reps, digests = rows["rep"].tolist(), np.frombuffer(b"".join(rows["digest"]), np.uint8).reshape(len(rows), -1)
-        sets, at = [np.frombuffer(x, np.uint64) for x in rows["members"]], {}
-        above = {c: c for c in rows["comp"]}
+        rows = rows.sort_values(["rep", "visits"], ignore_index=True)
+        reps, comps, visits = rows["rep"].tolist(), rows["comp"].tolist(), rows["visits"].to_numpy(bool)
+        digests = np.frombuffer(b"".join(rows["digest"]), np.uint8).reshape(len(rows), -1)
+        sets, found = [np.frombuffer(x, np.uint64) for x in rows["members"]], []
+        above, visitors = {c: c for c in comps}, {}
 
         def top(c: int) -> int:
             while above[c] != c:
                 above[c] = c = above[above[c]]
             return c
 
-        for i, keys in enumerate(rows["keys"]):
-            for k in keys:
-                at.setdefault(k, []).append(i)
-        comps, mates, found = rows["comp"].tolist(), [set() for _ in reps], []
-        for members in at.values():
-            for n, i in enumerate(members):
-                mates[i].update(members[n + 1 :])
-        for i, others in enumerate(mates):
-            others = np.array(sorted(others), np.int64)
+        for j in np.flatnonzero(visits).tolist():
+            for k in rows["keys"][j]:
+                visitors.setdefault(k, []).append(j)
+        for i in np.flatnonzero(~visits).tolist():
+            others = np.array(sorted({j for k in rows["keys"][i] for j in visitors.get(k, ())}), np.int64)
             others = others[(digests[others] == digests[i]).sum(1) >= LEAST_AGREE] if len(others) else others
             for j in others.tolist():
                 if (a := top(comps[i])) != (b := top(comps[j])) and similar(sets[i], sets[j], percent):
                     above[max(a, b)] = min(a, b)
-                    found.append((reps[i], reps[j]))
+                    found.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return resolve
@@ -164,14 +161,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _last_links(left: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among rows (key, rep, comp, hub) of torn buckets: members of buckets that touch form a group, met block by block."""
+    """Links among rows (key, rep, comp, hub) of torn buckets, where members of buckets that touch form a group.
+
+    A missing link has an end outside the group's largest component. Those members visit every block of all members;
+    so rows are few where nearly all are connected already.
+    """
     groups = components(left.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).filter("a <> b")).withColumnRenamed("comp", "grp")
     members = left.groupBy("rep", "comp").agg(F.collect_list("key").alias("keys")).join(groups.withColumnRenamed("id", "rep"), "rep")
     members = materialise(members, "near-members")
-    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", "rep", "comp", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few"))
+    known = members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("sets", F.ceil(F.col("few") / BLOCK))
+    here = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sets") - 1))
+    there = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sets"))
+    side = lambda rows, at, visits: rows.select("grp", "rep", "comp", "keys", at[0].alias("i"), at[1].alias("j"), F.lit(visits).alias("visits"))
+    dealt = side(known, here, False).unionByName(side(known.filter("comp <> big"), there, True))
     full = dealt.join(classes.select("rep", "digest"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
     return materialise(full.groupBy("grp", "i", "j").applyInPandas(_resolve(percent), "a long, b long").distinct(), "near-links")
 
