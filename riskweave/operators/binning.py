@@ -14,13 +14,13 @@ _STEP = 32
 def quantile_edges(scores: DataFrame, value: str, n: int, by: list[str]) -> DataFrame:
     """by, edges: inner quantiles that bins end at. The outermost take part when equal edges are merged, then fall away."""
     points = F.array(*(F.lit(i / n) for i in range(n + 1)))
-    all_edges = scores.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(F.col(value).cast("double"), points))).alias("e"))
+    all_edges = scores.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(F.col(value).cast("double") + F.lit(0.0), points))).alias("e"))
     return all_edges.select(*by, F.expr("filter(e, x -> x > e[0] and x < e[size(e) - 1])").alias("edges"), F.col("e")[0].alias("low"), F.element_at("e", -1).alias("high"))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
     """1 + the number of edges below the value; what lies outside goes to the first or last bin. Two short searches."""
-    v = value.cast("double")
+    v = value.cast("double") + F.lit(0.0)  # -0.0 is 0.0
     below = F.size(F.filter(edges, lambda e, i: (i % _STEP == 0) & (e < v)))
     start = F.greatest(below - 1, F.lit(0)) * _STEP
     return (1 + start + F.size(F.filter(F.slice(edges, start + 1, F.lit(_STEP)), lambda e: e < v))).cast("int")
