@@ -145,8 +145,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, comp: the smallest id reachable over the links (a, b), by passing on the least label and jumping along it."""
-    both = materialise(links.selectExpr("a as u", "b as v").unionByName(links.selectExpr("b as u", "a as v")).distinct(), "edges")
+    """id, comp: the smallest id reachable over the links (a, b).
+
+    First every link hangs its larger end on that end's smallest partner, which leaves few links where many members share
+    hubs; then the least label is passed on along links and by jumps until nothing changes.
+    """
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    hung = least.select(F.col("m").alias("a"), "b").unionByName(links.join(least, "b").filter("a <> m").select("m", "a").distinct().select(F.col("m").alias("a"), F.col("a").alias("b")))
+    both = materialise(hung.selectExpr("a as u", "b as v").unionByName(hung.selectExpr("b as u", "a as v")).distinct(), "edges")
     labels = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id"), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("id", "u"), "u").groupBy("v").agg(F.min("comp").alias("heard")).withColumnRenamed("v", "id")
@@ -160,6 +167,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after new links, whose ends all have a label: only components that links join are worked on."""
+    over = links.join(labels.selectExpr("id as a", "comp as ca"), "a").join(labels.selectExpr("id as b", "comp as cb"), "b")
+    joined = components(over.filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    moved = labels.join(joined.selectExpr("id as comp", "comp as now"), "comp", "left")
+    return materialise(moved.select("id", F.coalesce("now", "comp").alias("comp")), "labels")
+
+
 def _last_links(left: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among rows (key, rep, comp, hub) of torn buckets, where members of buckets that touch form a group.
 
@@ -205,9 +220,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(slim.join(ids, "doc_id", "left_semi").mapInPandas(_sets(words), "id long, members binary"), "near-sets")
     links = _linked(shared.filter("hub < rep").selectExpr("hub as a", "rep as b").distinct(), sets, percent)
-    labels = components(links)
+    found = components(links)
+    every = shared.select(F.col("rep").alias("id")).distinct()
+    labels = materialise(every.join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "labels")
     for turn in range(HUB_TURNS + 1):
-        placed = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        placed = shared.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep")
         torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
         left = materialise(placed.join(torn.filter("low < high").select("key", "hub"), "key"), "near-torn")
         if left.isEmpty():
@@ -218,8 +235,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
         else:
             more = _last_links(left, classes, sets, percent)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = _merged(labels, more)
 
     out = signed.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
