@@ -23,7 +23,7 @@ _B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2)
 #: Of 128 one-byte values that agree, so many at least in a pair beyond the first hub; at a similarity of 0.8 fewer have a chance of 1e-8.
 LEAST_AGREE = 76
 #: Rounds with hubs drawn by hash after the first; members of a block in the last round.
-HUB_TURNS, BLOCK = 2, 256
+HUB_TURNS, BLOCK = 1, 1024
 
 
 def shingles(words: WordHashes, text: str, n: int) -> np.ndarray:
@@ -150,9 +150,11 @@ def components(links: DataFrame) -> DataFrame:
     First every link hangs its larger end on that end's smallest partner, which leaves few links where many members share
     hubs; then the least label is passed on along links and by jumps until nothing changes.
     """
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
-    hung = least.select(F.col("m").alias("a"), "b").unionByName(links.join(least, "b").filter("a <> m").select("m", "a").distinct().select(F.col("m").alias("a"), F.col("a").alias("b")))
+    hung = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for _ in range(2):
+        least = hung.groupBy("b").agg(F.min("a").alias("m"))
+        over = hung.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        hung = materialise(least.select(F.col("m").alias("a"), "b").unionByName(over).distinct(), "hung")
     both = materialise(hung.selectExpr("a as u", "b as v").unionByName(hung.selectExpr("b as u", "a as v")).distinct(), "edges")
     labels = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id"), "labels")
     while True:
@@ -223,12 +225,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     found = components(links)
     every = shared.select(F.col("rep").alias("id")).distinct()
     labels = materialise(every.join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "labels")
+    rows = shared.select("key", "rep")
     for turn in range(HUB_TURNS + 1):
-        placed = shared.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep")
+        placed = rows.join(labels.withColumnRenamed("id", "rep"), "rep")
         torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
         left = materialise(placed.join(torn.filter("low < high").select("key", "hub"), "key"), "near-torn")
         if left.isEmpty():
             break
+        rows = left.select("key", "rep")  # a bucket that is whole stays so
         if turn < HUB_TURNS:
             pairs = left.filter("comp <> hub.comp").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
             more = _linked(pairs, sets, percent)
