@@ -86,3 +86,15 @@ def limits(edges: DataFrame, by: list[str]) -> DataFrame:
     all_edges = F.concat(F.array("low"), F.col("edges"), F.array("high"))
     rows = edges.select(*by, all_edges.alias("e"), F.posexplode(F.slice(all_edges, F.lit(1), F.size(all_edges) - 1)).alias("i", "lo"))
     return rows.select(*by, (F.col("i") + 1).alias("bin"), F.round("lo", 1).alias("lo"), F.round(F.expr("e[i + 1]"), 1).alias("hi"))
+
+
+def rank_bins(scores: DataFrame, value: str, n: int, by: list[str], out: str = "bin") -> DataFrame:
+    """n bins by rank, ties by id: for scores with fewer distinct values than bins. Counts of distinct values stand for a sort of all rows."""
+    from pyspark.sql import Window
+
+    counts = scores.groupBy(*by, value).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*by)
+    counts = counts.withColumn("__before", F.sum("__c").over(w.orderBy(value)) - F.col("__c")).withColumn("__n", F.sum("__c").over(w))
+    inside = F.row_number().over(Window.partitionBy(*by, value).orderBy("iid"))
+    ranked = scores.join(counts, [*by, value]).withColumn("__r", F.col("__before") + inside)
+    return ranked.withColumn(out, F.ceil(F.col("__r") * n / F.col("__n")).cast("int")).drop("__c", "__before", "__n", "__r")

@@ -117,3 +117,24 @@ def cumulative_share(frame: DataFrame, order: str, value: str) -> DataFrame:
     """Running share of value along order, over a table of the size of a histogram."""
     w = Window.orderBy(order)
     return frame.withColumn("share", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy()))
+
+
+def flagged_models(flags: DataFrame) -> DataFrame:
+    """(iid, n_models): in how many models a person is high."""
+    return flags.groupBy("iid").agg(count_if(F.col("high")).alias("n_models"))
+
+
+def top_model(scores: DataFrame, order: list[str], value: str) -> DataFrame:
+    """(iid, model): the model with a person's highest value; the first in order wins ties."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
+    return scores.groupBy("iid").agg(F.max_by("model", F.struct(F.col(value).alias("v"), (-place).alias("p"))).alias("model"))
+
+
+def attributed_prevalence(people: DataFrame, by: str = "bin") -> DataFrame:
+    """By bin: people, cases, prevalence, and the shares of cases with a high score, a high marker, or neither.
+
+    people: (bin, phenotype, high, flag).
+    """
+    case, high, flag = is_case(), F.col("high"), F.coalesce(F.col("flag") == 1, F.lit(False))
+    n = people.groupBy(by).agg(F.count("*").alias("n"), count_if(case).alias("cases"), count_if(case & high).alias("by_score"), count_if(case & ~high & flag).alias("by_marker"), count_if(case & ~high & ~flag).alias("by_neither"))
+    return n.withColumn("prevalence", ratio(F.col("cases"), F.col("n")))

@@ -240,3 +240,45 @@ def overlap_p(tables: DataFrame) -> DataFrame:
     n = a + b + c + d
     rated = tables.withColumn("overlap_ratio", ratio(a * n, (a + b) * (a + c)))
     return with_p(rated, "overlap_p", ["a", "b", "c", "d"], lambda a, b, c, d: stats.hypergeom_cdf(int(a), int(a + b + c + d), int(a + c), int(a + b)))
+
+
+def nagelkerke(weight: Column) -> Column:
+    """For bootstrap(): weighted Nagelkerke R-squared."""
+    q = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    n = F.sum(weight)
+    ll = F.sum(weight * F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q)))
+    r = F.sum(weight * F.col("y")) / n
+    ll0 = n * (r * F.log(r) + (1 - r) * F.log(1 - r))
+    return (1 - F.exp(2 * (ll0 - ll) / n)) / (1 - F.exp(2 * ll0 / n))
+
+
+def discrimination_gain(first: str, second: str):
+    """For bootstrap() over rows with two probabilities: the integrated discrimination of second over first."""
+
+    def statistic(weight: Column) -> Column:
+        mean = lambda p, k: F.sum(F.when(F.col("y") == k, weight * F.col(p))) / F.sum(F.when(F.col("y") == k, weight))
+        return (mean(second, 1) - mean(second, 0)) - (mean(first, 1) - mean(first, 0))
+
+    return statistic
+
+
+def any_of(flags: DataFrame, models: list[str], name: str) -> DataFrame:
+    """flags and one more model, high where any of the listed ones is."""
+    more = flags.filter(F.col("model").isin(models)).groupBy("iid", "phenotype").agg(F.max("high").alias("high")).withColumn("model", F.lit(name))
+    return flags.select("iid", "phenotype", "model", "high").unionByName(more)
+
+
+def nri_proportions(tables: DataFrame) -> DataFrame:
+    """Net reclassification by shares that move up and down: (model1, model2, phenotype, up, down, n) to events and non-events."""
+    share = (F.col("up") - F.col("down")).cast("double") / F.col("n")
+    out = tables.groupBy("model1", "model2").agg(F.max(F.when(F.col("phenotype") == 2, share)).alias("events"), F.max(F.when(F.col("phenotype") == 1, -share)).alias("non_events"))
+    return out.withColumn("nri", F.col("events") + F.col("non_events"))
+
+
+def moves(flags: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(model1, model2, phenotype, up, down, n): how many of a class the second model newly finds or loses."""
+    models = sorted({m for p in pairs for m in p})
+    wide = flags.groupBy("iid", "phenotype").pivot("model", models).agg(F.max(F.col("high").cast("int")))
+    named = F.explode(F.array(*(F.struct(F.lit(a).alias("model1"), F.lit(b).alias("model2"), (F.col(f"`{b}`") - F.col(f"`{a}`")).alias("move")) for a, b in pairs)))
+    rows = wide.select("phenotype", named.alias("r")).select("phenotype", "r.*")
+    return rows.groupBy("model1", "model2", "phenotype").agg(count_if(F.col("move") > 0).alias("up"), count_if(F.col("move") < 0).alias("down"), F.count("*").alias("n"))

@@ -56,3 +56,17 @@ def batches(features: DataFrame, size: int) -> DataFrame:
     from pyspark.sql import Window
 
     return features.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("feature")) - 1) / size).cast("long"))
+
+
+def split_environment(names: DataFrame) -> DataFrame:
+    """feature, env_feature (the first member), genetic (the rest)."""
+    m = members(F.col("feature"))
+    return names.select("feature", m[0].alias("env_feature"), F.array_join(F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(1))), ",").alias("genetic"))
+
+
+def gene_names(features: DataFrame, gene_map: DataFrame) -> DataFrame:
+    """feature, genes: mapped names of all members (without what follows a dash), the member itself where none is known."""
+    rows = features.select("feature", F.posexplode(members(F.col("feature"))).alias("i", "member"))
+    named = rows.join(gene_map.select(F.col("feature").alias("member"), "gene"), "member", "left")
+    one = F.struct("i", F.coalesce(F.split("gene", "-")[0], "member").alias("g"))
+    return named.groupBy("feature").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["g"]), ",").alias("genes"))

@@ -125,3 +125,24 @@ def best_partner(pairs: DataFrame, value: str = "n") -> DataFrame:
     """snp, best_snp and its value; the smaller partner wins ties."""
     both = pairs.select(F.col("snp_a").alias("snp"), F.col("snp_b").alias("other"), value).unionByName(pairs.select(F.col("snp_b").alias("snp"), F.col("snp_a").alias("other"), value))
     return both.groupBy("snp").agg(F.max(F.struct(F.col(value).alias("v"), (-F.col("other")).alias("o"))).alias("m")).select("snp", (-F.col("m.o")).alias("best_snp"), F.col("m.v").alias("best"))
+
+
+def keep_people(genotype: DataFrame, keep: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    if keep is not None:
+        genotype = genotype.join(keep.select("iid"), "iid", "left_semi")
+    return genotype if remove is None else genotype.join(remove.select("iid"), "iid", "left_anti")
+
+
+def merge_variants(parts: list[DataFrame], variants: DataFrame | None = None) -> DataFrame:
+    """Chromosomes one below the other, restricted to the variants that passed elsewhere."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if variants is None else out.join(variants.select("snp"), "snp", "left_semi")
+
+
+def tags(edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """(snp, n_tags, tags): every variant's partners in linkage, in order."""
+    e = edges.filter(F.col("r2") > least)
+    both = e.select(F.col("snp_a").alias("snp"), F.col("snp_b").alias("tag")).unionByName(e.select(F.col("snp_b").alias("snp"), F.col("snp_a").alias("tag")))
+    return both.groupBy("snp").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"), F.count_distinct("tag").alias("n_tags"))

@@ -163,3 +163,35 @@ def forest_impute(train: DataFrame, rows: DataFrame, target: str, features: list
     assembler = VectorAssembler(inputCols=features, outputCol="__v", handleInvalid="keep")
     model = RandomForestRegressor(featuresCol="__v", labelCol=target, predictionCol="__p", numTrees=trees, seed=1).fit(assembler.transform(train.filter(F.col(target).isNotNull())))
     return model.transform(assembler.transform(rows)).withColumn(target, F.coalesce(target, "__p")).drop("__v", "__p")
+
+
+def fit_batches(rows: DataFrame, people: DataFrame, catalogue: DataFrame, fit) -> DataFrame:
+    """(batch, feature, coefs, status) of fit(rows, people, features) for each batch of (batch, feature); a batch that fails says why.
+
+    Batches run one after the other, each as distributed jobs; one failure doesn't end the others.
+    """
+    batches: dict[int, list[str]] = {}
+    for r in catalogue.orderBy("batch", "feature").collect():
+        batches.setdefault(r["batch"], []).append(r["feature"])
+    out = None
+    for b, names in batches.items():
+        try:
+            part = fit(rows, people, names).select(F.lit(b).cast("long").alias("batch"), "feature", "coefs", F.lit("ok").alias("status"))
+        except Exception as error:  # noqa: BLE001  the reason goes into the table
+            part = rows.sparkSession.createDataFrame([(b, None, None, str(error)[:200])], "batch long, feature string, coefs double, status string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(kind, path: str):
+    """A saved model of a class, or None where there is none."""
+    try:
+        return kind.load(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error) or "Input path" in str(error):
+            return None
+        raise

@@ -14,7 +14,7 @@ TABLES = ("customer", "orders", "lineitem", "part", "events", "embeddings")
 
 #: View -> SQL. Views may use the tables and views before them. {pc} is an engine's list of principal components.
 VIEWS = {
-    "ks": "SELECT p_partkey - 1 AS k FROM part WHERE p_partkey <= 64",
+    "ks": "SELECT p_partkey - 1 AS k FROM part WHERE p_partkey BETWEEN 1 AND 64",
     "participant": "SELECT c_custkey AS iid, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 2 ELSE 1 END AS phenotype FROM customer",
     "participant_text": """
         SELECT c_custkey AS iid,

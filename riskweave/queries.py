@@ -753,3 +753,91 @@ def random_forest_multilabel(v):
 @query()
 def prscr_mix(v):
     return M.mixed_score(R.scale(v.prs), ["main", "epi", "cardio"])
+
+
+# More of the above, in the forms that reports use.
+
+
+@query(f"""
+    WITH {_HIGH}, f AS (SELECT iid, phenotype, model, high FROM flags UNION ALL SELECT iid, any_value(phenotype), 'combined', bool_or(high) FROM flags WHERE model IN ('main', 'epi', 'cardio') GROUP BY iid)
+    SELECT model, phenotype, count(*) FILTER (WHERE high) AS n_high FROM f GROUP BY model, phenotype""")
+def any_of_high(v):
+    both = V.any_of(_flags(v), ["main", "epi", "cardio"], "combined")
+    return both.groupBy("model", "phenotype").agg(F.sum(F.col("high").cast("long")).alias("n_high"))
+
+
+@query(f"""
+    WITH {_HIGH}, j AS (SELECT c.model1, c.model2, x.phenotype, CAST(y.high AS INTEGER) - CAST(x.high AS INTEGER) AS move FROM {_PAIRS} JOIN flags x ON x.model = c.model1 JOIN flags y ON y.model = c.model2 AND y.iid = x.iid),
+    g AS (SELECT model1, model2, avg(CAST(move AS DOUBLE)) FILTER (WHERE phenotype = 2) AS e, -avg(CAST(move AS DOUBLE)) FILTER (WHERE phenotype = 1) AS n FROM j GROUP BY 1, 2)
+    SELECT model1, model2, round(e, 6) AS events, round(n, 6) AS non_events, round(e + n, 6) AS nri FROM g""")
+def nri_by_proportions(v):
+    return rounded(V.nri_proportions(V.moves(_flags(v), PAIRS)), "events", "non_events", "nri")
+
+
+@query(f"""
+    WITH {_HIGH}, n AS (SELECT iid, count(*) FILTER (WHERE high) AS n_models FROM flags GROUP BY iid),
+    t AS (SELECT iid, model FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY prs100 DESC, CASE model WHEN 'main' THEN 1 WHEN 'epi' THEN 2 WHEN 'cardio' THEN 3 ELSE 4 END) AS rn FROM flags) WHERE rn = 1)
+    SELECT n_models, model, count(*) AS n FROM n JOIN t USING (iid) GROUP BY 1, 2""")
+def models_flagged_and_top(v):
+    f = _flags(v)
+    both = A.flagged_models(f).join(A.top_model(f, MODELS, "prs100"), "iid")
+    return both.groupBy("n_models", "model").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    WITH {_bins(5)}, {_MARKERS}, p AS (SELECT b.bin, b.phenotype, b.bin = 5 AS high, coalesce(m.flag = 1, false) AS flag FROM binned b JOIN markers m ON m.iid = b.iid WHERE b.model = 'main')
+    SELECT bin, count(*) AS n, count(*) FILTER (WHERE phenotype = 2) AS cases, count(*) FILTER (WHERE phenotype = 2 AND high) AS by_score, count(*) FILTER (WHERE phenotype = 2 AND NOT high AND flag) AS by_marker,
+        count(*) FILTER (WHERE phenotype = 2 AND NOT high AND NOT flag) AS by_neither, round(CAST(count(*) FILTER (WHERE phenotype = 2) AS DOUBLE) / count(*), 6) AS prevalence FROM p GROUP BY bin""")
+def quintile_attribution(v):
+    people = _binned(v, 5).filter("model = 'main'").withColumn("high", F.col("bin") == 5).join(_markers(v).select("iid", "flag"), "iid")
+    return rounded(A.attributed_prevalence(people), "prevalence")
+
+
+@query("""
+    WITH e AS (SELECT snp_a AS snp, snp_b AS tag FROM ld WHERE r2 > 0.6 UNION SELECT snp_b, snp_a FROM ld WHERE r2 > 0.6)
+    SELECT snp, string_agg(tag, ',' ORDER BY tag) AS tags, count(*) AS n_tags FROM e GROUP BY snp""")
+def ld_tags(v):
+    return G.tags(v.ld)
+
+
+@query("SELECT feature, string_split(feature, ',')[1] AS env_feature, substr(feature, strpos(feature, ',') + 1) AS genetic FROM feature_scores WHERE model = 'cardio'")
+def environment_names(v):
+    return X.split_environment(v.feature_scores.filter("model = 'cardio'"))
+
+
+@query("""
+    WITH m AS (SELECT feature, i, string_split(feature, ',')[i] AS member FROM (SELECT feature, unnest(range(1, len(string_split(feature, ',')) + 1)) AS i FROM pairs))
+    SELECT m.feature, string_agg(coalesce(string_split(g.gene, '-')[1], m.member), ',' ORDER BY m.i) AS genes FROM m LEFT JOIN gene_map g ON g.feature = m.member GROUP BY m.feature""")
+def pair_gene_names(v):
+    return X.gene_names(v.pairs.select("feature"), v.gene_map)
+
+
+@query("""
+    SELECT iid, model, CAST(ceil(rn * 10.0 / n) AS INTEGER) AS bin FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY prs100, iid) AS rn, count(*) OVER (PARTITION BY model) AS n FROM prs)""")
+def rank_deciles(v):
+    return B.rank_bins(v.prs, "prs100", 10, ["model"]).select("iid", "model", "bin")
+
+
+@query("""
+    WITH w AS (SELECT feature, coefs AS full_coef FROM feature_scores WHERE model = 'epi+main'), o AS (SELECT * FROM feature_scores WHERE model <> 'epi+main')
+    SELECT o.model, round(avg(full_coef) - avg(o.coefs), 6) AS gap FROM o JOIN w USING (feature) GROUP BY o.model""")
+def coefficient_gap(v):
+    from .operators.plots import coefficient_gap as gap
+
+    return rounded(gap(v.feature_scores, "epi+main"), "gap")
+
+
+@query()
+def nagelkerke_bootstrap(v):
+    return V.bootstrap(v.probs, V.nagelkerke, 50)
+
+
+@query()
+def tree_shap_rank(v):
+    from .operators.tree_shap import tree_shap
+
+    data = M.assemble(v.main_rows, v.participant, _TOP[:6])
+    from pyspark.ml.classification import GBTClassifier
+
+    model = GBTClassifier(maxIter=3, maxDepth=3, seed=1).fit(data)
+    return S.rank_shap(tree_shap(model, data, _TOP[:6]))

@@ -109,3 +109,52 @@ def test_plot_data(spark):
     h = plots.histogram(rows, "v", 5, ["model"]).toPandas()
     assert len(h) == 5 and h["cases"].sum() == 50 and h["controls"].sum() == 50
     assert plots.box(rows, "v", ["model"]).head()["median"] == 4.5
+
+
+def test_tree_shap_by_enumeration(spark):
+    import itertools
+    import math
+
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.feature import VectorAssembler
+
+    from riskweave.operators import tree_shap as T
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(200, 3))
+    y = np.where(x[:, 0] > 0, x[:, 1], x[:, 2] * 2) + (x[:, 0] > 1)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(200)], "iid long, a double, b double, c double, label double")
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = RandomForestRegressor(numTrees=2, maxDepth=4, seed=1).fit(data)
+    trees = T.flatten(model)
+
+    def value(tree, row, known, at=0):
+        f, t, left, right, v, cover = tree[at]
+        if f < 0:
+            return v
+        if f in known:
+            return value(tree, row, known, left if row[f] <= t else right)
+        return sum(value(tree, row, known, k) * tree[k][5] for k in (left, right)) / cover
+
+    got = {(q["iid"], q["feature"]): q["shap"] for q in T.tree_shap(model, data.limit(5), ["a", "b", "c"]).collect()}
+    for i in sorted({k[0] for k in got}):
+        for j, name in enumerate("abc"):
+            rest, want = [k for k in range(3) if k != j], 0.0
+            for n in range(3):
+                for s in itertools.combinations(rest, n):
+                    w = math.factorial(n) * math.factorial(2 - n) / math.factorial(3)
+                    want += w * sum(value(t, x[i], {*s, j}) - value(t, x[i], set(s)) for t in trees) / len(trees)
+            assert got[i, name] == pytest.approx(want, abs=1e-9)
+
+
+def test_failed_batches_say_why(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0)], "iid long, feature string, x double")
+    catalogue = spark.createDataFrame([(0, "a"), (1, "b")], "batch long, feature string")
+
+    def fit(rows, people, names):
+        if names == ["b"]:
+            raise ValueError("no such thing")
+        return spark.createDataFrame([(n, 1.0) for n in names], "feature string, coefs double")
+
+    got = {r["batch"]: r["status"] for r in models.fit_batches(rows, rows, catalogue, fit).collect()}
+    assert got == {0: "ok", 1: "no such thing"}
