@@ -32,8 +32,8 @@ def qcut(scores: DataFrame, value: str, n: int, by: list[str], out: str = "bin")
 
 
 def transfer(scores: DataFrame, edges: DataFrame, value: str, by: list[str], out: str = "bin") -> DataFrame:
-    """Bins of other people by trained edges."""
-    return scores.join(edges.select(*by, "edges"), by).withColumn(out, bin_of(F.col(value), F.col("edges"))).drop("edges")
+    """Bins of other people by trained edges. Edges are one short row for each `by` (a model), so they go to the scores."""
+    return scores.join(F.broadcast(edges.select(*by, "edges")), by).withColumn(out, bin_of(F.col(value), F.col("edges"))).drop("edges")
 
 
 def prevalence(binned: DataFrame, by: list[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def bin_statistics(binned: DataFrame, value: str, n_bins: int, by: str = "model"
 def flag_bins(people: DataFrame, stats: DataFrame, high: int, by: str = "model") -> DataFrame:
     """case_bin: the bin's rate is above the overall one; high_risk: the bin is at or above `high`."""
     rates = stats.select(by, "bin", (F.coalesce(F.col("rate") > F.col("overall"), F.lit(False))).alias("case_bin"))
-    return people.join(rates, [by, "bin"], "left").withColumn("case_bin", F.coalesce("case_bin", F.lit(False))).withColumn("high_risk", F.col("bin") >= high)
+    return people.join(F.broadcast(rates), [by, "bin"], "left").withColumn("case_bin", F.coalesce("case_bin", F.lit(False))).withColumn("high_risk", F.col("bin") >= high)
 
 
 def composite(flagged: DataFrame, order: list[str], value: str, high: int, share: float = 0.6) -> DataFrame:

@@ -18,11 +18,26 @@ def histogram(scores: DataFrame, value: str, by: list[str], y: str = "y") -> Dat
     return scores.groupBy(*by, F.col(value).alias("value")).agg(F.sum(F.col(y).cast("long")).alias("cases"), F.sum(1 - F.col(y).cast("long")).alias("controls"))
 
 
+def below(h: DataFrame, by: list[str], counts: list[str], ranges: int = 256) -> DataFrame:
+    """h (by, value, counts) with <count>_below: sums over smaller values, and <count>_all.
+
+    Values are dealt to even ranges; sums run within a range, and over the ranges' totals, so no task orders a whole group.
+    """
+    ends = h.groupBy(*by).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), *(F.sum(c).alias(f"{c}_all") for c in counts))
+    slot = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (ranges - 1))).otherwise(0).cast("int")
+    dealt = h.join(F.broadcast(ends), by).withColumn("__slot", slot).drop("__lo", "__hi")
+    totals = dealt.groupBy(*by, "__slot").agg(*(F.sum(c).alias(f"__{c}") for c in counts))
+    order = Window.partitionBy(*by).orderBy("__slot")
+    totals = totals.select(*by, "__slot", *((F.sum(f"__{c}").over(order) - F.col(f"__{c}")).alias(f"__{c}") for c in counts))
+    inside = Window.partitionBy(*by, "__slot").orderBy("value")
+    rows = dealt.join(F.broadcast(totals), [*by, "__slot"])
+    return rows.withColumns({f"{c}_below": F.col(f"__{c}") + F.sum(c).over(inside) - F.col(c) for c in counts}).drop("__slot", *(f"__{c}" for c in counts))
+
+
 def rank_auc(scores: DataFrame, value: str, by: list[str], y: str = "y") -> DataFrame:
     """AUC by counts below, half of ties: sums over the ordered histogram of distinct scores."""
-    h = histogram(scores, value, by, y)
-    before = F.sum("controls").over(Window.partitionBy(*by).orderBy("value")) - F.col("controls")
-    h = h.withColumn("wins", F.col("cases") * (before + F.col("controls") / 2))
+    h = below(histogram(scores, value, by, y), by, ["controls"])
+    h = h.withColumn("wins", F.col("cases") * (F.col("controls_below") + F.col("controls") / 2))
     return h.groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("cases").alias("p"), F.sum("controls").alias("q")).select(*by, ratio(F.col("wins"), F.col("p") * F.col("q")).alias("auc"))
 
 
@@ -44,11 +59,10 @@ def roc_sweep(scores: DataFrame, value: str, steps: int, by: str = "model", y: s
 
 def placements(scores: DataFrame, value: str, y: str = "y") -> DataFrame:
     """(iid, model, y, placement): the share of the other class that a row beats, ties half, from counts of distinct scores."""
-    h = histogram(scores, value, ["model"], y)
-    w, whole = Window.partitionBy("model").orderBy("value"), Window.partitionBy("model")
-    low = lambda c: F.sum(c).over(w) - F.col(c) / 2
-    h = h.withColumn("beats_controls", low("controls") / F.sum("controls").over(whole)).withColumn("beaten_by", 1 - low("cases") / F.sum("cases").over(whole))
-    rows = scores.select("iid", "model", F.col(y).alias("y"), F.col(value).alias("value")).join(h.drop("cases", "controls"), ["model", "value"])
+    h = below(histogram(scores, value, ["model"], y), ["model"], ["cases", "controls"])
+    low = lambda c: (F.col(f"{c}_below") + F.col(c) / 2) / F.col(f"{c}_all")
+    h = h.select("model", "value", low("controls").alias("beats_controls"), (1 - low("cases")).alias("beaten_by"))
+    rows = scores.select("iid", "model", F.col(y).alias("y"), F.col(value).alias("value")).join(h, ["model", "value"])
     return rows.select("iid", "model", "y", F.when(F.col("y") == 1, F.col("beats_controls")).otherwise(F.col("beaten_by")).alias("placement"))
 
 
