@@ -40,21 +40,21 @@ def encoder(path: str | None = None):
     return _TOKENIZERS[path].encode_ordinary
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def _width(path: str | None) -> str:
+    """Bytes of an id between tasks: two where the vocabulary fits."""
+    encoder(path)
+    return "<u2" if _TOKENIZERS[path].n_vocab <= 1 << 16 else "<u4"
 
 
-def _encode(path: str | None, window: int, plans: int):
+def _encode(path: str | None, plans: int):
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_ids = encoder(path)
+        to_ids, kind = encoder(path), _width(path)
         for frame in frames:
             rows = []
             for doc_id, body in frame[["doc_id", "body"]].itertuples(index=False):
-                ids = np.array([*to_ids(body), END], np.uint16)
-                whole = len(ids) // window
-                crcs = [_crc(ids[i * window : (i + 1) * window]) for i in range(whole)]
-                rows.append((doc_id, len(ids), crcs, ids[whole * window :].tobytes(), zlib.crc32(f"{doc_id}:{len(ids)}".encode()) % plans))
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "crcs", "tail", "plan"]).astype({"doc_id": frame["doc_id"].dtype})
+                ids = np.array([*to_ids(body), END], kind)
+                rows.append((doc_id, ids.tobytes(), zlib.crc32(f"{doc_id}:{len(ids)}".encode()) % plans))
+            yield pd.DataFrame(rows, columns=["doc_id", "ids", "plan"]).astype({"doc_id": frame["doc_id"].dtype})
 
     return encode
 
@@ -121,29 +121,35 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int,
     return sequences
 
 
-def _place(window: int):
+def _place(path: str | None, window: int):
     def place(docs: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values(["doc_tokens", "doc_id"], ignore_index=True)
-        tails = [np.frombuffer(t, np.uint16) for t in docs["tail"]]
+        kind = _width(path)
+        docs = docs.assign(size=docs["ids"].map(len)).sort_values(["size", "doc_id"], ignore_index=True)
+        all_ids = [np.frombuffer(t, kind).astype("<u4") for t in docs["ids"]]
+        whole = [len(x) // window * window for x in all_ids]
         first = int(docs["plan"].iloc[0]) << 32
-        ids, tokens, rows = docs["doc_id"].tolist(), docs["doc_tokens"].tolist(), []
-        for sequence in plan(np.array([len(t) for t in tails], np.int64), window):
+        ids, rows = docs["doc_id"].tolist(), []
+
+        def piece(item: int, start: int, n: int, offset: int) -> None:
+            rows.append((ids[item], start, n, all_ids[item][start : start + n].tobytes(), len(all_ids[item]), first, offset))
+
+        for sequence in plan(np.array([len(x) - w for x, w in zip(all_ids, whole, strict=True)], np.int64), window):
             offset = 0
             for item, start, n in sequence:
-                rows.append((ids[item], tokens[item] - len(tails[item]) + start, n, _crc(tails[item][start : start + n]), tokens[item], first, offset))
+                piece(item, whole[item] + start, n, offset)
                 offset += n
             first += 1
-        for item, crcs in enumerate(docs["crcs"]):
-            for i, crc in enumerate(crcs):
-                rows.append((ids[item], i * window, window, int(crc), tokens[item], first, 0))
+        for item, end in enumerate(whole):
+            for start in range(0, end, window):
+                piece(item, start, window, 0)
                 first += 1
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": docs["doc_id"].dtype})
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": docs["doc_id"].dtype})
 
     return place
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", plan_docs: int = PLAN_DOCS) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row for each piece: doc_id, start, length, ids (little-endian, four bytes each), doc_tokens, sequence_id, offset.
 
     A document is the ids of its text and an end id. Whole windows of it are sequences of their own; what is left over
     (under one window) is planned with some thousands of others: combinations of two or three lengths that fill the
@@ -156,6 +162,6 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, d
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
     plans = max(1, -(-docs.count() // plan_docs))
-    encoded = slim.mapInPandas(_encode(vocabulary, window, plans), "doc_id long, doc_tokens long, crcs array<long>, tail binary, plan int")
-    pieces = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return encoded.groupBy("plan").applyInPandas(_place(window), pieces)
+    encoded = slim.mapInPandas(_encode(vocabulary, plans), "doc_id long, ids binary, plan int")
+    pieces = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return encoded.groupBy("plan").applyInPandas(_place(vocabulary, window), pieces)

@@ -8,7 +8,6 @@ regions far from digits and at-signs need no work and the program runs region by
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -283,19 +282,19 @@ def _find(weights: tuple[float, ...]):
                 base = base_spans(text)
                 more = added_spans(text, base, w)
                 count = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                rows.append((doc_id, *count, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(base + more), len(more)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]).astype({"doc_id": frame["doc_id"].dtype})
+                rows.append((doc_id, *count, join_spans(base), join_spans(base + more), len(more)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_added"]).astype({"doc_id": frame["doc_id"].dtype})
 
     return find
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans, n_added for every row of docs.
 
-    The counts and base_sha256 are of the fixed patterns' spans; spans has these and those the field adds (n_added), which
-    never overlap the fixed ones. Positions are code points, ends exclusive. Null text counts as empty: no spans, and
-    the digest of an empty string. Null ids are kept; repeated rows are reported each. An empty table gives an empty
+    The counts and base_spans are of the fixed patterns' spans; spans has these and those the field adds (n_added), which
+    never overlap the fixed ones. Positions are code points, ends exclusive. Null text counts as empty: no spans and
+    empty lists. Null ids are kept; repeated rows are reported each. An empty table gives an empty
     result. Other columns play no part. Kinds may overlap among the fixed patterns, as these are matched kind by kind.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return slim.mapInPandas(_find(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return slim.mapInPandas(_find(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, n_added long")

@@ -8,7 +8,6 @@ is left at full length goes to owners in the same way, with its smallest documen
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 import zlib
 
@@ -169,14 +168,14 @@ def _cut(window: int):
                 np.add.at(edge, starts + window, -1)
                 gone = np.cumsum(edge)[:-1] > 0
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-            rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": docs["doc_id"].dtype})
+            rows.append((doc_id, len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": docs["doc_id"].dtype})
 
     return cut
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row of docs.
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) for every row of docs.
 
     Words are runs of other bytes than ASCII white space. A word is removed if a window of `window` consecutive words covers it whose words
     also start in a document with a smaller id. Windows are judged on the input. Hashes of 62 bits stand for windows.
@@ -215,5 +214,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     messages = materialise(reps.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_last_level(window, owners), kinds), "windows")
     answers = messages.groupBy("owner").applyInPandas(_settle, "owner int, sender int, answer binary")
     replies = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "k", "unary", "rest", "answer")
-    done = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    done = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))

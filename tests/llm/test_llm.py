@@ -131,7 +131,7 @@ def test_packing_round_trip(docs, odd, none):
             for p in sorted(pieces[r["doc_id"]], key=lambda p: p["start"]):
                 assert p["start"] == at and p["doc_tokens"] == len(ids)
                 at += p["length"]
-                assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : at].tobytes())
+                assert bytes(p["ids"]) == ids[p["start"] : at].tobytes()
             assert at == len(ids)
         for spans in offsets.values():
             at = 0
@@ -139,6 +139,8 @@ def test_packing_round_trip(docs, odd, none):
                 assert start == at
                 at += n
             assert at <= 1024
+    crcs = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in queries.QUERIES["op1_pack"](docs.sparkSession, SMALL).collect()}
+    assert all(crcs[r["doc_id"], r["start"]] == zlib.crc32(bytes(r["ids"])) for r in packing.pack(docs).collect())
     assert packing.pack(none).count() == 0 and packing.pack(odd).count() >= odd.count()
 
 
@@ -340,6 +342,12 @@ def _cut(texts, window):
 def test_substring_dedup(docs, texts, window):
     want = _cut(texts, window)
     for r in substring.substring_dedup(docs, window).collect():
+        assert (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) == want[r["doc_id"]]
+
+
+def test_substring_digest(spark, texts):
+    want = _cut(texts, 13)
+    for r in queries.QUERIES["op9_substring"](spark, SMALL).collect():
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
@@ -433,4 +441,4 @@ def test_decoding_by_enumeration():
 def test_pii_odd(odd, none):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == odd.count() and pii.find_pii(none).count() == 0
-    assert {r["base_sha256"] for r in rows if r["doc_id"] == 1} == {hashlib.sha256(b"").hexdigest()}
+    assert {(r["base_spans"], r["spans"]) for r in rows if r["doc_id"] == 1} == {("", "")}
