@@ -111,6 +111,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     shuffled = marked.join(F.broadcast(suspects) if few else suspects, "fp", "left_semi")
     groups = shuffled.groupBy("fp", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = groups.select(F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size", F.lit(True).alias("grouped"))
+    groups = materialise(groups, "groups")  # of known size; else its partitioning would bind the join, and a hot group couldn't be split
     every = slim.select("doc_id", F.sha2("body", 256).alias("text_sha256"))
     keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))
     return (
