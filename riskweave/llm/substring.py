@@ -191,6 +191,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     same = [F.xxhash64("body"), F.xxhash64(F.lit(1), "body")]
     keyed = slim.select("doc_id", same[0].alias("t1"), same[1].alias("t2"))
     first = keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("t1", "t2", "first")
+    first = materialise(first, "copies")  # else its partitioning would bind the join, and a hot group couldn't be split
     copies = keyed.join(first, ["t1", "t2"]).filter("doc_id > first").select("doc_id", "t1", F.lit(True).alias("copy")).distinct()
     marked = slim.withColumn("t1", same[0]).join(copies, ["doc_id", "t1"], "left").select("doc_id", "no_id", "body", F.coalesce("copy", F.lit(False)).alias("copy"))
     marked = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
