@@ -178,12 +178,12 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _last_links(left: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among rows (key, rep, comp, hub) of torn buckets, where members of buckets that touch form a group.
+    """Links among rows (key, rep, comp, head) of torn buckets, where members of buckets that touch form a group.
 
     A missing link has an end outside the group's largest component. Those members visit every block of all members;
     so rows are few where nearly all are connected already.
     """
-    groups = components(left.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).filter("a <> b")).withColumnRenamed("comp", "grp")
+    groups = components(left.select(F.col("head").alias("a"), F.col("rep").alias("b")).filter("a < b")).withColumnRenamed("comp", "grp")
     members = left.groupBy("rep", "comp").agg(F.collect_list("key").alias("keys")).join(groups.withColumnRenamed("id", "rep"), "rep")
     members = materialise(members, "near-members")
     sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few"))
@@ -228,8 +228,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     rows = shared.select("key", "rep")
     for turn in range(HUB_TURNS + 1):
         placed = rows.join(labels.withColumnRenamed("id", "rep"), "rep")
-        torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-        left = materialise(placed.join(torn.filter("low < high").select("key", "hub"), "key"), "near-torn")
+        torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"), F.min("rep").alias("head"))
+        left = materialise(placed.join(torn.filter("low < high").select("key", "hub", "head"), "key"), "near-torn")
         if left.isEmpty():
             break
         rows = left.select("key", "rep")  # a bucket that is whole stays so
