@@ -195,3 +195,18 @@ def load_model(kind, path: str):
         if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error) or "Input path" in str(error):
             return None
         raise
+
+
+def feature_sets(parts: dict[str, list[str]], separate_hla: bool = False) -> dict[str, list[str]]:
+    """The features of each association model, covariates last. parts: main, epi, cardio, hla, env_main, clinical, covariate.
+
+    Covariates are in every model and unpenalised there. HLA alleles go with main, epi and epi+main, or form a model of their own.
+    """
+    of = lambda *names: list(dict.fromkeys(f for n in names for f in parts.get(n, [])))
+    hla = () if separate_hla else ("hla",)
+    wanted = {
+        "main": ("main", *hla), "epi": ("epi", *hla), "epi+main": ("epi", "main", *hla), "cardio": ("cardio",), "all": ("cardio", "epi", "main", "hla"),
+        "env_main": ("env_main",), "all+env_main": ("cardio", "epi", "main", "hla", "env_main"), "covariate": (),
+    }
+    wanted |= {"hla": ("hla",)} if separate_hla else {"clinical_main": ("clinical",), "all+env_main+clinical_main": ("cardio", "epi", "main", "hla", "env_main", "clinical")}
+    return {model: of(*names, "covariate") for model, names in wanted.items()}

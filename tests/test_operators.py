@@ -158,3 +158,10 @@ def test_failed_batches_say_why(spark):
 
     got = {r["batch"]: r["status"] for r in models.fit_batches(rows, rows, catalogue, fit).collect()}
     assert got == {0: "ok", 1: "no such thing"}
+
+
+def test_feature_sets():
+    parts = {"main": ["a"], "epi": ["a,b"], "cardio": ["e,a,b"], "hla": ["h"], "env_main": ["e"], "clinical": ["c"], "covariate": ["age"]}
+    one, two = models.feature_sets(parts), models.feature_sets(parts, separate_hla=True)
+    assert one["main"] == ["a", "h", "age"] and two["main"] == ["a", "age"] and two["hla"] == ["h", "age"]
+    assert one["all+env_main+clinical_main"][-3:] == ["e", "c", "age"] and one["covariate"] == ["age"]
