@@ -69,6 +69,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity)}
 
 SQL = {
+    "op7_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        t AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, reach.r FROM reach JOIN edges b ON b.x = reach.doc_id)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.r) AS component_id, d.doc_id = min(reach.r) AS kept
+        FROM documents d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
+    "op9_substring": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        first AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM win JOIN first USING (g) WHERE f < doc_id)),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d)
+        SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(gone.p) AS n_removed,
+            sha256(coalesce(string_agg(words.word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+        FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY d.doc_id
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256

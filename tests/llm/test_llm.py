@@ -442,3 +442,11 @@ def test_pii_odd(odd, none):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == odd.count() and pii.find_pii(none).count() == 0
     assert {(r["base_spans"], r["spans"]) for r in rows if r["doc_id"] == 1} == {("", "")}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SMALL).toPandas(), duck.sql(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(want.columns)].itertuples(index=False))
+    assert rows(got) == rows(want)
