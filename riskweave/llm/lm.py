@@ -2,8 +2,8 @@
 
 A text is its UTF-8 bytes and an end mark, and each byte a run of yes-no decisions: its Huffman code among the bytes that
 follow the two before it. For each decision several predictors (the code's own node; hashed contexts: the last bytes, the word so
-far) give a probability from counts over all training documents; their logits are mixed with weights that a gate selects,
-which are fitted by online gradient steps and refined further while a document is read. The sum over all decisions is the
+far) give a probability from exact counts over all training documents (Counts); their logits are mixed with weights that a gate selects,
+which minimise a sum of quadratics (Fit) and are refined further while a document is read. The sum over all decisions is the
 logarithm of the text's probability.
 """
 
@@ -14,6 +14,8 @@ import heapq
 
 import numpy as np
 
+from .common import mix
+
 #: Slots of a hashed-context table (a power of two), and the largest count kept.
 SLOT_BITS, TOP = 22, 255
 SLOTS = 1 << SLOT_BITS
@@ -125,6 +127,19 @@ class Batch:
         return [*(_fold((w & low[k]) + np.uint64(k)) for k in ORDERS), _fold(word + np.uint64(1) << np.uint64(3))]
 
 
+    @functools.cached_property
+    def keys(self) -> list[np.ndarray]:
+        """For each kind of context, 48 bits for what precedes a byte (its last two bytes belong to it), then the byte."""
+        w, low, at = self._before, self._low, np.arange(len(self.bytes), dtype=np.int32)
+        white = np.zeros(256, bool)
+        white[[9, 10, 11, 12, 13, 32]] = True
+        begun = np.maximum.accumulate(np.where(white[self.bytes] | self._first, at, 0))
+        begun[1:] = begun[:-1]
+        word = mix((w & low[np.clip(at - begun, 0, 8)]) + np.uint64(1)) + self.pair.astype(np.uint64)
+        kinds = [*((w & low[k]) + np.uint64(k << 56) for k in ORDERS), word]
+        return [(mix(x) >> np.uint64(16) << np.uint64(8) | self.bytes).astype(np.int64) for x in kinds]
+
+
 def _fold(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x9E3779B97F4A7C15)
     return (x >> np.uint64(32)).astype(np.uint32)
@@ -236,3 +251,112 @@ class Mixer:
                 own[k][live] += RATE * np.add.reduceat(err * x, cuts) / (np.add.reduceat(bend * x * x, cuts) + PRIOR)
             low = high
         return np.bincount(batch.owner, weights=out, minlength=batch.owner[-1] + 1)
+
+
+class Counts:
+    """What all training documents did after the contexts of a chunk, for one kind of context; exact, whatever their number.
+
+    here: keys of the chunk's bytes (Batch.keys), pairs: the two bytes before each; keys (distinct, sorted) and counts: every byte
+    that training documents have after these contexts, and how often. Decisions of a byte are at from first[of[i]] on.
+    """
+
+    def __init__(self, code: Code, here: np.ndarray, pairs: np.ndarray, keys: np.ndarray, counts: np.ndarray, leave_out: bool = False):
+        order = np.argsort(here)
+        ranked = here[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        self.of = np.empty(len(here), np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        own, rows = ranked[new], code.row.take(pairs[order[new]])
+        del order, ranked, new
+        context = own >> 8
+        number = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
+        at = np.minimum(np.searchsorted(context, keys >> 8), len(context) - 1)
+        known = context[at] == keys >> 8
+        at, keys, counts = at[known], keys[known], counts[known]
+        nodes, bits, n = _spelt(code, rows[at], keys & 255)
+        nodes += np.repeat(number[at] << 20, n)
+        counts = np.repeat(counts, n)
+        order = np.argsort(nodes)
+        nodes, bits, counts = nodes[order], bits[order], counts[order]
+        new = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.intp)
+        self.nodes = nodes[new]
+        yes, both = (np.add.reduceat(c, new) if len(new) else np.empty(0, np.int64) for c in (counts * bits, counts))
+        del order, counts, new
+        asked, bits, n = _spelt(code, rows, own & 255)
+        asked += np.repeat(number << 20, n)
+        self.first = (np.cumsum(n) - n).astype(np.int32)
+        if len(self.nodes):
+            at = np.minimum(np.searchsorted(self.nodes, asked), len(self.nodes) - 1)
+            found = self.nodes[at] == asked
+            n1 = np.where(found, yes[at], 0)
+            n0 = np.where(found, both[at], 0) - n1
+        else:
+            n0, n1 = (np.zeros(len(asked), np.int64) for _ in range(2))
+        if leave_out:
+            n1 -= (bits == 1) & (n1 > 0)
+            n0 -= (bits == 0) & (n0 > 0)
+        self.n0, self.n1 = n0, n1
+        self.logits = np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32)
+        self.levels = (np.digitize(n0 + n1, [1, 2, 4, 16]) + 5 * ((n0 > 0) & (n1 > 0))).astype(np.int8)
+
+
+def _spelt(code: Code, rows: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and bits of bytes in contexts, one after another, and how many each has."""
+    at = rows * 256 + byte
+    n = code.depth.ravel().take(at)
+    ends = np.cumsum(n, dtype=np.intp)
+    places = np.repeat(code.at.ravel().take(at) - ends + n, n)
+    places += np.arange(len(places), dtype=np.intp)
+    return code.nodes.take(places).astype(np.int64), code.bits.take(places), n
+
+
+class Exact(Mixer):
+    """A mixer over the Counts of a chunk; begin(i) says that the next batch starts at the chunk's i-th byte."""
+
+    def __init__(self, code: Code, counts: list[Counts], weights: np.ndarray | None = None):
+        super().__init__(code, counts, weights)
+        self.at = 0
+
+    def begin(self, at: int) -> None:
+        self.at = at
+
+    def inputs(self, batch: Batch, leave_out: bool = False):
+        n, nodes, bits = decisions(self.code, batch)
+        ends = np.cumsum(n, dtype=np.intp)
+        logits, gate = [self.code.logits.take(nodes)], np.int16(0)
+        step = np.arange(len(nodes), dtype=np.intp)
+        for c in self.tables:
+            places = np.repeat(c.first.take(c.of[self.at : self.at + len(batch.bytes)]) - ends + n, n)
+            places += step
+            logits.append(c.logits.take(places))
+            gate = gate * np.int16(N_LEVELS) + c.levels.take(places)
+        return n, bits, logits, gate
+
+
+class Fit:
+    """Sums for the mixing weights: each gate's curvature, and curvature times weights plus gradient; sums of parts of a corpus add up."""
+
+    def __init__(self):
+        k = CONTEXTS + 1
+        self.curve, self.pull, self.seen = np.zeros((GATES, k, k)), np.zeros((GATES, k)), 0
+
+    def weights(self) -> np.ndarray:
+        """The minimum of the quadratic that has been summed, with PRIOR towards equal weights."""
+        own = PRIOR * np.eye(CONTEXTS + 1)
+        return np.linalg.solve(self.curve + own, (self.pull + 0.4 * PRIOR)[:, :, None])[:, :, 0]
+
+    def add(self, mixer: Mixer, batch: Batch) -> None:
+        """One batch, its log-loss taken as a quadratic around the weights of what was added so far."""
+        _, bits, logits, gate = mixer.inputs(batch, True)
+        now, gate = self.weights(), gate.astype(np.intp)
+        z = sum(x * now[:, k].astype(np.float32).take(gate) for k, x in enumerate(logits))
+        p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+        err, bend = bits - p, p * (1 - p)
+        curve = np.zeros_like(self.curve)
+        for i, x in enumerate(logits):
+            self.pull[:, i] += np.bincount(gate, weights=err * x, minlength=GATES)
+            for j in range(i + 1):
+                curve[:, i, j] = curve[:, j, i] = np.bincount(gate, weights=bend * x * logits[j], minlength=GATES)
+        self.curve += curve
+        self.pull += (curve @ now[:, :, None])[:, :, 0]
+        self.seen += len(bits)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ from .substring import FULL_BITS, _edges, _unzip, _zip
 CHUNK, BATCH = 4 << 20, 100_000
 #: Training documents that the mixing weights are fitted on, at most (lowest hashes of their ids); counts are over all of them.
 FIT_DOCS = 3000
-#: Slots of a context table sent as one message, and messages summed by one task.
-BLOCK, FAN = 1 << 16, 64
+#: Bits of a context and the byte after it, and tasks that add up the sums of the partitions.
+KEY_BITS, FAN = 56, 8
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -119,54 +118,128 @@ def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"pair": used[at // a // a].astype(np.int32) * 256 + used[at // a % a], "byte": used[at % a].astype(np.int32), "n": n[at]})
 
 
-def _squash(counts: np.ndarray) -> bytes:
-    """Counts byte by byte: high bytes are nearly all zero."""
-    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pack(keys: np.ndarray) -> bytes:
+    return _zip(np.diff(keys, prepend=0))
 
 
-def _unsquash(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(blob))
 
 
-def _count(code):
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, any_rows = np.zeros((lm.CONTEXTS, 2 * lm.SLOTS), np.uint32), False
+def _tally(owners: int):
+    """Messages of a chunk to owners of hash ranges: the contexts it has, and how often its training documents have each byte after each."""
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_chunk, seen = None, []
+
+        def messages() -> Iterator[pd.DataFrame]:
+            for kind in range(lm.CONTEXTS):
+                keys = np.sort(np.concatenate([x[kind] for x in seen]))  # the last bit: from a training document
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 1 != keys[:-1] >> 1]))
+                n = np.add.reduceat(keys & 1, first)
+                keys = keys[first] >> 1
+                edges = _edges(keys, owners, KEY_BITS)
+                rows = [(o, kind, open_chunk, _pack(keys[a:b]), _zip(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+                yield pd.DataFrame(rows, columns=["owner", "kind", "sender", "keys", "counts"])
+
         for frame in frames:
-            for texts in _batches(frame["said"]):
-                any_rows = True
-                lm.add_counts(tables, code.value, lm.Batch(texts))
-        if any_rows:
-            me = TaskContext.get().partitionId() // FAN
-            for k, table in enumerate(tables):
-                for block, counts in enumerate(table.reshape(-1, 2 * BLOCK)):
-                    if counts.any():
-                        yield pd.DataFrame({"k": [k], "block": [block], "branch": [me], "counts": [_squash(counts)]})
-
-    return count
-
-
-def _sum_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(2 * BLOCK, np.uint32)
-    for c in rows["counts"]:
-        x = _unsquash(c)
-        total += np.minimum(x, np.iinfo(np.uint32).max - total)
-    return pd.DataFrame({"k": rows["k"].iloc[:1], "block": rows["block"].iloc[:1], "branch": rows["branch"].iloc[:1] // FAN, "counts": [_squash(total)]})
-
-
-def _fit(code, tables):
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        mixer = lm.Mixer(code.value, tables.value)
-        for texts in _batches(rows.sort_values(["doc_id", "said"])["said"]):
-            mixer.fit(lm.Batch(texts))
-        return pd.DataFrame({"weights": [mixer.weights.astype(float).ravel()]})
+            for chunk, part in frame.groupby("chunk", sort=True):
+                if open_chunk is not None and chunk != open_chunk:
+                    yield from messages()
+                    seen = []
+                open_chunk = int(chunk)
+                for flag in (False, True):
+                    for texts in _batches(part["said"][part["held_out"].astype(bool) != flag]):
+                        seen.append([k << 1 | int(flag) for k in lm.Batch(texts).keys])
+        if seen:
+            yield from messages()
+
+    return send
+
+
+def _tell(messages: pd.DataFrame) -> pd.DataFrame:
+    """Answers each message with all bytes that training documents have after its contexts, and how often."""
+    sent = [_unpack(b) for b in messages["keys"]]
+    keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([_unzip(b) for b in messages["counts"]])).astype(np.int64)
+    keys, n = keys[n > 0], n[n > 0]
+    context, rows = keys >> 8, []
+    for s in sent:
+        own = np.unique(s >> 8)
+        at = np.minimum(np.searchsorted(own, context), len(own) - 1)
+        has = own[at] == context
+        rows.append((_pack(keys[has]), _zip(n[has])))
+    return pd.DataFrame({"kind": messages["kind"], "chunk": messages["sender"], "keys": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+
+
+def _counts(code, texts: list[list[bytes]], told: pd.DataFrame, leave_out: bool = False) -> list[lm.Counts]:
+    """The counts of each kind for the texts, batch by batch."""
+    batches = [lm.Batch(t) for t in texts]
+    here, pairs = [b.keys for b in batches], np.concatenate([b.pair.astype(np.int32) for b in batches])
+    del batches
+    out = []
+    for kind in range(lm.CONTEXTS):
+        part = told[told["kind"] == kind]
+        keys = np.concatenate([np.empty(0, np.int64), *map(_unpack, part["keys"])])
+        n = np.concatenate([np.empty(0, np.int64), *map(_unzip, part["counts"])])
+        if len(part):  # parts of a chunk may have come as several messages
+            keys, first = np.unique(keys, return_index=True)
+            n = n[first]
+        out.append(lm.Counts(code, np.concatenate([h[kind] for h in here]), pairs, keys, n, leave_out))
+        for h in here:
+            h[kind] = None
+    return out
+
+
+def _fit(code):
+    def fit(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """A chunk's sums for the mixing weights, over all its training documents."""
+        if not len(docs):
+            return pd.DataFrame({"sums": [], "seen": []})
+        texts, sums, at = list(_batches(docs.sort_values(["doc_id", "said"])["said"])), lm.Fit(), 0
+        mixer = lm.Exact(code.value, _counts(code.value, texts, told, True))
+        for t in texts:
+            batch = lm.Batch(t)
+            mixer.begin(at)
+            sums.add(mixer, batch)
+            at += len(batch.bytes)
+        return pd.DataFrame({"sums": [_sums(sums.curve, sums.pull)], "seen": [sums.seen]})
 
     return fit
 
 
-def _score(code, tables, weights: np.ndarray, n_all: int, distinct: int):
+def _sums(curve: np.ndarray, pull: np.ndarray) -> bytes:
+    return np.concatenate([curve.ravel(), pull.ravel()]).tobytes()
+
+
+def _add_up(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's sums in one row; a chunk's are of a fixed size."""
+    total, seen = None, 0
+    for frame in rows:
+        for sums, n in zip(frame["sums"], frame["seen"], strict=True):
+            x = np.frombuffer(sums)
+            total, seen = x.copy() if total is None else total + x, seen + int(n)
+    if total is not None:
+        yield pd.DataFrame({"sums": [total.tobytes()], "seen": [seen]})
+
+
+def fitted(train: DataFrame, told: DataFrame, code) -> lm.Fit:
+    """The sums for the mixing weights over all training documents."""
+    kinds = "sums binary, seen long"
+    parts = train.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_fit(code), kinds).mapInPandas(_add_up, kinds)
+    out = lm.Fit()
+    for r in parts.repartition(FAN).mapInPandas(_add_up, kinds).collect():
+        x = np.frombuffer(r["sums"])
+        out.curve += x[: out.curve.size].reshape(out.curve.shape)
+        out.pull += x[out.curve.size :].reshape(out.pull.shape)
+        out.seen += r["seen"]
+    return out
+
+
+def _score(code, weights: np.ndarray, n_all: int, distinct: int):
     def score(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        mixer, hashes = lm.Mixer(code.value, tables.value, weights.astype(np.float32)), WordHashes()
-        parts = _decode(words, "answer")
+        hashes, told = WordHashes(), words[words["kind"] >= 0]
+        parts = _decode(words[words["kind"] < 0], "answer")
         known, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
         known, first = np.unique(known, return_index=True)
         seen = seen[first]
@@ -175,7 +248,14 @@ def _score(code, tables, weights: np.ndarray, n_all: int, distinct: int):
         for t in docs["said"]:
             at = np.searchsorted(known, _word_prints(hashes, [*t.split(), b""]))
             rows.append((len(at), int((seen[at] > 0).sum()), float(base[at].sum())))
-        logs = np.concatenate([np.empty(0), *(mixer.score(lm.Batch(texts)) for texts in _batches(docs["said"]))])
+        texts, logs, at = list(_batches(docs["said"])), [], 0
+        mixer = lm.Exact(code.value, _counts(code.value, texts, told), weights.astype(np.float32))
+        for t in texts:
+            batch = lm.Batch(t)
+            mixer.begin(at)
+            logs.append(mixer.score(batch))
+            at += len(batch.bytes)
+        logs = np.concatenate(logs)
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
         out["score"] = logs / math.log(10)
         out["bits_per_byte"] = -logs / math.log(2) / np.array([len(t) + 1 for t in docs["said"]])
@@ -201,8 +281,8 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     messages = table.mapInPandas(_words(width(spark)), "owner int, sender long, n int, k int, unary binary, rest binary, counts binary")
     answers = "owner int, sender long, n int, answer binary, n_all long, n_words long, k int, unary binary, rest binary"
-    told = materialise(messages.groupBy("owner").applyInPandas(_total, answers), "lm-words")
-    all_words = told.agg(F.sum("n_all"), F.sum("n_words")).head()
+    known = materialise(messages.groupBy("owner").applyInPandas(_total, answers), "lm-words")
+    all_words = known.agg(F.sum("n_all"), F.sum("n_words")).head()
     n_all, distinct = all_words[0] or 0, all_words[1] or 0
 
     triples = materialise(train.mapInPandas(_triples, "pair int, byte int, n long").groupBy("pair", "byte").agg(F.sum("n").alias("n")), "lm-triples")
@@ -216,26 +296,17 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     discard(triples)
     code = spark.sparkContext.broadcast(lm.Code(own, singles))
 
-    kinds = "k int, block int, branch int, counts binary"
-    parts, branches = train.mapInPandas(_count(code), kinds), table.rdd.getNumPartitions()
-    while True:  # at most FAN messages meet in a task
-        parts = parts.groupBy("k", "block", "branch").applyInPandas(_sum_blocks, kinds)
-        branches = -(-branches // FAN)
-        if branches <= 1:
-            break
-    tables = [np.zeros(lm.SLOTS, np.uint16) for _ in range(lm.CONTEXTS)]
-    for r in parts.toLocalIterator():  # the tables have a fixed size, whatever the input
-        tables[r["k"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = lm.squeeze(_unsquash(r["counts"]))
-    tables = spark.sparkContext.broadcast(tables)
-
+    messages = table.mapInPandas(_tally(width(spark)), "owner int, kind int, sender long, keys binary, counts binary")
+    told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, "kind int, chunk long, keys binary, counts binary"), "lm-counts")
     n_train = train.count()
     lot = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
     sample = train if n_train <= FIT_DOCS else train.filter(lot < int(1_000_000 * FIT_DOCS / n_train))
-    fitted = sample.select("doc_id", "said", F.lit(0).alias("one")).groupBy("one").applyInPandas(_fit(code, tables), "weights array<double>").collect()
-    weights = np.array(fitted[0]["weights"]).reshape(lm.GATES, -1) if fitted else lm.Mixer(code.value, tables.value).weights
+    weights = fitted(sample, told, code).weights()
 
-    scored = table.groupBy("chunk").cogroup(told.withColumnRenamed("sender", "chunk").groupBy("chunk")).applyInPandas(
-        _score(code, tables, weights, n_all, distinct),
+    words = known.select(F.lit(-1).alias("kind"), F.col("sender").alias("chunk"), "n", "answer", "k", "unary", "rest", F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
+    told = told.select("kind", "chunk", F.lit(0).alias("n"), F.lit(b"").alias("answer"), F.lit(0).alias("k"), F.lit(b"").alias("unary"), F.lit(b"").alias("rest"), "keys", "counts")
+    scored = table.groupBy("chunk").cogroup(words.unionByName(told).groupBy("chunk")).applyInPandas(
+        _score(code, weights, n_all, distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long",
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -304,6 +304,33 @@ def test_codes_are_complete_and_scores_are_probabilities():
     assert 0.9 <= end / math.exp(whole(prefix) - _tail(mixer, prefix)) <= 1.001
 
 
+def test_counts_of_contexts_are_those_of_all_training_documents(spark):
+    r = random.Random(3)
+    said = [" ".join("".join(r.choices("abcde", k=r.randint(1, 4))) for _ in range(60)) + " zz" * 300 for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, body string").withColumn("held_out", lm_score.held_out()).repartition(5)
+    table = df.mapInPandas(lm_score._chunked, "chunk long, doc_id long, held_out boolean, said binary").localCheckpoint()
+    messages = table.mapInPandas(lm_score._tally(4), "owner int, kind int, sender long, keys binary, counts binary")
+    told = messages.groupBy("owner", "kind").applyInPandas(lm_score._tell, "kind int, chunk long, keys binary, counts binary").toPandas()
+    docs = table.toPandas()
+    train = lm.Batch(docs["said"][~docs["held_out"].astype(bool)].tolist())
+    own, singles = defaultdict(Counter), np.zeros((256, 256), np.int64)
+    for p, b in zip(train.pair.tolist(), train.bytes.tolist(), strict=True):
+        own[p][b] += 1
+        singles[p & 255, b] += 1
+    code = lm.Code({p: dict(c) for p, c in own.items()}, singles)
+    n, nodes, bits = lm.decisions(code, train)
+    want = [Counter(zip(np.repeat(k >> 8, n).tolist(), nodes.tolist(), bits.tolist(), strict=True)) for k in train.keys]
+    assert max(max(w.values()) for w in want) > 1000  # more than a byte holds
+    for chunk, part in docs.groupby("chunk"):
+        batch = lm.Batch(part["said"].tolist())
+        n, nodes, _ = lm.decisions(code, batch)
+        of = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        for c, w, k in zip(lm_score._counts(code, [part["said"].tolist()], told[told["chunk"] == chunk]), want, batch.keys, strict=True):
+            at = c.first[c.of[of]] + step
+            assert [(w[x, y, 0], w[x, y, 1]) for x, y in zip((k >> 8)[of].tolist(), nodes.tolist(), strict=True)] == list(zip(c.n0[at].tolist(), c.n1[at].tolist(), strict=True))
+
+
 def _tail(mixer, text):
     """Log-probability of the end after text."""
     batch = lm.Batch([text])
