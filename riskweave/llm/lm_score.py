@@ -18,8 +18,6 @@ from .substring import FULL_BITS, _edges, _unzip, _zip
 
 #: Bytes of text handled as one chunk, and at once by the model.
 CHUNK, BATCH = 4 << 20, 100_000
-#: Training documents that the mixing weights are fitted on, at most (lowest hashes of their ids); counts are over all of them.
-FIT_DOCS = 3000
 #: Bits of a context and the byte after it, and tasks that add up the sums of the partitions.
 KEY_BITS, FAN = 56, 8
 
@@ -298,10 +296,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     messages = table.mapInPandas(_tally(width(spark)), "owner int, kind int, sender long, keys binary, counts binary")
     told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, "kind int, chunk long, keys binary, counts binary"), "lm-counts")
-    n_train = train.count()
-    lot = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
-    sample = train if n_train <= FIT_DOCS else train.filter(lot < int(1_000_000 * FIT_DOCS / n_train))
-    weights = fitted(sample, told, code).weights()
+    weights = fitted(train, told, code).weights()
 
     words = known.select(F.lit(-1).alias("kind"), F.col("sender").alias("chunk"), "n", "answer", "k", "unary", "rest", F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
     told = told.select("kind", "chunk", F.lit(0).alias("n"), F.lit(b"").alias("answer"), F.lit(0).alias("k"), F.lit(b"").alias("unary"), F.lit(b"").alias("rest"), "keys", "counts")

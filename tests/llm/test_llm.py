@@ -331,6 +331,17 @@ def test_counts_of_contexts_are_those_of_all_training_documents(spark):
             assert [(w[x, y, 0], w[x, y, 1]) for x, y in zip((k >> 8)[of].tolist(), nodes.tolist(), strict=True)] == list(zip(c.n0[at].tolist(), c.n1[at].tolist(), strict=True))
 
 
+def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
+    r, asked = random.Random(4), []
+    said = [" ".join(r.choices(["one", "two", "three"], k=4)).encode() for _ in range(4200)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(said)], "doc_id long, text string")
+    fitted = lm_score.fitted
+    monkeypatch.setattr(lm_score, "fitted", lambda train, told, code: asked.append((fitted(train, told, code), code.value)) or asked[-1][0])
+    lm_score.lm_score(df)
+    (sums, code), train = asked[0], [t for i, t in enumerate(said) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(train) > 3500 and sums.seen == lm.decisions(code, lm.Batch(train))[0].sum()
+
+
 def _tail(mixer, text):
     """Log-probability of the end after text."""
     batch = lm.Batch([text])
