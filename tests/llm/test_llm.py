@@ -201,6 +201,27 @@ def test_leaks(spark, docs, texts, odd, none):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def _planted(bench, hosts, times, least=0, most=10**9):
+    """Items with a fifth of their words replaced, between words that no item has: rows, and the (doc_id, item_id) that count as leaks."""
+    r, rows, want = random.Random(11), [], set()
+    for i, ws in sorted((x["item_id"], decontaminate.words_of(x["text"])) for x in bench.collect()):
+        for _ in range(times if least <= len(ws) <= most else 0):
+            host, (a, b) = r.choice(hosts), ([b"zz%d" % r.randrange(9999) for _ in range(30)] for _ in range(2))
+            text = b" ".join([*host[:40], *a, *(w if r.random() > 0.2 else b"qq%d" % r.randrange(9999) for w in ws), *b, *host[40:80]]).decode()
+            rows.append((10_000_000 + len(rows), text))
+            got = decontaminate.words_of(text)
+            if decontaminate.lcs(ws, got) >= decontaminate.LCS * len(ws) and decontaminate.lcs(ws[-5:], got) >= decontaminate.ANSWER * len(ws[-5:]):
+                want.add((rows[-1][0], i))
+    return rows, want
+
+
+def test_short_paraphrased_leaks(spark, docs, texts):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    rows, want = _planted(bench, [decontaminate.words_of(t) for _, t in sorted(texts.items())], 16, most=20)
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    assert len(want) > 50 and len(want - got) <= 0.015 * len(want), (len(want - got), len(want))
+
+
 # Near duplicates.
 
 
