@@ -14,9 +14,15 @@ from riskweave.llm.toxicity import keep_clean
 from riskweave.ship import ship
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows whose id is among those dropped; rows without an id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row in a column __row, in the order of the ids, null ids last; equal rows have their own."""
+    return materialise(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(text_of(), 256)).withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Numbered rows less those whose numbers are among the dropped; rows that share an id, or have none, are told apart."""
+    gone = dropped.select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(gone, "__row", "left_anti").drop("__row")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +40,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8), the row with the smallest id stays."""
-    return _without(docs, near_dedup(docs).filter("not kept"))
+    rows = _numbered(docs)
+    return _without(rows, near_dedup(rows, doc_id="__row").filter("not kept"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows = _numbered(docs)
+    return _without(rows, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="__row"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,17 @@ def test_all_that_is_left_is_packed(spark, kept):
     assert {r["doc_id"] for r in P.STAGES[-1][1](spark, kept[4], SMALL).collect()} == _ids(kept[4])
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_told_apart(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").head()["text"]
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, item), (None, "a clean text"), (1, item), (1, "another clean text"), (2, long), (2, "a third clean text"), (3, long + " end"), (None, long + " stop")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(r["text"] for r in P.near_stage(spark, docs, SMALL).collect())
+    assert left == sorted([item, "a clean text", "another clean text", long, "a third clean text"])  # of the item's two rows one goes
+    clean = sorted(r["text"] for r in P.benchmark_stage(spark, docs, SMALL).collect())
+    assert clean == sorted(t for _, t in rows if t != item)
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "x y", "en", None, 3), (2, "x y", "en", None, 3), (3, "x y", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
