@@ -222,6 +222,17 @@ def test_short_paraphrased_leaks(spark, docs, texts):
     assert len(want) > 50 and len(want - got) <= 0.015 * len(want), (len(want - got), len(want))
 
 
+def test_leaks_where_the_latent_space_is_fitted_on_a_sample(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    hosts = [decontaminate.words_of(x["text"]) for x in docs.filter("text is not null").orderBy("doc_id").limit(400).collect()]
+    rows, want = _planted(bench, hosts, 4)
+    df = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert df.count() > 2 * decontaminate.FIT_DOCS
+    missed = want - {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(df, bench).collect()}
+    assert len(want) > 600 and len(missed) <= 0.015 * len(want), (len(missed), len(want))
+
+
 # Near duplicates.
 
 
