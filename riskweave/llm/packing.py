@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,51 +9,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialise, text_of
 
 WINDOW = 1024
-#: Documents planned together, and triples enumerated for each length.
-PLAN_DOCS, TRIPLES = 8192, 6
+#: Remainders planned together, and triples enumerated for each length.
+PLAN_DOCS, TRIPLES = 2048, 6
 END = 0
 
 
-def tokenizer(path: str | None = None):
-    """The byte-level vocabulary as ranks; by default the installed public file (ids equal those of its JSON form)."""
+def tokenizer(path: str | None = None, added: str | None = None):
+    """The byte-level vocabulary as ranks, with the added tokens of its JSON form; by default the installed public files."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(added or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as form:
+        special = {t["content"]: t["id"] for t in json.load(form)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 _TOKENIZERS: dict = {}
 
 
-def encoder(path: str | None = None):
-    """One tokenizer for each worker process and vocabulary."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = tokenizer(path)
-    return _TOKENIZERS[path].encode_ordinary
+def encoder(path: str | None = None, added: str | None = None):
+    """text -> ids; one tokenizer for each worker process and vocabulary. An added token's text in a document is that token."""
+    if (path, added) not in _TOKENIZERS:
+        _TOKENIZERS[path, added] = tokenizer(path, added)
+    own = _TOKENIZERS[path, added]
+    special, plain = tuple(own.special_tokens_set), own.encode_ordinary
+    return lambda text: own.encode(text, allowed_special="all") if any(s in text for s in special) else plain(text)
 
 
-def _width(path: str | None) -> str:
+def _width(path: str | None, added: str | None) -> str:
     """Bytes of an id between tasks: two where the vocabulary fits."""
-    encoder(path)
-    return "<u2" if _TOKENIZERS[path].n_vocab <= 1 << 16 else "<u4"
+    encoder(path, added)
+    return "<u2" if _TOKENIZERS[path, added].n_vocab <= 1 << 16 else "<u4"
 
 
-def _encode(path: str | None, plans: int):
+def _encode(path: str | None, added: str | None, window: int):
+    """Each document as its whole windows and what is left over (marked whole = false, one for each document that has any)."""
+
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_ids, kind = encoder(path), _width(path)
+        to_ids, kind = encoder(path, added), _width(path, added)
         for frame in frames:
             rows = []
             for doc_id, body in frame[["doc_id", "body"]].itertuples(index=False):
                 ids = np.array([*to_ids(body), END], kind)
-                rows.append((doc_id, ids.tobytes(), zlib.crc32(f"{doc_id}:{len(ids)}".encode()) % plans))
-            yield pd.DataFrame(rows, columns=["doc_id", "ids", "plan"]).astype({"doc_id": frame["doc_id"].dtype})
+                whole = len(ids) // window * window
+                rows += [(doc_id, at, ids[at : at + window].astype("<u4").tobytes(), len(ids), True) for at in range(0, whole, window)]
+                if whole < len(ids):
+                    rows.append((doc_id, whole, ids[whole:].tobytes(), len(ids), False))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "ids", "doc_tokens", "whole"]).astype({"doc_id": frame["doc_id"].dtype, "whole": bool, "start": "int64", "doc_tokens": "int64"})
 
     return encode
 
@@ -121,47 +130,42 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int,
     return sequences
 
 
-def _place(path: str | None, window: int):
-    def place(docs: pd.DataFrame) -> pd.DataFrame:
-        kind = _width(path)
-        docs = docs.assign(size=docs["ids"].map(len)).sort_values(["size", "doc_id"], ignore_index=True)
-        all_ids = [np.frombuffer(t, kind).astype("<u4") for t in docs["ids"]]
-        whole = [len(x) // window * window for x in all_ids]
-        first = int(docs["plan"].iloc[0]) << 32
-        ids, rows = docs["doc_id"].tolist(), []
-
-        def piece(item: int, start: int, n: int, offset: int) -> None:
-            rows.append((ids[item], start, n, all_ids[item][start : start + n].tobytes(), len(all_ids[item]), first, offset))
-
-        for sequence in plan(np.array([len(x) - w for x, w in zip(all_ids, whole, strict=True)], np.int64), window):
+def _place(kind: str, window: int):
+    def place(rest: pd.DataFrame) -> pd.DataFrame:
+        rest = rest.assign(size=rest["ids"].map(len)).sort_values(["size", "row"], ignore_index=True)
+        ids, starts, totals = rest["doc_id"].tolist(), rest["start"].tolist(), rest["doc_tokens"].tolist()
+        parts, rows, first = [np.frombuffer(t, kind).astype("<u4") for t in rest["ids"]], [], int(rest["plan"].iloc[0]) << 32
+        for nth, sequence in enumerate(plan(np.array([len(x) for x in parts], np.int64), window)):
             offset = 0
             for item, start, n in sequence:
-                piece(item, whole[item] + start, n, offset)
+                rows.append((ids[item], starts[item] + start, n, parts[item][start : start + n].tobytes(), totals[item], first + nth, offset))
                 offset += n
-            first += 1
-        for item, end in enumerate(whole):
-            for start in range(0, end, window):
-                piece(item, start, window, 0)
-                first += 1
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": docs["doc_id"].dtype})
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": rest["doc_id"].dtype})
 
     return place
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", plan_docs: int = PLAN_DOCS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, added: str | None = None, doc_id: str = "doc_id", text: str = "text", plan_docs: int = PLAN_DOCS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian, four bytes each), doc_tokens, sequence_id, offset.
 
-    A document is the ids of its text and an end id. Whole windows of it are sequences of their own; what is left over
-    (under one window) is planned with some thousands of others: combinations of two or three lengths that fill the
+    A document is the ids of its text and an end id; the text of an added token (of the JSON form `added`) is that token.
+    Whole windows of a document are sequences of their own, wherever they were made (negative sequence ids). What is left
+    over, under one window, is planned with some thousands of others: combinations of two or three lengths that fill the
     window get repeat counts by non-negative least squares against the histogram of lengths, counts are rounded, and
     the residue is packed greedily by best fit, cutting a piece only where none fits. At most the last sequence of a
-    plan isn't full. Documents are dealt to plans by a hash of id and length, so memory is bounded.
+    plan isn't full. Remainders are dealt to plans by their place in the written table, so that a plan holds about
+    plan_docs * window ids at most, whatever ids or texts repeat.
 
     Null text is empty: one end id. Null ids are kept as null. Repeated rows are packed as often as they occur. An empty
     table gives an empty result. Other columns play no part.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    plans = max(1, -(-docs.count() // plan_docs))
-    encoded = slim.mapInPandas(_encode(vocabulary, plans), "doc_id long, ids binary, plan int")
+    kinds = "doc_id long, start long, ids binary, doc_tokens long, whole boolean"
+    encoded = materialise(slim.mapInPandas(_encode(vocabulary, added, window), kinds), "pack-ids").withColumn("row", F.monotonically_increasing_id())
+    rest = encoded.filter("not whole")
+    plans = max(1, -(-rest.count() // plan_docs))
+    dealt = rest.withColumn("plan", F.pmod(F.xxhash64("row"), F.lit(plans)))
     pieces = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return encoded.groupBy("plan").applyInPandas(_place(vocabulary, window), pieces)
+    planned = dealt.groupBy("plan").applyInPandas(_place(_width(vocabulary, added), window), pieces)
+    alone = encoded.filter("whole").select("doc_id", "start", F.lit(window).cast("long").alias("length"), "ids", "doc_tokens", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return planned.unionByName(alone)

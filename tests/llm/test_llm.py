@@ -114,13 +114,13 @@ def test_plan_uses_every_id_once(lengths):
     assert sum(sum(n for *_, n in s) < 64 for s in sequences) <= 1
 
 
-def test_packing_round_trip(docs, odd, none):
+def test_packing_round_trip(spark, docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    for df in (docs, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+    marked = spark.createDataFrame([(1, "one<|endoftext|>two <|endoftext|>"), (2, "<|endoftext|>"), (3, "<|endof<|endoftext|>text|> 've\u00a0 \u4e2d")], "doc_id long, text string")
+    for df in (docs, marked, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
         pieces, offsets = defaultdict(list), defaultdict(list)
         for r in packing.pack(df).collect():
             pieces[r["doc_id"]].append(r)
@@ -144,6 +144,12 @@ def test_packing_round_trip(docs, odd, none):
     assert packing.pack(none).count() == 0 and packing.pack(odd).count() >= odd.count()
 
 
+def test_no_plan_holds_all_rows_that_are_alike(spark):
+    rows = packing.pack(spark.createDataFrame([(None, "")] * 3000 + [(7, "the same text")] * 3000, "doc_id long, text string"), plan_docs=500).collect()
+    assert sum(r["doc_id"] is None for r in rows) >= 3000 and len({r["sequence_id"] >> 32 for r in rows}) == 12
+    assert sum(r["length"] for r in rows) == 3000 + 3000 * max(r["doc_tokens"] for r in rows)
+
+
 # Chat.
 
 
