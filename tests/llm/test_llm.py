@@ -228,6 +228,32 @@ def test_short_paraphrased_leaks(spark, docs, texts):
     assert len(want) > 50 and len(want - got) <= 0.015 * len(want), (len(want - got), len(want))
 
 
+def test_leaks_against_a_search_of_every_passage(spark, docs, texts):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items = [(x["item_id"], decontaminate.words_of(x["text"])) for x in bench.collect()]
+    rows, _ = _planted(bench, [decontaminate.words_of(t) for _, t in sorted(texts.items())], 2)
+    want = set()
+    for i, text in [*texts.items(), *rows]:
+        ws = decontaminate.words_of(text)
+        for k, item in items:
+            m, bag = len(item), set(item)
+            for scale in decontaminate.SCALES:
+                for a in range(0, max(1, len(ws) - scale // 2), scale // 2):
+                    region = ws[max(0, a - m) : a + scale + m]
+                    if (i, k) not in want and len(bag.intersection(region)) >= decontaminate.LCS * m - (m - len(bag)) and decontaminate.lcs(item, region) >= decontaminate.LCS * m and decontaminate.lcs(item[-5:], region) >= decontaminate.ANSWER * len(item[-5:]):
+                        want.add((i, k))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 50
+
+
+def test_odd_items(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    df = spark.createDataFrame([(1, "some " * 20 + text), (None, text), (3, None), (4, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, text, "x"), (2, text, "x"), (2, text, "x"), (None, text, "x"), (5, None, "x"), (6, "", "x"), (7, "one", "x")], "item_id long, text string, doc_id string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()), key=str)
+    assert got == sorted([(d, i) for d in (1, None) for i in (1, 2, None)], key=str)
+
+
 def test_leaks_where_the_latent_space_is_fitted_on_a_sample(spark):
     bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
