@@ -1,44 +1,47 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its UTF-8 bytes and an end mark, and each byte a run of yes-no decisions: its Huffman code among the bytes that
-follow the two before it. For each decision several predictors (the code's own node; hashed contexts: the last bytes, the word so
-far) give a probability from exact counts over all training documents (Counts); their logits are mixed with weights that a gate selects,
-which minimise a sum of quadratics (Fit) and are refined further while a document is read. The sum over all decisions is the
-logarithm of the text's probability.
+A text is a run of words and an end. The model codes it by yes-no decisions, in two steps.
+
+Recall: where the last two words (or the last one) stood together earlier in the document, is the word that followed then said
+again? Predictors are how often that came true so far in this document; the gate is how much context agreed and how often in
+a row it came true. Weights are fitted on all training documents and refined further while a document is read.
+
+Spelling: a word that isn't recalled is its bytes and an end mark, and each byte a run of decisions: its Huffman code among the bytes that
+follow the two before it. For each decision several predictors (the code's own node; hashed contexts: the last three bytes, the last five, the word
+so far, each with the document's class) give a probability from exact counts over all training documents; their logits are mixed with weights that a
+gate selects by what each context has seen. The class is the group of short words that the document has had most of so far (Classes); short
+words that share documents are a group, so classes are languages, mostly. A word's spelling costs the same wherever it stands in a
+class, so it is worked out once for each word and class.
+
+The sum over all decisions is the logarithm of the text's probability.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
 
 import numpy as np
+import xxhash
 
-from .common import mix
+from .common import M1, M2, mix
 
-#: Slots of a hashed-context table (a power of two), and the largest count kept.
-SLOT_BITS, TOP = 22, 255
-SLOTS = 1 << SLOT_BITS
-#: Bytes that hashed contexts look back; one more is the word so far, up to eight bytes.
-ORDERS = (4, 6)
+#: Bytes that hashed contexts look back (within a word); one more is the word so far, up to eight bytes.
+ORDERS = (3, 5)
 CONTEXTS = len(ORDERS) + 1
-#: A document is read in segments of so many bytes at most; contexts start afresh in each.
-SEGMENT = 1 << 18
-#: Two-byte contexts that have a code of their own (the most frequent); the others share the code of their last byte.
-OWN_CODES = 1024
-#: Ends of the stretches of a document, in decisions, after each of which its own weights are refined.
-STRETCHES = (1024, 4096, 16384, 65536, 262144)
+#: Stretches of a document, in recall decisions, after each of which its own weights are refined; each is four times as long.
+FIRST_STRETCH = 64
 #: Of a step's full length, and what is added to the curvature (as if so much had been seen).
 RATE, PRIOR = 0.3, 60.0
-END = 255
-_N = np.arange(TOP + 1, dtype=np.float32)
-#: The logit of a predictor that has seen n0 noes and n1 yeses, at index n0 * 256 + n1; 0 for none.
-LOGITS = np.log((_N[None, :] + 0.3) / (_N[:, None] + 0.3)).astype(np.float32).ravel()
-#: How much a predictor has seen (0: nothing), and whether all of it was alike; the gate has this of every hashed context.
-_SEEN = np.digitize(_N[None, :] + _N[:, None], [1, 2, 4, 16])
-LEVELS = (_SEEN + 5 * ((_N[None, :] > 0) & (_N[:, None] > 0))).astype(np.int8).ravel()
-N_LEVELS = 10
+#: How much a predictor has seen (0: nothing), and whether all of it was alike.
+SEEN, N_LEVELS = (1, 2, 4, 16), 10
 GATES = N_LEVELS**CONTEXTS
+#: Weights before anything is seen.
+SPELL_START = np.full(CONTEXTS + 1, 0.4)
+RECALL_START = np.array([0.0, 1.0])
+#: Classes of documents by their short words (up to so many bytes, in so many hash buckets); one more is for documents without any.
+CLASSES, SHORT, BUCKETS = 8, 3, 256
+STREAKS = (1, 2, 4, 16)
+RECALL_GATES = 2 * (len(STREAKS) + 1)
 
 
 def _huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], int, list[float]]:
@@ -58,236 +61,158 @@ def _huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], int, list
 
 
 class Code:
-    """Codes of bytes in context: row (a context) and byte give depth decisions from at, with nodes and bits."""
+    """Codes of bytes in context: a byte's path of decisions, node by node."""
 
     def __init__(self, counts: dict[int, dict[int, int]], singles: np.ndarray):
-        """counts: previous two bytes -> byte -> count, of the contexts with own codes; singles: (256, 256), last byte and byte."""
+        """counts: previous two bytes -> byte -> count, of all such contexts; singles: (256, 256), last byte and byte.
+
+        A context's own code has the bytes seen after it and a way out, which the code of its last byte follows.
+        """
+        n = 256 + len(counts)
         self.row = np.repeat(np.arange(256, dtype=np.intp)[None, :], 256, 0).ravel()  # by (last but one, last)
-        self.at, self.depth = (np.zeros((256 + len(counts), 256), np.int32) for _ in range(2))
-        nodes, bits, logits, shared = [], [], [], []
+        self.at, self.depth = np.zeros((n, 257), np.int32), np.zeros((n, 257), np.int16)  # place 256: the way out
+        nodes, bits, logits = [], [], []
 
-        def put(row: int, byte: int, path: list[tuple[int, int]]) -> None:
-            self.at[row, byte], self.depth[row, byte] = len(nodes), len(path)
-            nodes.extend(p[0] for p in path)
-            bits.extend(p[1] for p in path)
+        def put(row: int, places: list[int], weights: list[int]) -> None:
+            paths, _, yes = _huffman(weights)
+            for place, path in zip(places, paths, strict=True):
+                self.at[row, place], self.depth[row, place] = len(nodes), len(path)
+                nodes.extend(len(logits) + k for k, _ in path)
+                bits.extend(bit for _, bit in path)
+            logits.extend(yes)
 
         for last in range(256):
-            paths, n, yes = _huffman([int(c) * 16 + 1 for c in singles[last]])
-            paths = [[(len(logits) + k, bit) for k, bit in p] for p in paths]
-            for byte, path in enumerate(paths):
-                put(last, byte, path)
-            logits += yes
-            shared.append(paths)
+            put(last, list(range(256)), [int(c) * 16 + 1 for c in singles[last]])
         for row, (pair, follow) in enumerate(sorted(counts.items()), 256):
             self.row[pair] = row
-            own = sorted(follow)
-            paths, n, yes = _huffman([*(16 * follow[b] for b in own), 8 * len(own)])
-            paths = [[(len(logits) + k, bit) for k, bit in p] for p in paths]
-            logits += yes
-            known = dict(zip(own, paths, strict=False))
-            for byte in range(256):
-                put(row, byte, known[byte] if byte in known else paths[-1] + shared[pair & 255][byte])
+            put(row, [*sorted(follow), 256], [*(16 * follow[b] for b in sorted(follow)), 8 * len(follow)])
         self.nodes, self.bits = np.array(nodes, np.int32), np.array(bits, np.uint8)
         p = np.clip(np.array(logits, np.float64), 1e-7, 1 - 1e-7)
         self.logits = np.log(p / (1 - p)).astype(np.float32)
 
+    def spell(self, pairs: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many decisions each byte takes after its pair, then their nodes and bits, one after another."""
+        own, byte = self.row.take(pairs), byte.astype(np.intp)
+        way = np.where(self.depth[own, byte] > 0, byte, 256)
+        rest = np.where(way == 256, self.depth[pairs & 255, byte], 0)
+        n = np.stack([self.depth[own, way], rest], 1).astype(np.intp).ravel()
+        at = np.stack([self.at[own, way], self.at[pairs & 255, byte]], 1).astype(np.intp).ravel()
+        places = np.repeat(at - np.cumsum(n) + n, n)
+        places += np.arange(len(places), dtype=np.intp)
+        return n.reshape(-1, 2).sum(1), self.nodes.take(places), self.bits.take(places)
+
+
+def bucket(word: bytes) -> int:
+    """The bucket of a short word; one beyond the last for other words."""
+    return xxhash.xxh32_intdigest(word) % BUCKETS if 0 < len(word) <= SHORT else BUCKETS
+
+
+def together(texts: list[bytes]) -> np.ndarray:
+    """In how many of the texts each two buckets of short words occur; the last is for no bucket, which all texts have."""
+    x = np.zeros((len(texts), BUCKETS + 1), np.float32)
+    x[:, BUCKETS] = 1
+    for row, t in zip(x, texts, strict=True):
+        row[[bucket(w) for w in set(t.split()) if len(w) <= SHORT]] = 1
+    return (x.T @ x).astype(np.float64)
+
+
+def groups(both: np.ndarray) -> np.ndarray:
+    """The group of each bucket from together(), by spectral clustering of how much likelier two are in one document; and of no bucket."""
+    alone, all_texts = np.diag(both)[:BUCKETS], both[BUCKETS, BUCKETS]
+    have = np.flatnonzero(alone)
+    out = np.full(BUCKETS + 1, CLASSES, np.int64)
+    if not len(have):
+        return out
+    with np.errstate(divide="ignore"):
+        near = np.maximum(0, np.log(both[np.ix_(have, have)] * all_texts / np.outer(alone[have], alone[have])))
+    near = np.nan_to_num(near, neginf=0.0, posinf=0.0) * np.sqrt(np.outer(alone[have], alone[have]))
+    size = np.sqrt(np.maximum(near.sum(1), 1e-9))
+    _, axes = np.linalg.eigh(near / np.outer(size, size))
+    at = axes[:, -CLASSES:]
+    at = at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-9)
+    centres = at[[int(np.argmax(alone[have]))]]
+    while len(centres) < min(CLASSES, len(have)):  # the next is the heaviest far from all so far
+        far = (1 - (at @ centres.T).max(1)) * alone[have]
+        centres = np.concatenate([centres, at[[int(np.argmax(far))]]])
+    for _ in range(20):
+        own = np.argmax(at @ centres.T, 1)
+        for k in range(len(centres)):
+            if (own == k).any():
+                middle = (at[own == k] * alone[have][own == k, None]).sum(0)
+                centres[k] = middle / max(1e-9, float(np.linalg.norm(middle)))
+    out[have] = np.argmax(at @ centres.T, 1)
+    return out
+
+
+def classes(group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The class of a document just before each token, from the group of each token (CLASSES for none) and tokens in each document."""
+    most, out = np.zeros(len(group), np.int32), np.full(len(group), CLASSES, np.int64)
+    begun = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    for k in range(CLASSES):
+        had = np.concatenate([[0], np.cumsum(group == k, dtype=np.int32)])
+        n = had[:-1] - had[begun]
+        out[n > most] = k
+        most = np.maximum(most, n)
+    return out
+
 
 class Batch:
-    """Texts side by side: bytes with end marks, and what precedes each byte."""
-
-    def __init__(self, texts: list[bytes]):
-        texts = [t + b"\xff" for t in texts]
-        parts = [[t[i : i + SEGMENT] for i in range(0, len(t), SEGMENT)] for t in texts]
-        self.owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        self.sizes = np.array([len(x) for p in parts for x in p], np.int64)
-        self.bytes = joined = np.frombuffer(b"".join(texts), np.uint8)
+    """Words side by side: bytes with end marks, and what precedes each byte in its word. of: the class each word stands in."""
+
+    def __init__(self, words: list[bytes], of: np.ndarray):
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.bytes = joined = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8) if words else np.empty(0, np.uint8)
         w = np.zeros(len(joined), np.uint64)  # the eight bytes before, the last one lowest
         w[1:] = joined[:-1]
         for step in (1, 2, 4):
             w[step:] |= w[:-step] << np.uint64(8 * step)
-        at = np.arange(len(joined), dtype=np.int32)
-        ends = np.cumsum(self.sizes)
-        first = np.zeros(len(joined), bool)
-        first[ends - self.sizes] = True
-        since = at - np.maximum.accumulate(np.where(first, at, 0))
+        begun = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        since = np.minimum(np.arange(len(joined)) - begun, 8)
         low = np.array([0, *(256**k - 1 for k in range(1, 8)), 2**64 - 1], np.uint64)
-        w &= low[np.minimum(since, 8)]
+        w &= low[since]
         self.pair = (w & np.uint64(0xFFFF)).astype(np.intp)
-        self._before, self._first, self._low = w, first, low
-
-    @functools.cached_property
-    def contexts(self) -> list[np.ndarray]:
-        """Hashes of what precedes each byte: the last bytes, and the word so far."""
-        w, low, at = self._before, self._low, np.arange(len(self.bytes), dtype=np.int32)
-        white = np.zeros(256, bool)
-        white[[9, 10, 11, 12, 13, 32]] = True
-        begun = np.maximum.accumulate(np.where(white[self.bytes] | self._first, at, 0))
-        begun[1:] = begun[:-1]
-        word = w & low[np.clip(at - begun, 0, 8)]
-        return [*(_fold((w & low[k]) + np.uint64(k)) for k in ORDERS), _fold(word + np.uint64(1) << np.uint64(3))]
-
-
-    @functools.cached_property
-    def keys(self) -> list[np.ndarray]:
-        """For each kind of context, 48 bits for what precedes a byte (its last two bytes belong to it), then the byte."""
-        w, low, at = self._before, self._low, np.arange(len(self.bytes), dtype=np.int32)
-        white = np.zeros(256, bool)
-        white[[9, 10, 11, 12, 13, 32]] = True
-        begun = np.maximum.accumulate(np.where(white[self.bytes] | self._first, at, 0))
-        begun[1:] = begun[:-1]
-        word = mix((w & low[np.clip(at - begun, 0, 8)]) + np.uint64(1)) + self.pair.astype(np.uint64)
-        kinds = [*((w & low[k]) + np.uint64(k << 56) for k in ORDERS), word]
-        return [(mix(x) >> np.uint64(16) << np.uint64(8) | self.bytes).astype(np.int64) for x in kinds]
-
-
-def _fold(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(32)).astype(np.uint32)
-
-
-def decisions(code: Code, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Decisions of each byte, and their nodes and bits."""
-    at = code.row.take(batch.pair) * 256 + batch.bytes
-    n = code.depth.ravel().take(at)
-    ends = np.cumsum(n, dtype=np.intp)
-    places = np.repeat(code.at.ravel().take(at) - ends + n, n)
-    places += np.arange(len(places), dtype=np.intp)
-    return n, code.nodes.take(places), code.bits.take(places)
-
-
-def slots(batch: Batch, n: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
-    mixed = nodes.astype(np.uint32)
-    mixed *= np.uint32(0xC2B2AE35)
-    out = []
-    for c in batch.contexts:
-        h = np.repeat(c, n)
-        h ^= mixed
-        h *= np.uint32(0x27D4EB2F)
-        h >>= np.uint32(32 - SLOT_BITS)
-        out.append(h)
+        own = np.repeat(mix(of.astype(np.uint64) + M2), self.sizes)
+        with np.errstate(over="ignore"):
+            kinds = [own ^ mix((w & low[k]) + np.minimum(since, k).astype(np.uint64) * M2 + M1 * np.uint64(k)) for k in (*ORDERS, 8)]
+        #: For each kind of context 48 bits for what precedes a byte, then the byte.
+        self.keys = [(mix(x) >> np.uint64(16) << np.uint64(8) | joined).astype(np.int64) for x in kinds]
+
+
+def tally(batch: Batch, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of context the distinct keys of a batch, sorted, and how often they occur if each word does so many times."""
+    times, out = np.repeat(times, batch.sizes), []
+    for keys in batch.keys:
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.intp)
+        out.append((keys[new], np.add.reduceat(times[order], new) if len(new) else np.empty(0, np.int64)))
     return out
 
 
-def add_counts(tables: np.ndarray, code: Code, batch: Batch) -> None:
-    """tables: (CONTEXTS, 2 * SLOTS) of counts, noes and yeses of a slot side by side."""
-    n, nodes, bits = decisions(code, batch)
-    for table, at in zip(tables, slots(batch, n, nodes), strict=True):
-        at <<= np.uint32(1)
-        at |= bits
-        np.add.at(table, at.astype(np.intp), table.dtype.type(1))
-
-
-def squeeze(table: np.ndarray) -> np.ndarray:
-    """One table's counts as one number for each slot; large pairs are scaled down together."""
-    pair = table.reshape(-1, 2).astype(np.float32)
-    most = pair.max(1, keepdims=True)
-    pair = np.where(most > TOP, np.ceil(pair * (TOP / np.maximum(most, 1))), pair).astype(np.uint16)
-    return pair[:, 0] * np.uint16(256) + pair[:, 1]
-
-
-class Mixer:
-    """Scores batches of documents with fixed tables; weights: (GATES, CONTEXTS + 1)."""
-
-    def __init__(self, code: Code, tables: list[np.ndarray], weights: np.ndarray | None = None):
-        self.code, self.tables = code, tables
-        self.weights = np.full((GATES, CONTEXTS + 1), 0.4, np.float32) if weights is None else weights
-
-    def inputs(self, batch: Batch, leave_out: bool = False):
-        """Decisions of each byte, bits, logits of each predictor, gates. leave_out: a decision's own count is taken off."""
-        n, nodes, bits = decisions(self.code, batch)
-        logits, gate = [self.code.logits.take(nodes)], np.int16(0)
-        for table, at in zip(self.tables, slots(batch, n, nodes), strict=True):
-            seen = table.take(at.astype(np.intp))
-            if leave_out:
-                has = np.where(bits == 1, seen & np.uint16(255), seen >> np.uint16(8)) > 0
-                seen = seen - np.where(has, np.where(bits == 1, np.uint16(1), np.uint16(256)), np.uint16(0))
-            seen = seen.astype(np.intp)
-            logits.append(LOGITS.take(seen))
-            gate = gate * np.int16(N_LEVELS) + LEVELS.take(seen)
-        return n, bits, logits, gate
-
-    def fit(self, batch: Batch, rate: float = 0.25, block: int = 8192) -> None:
-        """Online steps on training documents, block by block: the gradient over the curvature, weight by weight."""
-        _, bits, logits, gate = self.inputs(batch, True)
-        for a in range(0, len(bits), block):
-            s, g, b = [x[a : a + block] for x in logits], gate[a : a + block], bits[a : a + block]
-            z = sum(x * self.weights[g, k] for k, x in enumerate(s))
-            p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-            for k, x in enumerate(s):
-                slope = np.bincount(g, weights=(b - p) * x, minlength=GATES)
-                self.weights[:, k] += rate * slope / (np.bincount(g, weights=x * x * p * (1 - p), minlength=GATES) + PRIOR)
-
-    def score(self, batch: Batch) -> np.ndarray:
-        """Natural-log probability of each text of a batch."""
-        ends, sizes = np.cumsum(batch.sizes), batch.sizes
-        n, bits, logits, gate = self.inputs(batch)
-        total = np.concatenate([[0], np.cumsum(n)])
-        begin, end = total[ends - sizes], total[ends]
-        gate = gate.astype(np.intp)
-        z = sum(x * np.ascontiguousarray(self.weights[:, k]).take(gate) for k, x in enumerate(logits))
-        side = bits.astype(np.float32)
-        side *= 2
-        side -= 1
-        out, own = np.zeros(len(sizes)), np.zeros((len(logits), len(sizes)), np.float32)
-        low = 0
-        for high in (*STRETCHES, None):
-            a, b = np.minimum(begin + low, end), end if high is None else np.minimum(begin + high, end)
-            live = np.flatnonzero(b > a)
-            if not len(live):
-                break
-            size = (b - a)[live]
-            cuts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            at = np.repeat(a[live] - cuts, size)
-            at += np.arange(len(at))
-            zz, s = z.take(at), [x.take(at) for x in logits]
-            if low:
-                for k, x in enumerate(s):
-                    zz += x * np.repeat(own[k][live], size)
-            sign = side.take(at)
-            q = 1 / (1 + np.exp(np.clip(zz * sign, -30, 30)))  # probability of what did not happen
-            out[live] += np.add.reduceat(np.log1p(-np.minimum(q, np.float32(0.999999))), cuts, dtype=np.float64)
-            err, bend = q * sign, q * (1 - q)
-            for k, x in enumerate(s):
-                own[k][live] += RATE * np.add.reduceat(err * x, cuts) / (np.add.reduceat(bend * x * x, cuts) + PRIOR)
-            low = high
-        return np.bincount(batch.owner, weights=out, minlength=batch.owner[-1] + 1)
-
-
 class Counts:
-    """What all training documents did after the contexts of a chunk, for one kind of context; exact, whatever their number.
+    """What all training documents did after the contexts of a batch, for one kind of context; exact, whatever their number.
 
-    here: keys of the chunk's bytes (Batch.keys), pairs: the two bytes before each; keys (distinct, sorted) and counts: every byte
-    that training documents have after these contexts, and how often. Decisions of a byte are at from first[of[i]] on.
+    keys (distinct, sorted) and counts: every byte that training documents have after these contexts, and how often. n0 and n1
+    are the noes and yeses at every decision of the batch, the word's own occurrence taken off with leave_out.
     """
 
     def __init__(self, code: Code, here: np.ndarray, pairs: np.ndarray, keys: np.ndarray, counts: np.ndarray, leave_out: bool = False):
-        order = np.argsort(here)
-        ranked = here[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        self.of = np.empty(len(here), np.int32)
-        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
-        own, rows = ranked[new], code.row.take(pairs[order[new]])
-        del order, ranked, new
-        context = own >> 8
-        number = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
-        at = np.minimum(np.searchsorted(context, keys >> 8), len(context) - 1)
-        known = context[at] == keys >> 8
-        at, keys, counts = at[known], keys[known], counts[known]
-        nodes, bits, n = _spelt(code, rows[at], keys & 255)
-        nodes += np.repeat(number[at] << 20, n)
-        counts = np.repeat(counts, n)
+        context, first, of = np.unique(here >> 8, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(context, keys >> 8), max(0, len(context) - 1))
+        told = context[at] == keys >> 8 if len(context) else np.zeros(len(keys), bool)
+        at, keys, counts = at[told], keys[told], counts[told]
+        n, nodes, bits = code.spell(pairs[first[at]], keys & 255)
+        nodes, counts = nodes + np.repeat(at << 24, n), np.repeat(counts, n)
         order = np.argsort(nodes)
         nodes, bits, counts = nodes[order], bits[order], counts[order]
         new = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.intp)
-        self.nodes = nodes[new]
         yes, both = (np.add.reduceat(c, new) if len(new) else np.empty(0, np.int64) for c in (counts * bits, counts))
-        del order, counts, new
-        asked, bits, n = _spelt(code, rows, own & 255)
-        asked += np.repeat(number << 20, n)
-        self.first = (np.cumsum(n) - n).astype(np.int32)
-        if len(self.nodes):
-            at = np.minimum(np.searchsorted(self.nodes, asked), len(self.nodes) - 1)
-            found = self.nodes[at] == asked
+        nodes = nodes[new]
+        n, asked, bits = code.spell(pairs, here & 255)
+        asked = asked + np.repeat(of.astype(np.int64) << 24, n)
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, asked), len(nodes) - 1)
+            found = nodes[at] == asked
             n1 = np.where(found, yes[at], 0)
             n0 = np.where(found, both[at], 0) - n1
         else:
@@ -297,66 +222,122 @@ class Counts:
             n0 -= (bits == 0) & (n0 > 0)
         self.n0, self.n1 = n0, n1
         self.logits = np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32)
-        self.levels = (np.digitize(n0 + n1, [1, 2, 4, 16]) + 5 * ((n0 > 0) & (n1 > 0))).astype(np.int8)
+        self.levels = (np.digitize(n0 + n1, SEEN) + 5 * ((n0 > 0) & (n1 > 0))).astype(np.int16)
 
 
-def _spelt(code: Code, rows: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes and bits of bytes in contexts, one after another, and how many each has."""
-    at = rows * 256 + byte
-    n = code.depth.ravel().take(at)
-    ends = np.cumsum(n, dtype=np.intp)
-    places = np.repeat(code.at.ravel().take(at) - ends + n, n)
-    places += np.arange(len(places), dtype=np.intp)
-    return code.nodes.take(places).astype(np.int64), code.bits.take(places), n
+def inputs(code: Code, batch: Batch, told: list[tuple[np.ndarray, np.ndarray]], leave_out: bool = False):
+    """Decisions of each byte, their bits, logits of each predictor, gates. told: (keys, counts) for each kind of context."""
+    n, nodes, bits = code.spell(batch.pair, batch.bytes)
+    logits, gate = [code.logits.take(nodes)], np.zeros(len(nodes), np.int16)
+    for here, (keys, counts) in zip(batch.keys, told, strict=True):
+        c = Counts(code, here, batch.pair, keys, counts, leave_out)
+        logits.append(c.logits)
+        gate = gate * np.int16(N_LEVELS) + c.levels
+    return n, bits, logits, gate
 
 
-class Exact(Mixer):
-    """A mixer over the Counts of a chunk; begin(i) says that the next batch starts at the chunk's i-th byte."""
+def spelling(batch: Batch, n: np.ndarray, bits: np.ndarray, logits: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each word of a batch."""
+    z = sum(x * weights[:, k].take(gate) for k, x in enumerate(logits))
+    z = np.clip(np.where(bits == 1, z, -z), -30, 30)
+    logs = -np.log1p(np.exp(-z))
+    ends = np.cumsum(n)[np.cumsum(batch.sizes) - 1]
+    return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])) if len(ends) else np.empty(0)
 
-    def __init__(self, code: Code, counts: list[Counts], weights: np.ndarray | None = None):
-        super().__init__(code, counts, weights)
-        self.at = 0
 
-    def begin(self, at: int) -> None:
-        self.at = at
+class Recall:
+    """Of documents side by side: the tokens whose context stood earlier in their document, and whether the same word follows.
 
-    def inputs(self, batch: Batch, leave_out: bool = False):
-        n, nodes, bits = decisions(self.code, batch)
-        ends = np.cumsum(n, dtype=np.intp)
-        logits, gate = [self.code.logits.take(nodes)], np.int16(0)
-        step = np.arange(len(nodes), dtype=np.intp)
-        for c in self.tables:
-            places = np.repeat(c.first.take(c.of[self.at : self.at + len(batch.bytes)]) - ends + n, n)
-            places += step
-            logits.append(c.logits.take(places))
-            gate = gate * np.int16(N_LEVELS) + c.levels.take(places)
-        return n, bits, logits, gate
+    tokens: numbers of words, document after document; sizes: tokens in each. Decision i is about token at[i] of document doc[i].
+    """
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray):
+        n = len(tokens)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        one, two = (np.concatenate([np.zeros(min(k, n), np.uint64), tokens[: n - k].astype(np.uint64)]) if n > k else np.zeros(n, np.uint64) for k in (1, 2))
+        one = mix(one + doc.astype(np.uint64) * M1)
+        earlier = self._earlier(mix(one + two * M2 + M1), place >= 2)
+        much = earlier >= 0
+        earlier = np.where(much, earlier, self._earlier(one, place >= 1))
+        self.at = np.flatnonzero(earlier >= 0)
+        self.doc, much = doc[self.at], much[self.at]
+        self.hit = hit = tokens[earlier[self.at]] == tokens[self.at]
+        step = np.arange(len(hit))
+        begun = np.searchsorted(self.doc, np.arange(len(sizes)))[self.doc]
+        missed = np.maximum.accumulate(np.concatenate([[-1], np.where(hit, -1, step)[:-1]])) if len(hit) else step
+        streak = step - np.maximum(missed + 1, begun)
+        self.gate = much * (len(STREAKS) + 1) + np.digitize(streak, STREAKS)
+        came = np.zeros(len(hit))
+        tried = np.zeros(len(hit))
+        for level in (False, True):
+            own = np.flatnonzero(much == level)
+            first = np.searchsorted(self.doc[own], np.arange(len(sizes)))[self.doc[own]]
+            before = np.concatenate([[0], np.cumsum(hit[own])])
+            came[own] = before[:-1] - before[first]
+            tried[own] = np.arange(len(own)) - first
+        self.inputs = [np.ones(len(hit), np.float32), np.log((came + 0.4) / (tried - came + 1.6)).astype(np.float32)]
+
+    @staticmethod
+    def _earlier(keys: np.ndarray, usable: np.ndarray) -> np.ndarray:
+        """The last token before each with the same key; -1 for none."""
+        at = np.flatnonzero(usable)
+        at = at[np.argsort(keys[at], kind="stable")]
+        out, same = np.full(len(keys), -1), keys[at[1:]] == keys[at[:-1]]
+        out[at[1:][same]] = at[:-1][same]
+        return out
+
+    def logs(self, weights: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each decision, with the document's own weights refined stretch by stretch."""
+        out, docs = np.zeros(len(self.at)), int(self.doc[-1]) + 1 if len(self.doc) else 0
+        z = sum(x * weights[:, k].take(self.gate) for k, x in enumerate(self.inputs))
+        side = np.where(self.hit, 1.0, -1.0)
+        step = np.arange(len(self.at)) - np.searchsorted(self.doc, np.arange(docs))[self.doc] if docs else self.at
+        own, low, high = np.zeros((len(self.inputs), docs)), 0, FIRST_STRETCH
+        while len(at := np.flatnonzero((step >= low) & (step < high))):
+            d = self.doc[at]
+            zz = z[at] + sum(own[k][d] * x[at] for k, x in enumerate(self.inputs))
+            q = 1 / (1 + np.exp(np.clip(zz * side[at], -30, 30)))  # probability of what did not happen
+            out[at] = np.log1p(-q)
+            for k, x in enumerate(self.inputs):
+                pull, bend = np.bincount(d, weights=q * side[at] * x[at], minlength=docs), np.bincount(d, weights=q * (1 - q) * x[at] ** 2, minlength=docs)
+                own[k] += RATE * pull / (bend + PRIOR)
+            low, high = high, high * 4
+        return out
 
 
 class Fit:
-    """Sums for the mixing weights: each gate's curvature, and curvature times weights plus gradient; sums of parts of a corpus add up."""
+    """Sums for mixing weights: each gate's curvature, and curvature times weights plus gradient; sums of parts of a corpus add up."""
 
-    def __init__(self):
-        k = CONTEXTS + 1
-        self.curve, self.pull, self.seen = np.zeros((GATES, k, k)), np.zeros((GATES, k)), 0
+    def __init__(self, gates: int, start: np.ndarray):
+        k = len(start)
+        self.start, self.curve, self.pull, self.seen = start, np.zeros((gates, k, k)), np.zeros((gates, k)), 0
 
     def weights(self) -> np.ndarray:
-        """The minimum of the quadratic that has been summed, with PRIOR towards equal weights."""
-        own = PRIOR * np.eye(CONTEXTS + 1)
-        return np.linalg.solve(self.curve + own, (self.pull + 0.4 * PRIOR)[:, :, None])[:, :, 0]
-
-    def add(self, mixer: Mixer, batch: Batch) -> None:
-        """One batch, its log-loss taken as a quadratic around the weights of what was added so far."""
-        _, bits, logits, gate = mixer.inputs(batch, True)
-        now, gate = self.weights(), gate.astype(np.intp)
-        z = sum(x * now[:, k].astype(np.float32).take(gate) for k, x in enumerate(logits))
+        """The minimum of the quadratic that has been summed, with PRIOR towards the weights at the start."""
+        return np.linalg.solve(self.curve + PRIOR * np.eye(len(self.start)), (self.pull + PRIOR * self.start)[:, :, None])[:, :, 0]
+
+    def add(self, bits: np.ndarray, logits: list[np.ndarray], gate: np.ndarray, times: np.ndarray | int = 1) -> None:
+        """Decisions, each so many times; their log-loss taken as a quadratic around the weights of what was added so far."""
+        now, gates = self.weights(), len(self.pull)
+        z = sum(x * now[:, k].take(gate) for k, x in enumerate(logits))
         p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-        err, bend = bits - p, p * (1 - p)
-        curve = np.zeros_like(self.curve)
+        err, bend, curve = (bits - p) * times, p * (1 - p) * times, np.zeros_like(self.curve)
         for i, x in enumerate(logits):
-            self.pull[:, i] += np.bincount(gate, weights=err * x, minlength=GATES)
+            self.pull[:, i] += np.bincount(gate, weights=err * x, minlength=gates)
             for j in range(i + 1):
-                curve[:, i, j] = curve[:, j, i] = np.bincount(gate, weights=bend * x * logits[j], minlength=GATES)
+                curve[:, i, j] = curve[:, j, i] = np.bincount(gate, weights=bend * x * logits[j], minlength=gates)
         self.curve += curve
         self.pull += (curve @ now[:, :, None])[:, :, 0]
-        self.seen += len(bits)
+        self.seen += int(np.sum(times) if np.ndim(times) else len(bits) * times)
+
+    def sums(self) -> bytes:
+        return np.concatenate([self.curve.ravel(), self.pull.ravel(), [self.seen]]).tobytes()
+
+    def take(self, sums: bytes) -> Fit:
+        """Adds what sums() of another gave."""
+        x, k = np.frombuffer(sums), self.curve.size
+        self.curve += x[:k].reshape(self.curve.shape)
+        self.pull += x[k:-1].reshape(self.pull.shape)
+        self.seen += int(x[-1])
+        return self

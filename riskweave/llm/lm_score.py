@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,82 +13,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lm
-from .common import WordHashes, discard, materialise, text_of, width
-from .exact_dedup import rice_decode, rice_encode
-from .substring import FULL_BITS, _edges, _unzip, _zip
+from .common import discard, materialise, text_of, width
+from .substring import _unzip, _zip
 
-#: Bytes of text handled as one chunk, and at once by the model.
-CHUNK, BATCH = 4 << 20, 100_000
-#: Bits of a context and the byte after it, and tasks that add up the sums of the partitions.
-KEY_BITS, FAN = 56, 8
+#: Bytes of text handled as one chunk, of distinct words as one piece, and of either at once by the model.
+CHUNK, PIECE, BATCH = 8 << 20, 1 << 20, 1 << 18
+#: Contexts that an owner answers for, about.
+OWNED = 4 << 20
+#: Columns with a word's count in each class.
+_N = [f"n{k}" for k in range(lm.CLASSES + 1)]
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as lower-case words with single spaces, numbered by chunk."""
-    chunk, size = TaskContext.get().partitionId() << 32, 0
-    for frame in frames:
-        said = [b" ".join(body.encode("utf-8", "surrogatepass").lower().split()) for body in frame["body"]]
-        chunks = []
-        for t in said:
-            size += len(t) + 64
-            chunks.append(chunk)
-            if size > CHUNK:
-                chunk, size = chunk + 1, 0
-        yield pd.DataFrame({"chunk": chunks, "doc_id": frame["doc_id"], "held_out": frame["held_out"], "said": said})
-
-
-def _words(owners: int):
-    """Messages of a chunk to owners of hash ranges: its distinct words, and how often its training documents have each; the end is a word."""
-
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, open_chunk, seen = WordHashes(), None, []
-
-        def messages() -> pd.DataFrame:
-            words, at = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([x[1] for x in seen])).astype(np.int64)
-            edges = _edges(words, owners, FULL_BITS)
-            rows = [(o, open_chunk, int(b - a), *rice_encode(words[a:b]), _zip(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-            return pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "counts"])
+def _numbered(size: int, column: str, number: str):
+    """Rows with a number for each run of them that has so many bytes in a column."""
 
+    def number_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, held = TaskContext.get().partitionId() << 32, 0
         for frame in frames:
-            for chunk, part in frame.groupby("chunk", sort=True):
-                if open_chunk is not None and chunk != open_chunk:
-                    yield messages()
-                    seen = []
-                open_chunk = int(chunk)
-                lists = [[*t.split(), b""] for t in part["said"]]
-                h = _word_prints(hashes, [w for ws in lists for w in ws])
-                train = np.repeat(~part["held_out"].to_numpy(bool), [len(ws) for ws in lists])
-                words, inverse = np.unique(h, return_inverse=True)
-                seen.append((words, np.bincount(inverse, weights=train)))
-        if seen:
-            yield messages()
+            runs = []
+            for n in frame[column].map(len):
+                held += n + 64
+                runs.append(run)
+                if held > size:
+                    run, held = run + 1, 0
+            yield frame.assign(**{number: runs})
 
-    return send
-
-
-def _word_prints(hashes: WordHashes, words: list[bytes]) -> np.ndarray:
-    return (hashes.of(words) >> np.uint64(64 - FULL_BITS)).astype(np.int64)
+    return number_runs
 
 
-def _decode(messages: pd.DataFrame, blob: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(rice_decode(n, k, u, r), _unzip(b)) for n, k, u, r, b in messages[["n", "k", "unary", "rest", blob]].itertuples(index=False)]
-
-
-def _total(messages: pd.DataFrame) -> pd.DataFrame:
-    """Answers each message with its words' counts over all chunks; a part of a chunk may have come as several messages."""
-    sent = _decode(messages, "counts")
-    words, at = np.unique(np.concatenate([w for w, _ in sent]), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([c for _, c in sent])).astype(np.int64)
-    first = np.arange(len(sent)) == 0  # the owner's own totals go with its first answer
-    return pd.DataFrame({
-        "owner": messages["owner"], "sender": messages["sender"], "n": messages["n"], "answer": [_zip(n[np.searchsorted(words, w)]) for w, _ in sent],
-        "n_all": np.where(first, n.sum(), 0), "n_words": np.where(first, (n > 0).sum(), 0), "k": messages["k"], "unary": messages["unary"], "rest": messages["rest"],
-    })
+def _said(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as lower-case words with single spaces."""
+    for frame in frames:
+        yield frame[["doc_id", "held_out"]].assign(said=[b" ".join(body.encode("utf-8", "surrogatepass").lower().split()) for body in frame["body"]])
 
 
 def _batches(said) -> Iterator[list[bytes]]:
@@ -102,18 +63,124 @@ def _batches(said) -> Iterator[list[bytes]]:
         yield batch
 
 
-def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(pair, byte, n) of the training documents, over the bytes that occur."""
+def _tokens(texts: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words, each text's end after its last, and how many there are of each text."""
+    lists = [[*t.split(), b""] for t in texts]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum())), sizes
+
+
+def _runs(frames: Iterator[pd.DataFrame], number: str) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The frames' rows run by run; a run lies in one piece, across frames perhaps."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for run, part in frame.groupby(number, sort=True):
+            if held and held[0][number].iloc[0] != run:
+                yield int(held[0][number].iloc[0]), pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield int(held[0][number].iloc[0]), pd.concat(held)
+
+
+def _together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros((lm.BUCKETS + 1, lm.BUCKETS + 1))
     for frame in frames:
         for texts in _batches(frame["said"]):
-            b = lm.Batch(texts)
-            used = np.unique(np.concatenate([b.bytes, [0]]))
-            place = np.zeros(256, np.int64)
-            place[used] = np.arange(len(used))
-            a = len(used)
-            n = np.bincount((place[b.pair >> 8] * a + place[b.pair & 255]) * a + place[b.bytes])
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"pair": used[at // a // a].astype(np.int32) * 256 + used[at // a % a], "byte": used[at % a].astype(np.int32), "n": n[at]})
+            total += lm.together(texts)
+    yield pd.DataFrame({"sums": [total.tobytes()]})
+
+
+def _added(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros((lm.BUCKETS + 1) ** 2)
+    for frame in rows:
+        for sums in frame["sums"]:
+            total += np.frombuffer(sums)
+    yield pd.DataFrame({"sums": [total.tobytes()]})
+
+
+def _grouped(train: DataFrame) -> np.ndarray:
+    """The groups of short words, from all training documents."""
+    few = max(1, math.isqrt(width(train.sparkSession)))
+    parts = train.mapInPandas(_together, "sums binary").repartition(few).mapInPandas(_added, "sums binary").collect()
+    return lm.groups(sum((np.frombuffer(r["sums"]) for r in parts), np.zeros((lm.BUCKETS + 1) ** 2)).reshape(lm.BUCKETS + 1, lm.BUCKETS + 1))
+
+
+def _words(group: np.ndarray):
+    """A chunk's words by class, and how often its training documents have each; the end is a word. Then its sums for recall."""
+
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk, docs in _runs(frames, "chunk"):
+            held, fit, seen = docs["held_out"].to_numpy(bool), lm.Fit(lm.RECALL_GATES, lm.RECALL_START), []
+            distinct = {b""}.union(*(t.split() for t in docs["said"]))
+            index = {w: i for i, w in enumerate(distinct)}
+            own = group[[lm.bucket(w) for w in distinct]]
+            for learn in (True, False):
+                for texts in _batches(docs["said"][held != learn]):
+                    tokens, sizes = _tokens(texts, index)
+                    unit, n = np.unique(lm.classes(own[tokens], sizes) * len(index) + tokens, return_counts=True)
+                    seen.append((unit, n * learn))
+                    if learn:
+                        r = lm.Recall(tokens, sizes)
+                        fit.add(r.hit, r.inputs, r.gate)
+            unit, of = np.unique(np.concatenate([u for u, _ in seen]), return_inverse=True)
+            n = np.bincount(of, weights=np.concatenate([n for _, n in seen])).astype(np.int64)
+            said = np.array([*distinct, None], object)[:-1]
+            yield pd.DataFrame({"chunk": chunk, "class": unit // len(index), "word": said[unit % len(index)], "n": n, "sums": None})
+            yield pd.DataFrame({"chunk": [chunk], "class": [0], "word": [None], "n": [0], "sums": [fit.sums()]})
+
+    return words
+
+
+def _units(words: pd.DataFrame) -> pd.DataFrame:
+    """word, class, n (how often training documents have the word in it) from words with a count for each class, null where it never stands."""
+    counts = words[_N].to_numpy(float)
+    row, of = np.nonzero(~np.isnan(counts))
+    return pd.DataFrame({"word": words["word"].to_numpy()[row], "class": of, "n": counts[row, of].astype(np.int64)})
+
+
+def _add_up(gates: int, start: np.ndarray):
+    def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition's sums in one row; every row's are of one fixed size."""
+        total = lm.Fit(gates, start)
+        for frame in rows:
+            for sums in frame["sums"]:
+                total.take(sums)
+        yield pd.DataFrame({"sums": [total.sums()]})
+
+    return add
+
+
+def _fitted(sums: DataFrame, gates: int, start: np.ndarray) -> lm.Fit:
+    """The sum of a column of sums, added up in two steps before it reaches the driver."""
+    add = _add_up(gates, start)
+    few = max(1, math.isqrt(width(sums.sparkSession)))
+    out = lm.Fit(gates, start)
+    for r in sums.mapInPandas(add, "sums binary").repartition(few).mapInPandas(add, "sums binary").collect():
+        out.take(r["sums"])
+    return out
+
+
+def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pair, byte, n): how often training documents have a byte after two others, within words."""
+    for frame in frames:
+        for at in range(0, len(frame), 50_000):
+            part = _units(frame.iloc[at : at + 50_000])
+            b = lm.Batch(part["word"].tolist(), part["class"].to_numpy())
+            key, of = np.unique(b.pair << 8 | b.bytes, return_inverse=True)
+            n = np.bincount(of, weights=np.repeat(part["n"].to_numpy(), b.sizes)).astype(np.int64)
+            yield pd.DataFrame({"pair": (key >> 8).astype(np.int32), "byte": (key & 255).astype(np.int32), "n": n})[n > 0]
+
+
+def _code(words: DataFrame) -> lm.Code:
+    """Codes from the counts of bytes after pairs of bytes; there are 65,536 pairs at most, and far fewer in text."""
+    triples = words.mapInPandas(_triples, "pair int, byte int, n long").groupBy("pair", "byte").agg(F.sum("n").alias("n"))
+    own: dict[int, dict[int, int]] = {}
+    singles = np.zeros((256, 256), np.int64)
+    for r in triples.collect():
+        own.setdefault(r["pair"], {})[r["byte"]] = r["n"]
+        singles[r["pair"] & 255, r["byte"]] += r["n"]
+    return lm.Code(own, singles)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -125,32 +192,15 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _tally(owners: int):
-    """Messages of a chunk to owners of hash ranges: the contexts it has, and how often its training documents have each byte after each."""
+    """Messages of a piece to owners of hash ranges: the contexts it has, and how often training documents have each byte after each."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_chunk, seen = None, []
-
-        def messages() -> Iterator[pd.DataFrame]:
-            for kind in range(lm.CONTEXTS):
-                keys = np.sort(np.concatenate([x[kind] for x in seen]))  # the last bit: from a training document
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 1 != keys[:-1] >> 1]))
-                n = np.add.reduceat(keys & 1, first)
-                keys = keys[first] >> 1
-                edges = _edges(keys, owners, KEY_BITS)
-                rows = [(o, kind, open_chunk, _pack(keys[a:b]), _zip(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-                yield pd.DataFrame(rows, columns=["owner", "kind", "sender", "keys", "counts"])
-
-        for frame in frames:
-            for chunk, part in frame.groupby("chunk", sort=True):
-                if open_chunk is not None and chunk != open_chunk:
-                    yield from messages()
-                    seen = []
-                open_chunk = int(chunk)
-                for flag in (False, True):
-                    for texts in _batches(part["said"][part["held_out"].astype(bool) != flag]):
-                        seen.append([k << 1 | int(flag) for k in lm.Batch(texts).keys])
-        if seen:
-            yield from messages()
+        for piece, words in _runs(frames, "piece"):
+            units = _units(words)
+            for kind, (keys, n) in enumerate(lm.tally(lm.Batch(units["word"].tolist(), units["class"].to_numpy()), units["n"].to_numpy())):
+                edges = np.searchsorted(keys >> 8, [(o << 48) // owners for o in range(owners + 1)])  # a context has one owner
+                rows = [(o, kind, piece, _pack(keys[a:b]), _zip(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+                yield pd.DataFrame(rows, columns=["owner", "kind", "piece", "keys", "counts"])
 
     return send
 
@@ -164,102 +214,78 @@ def _tell(messages: pd.DataFrame) -> pd.DataFrame:
     context, rows = keys >> 8, []
     for s in sent:
         own = np.unique(s >> 8)
-        at = np.minimum(np.searchsorted(own, context), len(own) - 1)
-        has = own[at] == context
+        has = own[np.minimum(np.searchsorted(own, context), len(own) - 1)] == context
         rows.append((_pack(keys[has]), _zip(n[has])))
-    return pd.DataFrame({"kind": messages["kind"], "chunk": messages["sender"], "keys": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+    return pd.DataFrame({"kind": messages["kind"], "piece": messages["piece"], "keys": [r[0] for r in rows], "counts": [r[1] for r in rows]})
 
 
-def _counts(code, texts: list[list[bytes]], told: pd.DataFrame, leave_out: bool = False) -> list[lm.Counts]:
-    """The counts of each kind for the texts, batch by batch."""
-    batches = [lm.Batch(t) for t in texts]
-    here, pairs = [b.keys for b in batches], np.concatenate([b.pair.astype(np.int32) for b in batches])
-    del batches
+def _known(told: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each kind, sorted; parts of a piece may have come as several messages."""
     out = []
     for kind in range(lm.CONTEXTS):
         part = told[told["kind"] == kind]
         keys = np.concatenate([np.empty(0, np.int64), *map(_unpack, part["keys"])])
         n = np.concatenate([np.empty(0, np.int64), *map(_unzip, part["counts"])])
-        if len(part):  # parts of a chunk may have come as several messages
-            keys, first = np.unique(keys, return_index=True)
-            n = n[first]
-        out.append(lm.Counts(code, np.concatenate([h[kind] for h in here]), pairs, keys, n, leave_out))
-        for h in here:
-            h[kind] = None
+        keys, first = np.unique(keys, return_index=True)
+        out.append((keys, n[first]))
     return out
 
 
+def _slices(words: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A piece's words, as many at a time as have BATCH bytes."""
+    at = np.cumsum(words["word"].map(len).to_numpy(np.int64) + 1) // BATCH
+    for _, part in words.groupby(at):
+        yield part
+
+
 def _fit(code):
-    def fit(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """A chunk's sums for the mixing weights, over all its training documents."""
-        if not len(docs):
-            return pd.DataFrame({"sums": [], "seen": []})
-        texts, sums, at = list(_batches(docs.sort_values(["doc_id", "said"])["said"])), lm.Fit(), 0
-        mixer = lm.Exact(code.value, _counts(code.value, texts, told, True))
-        for t in texts:
-            batch = lm.Batch(t)
-            mixer.begin(at)
-            sums.add(mixer, batch)
-            at += len(batch.bytes)
-        return pd.DataFrame({"sums": [_sums(sums.curve, sums.pull)], "seen": [sums.seen]})
+    def fit(words: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """A piece's sums for the mixing weights, each word as often as training documents have it."""
+        units, known = _units(words), _known(told)
+        sums = lm.Fit(lm.GATES, lm.SPELL_START)
+        for part in _slices(units[units["n"] > 0]):
+            batch = lm.Batch(part["word"].tolist(), part["class"].to_numpy())
+            n, bits, logits, gate = lm.inputs(code.value, batch, known, True)
+            by = np.add.reduceat(n, np.cumsum(batch.sizes) - batch.sizes)
+            sums.add(bits, logits, gate, np.repeat(part["n"].to_numpy(), by))
+        return pd.DataFrame({"sums": [sums.sums()]})
 
     return fit
 
 
-def _sums(curve: np.ndarray, pull: np.ndarray) -> bytes:
-    return np.concatenate([curve.ravel(), pull.ravel()]).tobytes()
-
+def _spell(code, weights: np.ndarray):
+    def spell(words: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        known, out = _known(told), np.full((len(words), lm.CLASSES + 1), np.nan, np.float32)
+        units = _units(words).assign(at=np.nonzero(~np.isnan(words[_N].to_numpy(float)))[0])
+        for part in _slices(units):
+            batch = lm.Batch(part["word"].tolist(), part["class"].to_numpy())
+            out[part["at"], part["class"]] = lm.spelling(batch, *lm.inputs(code.value, batch, known), weights)
+        return pd.DataFrame({"word": words["word"], "n": np.nansum(words[_N].to_numpy(float), 1).astype(np.int64), "spelt": [x.tobytes() for x in out]})
 
-def _add_up(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition's sums in one row; a chunk's are of a fixed size."""
-    total, seen = None, 0
-    for frame in rows:
-        for sums, n in zip(frame["sums"], frame["seen"], strict=True):
-            x = np.frombuffer(sums)
-            total, seen = x.copy() if total is None else total + x, seen + int(n)
-    if total is not None:
-        yield pd.DataFrame({"sums": [total.tobytes()], "seen": [seen]})
-
-
-def fitted(train: DataFrame, told: DataFrame, code) -> lm.Fit:
-    """The sums for the mixing weights over all training documents."""
-    kinds = "sums binary, seen long"
-    parts = train.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_fit(code), kinds).mapInPandas(_add_up, kinds)
-    out = lm.Fit()
-    for r in parts.repartition(FAN).mapInPandas(_add_up, kinds).collect():
-        x = np.frombuffer(r["sums"])
-        out.curve += x[: out.curve.size].reshape(out.curve.shape)
-        out.pull += x[out.curve.size :].reshape(out.pull.shape)
-        out.seen += r["seen"]
-    return out
+    return spell
 
 
-def _score(code, weights: np.ndarray, n_all: int, distinct: int):
+def _score(group: np.ndarray, recall: np.ndarray, n_all: int, distinct: int):
     def score(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        hashes, told = WordHashes(), words[words["kind"] >= 0]
-        parts = _decode(words[words["kind"] < 0], "answer")
-        known, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
-        known, first = np.unique(known, return_index=True)
-        seen = seen[first]
-        base = np.log10((seen + 1) / (n_all + distinct + 1))
-        rows = []
-        for t in docs["said"]:
-            at = np.searchsorted(known, _word_prints(hashes, [*t.split(), b""]))
-            rows.append((len(at), int((seen[at] > 0).sum()), float(base[at].sum())))
-        texts, logs, at = list(_batches(docs["said"])), [], 0
-        mixer = lm.Exact(code.value, _counts(code.value, texts, told), weights.astype(np.float32))
-        for t in texts:
-            batch = lm.Batch(t)
-            mixer.begin(at)
-            logs.append(mixer.score(batch))
-            at += len(batch.bytes)
-        logs = np.concatenate(logs)
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
-        out["score"] = logs / math.log(10)
-        out["bits_per_byte"] = -logs / math.log(2) / np.array([len(t) + 1 for t in docs["said"]])
-        out.insert(0, "doc_id", docs["doc_id"].to_numpy())
-        out.insert(1, "held_out", docs["held_out"].to_numpy())
-        return out.assign(train_tokens=n_all)
+        if not len(docs):
+            return pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "train_tokens"])
+        index = {w: i for i, w in enumerate(words["word"])}
+        own = group[[lm.bucket(w) for w in words["word"]]]
+        seen, spelt = words["n"].to_numpy(), np.frombuffer(b"".join(words["spelt"]), np.float32).reshape(-1, lm.CLASSES + 1)
+        base, known, out = np.log10((seen + 1) / (n_all + distinct + 1)), seen > 0, []
+        for texts in _batches(docs["said"]):
+            tokens, sizes = _tokens(texts, index)
+            r, first = lm.Recall(tokens, sizes), np.cumsum(sizes) - sizes
+            logs = spelt[tokens, lm.classes(own[tokens], sizes)].astype(float)
+            logs[r.at[r.hit]] = 0.0  # a word that is recalled isn't spelt
+            logs[r.at] += r.logs(recall)
+            out.append(np.stack([sizes, *(np.add.reduceat(x[tokens], first) for x in (known.astype(float), base)), np.add.reduceat(logs, first)]))
+        n, k, b, logs = np.concatenate(out, 1)
+        size = docs["said"].map(len).to_numpy() + 1
+        return pd.DataFrame({
+            "doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(), "n_tokens": n.astype(np.int64), "n_known": k.astype(np.int64), "base_score": b,
+            "score": logs / math.log(10), "bits_per_byte": -logs / math.log(2) / size, "train_tokens": n_all,
+        })
 
     return score
 
@@ -270,38 +296,38 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A text counts as its words (runs of other bytes than ASCII white space, A-Z lowered) with single spaces and an end. The model
     and the base learn from all documents that aren't held out (crc32 of the id as text, modulo 7, is 2). score is the model's
     log10 probability, base_score that of smoothed word counts. Null text is empty: one token, the end. A null id isn't
-    held out. Repeated rows are learnt from and scored each. An empty table gives an empty result. Other columns play no part.
+    held out. Repeated rows are learnt from and scored each. A word may be of any length; contexts look back eight bytes in it.
+    An empty table gives an empty result. Other columns play no part.
+
+    Words are counted chunk by chunk and class by class, then summed by word. Distinct words are dealt out again in pieces; owners of hash
+    ranges tell each piece what follows its contexts. Each distinct word is spelt once for each class it stands in, and goes back to the chunks that have it.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).withColumn("held_out", held_out())
-    table = materialise(slim.mapInPandas(_chunked, "chunk long, doc_id long, held_out boolean, said binary"), "lm-texts")
-    train = table.filter("not held_out")
-
-    messages = table.mapInPandas(_words(width(spark)), "owner int, sender long, n int, k int, unary binary, rest binary, counts binary")
-    answers = "owner int, sender long, n int, answer binary, n_all long, n_words long, k int, unary binary, rest binary"
-    known = materialise(messages.groupBy("owner").applyInPandas(_total, answers), "lm-words")
-    all_words = known.agg(F.sum("n_all"), F.sum("n_words")).head()
-    n_all, distinct = all_words[0] or 0, all_words[1] or 0
-
-    triples = materialise(train.mapInPandas(_triples, "pair int, byte int, n long").groupBy("pair", "byte").agg(F.sum("n").alias("n")), "lm-triples")
-    singles = np.zeros((256, 256), np.int64)
-    for r in triples.groupBy(F.col("pair").bitwiseAND(255).alias("last"), "byte").agg(F.sum("n").alias("n")).collect():
-        singles[r["last"], r["byte"]] = r["n"]
-    often = triples.groupBy("pair").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "pair").limit(lm.OWN_CODES)
-    own: dict[int, dict[int, int]] = {}
-    for r in triples.join(F.broadcast(often), "pair").collect():  # at most OWN_CODES * 256 rows
-        own.setdefault(r["pair"], {})[r["byte"]] = r["n"]
-    discard(triples)
-    code = spark.sparkContext.broadcast(lm.Code(own, singles))
-
-    messages = table.mapInPandas(_tally(width(spark)), "owner int, kind int, sender long, keys binary, counts binary")
-    told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, "kind int, chunk long, keys binary, counts binary"), "lm-counts")
-    weights = fitted(train, told, code).weights()
-
-    words = known.select(F.lit(-1).alias("kind"), F.col("sender").alias("chunk"), "n", "answer", "k", "unary", "rest", F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
-    told = told.select("kind", "chunk", F.lit(0).alias("n"), F.lit(b"").alias("answer"), F.lit(0).alias("k"), F.lit(b"").alias("unary"), F.lit(b"").alias("rest"), "keys", "counts")
-    scored = table.groupBy("chunk").cogroup(words.unionByName(told).groupBy("chunk")).applyInPandas(
-        _score(code, weights, n_all, distinct),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long",
-    )
+    plain = slim.mapInPandas(_said, "doc_id long, held_out boolean, said binary")
+    table = materialise(plain.mapInPandas(_numbered(CHUNK, "said", "chunk"), "doc_id long, held_out boolean, said binary, chunk long"), "lm-texts")
+
+    group = _grouped(table.filter("not held_out").select("said"))
+    had = materialise(table.mapInPandas(_words(group), "chunk long, class int, word binary, n long, sums binary"), "lm-had")
+    recall = _fitted(had.filter("sums is not null").select("sums"), lm.RECALL_GATES, lm.RECALL_START).weights()
+    had_words = had.filter("sums is null")
+    counted = had_words.groupBy("word").agg(*(F.sum(F.when(F.col("class") == k, F.col("n"))).alias(c) for k, c in enumerate(_N)))
+    words = materialise(counted.mapInPandas(_numbered(PIECE, "word", "piece"), f"word binary, {', '.join(f'{c} long' for c in _N)}, piece long"), "lm-words")
+    every = sum((F.coalesce(c, F.lit(0)) for c in _N), F.lit(0))
+    totals = words.agg(F.sum(every), F.sum((every > 0).cast("long")), F.sum(F.length("word") + 1)).head()
+    n_all, distinct, n_bytes = (int(x or 0) for x in totals)
+
+    code = spark.sparkContext.broadcast(_code(words.filter(every > 0)))
+    owners = max(1, n_bytes // OWNED)
+    messages = words.mapInPandas(_tally(owners), "owner int, kind int, piece long, keys binary, counts binary")
+    told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, "kind int, piece long, keys binary, counts binary"), "lm-counts")
+    asked = words.groupBy("piece").cogroup(told.groupBy("piece"))
+    weights = _fitted(asked.applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
+    spelt = materialise(asked.applyInPandas(_spell(code, weights), "word binary, n long, spelt binary"), "lm-spelt")
+    discard(told)
+    discard(words)
+
+    known = had_words.select("chunk", "word").join(spelt, "word").select("chunk", "word", "n", "spelt")
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long"
+    scored = table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_score(group, recall, n_all, distinct), kinds)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -338,80 +338,151 @@ def test_base_and_held_out_score(docs, texts):
         assert r["score"] < 0 and r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / (len(b" ".join(w[:-1])) + 1))
 
 
-def test_model_beats_the_base_on_held_out_documents(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_model_beats_the_base_on_held_out_documents(spark, sf):
     from pyspark.sql import functions as F
 
-    rows = lm_score.lm_score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
+    rows = lm_score.lm_score(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert rows[0] > rows[1]
 
 
-def test_codes_are_complete_and_scores_are_probabilities():
-    r = random.Random(2)
-    said = [" ".join("".join(r.choices("abc", k=r.randint(1, 3))) for _ in range(30)).encode() for _ in range(40)]
-    batch, own = lm.Batch(said), defaultdict(Counter)
-    singles = np.zeros((256, 256), np.int64)
-    for p, b in zip(batch.pair.tolist(), batch.bytes.tolist(), strict=True):
-        own[p][b] += 1
-        singles[p & 255, b] += 1
-    code = lm.Code({p: dict(c) for p, c in own.items()}, singles)
-    for row in range(len(code.depth)):  # a byte with a place of its own could also be spelled after the escape, which is never done
-        total = sum(0.5 ** int(d) for d in code.depth[row])
-        assert total == pytest.approx(1) if row < 256 else 0.5 <= total <= 1
-    tables = np.zeros((lm.CONTEXTS, 2 * lm.SLOTS), np.uint32)
-    lm.add_counts(tables, code, batch)
-    mixer = lm.Mixer(code, [lm.squeeze(t) for t in tables])
-    mixer.fit(batch)
-    # short texts leave a document's own weights alone, so all next bytes after a prefix share a probability of one at most
-    prefix = b"ab ca"
-    whole = lambda t: mixer.score(lm.Batch([t]))[0]
-    end = sum(math.exp(whole(prefix + bytes([b])) - _tail(mixer, prefix + bytes([b]))) for b in range(255)) + math.exp(whole(prefix))
-    assert 0.9 <= end / math.exp(whole(prefix) - _tail(mixer, prefix)) <= 1.001
-
-
-def test_counts_of_contexts_are_those_of_all_training_documents(spark):
+def _units(seed, n=120):
+    """Words in classes, how often each, and the code of their bytes."""
+    r = random.Random(seed)
+    units = {("".join(r.choices("abc\u0436", k=r.randint(0, 11))).encode(), r.randrange(3)): r.randint(0, 5) for _ in range(n)}
+    said, of, times = [w for w, _ in units], np.array([c for _, c in units]), np.array(list(units.values()))
+    batch, own, singles = lm.Batch(said, of), defaultdict(Counter), np.zeros((256, 256), np.int64)
+    for p, b, n in zip(batch.pair.tolist(), batch.bytes.tolist(), np.repeat(times, batch.sizes).tolist(), strict=True):
+        if n:
+            own[p][b] += n
+            singles[p & 255, b] += n
+    return said, of, times, batch, lm.Code({p: dict(c) for p, c in own.items()}, singles)
+
+
+def _path(code, pair, byte):
+    n, nodes, bits = code.spell(np.array([pair]), np.array([byte]))
+    return list(zip(nodes.tolist(), bits.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("leave_out", [False, True])
+def test_spelling_against_a_plain_mixer(leave_out):
+    said, of, times, batch, code = _units(2)
+    told = lm.tally(batch, times)
+    weights = np.random.default_rng(3).uniform(-0.2, 0.8, (lm.GATES, lm.CONTEXTS + 1)).astype(np.float32)
+    got = lm.spelling(batch, *lm.inputs(code, batch, told, leave_out), weights)
+    after = defaultdict(Counter)  # kind, class, place (up to the kind's reach) and what precedes -> byte -> count
+    steps = lambda w, c: [(w[:i], (w + b"\xff")[i], [(k, c, min(i, k), w[max(0, i - k) : i]) for k in (*lm.ORDERS, 8)]) for i in range(len(w) + 1)]
+    for w, c, n in zip(said, of.tolist(), times.tolist(), strict=True):
+        for _, byte, contexts in steps(w, c):
+            for x in contexts:
+                after[x][byte] += n
+    for w, c, value in zip(said, of.tolist(), got.tolist(), strict=True):
+        want = 0.0
+        for before, byte, contexts in steps(w, c):
+            pair = int.from_bytes(before[-2:], "big")
+            for node, bit in _path(code, pair, byte):
+                x, gate = [float(code.logits[node])], 0
+                for context in contexts:
+                    n = [0, 0]
+                    for other, times_other in after[context].items():
+                        for node2, bit2 in _path(code, pair, other):
+                            n[bit2] += times_other * (node2 == node)
+                    n[bit] -= leave_out and n[bit] > 0
+                    x.append(math.log((n[1] + 0.3) / (n[0] + 0.3)))
+                    gate = gate * lm.N_LEVELS + sum(sum(n) >= k for k in lm.SEEN) + 5 * (min(n) > 0)
+                z = sum(float(v) * float(weights[gate, k]) for k, v in enumerate(x))
+                want -= math.log1p(math.exp(-z if bit else z))
+        assert value == pytest.approx(want, rel=1e-4)
+
+
+def test_codes_and_next_bytes_have_a_probability_of_one_at_most():
+    said, of, times, batch, code = _units(5)
+    for own in range(256, len(code.depth)):
+        assert sum(0.5 ** int(d) for d in code.depth[own] if d) == pytest.approx(1)
+    told, weights = lm.tally(batch, times), np.full((lm.GATES, lm.CONTEXTS + 1), 0.4, np.float32)
+    for prefix in (b"", b"a", b"ab", b"abcab", b"zz"):
+        next_words = lm.Batch([prefix + bytes([b]) for b in range(255)] + [prefix], np.zeros(256, np.int64))
+        n, bits, logits, gate = lm.inputs(code, next_words, told)
+        z = sum(x * weights[:, k].take(gate) for k, x in enumerate(logits))
+        logs = -np.log1p(np.exp(np.where(bits == 1, -z, z)))
+        ends = np.cumsum(n)
+        places = np.cumsum(next_words.sizes) - next_words.sizes + len(prefix)
+        total = sum(math.exp(logs[ends[p] - n[p] : ends[p]].sum()) for p in places)
+        assert 0.5 <= total <= 1.001
+
+
+def test_classes_and_recall_against_plain_loops():
+    r = random.Random(6)
+    sizes = np.array([1, 300, 2, 40, 1, 700])
+    tokens = np.array([r.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 9][: 3 + i % 8]) for i in range(int(sizes.sum()))])
+    group = np.array([0, 1, lm.CLASSES, 2, 1, lm.CLASSES, 0, 3, 7, 7])[tokens]
+    got, recall, place = lm.classes(group, sizes), lm.Recall(tokens, sizes), 0
+    decisions = iter(zip(recall.at.tolist(), recall.doc.tolist(), recall.hit.tolist(), recall.gate.tolist(), recall.inputs[1].tolist(), strict=True))
+    for d, n in enumerate(sizes.tolist()):
+        own, had = tokens[place : place + n].tolist(), Counter()
+        came, streak = {True: [0, 0], False: [0, 0]}, 0
+        for i, w in enumerate(own):
+            best = max(had.values(), default=0)
+            assert got[place + i] == (min(k for k, v in had.items() if v == best) if best else lm.CLASSES)
+            had.update([int(group[place + i])] if group[place + i] < lm.CLASSES else [])
+            two = [j for j in range(2, i) if own[j - 2 : j] == own[i - 2 : i]] if i >= 2 else []
+            one = [j for j in range(1, i) if own[j - 1] == own[i - 1]] if i else []
+            if two or one:
+                j, much = (two or one)[-1], bool(two)
+                hit, (yes, no) = own[j] == w, came[much]
+                at, doc, hit2, gate, x = next(decisions)
+                assert (at, doc, hit2) == (place + i, d, hit) and gate == much * 5 + sum(streak >= k for k in lm.STREAKS)
+                assert x == pytest.approx(math.log((yes + 0.4) / (no + 1.6)), rel=1e-5)
+                came[much][not hit] += 1
+                streak = streak + 1 if hit else 0
+        place += n
+    assert next(decisions, None) is None
+    logs = recall.logs(np.tile(lm.RECALL_START, (lm.RECALL_GATES, 1)))
+    assert (logs < 0).all() and len(logs) == len(recall.at)
+
+
+def test_groups_of_words_that_share_documents():
+    texts = [b"of the is " * 3] * 5 + [b"der die das"] * 4 + [b"le la de"] * 3
+    group = lm.groups(lm.together([b" ".join(random.Random(i).sample(t.split(), 3)) for i, t in enumerate(texts)]))
+    of = [{int(group[lm.bucket(w)]) for w in ws} for ws in ([b"of", b"the", b"is"], [b"der", b"die", b"das"], [b"le", b"la", b"de"])]
+    assert all(not a & b for i, a in enumerate(of) for b in of[:i]) and group[lm.bucket(b"longer")] == lm.CLASSES
+    assert set(lm.groups(np.zeros((lm.BUCKETS + 1, lm.BUCKETS + 1))).tolist()) == {lm.CLASSES}
+
+
+def test_pieces_hear_what_all_training_documents_have(spark):
     r = random.Random(3)
-    said = [" ".join("".join(r.choices("abcde", k=r.randint(1, 4))) for _ in range(60)) + " zz" * 300 for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, body string").withColumn("held_out", lm_score.held_out()).repartition(5)
-    table = df.mapInPandas(lm_score._chunked, "chunk long, doc_id long, held_out boolean, said binary").localCheckpoint()
-    messages = table.mapInPandas(lm_score._tally(4), "owner int, kind int, sender long, keys binary, counts binary")
-    told = messages.groupBy("owner", "kind").applyInPandas(lm_score._tell, "kind int, chunk long, keys binary, counts binary").toPandas()
-    docs = table.toPandas()
-    train = lm.Batch(docs["said"][~docs["held_out"].astype(bool)].tolist())
-    own, singles = defaultdict(Counter), np.zeros((256, 256), np.int64)
-    for p, b in zip(train.pair.tolist(), train.bytes.tolist(), strict=True):
-        own[p][b] += 1
-        singles[p & 255, b] += 1
-    code = lm.Code({p: dict(c) for p, c in own.items()}, singles)
-    n, nodes, bits = lm.decisions(code, train)
-    want = [Counter(zip(np.repeat(k >> 8, n).tolist(), nodes.tolist(), bits.tolist(), strict=True)) for k in train.keys]
-    assert max(max(w.values()) for w in want) > 1000  # more than a byte holds
-    for chunk, part in docs.groupby("chunk"):
-        batch = lm.Batch(part["said"].tolist())
-        n, nodes, _ = lm.decisions(code, batch)
-        of = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        for c, w, k in zip(lm_score._counts(code, [part["said"].tolist()], told[told["chunk"] == chunk]), want, batch.keys, strict=True):
-            at = c.first[c.of[of]] + step
-            assert [(w[x, y, 0], w[x, y, 1]) for x, y in zip((k >> 8)[of].tolist(), nodes.tolist(), strict=True)] == list(zip(c.n0[at].tolist(), c.n1[at].tolist(), strict=True))
+    rows = [("".join(r.choices("abcde", k=r.randint(1, 6))).encode(), r.randint(0, 5) if c == i % 3 or c == 1 else None, c, i % 4) for i in range(900) for c in (0, 1)]
+    words = {}
+    for w, n, c, piece in rows:
+        words.setdefault(w, [[None] * (lm.CLASSES + 1), piece])[0][c] = n
+    df = spark.createDataFrame([(w, *n, piece) for w, (n, piece) in words.items()], f"word binary, {', '.join(f'{c} long' for c in lm_score._N)}, piece long").repartition(4, "piece").sortWithinPartitions("piece")
+    messages = df.mapInPandas(lm_score._tally(3), "owner int, kind int, piece long, keys binary, counts binary")
+    told = messages.groupBy("owner", "kind").applyInPandas(lm_score._tell, "kind int, piece long, keys binary, counts binary").toPandas()
+    every = lm_score._units(df.toPandas())
+    whole = lm.tally(lm.Batch(every["word"].tolist(), every["class"].to_numpy()), every["n"].to_numpy())
+    for piece, part in df.toPandas().groupby("piece"):
+        units = lm_score._units(part)
+        here = lm.Batch(units["word"].tolist(), units["class"].to_numpy()).keys
+        for (keys, n), (all_keys, all_n), own in zip(lm_score._known(told[told["piece"] == piece]), whole, here, strict=True):
+            asked = np.isin(all_keys >> 8, own >> 8) & (all_n > 0)
+            assert (keys == all_keys[asked]).all() and (n == all_n[asked]).all()
 
 
 def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
     r, asked = random.Random(4), []
     said = [" ".join(r.choices(["one", "two", "three"], k=4)).encode() for _ in range(4200)]
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(said)], "doc_id long, text string")
-    fitted = lm_score.fitted
-    monkeypatch.setattr(lm_score, "fitted", lambda train, told, code: asked.append((fitted(train, told, code), code.value)) or asked[-1][0])
+    fitted, code = lm_score._fitted, lm_score._code
+    monkeypatch.setattr(lm_score, "_fitted", lambda *a: asked.append(fitted(*a)) or asked[-1])
+    monkeypatch.setattr(lm_score, "_code", lambda *a: asked.append(code(*a)) or asked[-1])
     lm_score.lm_score(df)
-    (sums, code), train = asked[0], [t for i, t in enumerate(said) if zlib.crc32(str(i).encode()) % 7 != 2]
-    assert len(train) > 3500 and sums.seen == lm.decisions(code, lm.Batch(train))[0].sum()
-
-
-def _tail(mixer, text):
-    """Log-probability of the end after text."""
-    batch = lm.Batch([text])
-    n, bits, logits, gate = mixer.inputs(batch)
-    z = sum(x * mixer.weights[:, k][gate] for k, x in enumerate(logits))[-n[-1] :]
-    return float(-np.log1p(np.exp(-z * (bits[-n[-1] :].astype(float) * 2 - 1))).sum())
+    train = [t for i, t in enumerate(said) if zlib.crc32(str(i).encode()) % 7 != 2]
+    recall, code, spelling = asked
+    times = Counter(w for t in train for w in [*t.split(), b""])
+    decisions = {w: code.spell((b := lm.Batch([w], np.zeros(1))).pair, b.bytes)[0].sum() for w in times}
+    assert spelling.seen == sum(n * decisions[w] for w, n in times.items())
+    index = {w: i for i, w in enumerate(times)}
+    assert recall.seen == len(lm.Recall(*lm_score._tokens(train, index)).at) and len(train) > 3500
 
 
 def test_lm_odd(odd, none):
