@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and beside them a semi-Markov conditional random field.
 
-The field scores whole candidate segments (digits, groups, separators, checksum, what stands around), and a dynamic
-program over segments of bounded length chooses boundaries and kinds together. Text outside any candidate scores zero, so
-regions far from digits and at-signs need no work and the program runs region by region without loss.
+The field scores whole candidate segments (digits, groups, separators, checksum, what stands around), and one dynamic
+program over segments of bounded length chooses boundaries and kinds together, numbers and mail addresses alike. Text
+outside any candidate scores zero, so text far from digits and at-signs needs no work. The number of candidates grows with the
+text and no faster: a segment has a bounded number of groups or labels.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens and digits in a segment, at most; letters looked at on either side of an at-sign.
-MOST_TOKENS, MOST_DIGITS, REACH = 24, 19, 100
+#: Groups of digits and digits in a segment, and letters of a mail address before its at-sign, at most.
+MOST_GROUPS, MOST_DIGITS, MOST_LOCAL = 8, 19, 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -67,10 +69,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The field.
 
-_REGION = re.compile(r"[+(]{0,2}[0-9][0-9 ()\[\].\-/_ –—]{5,}")
-_TOKEN = re.compile(r"[0-9]+|.", re.S)
-_AT = re.compile(r"@|[(\[{<] ?at ?[)\]}>]| dot |[(\[{<] ?dot ?[)\]}>]", re.I)
-_OBSCURED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?@ ?| ?[(\[{<] ?at ?[)\]}>] ?| at )(?:[A-Za-z0-9-]{1,63}(?: ?\. ?| ?[(\[{<] ?dot ?[)\]}>] ?| dot )){1,6}[A-Za-z]{2,12}", re.I)
+_REGION = re.compile(r"[+(]{0,2}[0-9][0-9 ()\[\].\-/_\u00a0\u2013\u2014]{5,}")
+_GROUP = re.compile(r"[0-9]+")
+_AT = re.compile(r"(?: ?@ ?| ?[(\[{<] ?at ?[)\]}>] ?| at )(?=[A-Za-z0-9])", re.I)
+_HOST_AFTER = re.compile(r"(?:[A-Za-z0-9-]{1,63}(?: ?\. ?| ?[(\[{<] ?dot ?[)\]}>] ?| dot )){1,6}[A-Za-z]{2,12}", re.I)
 # Common top-level domains.
 _TLDS = frozenset("biz co com de edu es eu fr gov info io it net nl org uk us".split())
 
@@ -79,13 +81,17 @@ SLOTS = {"ip": 0, "card": N_DIGIT, "phone": 2 * N_DIGIT, "email": 3 * N_DIGIT}
 WEIGHTS = 3 * N_DIGIT + N_MAIL
 
 
-def digit_features(text: str, start: int, end: int) -> list[int]:
-    span = text[start:end]
+def digit_features(text: str, start: int, end: int) -> tuple[int, ...]:
+    return _digit_facts(text[max(0, start - 2) : start], text[start:end], text[end : end + 2])
+
+
+@functools.lru_cache(1 << 16)
+def _digit_facts(before: str, span: str, after: str) -> tuple[int, ...]:
     groups, seps = re.findall(r"[0-9]+", span), [s for s in re.split(r"[0-9]+", span)[1:-1]]
     digits, sizes, kinds = "".join(groups), [len(g) for g in groups], set(seps)
     n = len(digits)
-    left, right = text[start - 1 : start], text[end : end + 1]
-    near = re.search(r"[0-9][ .\-]?$", text[max(0, start - 2) : start]), re.match(r"[ .\-]?[0-9]", text[end : end + 2])
+    left, right = before[-1:], after[:1]
+    near = re.search(r"[0-9][ .\-]?$", before), re.match(r"[ .\-]?[0-9]", after)
     ip = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and all(s.strip(" []()") == "." for s in seps)
     facts = (
         True, 13 <= n <= 19 and luhn(digits), n in (15, 16), 13 <= n <= 19, len(sizes) > 2 and set(sizes[:-1]) == {4}, len(groups) == 1, ip,
@@ -94,66 +100,81 @@ def digit_features(text: str, start: int, end: int) -> list[int]:
         any("/" in s for s in seps), sizes in ([4, 2, 2], [2, 2, 4]) or len(sizes) > 4 and sizes[:3] == [4, 2, 2], bool(seps) and all("." in s for s in seps),
         span.count("(") != span.count(")") or span.count("[") != span.count("]"), any(len(s) > 2 for s in seps), len(groups) > 5,
     )
-    return [i for i, fact in enumerate(facts) if fact]
+    return tuple(i for i, fact in enumerate(facts) if fact)
 
 
-def mail_features(text: str, start: int, end: int) -> list[int]:
+def mail_features(text: str, start: int, end: int) -> tuple[int, ...]:
     span = text[start:end]
     low, tail = span.lower(), re.split(r"[^a-z]+", span.lower())[-1]
     facts = (
         True, bool(re.search(r"[(\[{<] ?at ?[)\]}>]", low)), bool(re.search(r"[(\[{<] ?dot ?[)\]}>]", low)), " at " in low and "@" not in low, " dot " in low,
         "@" in span, " @" in span or "@ " in span, tail in _TLDS, 2 <= len(tail) <= 4, bool(re.match(r"[A-Za-z0-9]*[0-9._]", span)), "." in span, text[end : end + 1].isalnum(),
     )
-    return [i for i, fact in enumerate(facts) if fact]
+    return tuple(i for i, fact in enumerate(facts) if fact)
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, str, list[int]]]]:
-    """Region by region: segments (start, end, kind, features) that keep clear of the spans taken, sorted by end."""
-    taken = sorted(taken)
+Segment = tuple[int, int, str, tuple[int, ...]]
 
-    def clear(a: int, b: int) -> bool:
-        return all(y <= a or b <= x for x, y in taken)
 
-    for region in _REGION.finditer(text):
-        if sum("0" <= c <= "9" for c in region[0]) < 7:
-            continue
-        tokens = [(m.start() + region.start(), m.end() + region.start()) for m in _TOKEN.finditer(region[0])]
-        near = [(x, y) for x, y in taken if x < region.end() and region.start() < y]
-        found = []
-        for i, (start, first) in enumerate(tokens):
-            if not (text[start].isdigit() or text[start] in "+("):
-                continue
-            n = 0
-            for a, end in tokens[i : i + MOST_TOKENS]:
-                if not "0" <= text[a] <= "9":
-                    continue
-                n += end - a
-                if n > MOST_DIGITS:
-                    break
-                if n < 4 or any(x < end and start < y for x, y in near):
-                    continue
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _numbers(text: str, a: int, b: int) -> Iterator[Segment]:
+    """Candidates inside text[a:b]; each starts at a group of digits, or one or two signs ahead of it."""
+    groups = [(m.start() + a, m.end() + a) for m in _GROUP.finditer(text[a:b])]
+    for i, (first, _) in enumerate(groups):
+        n = 0
+        signs = next(k for k in range(3) if k == 2 or first - k - 1 < a or text[first - k - 1] not in "+(")
+        for x, end in groups[i : i + MOST_GROUPS]:
+            n += end - x
+            if n > MOST_DIGITS:
+                break
+            for start in range(first, first - signs - 1, -1) if n >= 4 else ():
                 f = digit_features(text, start, end)
-                found += [(start, end, "ip", f)] if 6 in f else []
-                found += [(start, end, "card", f)] if n >= 13 else []
-                found += [(start, end, "phone", f)] if 7 <= n <= 15 else []
-        if found:
-            yield sorted(found, key=lambda s: s[1])
-    last, found = 0, []
+                if 6 in f:
+                    yield start, end, "ip", f
+                if n >= 13:
+                    yield start, end, "card", f
+                if 7 <= n <= 15:
+                    yield start, end, "phone", f
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[Segment]:
+    """Segments (start, end, kind, features) that keep clear of the spans taken."""
+    starts, ends = _merged(taken)
+    for region in _REGION.finditer(text):
+        at, k = region.start(), bisect.bisect_right(ends, region.start())
+        while at < region.end():  # the region less what is taken
+            stop = min(region.end(), starts[k]) if k < len(starts) else region.end()
+            if stop - at >= 7 and len(_digits(text[at:stop])) >= 4:
+                yield from _numbers(text, at, stop)
+            if k == len(starts) or starts[k] >= region.end():
+                break
+            at, k = ends[k], k + 1
     for at in _AT.finditer(text):
-        if at.start() < last:
-            continue
-        window = text[max(last, at.start() - REACH) : at.end() + REACH]
-        for m in _OBSCURED.finditer(window):
-            a, b = (x + max(last, at.start() - REACH) for x in m.span())
-            if clear(a, b):
-                found.append((a, b, "email", mail_features(text, a, b)))
-            last = max(last, b)
-    if found:
-        yield sorted(found, key=lambda s: s[1])
+        host = _HOST_AFTER.match(text, at.end())
+        start = at.start()
+        while host and start > 0 and at.start() - start < MOST_LOCAL and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < at.start():
+            k = bisect.bisect_right(ends, start)
+            if k == len(starts) or starts[k] >= host.end():
+                yield start, host.end(), "email", mail_features(text, start, host.end())
 
 
 def _scores(segments, weights: np.ndarray) -> list[float]:
-    return [float(weights[[SLOTS[k] + i for i in f]].sum()) for _, _, k, f in segments]
+    w = weights.tolist()
+    return [sum(w[SLOTS[k] + i] for i in f) for _, _, k, f in segments]
 
 
 def _before(segments) -> list[int]:
@@ -220,7 +241,7 @@ def examples(n: int, seed: int) -> Iterator[tuple[str, set[tuple[str, int, int]]
             p = (num(3), num(3), num(4))
             said, kind = r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "00{} {} {}", "({}){}-{}")).format(*p), "phone"
         elif pick == 4:
-            said, kind = "0{} {}/{}".format(num(2), num(3), num(4)).replace("/", r.choice(("-", " "))), None
+            said, kind = "0{} {}{}{}".format(num(2), num(3), r.choice(("-", " ")), num(4)), "phone"
         elif pick < 7:
             dot = r.choice(("[.]", "(.)", " . "))
             said, kind = dot.join(str(r.randrange(256)) for _ in range(4)), "ip"
@@ -252,8 +273,8 @@ def train(n: int = 900, rounds: int = 12, seed: int = 5) -> tuple[float, ...]:
     """Weights by AdaGrad ascent of the likelihood with a small ridge, on made-up lines."""
     cases = []
     for text, gold in examples(n, seed):
-        fixed = [(a, b) for _, a, b in base_spans(text)]
-        cases += [(segments, gold) for segments in candidates(text, fixed)]
+        segments = sorted(candidates(text, [(a, b) for _, a, b in base_spans(text)]), key=lambda s: s[1])
+        cases += [(segments, gold)] if segments else []
     weights, squares, order = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-6), random.Random(seed)
     weights[[SLOTS[k] for k in KINDS]] = -1.0
     for _ in range(rounds):
@@ -266,7 +287,10 @@ def train(n: int = 900, rounds: int = 12, seed: int = 5) -> tuple[float, ...]:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray) -> list[tuple[str, int, int]]:
-    return [s for segments in candidates(text, [(a, b) for _, a, b in base]) for s in decode(segments, weights)]
+    """The best set of segments over the whole text; one that scores nothing by itself is never in it."""
+    w = weights.tolist()
+    worth = [s for s in candidates(text, [(a, b) for _, a, b in base]) if sum(w[SLOTS[s[2]] + i] for i in s[3]) > 0]
+    return decode(sorted(worth, key=lambda s: s[1]), weights) if worth else []
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
@@ -293,7 +317,8 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     The counts and base_spans are of the fixed patterns' spans; spans has these and those the field adds (n_added), which
     never overlap the fixed ones. Positions are code points, ends exclusive. Null text counts as empty: no spans and
-    empty lists. Null ids are kept; repeated rows are reported each. An empty table gives an empty
+    empty lists. Added spans never overlap each other either. The work grows with the length of a text and no faster, whatever
+    it holds. Null ids are kept; repeated rows are reported each. An empty table gives an empty
     result. Other columns play no part. Kinds may overlap among the fixed patterns, as these are matched kind by kind.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
