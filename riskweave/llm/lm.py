@@ -7,7 +7,7 @@ again? Predictors are how often that came true so far in this document; the gate
 a row it came true. Weights are fitted on all training documents and refined further while a document is read.
 
 Spelling: a word that isn't recalled is its bytes and an end mark, and each byte a run of decisions: its Huffman code among the bytes that
-follow the two before it. For each decision several predictors (the code's own node; hashed contexts: the last three bytes, the last five, the word
+follow the two before it. For each decision several predictors (the code's own node; hashed contexts: the last three bytes, and the word
 so far, each with the document's class) give a probability from exact counts over all training documents; their logits are mixed with weights that a
 gate selects by what each context has seen. The class is the group of short words that the document has had most of so far (Classes); short
 words that share documents are a group, so classes are languages, mostly. A word's spelling costs the same wherever it stands in a
@@ -25,9 +25,9 @@ import xxhash
 
 from .common import M1, M2, mix
 
-#: Bytes that hashed contexts look back (within a word); one more is the word so far, up to eight bytes.
-ORDERS = (3, 5)
-CONTEXTS = len(ORDERS) + 1
+#: Bytes that the first kind of context looks back (within a word); the second is the word so far, up to DEPTH bytes.
+ORDER, DEPTH = 3, 64
+CONTEXTS = 2
 #: Stretches of a document, in recall decisions, after each of which its own weights are refined; each is four times as long.
 FIRST_STRETCH = 64
 #: Of a step's full length, and what is added to the curvature (as if so much had been seen).
@@ -107,12 +107,14 @@ def bucket(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word) % BUCKETS if 0 < len(word) <= SHORT else BUCKETS
 
 
-def together(texts: list[bytes]) -> np.ndarray:
-    """In how many of the texts each two buckets of short words occur; the last is for no bucket, which all texts have."""
-    x = np.zeros((len(texts), BUCKETS + 1), np.float32)
+def together(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """In how many documents each two buckets of short words occur; the last is for no bucket, which all documents have.
+
+    own: the bucket of each token, sizes: tokens in each document.
+    """
+    x = np.zeros((len(sizes), BUCKETS + 1), np.float32)
+    x[np.repeat(np.arange(len(sizes)), sizes), own] = 1
     x[:, BUCKETS] = 1
-    for row, t in zip(x, texts, strict=True):
-        row[[bucket(w) for w in set(t.split()) if len(w) <= SHORT]] = 1
     return (x.T @ x).astype(np.float64)
 
 
@@ -162,20 +164,21 @@ class Batch:
     def __init__(self, words: list[bytes], of: np.ndarray):
         self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.bytes = joined = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8) if words else np.empty(0, np.uint8)
-        w = np.zeros(len(joined), np.uint64)  # the eight bytes before, the last one lowest
-        w[1:] = joined[:-1]
-        for step in (1, 2, 4):
-            w[step:] |= w[:-step] << np.uint64(8 * step)
-        begun = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        since = np.minimum(np.arange(len(joined)) - begun, 8)
-        low = np.array([0, *(256**k - 1 for k in range(1, 8)), 2**64 - 1], np.uint64)
-        w &= low[since]
+        first = np.cumsum(self.sizes) - self.sizes
+        begun = np.repeat(first, self.sizes)
+        since = np.arange(len(joined)) - begun
+        w = np.zeros(len(joined), np.uint64)  # the bytes before, the last one lowest
+        for k in range(1, ORDER + 1):
+            w[k:] |= np.where(since[k:] >= k, joined[:-k], 0).astype(np.uint64) << np.uint64(8 * (k - 1))
         self.pair = (w & np.uint64(0xFFFF)).astype(np.intp)
         own = np.repeat(mix(of.astype(np.uint64) + M2), self.sizes)
-        with np.errstate(over="ignore"):
-            kinds = [own ^ mix((w & low[k]) + np.minimum(since, k).astype(np.uint64) * M2 + M1 * np.uint64(k)) for k in (*ORDERS, 8)]
-        #: For each kind of context 48 bits for what precedes a byte, then the byte.
-        self.keys = [(mix(x) >> np.uint64(16) << np.uint64(8) | joined).astype(np.int64) for x in kinds]
+        near = own ^ mix(w + np.minimum(since, ORDER).astype(np.uint64) * M2)
+        said = np.cumsum(mix(joined * M1 + since.astype(np.uint64) * M2), dtype=np.uint64)  # each byte at its place adds a number of its own
+        said = np.concatenate([np.zeros(1, np.uint64), said])[:-1] if len(said) else said
+        far = own ^ mix(said - said[begun] + since.astype(np.uint64) * M1) if len(said) else said
+        #: For each kind of context 48 bits for what precedes a byte, then the byte. Context 0: beyond DEPTH, nothing is known.
+        self.keys = [(mix(x) >> np.uint64(16) << np.uint64(8) | joined).astype(np.int64) for x in (near, far)]
+        self.keys[1][since > DEPTH] &= 255
 
 
 def tally(batch: Batch, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -183,6 +186,7 @@ def tally(batch: Batch, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
     times, out = np.repeat(times, batch.sizes), []
     for keys in batch.keys:
         order = np.argsort(keys)
+        order = order[np.searchsorted(keys[order], 256) :]
         keys = keys[order]
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.intp)
         out.append((keys[new], np.add.reduceat(times[order], new) if len(new) else np.empty(0, np.int64)))

@@ -1,333 +1,400 @@
-"""The language model of lm.py, learnt from and applied to a table of documents."""
+"""The language model of lm.py, learnt from and applied to a table of documents.
+
+Chunks of documents tell owners of ranges of words which words they have, class by class, and how often. An owner sums them up and so has
+all words of its range side by side: what follows the beginning of a word it knows by itself, but for beginnings that
+words of its neighbours share, and last bytes, which owners of hash ranges tell. Each word is spelt once and the answer sent back to the chunks.
+"""
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lm
-from .common import discard, materialise, text_of, width
-from .substring import _unzip, _zip
+from .common import discard, materialise, press, text_of, unpress, width
 
-#: Bytes of text handled as one chunk, of distinct words as one piece, and of either at once by the model.
-CHUNK, PIECE, BATCH = 8 << 20, 1 << 20, 1 << 18
-#: Contexts that an owner answers for, about.
-OWNED = 4 << 20
-#: Columns with a word's count in each class.
-_N = [f"n{k}" for k in range(lm.CLASSES + 1)]
+#: Bytes of text in a chunk, bytes of text for each owner of words, tokens handled at once, and bytes of words spelt at once.
+CHUNK, OWNED, TOKENS, SPELT = 8 << 20, 16 << 20, 50_000, 1 << 18
+#: Words that each task draws for the bounds of the owners' ranges.
+DRAWN = 64
+#: Rows between tasks. Which of the blobs a row has follows from its kind.
+ROW = "kind int, owner int, chunk long, start long, a binary, b binary, c binary, d binary"
+UNIT = lm.CLASSES + 1
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def _numbered(size: int, column: str, number: str):
-    """Rows with a number for each run of them that has so many bytes in a column."""
+def _row(kind: int, owner: int = 0, chunk: int = 0, start: int = 0, a: bytes = b"", b: bytes = b"", c: bytes = b"", d: bytes = b"") -> tuple:
+    return kind, owner, chunk, start, a, b, c, d
 
-    def number_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, held = TaskContext.get().partitionId() << 32, 0
-        for frame in frames:
-            runs = []
-            for n in frame[column].map(len):
-                held += n + 64
-                runs.append(run)
-                if held > size:
-                    run, held = run + 1, 0
-            yield frame.assign(**{number: runs})
 
-    return number_runs
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "owner", "chunk", "start", "a", "b", "c", "d"])
 
 
-def _said(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as lower-case words with single spaces."""
-    for frame in frames:
-        yield frame[["doc_id", "held_out"]].assign(said=[b" ".join(body.encode("utf-8", "surrogatepass").lower().split()) for body in frame["body"]])
+def _bytes(words: list[bytes]) -> bytes:
+    return zstandard.compress(b"\n".join(words), 1)
 
 
-def _batches(said) -> Iterator[list[bytes]]:
-    batch, size = [], 0
-    for t in said:
-        batch.append(t)
-        size += len(t)
-        if size > BATCH:
-            yield batch
-            batch, size = [], 0
-    if batch:
-        yield batch
+def _list(blob: bytes) -> list[bytes]:
+    return zstandard.decompress(blob).split(b"\n")
 
 
-def _tokens(texts: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all words, each text's end after its last, and how many there are of each text."""
-    lists = [[*t.split(), b""] for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum())), sizes
+def _said(bodies) -> list[bytes]:
+    """Texts as lower-case words, each with a space after it."""
+    return [b" ".join([*body.encode("utf-8", "surrogatepass").lower().split(), b""]) for body in bodies]
 
 
-def _runs(frames: Iterator[pd.DataFrame], number: str) -> Iterator[tuple[int, pd.DataFrame]]:
-    """The frames' rows run by run; a run lies in one piece, across frames perhaps."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        for run, part in frame.groupby(number, sort=True):
-            if held and held[0][number].iloc[0] != run:
-                yield int(held[0][number].iloc[0]), pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield int(held[0][number].iloc[0]), pd.concat(held)
-
+def tokens(said: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words in order, the number of each text's words and then its end (the empty word), and how many there are."""
+    lists = pc.split_pattern(pa.array(said, pa.large_binary()), b" ")
+    flat = lists.flatten().dictionary_encode()
+    order = pc.array_sort_indices(flat.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = flat.indices.to_numpy(zero_copy_only=False)
+    return flat.dictionary.take(pa.array(order)).to_pylist(), rank[at], np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
-def _together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros((lm.BUCKETS + 1, lm.BUCKETS + 1))
-    for frame in frames:
-        for texts in _batches(frame["said"]):
-            total += lm.together(texts)
-    yield pd.DataFrame({"sums": [total.tobytes()]})
 
+def _buckets(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(lm.bucket, words), np.int64, len(words))
 
-def _added(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros((lm.BUCKETS + 1) ** 2)
-    for frame in rows:
-        for sums in frame["sums"]:
-            total += np.frombuffer(sums)
-    yield pd.DataFrame({"sums": [total.tobytes()]})
-
-
-def _grouped(train: DataFrame) -> np.ndarray:
-    """The groups of short words, from all training documents."""
-    few = max(1, math.isqrt(width(train.sparkSession)))
-    parts = train.mapInPandas(_together, "sums binary").repartition(few).mapInPandas(_added, "sums binary").collect()
-    return lm.groups(sum((np.frombuffer(r["sums"]) for r in parts), np.zeros((lm.BUCKETS + 1) ** 2)).reshape(lm.BUCKETS + 1, lm.BUCKETS + 1))
-
-
-def _words(group: np.ndarray):
-    """A chunk's words by class, and how often its training documents have each; the end is a word. Then its sums for recall."""
-
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, docs in _runs(frames, "chunk"):
-            held, fit, seen = docs["held_out"].to_numpy(bool), lm.Fit(lm.RECALL_GATES, lm.RECALL_START), []
-            distinct = {b""}.union(*(t.split() for t in docs["said"]))
-            index = {w: i for i, w in enumerate(distinct)}
-            own = group[[lm.bucket(w) for w in distinct]]
-            for learn in (True, False):
-                for texts in _batches(docs["said"][held != learn]):
-                    tokens, sizes = _tokens(texts, index)
-                    unit, n = np.unique(lm.classes(own[tokens], sizes) * len(index) + tokens, return_counts=True)
-                    seen.append((unit, n * learn))
-                    if learn:
-                        r = lm.Recall(tokens, sizes)
-                        fit.add(r.hit, r.inputs, r.gate)
-            unit, of = np.unique(np.concatenate([u for u, _ in seen]), return_inverse=True)
-            n = np.bincount(of, weights=np.concatenate([n for _, n in seen])).astype(np.int64)
-            said = np.array([*distinct, None], object)[:-1]
-            yield pd.DataFrame({"chunk": chunk, "class": unit // len(index), "word": said[unit % len(index)], "n": n, "sums": None})
-            yield pd.DataFrame({"chunk": [chunk], "class": [0], "word": [None], "n": [0], "sums": [fit.sums()]})
-
-    return words
-
-
-def _units(words: pd.DataFrame) -> pd.DataFrame:
-    """word, class, n (how often training documents have the word in it) from words with a count for each class, null where it never stands."""
-    counts = words[_N].to_numpy(float)
-    row, of = np.nonzero(~np.isnan(counts))
-    return pd.DataFrame({"word": words["word"].to_numpy()[row], "class": of, "n": counts[row, of].astype(np.int64)})
 
+def _parts(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Documents and their tokens, as many together as have TOKENS tokens."""
+    ends = np.cumsum(sizes)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield slice(a, b), slice(int(ends[a] - sizes[a]), int(ends[b - 1]))
 
-def _add_up(gates: int, start: np.ndarray):
-    def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A partition's sums in one row; every row's are of one fixed size."""
-        total = lm.Fit(gates, start)
-        for frame in rows:
-            for sums in frame["sums"]:
-                total.take(sums)
-        yield pd.DataFrame({"sums": [total.sums()]})
 
-    return add
+# What is known before words are counted: the groups of short words, and bounds of ranges of words.
 
 
-def _fitted(sums: DataFrame, gates: int, start: np.ndarray) -> lm.Fit:
-    """The sum of a column of sums, added up in two steps before it reaches the driver."""
-    add = _add_up(gates, start)
-    few = max(1, math.isqrt(width(sums.sparkSession)))
-    out = lm.Fit(gates, start)
-    for r in sums.mapInPandas(add, "sums binary").repartition(few).mapInPandas(add, "sums binary").collect():
-        out.take(r["sums"])
-    return out
-
-
-def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(pair, byte, n): how often training documents have a byte after two others, within words."""
+def _look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    both, size, drawn = np.zeros((lm.BUCKETS + 1, lm.BUCKETS + 1)), 0, {}
     for frame in frames:
-        for at in range(0, len(frame), 50_000):
-            part = _units(frame.iloc[at : at + 50_000])
-            b = lm.Batch(part["word"].tolist(), part["class"].to_numpy())
-            key, of = np.unique(b.pair << 8 | b.bytes, return_inverse=True)
-            n = np.bincount(of, weights=np.repeat(part["n"].to_numpy(), b.sizes)).astype(np.int64)
-            yield pd.DataFrame({"pair": (key >> 8).astype(np.int32), "byte": (key & 255).astype(np.int32), "n": n})[n > 0]
-
-
-def _code(words: DataFrame) -> lm.Code:
-    """Codes from the counts of bytes after pairs of bytes; there are 65,536 pairs at most, and far fewer in text."""
-    triples = words.mapInPandas(_triples, "pair int, byte int, n long").groupBy("pair", "byte").agg(F.sum("n").alias("n"))
-    own: dict[int, dict[int, int]] = {}
-    singles = np.zeros((256, 256), np.int64)
-    for r in triples.collect():
-        own.setdefault(r["pair"], {})[r["byte"]] = r["n"]
-        singles[r["pair"] & 255, r["byte"]] += r["n"]
-    return lm.Code(own, singles)
-
-
-def _pack(keys: np.ndarray) -> bytes:
-    return _zip(np.diff(keys, prepend=0))
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unzip(blob))
-
-
-def _tally(owners: int):
-    """Messages of a piece to owners of hash ranges: the contexts it has, and how often training documents have each byte after each."""
-
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece, words in _runs(frames, "piece"):
-            units = _units(words)
-            for kind, (keys, n) in enumerate(lm.tally(lm.Batch(units["word"].tolist(), units["class"].to_numpy()), units["n"].to_numpy())):
-                edges = np.searchsorted(keys >> 8, [(o << 48) // owners for o in range(owners + 1)])  # a context has one owner
-                rows = [(o, kind, piece, _pack(keys[a:b]), _zip(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-                yield pd.DataFrame(rows, columns=["owner", "kind", "piece", "keys", "counts"])
+        said = _said(frame["body"])
+        size += sum(map(len, said))
+        words, at, sizes = tokens(said)
+        own, learn = _buckets(words)[at], ~frame["held_out"].to_numpy(bool)
+        for d, t in _parts(sizes):
+            keep = np.repeat(learn[d], sizes[d])
+            both += lm.together(own[t][keep], sizes[d][learn[d]])
+        drawn.update((xxhash.xxh32_intdigest(w), w) for w in words)
+        drawn = dict(sorted(drawn.items())[:DRAWN])
+    yield pd.DataFrame({"sums": [both.tobytes()], "size": [size], "drawn": [_bytes(sorted(drawn.values()))]})
+
+
+def _looked(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    both, size, drawn = np.zeros((lm.BUCKETS + 1) ** 2), 0, []
+    for frame in rows:
+        for sums in frame["sums"]:
+            both += np.frombuffer(sums)
+        size += int(frame["size"].sum())
+        drawn += [w for blob in frame["drawn"] for w in _list(blob)]
+    yield pd.DataFrame({"sums": [both.tobytes()], "size": [size], "drawn": [_bytes(drawn)]})
+
+
+def _overview(slim: DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """The group of each bucket of short words, and the words at which owners' ranges begin (but the first)."""
+    kinds, few = "sums binary, size long, drawn binary", max(1, math.isqrt(width(slim.sparkSession)))
+    parts = slim.mapInPandas(_look, kinds).repartition(few).mapInPandas(_looked, kinds).collect()
+    both = sum((np.frombuffer(r["sums"]) for r in parts), np.zeros((lm.BUCKETS + 1) ** 2))
+    drawn = sorted(w for r in parts for w in _list(r["drawn"]))
+    owners = max(1, -(-sum(r["size"] for r in parts) // OWNED))
+    bounds = {drawn[k * len(drawn) // owners] for k in range(1, owners)}
+    return lm.groups(both.reshape(lm.BUCKETS + 1, -1)), sorted(bounds - {b""})
+
+
+# Chunks. Kind 0: a chunk's documents (ids and marks, sizes, tokens, numbers of units). Kind 1: to an owner (words, classes, counts). Kind 2: sums for recall.
+
+
+def _chunk(number: int, docs: pd.DataFrame, group: np.ndarray, bounds: list[bytes]) -> list[tuple]:
+    words, at, sizes = tokens(docs["said"].tolist())
+    own, learn, fit = group[_buckets(words)], ~docs["held_out"].to_numpy(bool), lm.Fit(lm.RECALL_GATES, lm.RECALL_START)
+    unit = np.empty(len(at), np.int64)
+    for d, t in _parts(sizes):
+        unit[t] = at[t] * UNIT + lm.classes(own[at[t]], sizes[d])
+        keep = np.repeat(learn[d], sizes[d])
+        if keep.any():
+            r = lm.Recall(at[t][keep], sizes[d][learn[d]])
+            fit.add(r.hit, r.inputs, r.gate)
+    units, of = np.unique(unit, return_inverse=True)
+    n = np.bincount(of, weights=np.repeat(learn, sizes)).astype(np.int64)
+    marks = docs["no_id"].to_numpy(bool) * 2 + docs["held_out"].to_numpy(bool)
+    lengths = np.fromiter(map(len, docs["said"]), np.int64, len(docs))
+    rows = [_row(0, chunk=number, a=press(np.stack([docs["doc_id"].to_numpy(), marks, sizes, lengths])), b=press(at), c=press(of))]
+    edges = np.searchsorted(units, [0, *(bisect.bisect_left(words, w) * UNIT for w in bounds), len(words) * UNIT])
+    for o, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+        if b > a:
+            rows.append(_row(1, o, number, a, _bytes([words[r] for r in (units[a:b] // UNIT).tolist()]), press(units[a:b] % UNIT), press(n[a:b])))
+    return [*rows, _row(2, a=fit.sums())]
+
+
+def _chunks(group: np.ndarray, bounds: list[bytes]):
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for frame in frames:
+            docs = frame[["doc_id", "no_id", "held_out"]].assign(said=_said(frame["body"]))
+            ends = size + np.cumsum(docs["said"].map(len).to_numpy(np.int64) + 64)
+            cut = (ends // CHUNK).astype(np.int64)
+            for k in np.unique(cut):
+                if k and held:
+                    yield _frame(_chunk(number, pd.concat(held), group, bounds))
+                    number, held = number + 1, []
+                held.append(docs[cut == k])
+            size = int(ends[-1] % CHUNK)
+        if held:
+            yield _frame(_chunk(number, pd.concat(held), group, bounds))
+
+    return chunks
+
+
+# Owners of words. Kind 3: an owner's units (words, classes, counts). Kind 4: the place of each unit of a chunk among them. Kind 5: what contexts are followed by.
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    sent = [_list(b) for b in rows["a"]]
+    flat = pa.array([w for ws in sent for w in ws], pa.large_binary()).dictionary_encode()
+    order = pc.array_sort_indices(flat.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    units, of = np.unique(rank[flat.indices.to_numpy(zero_copy_only=False)] * UNIT + np.concatenate([unpress(b) for b in rows["b"]]), return_inverse=True)
+    n = np.bincount(of, weights=np.concatenate([unpress(c) for c in rows["c"]])).astype(np.int64)
+    words, owner = flat.dictionary.take(pa.array(order[units // UNIT])).to_pylist(), int(rows["owner"].iloc[0])
+    out, at = [_row(3, owner, a=_bytes(words), b=press(units % UNIT), c=press(n))], 0
+    for chunk, start, ws in zip(rows["chunk"], rows["start"], sent, strict=True):
+        out.append(_row(4, owner, chunk, start, press(of[at : at + len(ws)])))
+        at += len(ws)
+    return _frame(out)
+
+
+class Owned:
+    """An owner's units: words (sorted), of (the class each stands in) and n; and what it knows of contexts by itself."""
+
+    def __init__(self, row):
+        self.words, self.of, self.n = _list(row.a), unpress(row.b), unpress(row.c)
+        slices = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) // SPELT
+        self.cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(self.words)]
+
+    def batches(self) -> Iterator[tuple[slice, lm.Batch]]:
+        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+            yield slice(a, b), lm.Batch(self.words[a:b], self.of[a:b])
+
+    def tallies(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind of context, keys and counts over all units."""
+        each = [lm.tally(batch, self.n[part]) for part, batch in self.batches()]
+        out = []
+        for kind in range(lm.CONTEXTS):
+            keys, at = np.unique(np.concatenate([x[kind][0] for x in each]), return_inverse=True)
+            out.append((keys, np.bincount(at, weights=np.concatenate([x[kind][1] for x in each])).astype(np.int64)))
+        return out
+
+    def shared(self) -> np.ndarray:
+        """Contexts of the second kind that neighbours may have too: beginnings of the first and of the last word."""
+        ends = [w[: lm.DEPTH] for w in (self.words[0], self.words[-1]) for _ in range(UNIT)]
+        return np.unique(lm.Batch(ends, np.tile(np.arange(UNIT), 2)).keys[1] >> 8)
+
+
+def _asked(owners: int):
+    """Messages to owners of hash ranges: the contexts that a range of words doesn't know alone, and what it has after them."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                own = Owned(row)
+                for kind, (keys, n) in enumerate(own.tallies()):
+                    if kind:
+                        at = np.isin(keys >> 8, own.shared())
+                        keys, n = keys[at], n[at]
+                    edges = np.searchsorted(keys >> 8, [(o << 48) // owners for o in range(owners + 1)])  # a context has one owner
+                    yield _frame([_row(kind, o, row.owner, 0, press(np.diff(keys[a:b], prepend=0)), press(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
 
-    return send
+    return ask
 
 
 def _tell(messages: pd.DataFrame) -> pd.DataFrame:
     """Answers each message with all bytes that training documents have after its contexts, and how often."""
-    sent = [_unpack(b) for b in messages["keys"]]
+    sent = [np.cumsum(unpress(b)) for b in messages["a"]]
     keys, at = np.unique(np.concatenate(sent), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([_unzip(b) for b in messages["counts"]])).astype(np.int64)
+    n = np.bincount(at, weights=np.concatenate([unpress(b) for b in messages["b"]])).astype(np.int64)
     keys, n = keys[n > 0], n[n > 0]
     context, rows = keys >> 8, []
-    for s in sent:
+    for kind, asker, s in zip(messages["kind"], messages["chunk"], sent, strict=True):
         own = np.unique(s >> 8)
         has = own[np.minimum(np.searchsorted(own, context), len(own) - 1)] == context
-        rows.append((_pack(keys[has]), _zip(n[has])))
-    return pd.DataFrame({"kind": messages["kind"], "piece": messages["piece"], "keys": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+        rows.append(_row(5, int(asker), 0, int(kind), press(np.diff(keys[has], prepend=0)), press(n[has])))
+    return _frame(rows)
 
 
-def _known(told: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of each kind, sorted; parts of a piece may have come as several messages."""
+def _known(own: Owned, told: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each kind of context, over all training documents."""
     out = []
-    for kind in range(lm.CONTEXTS):
-        part = told[told["kind"] == kind]
-        keys = np.concatenate([np.empty(0, np.int64), *map(_unpack, part["keys"])])
-        n = np.concatenate([np.empty(0, np.int64), *map(_unzip, part["counts"])])
-        keys, first = np.unique(keys, return_index=True)
-        out.append((keys, n[first]))
+    for kind, (own_keys, own_n) in enumerate(own.tallies()):
+        part = told[told["start"] == kind]
+        keys = np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpress(b)) for b in part["a"])])
+        n = np.concatenate([np.empty(0, np.int64), *map(unpress, part["b"])])
+        if kind:
+            alone = ~np.isin(own_keys >> 8, own.shared())
+            keys, n = np.concatenate([keys, own_keys[alone]]), np.concatenate([n, own_n[alone]])
+        order = np.argsort(keys)
+        out.append((keys[order], n[order]))
     return out
 
 
-def _slices(words: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """A piece's words, as many at a time as have BATCH bytes."""
-    at = np.cumsum(words["word"].map(len).to_numpy(np.int64) + 1) // BATCH
-    for _, part in words.groupby(at):
-        yield part
-
-
 def _fit(code):
-    def fit(words: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """A piece's sums for the mixing weights, each word as often as training documents have it."""
-        units, known = _units(words), _known(told)
-        sums = lm.Fit(lm.GATES, lm.SPELL_START)
-        for part in _slices(units[units["n"] > 0]):
-            batch = lm.Batch(part["word"].tolist(), part["class"].to_numpy())
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        """A range's sums for the mixing weights, each word as often as training documents have it."""
+        own = Owned(next(rows[rows["kind"] == 3].itertuples()))
+        known, sums = _known(own, rows[rows["kind"] == 5]), lm.Fit(lm.GATES, lm.SPELL_START)
+        for part, batch in own.batches():
             n, bits, logits, gate = lm.inputs(code.value, batch, known, True)
             by = np.add.reduceat(n, np.cumsum(batch.sizes) - batch.sizes)
-            sums.add(bits, logits, gate, np.repeat(part["n"].to_numpy(), by))
+            sums.add(bits, logits, gate, np.repeat(own.n[part], by))
         return pd.DataFrame({"sums": [sums.sums()]})
 
     return fit
 
 
 def _spell(code, weights: np.ndarray):
-    def spell(words: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        known, out = _known(told), np.full((len(words), lm.CLASSES + 1), np.nan, np.float32)
-        units = _units(words).assign(at=np.nonzero(~np.isnan(words[_N].to_numpy(float)))[0])
-        for part in _slices(units):
-            batch = lm.Batch(part["word"].tolist(), part["class"].to_numpy())
-            out[part["at"], part["class"]] = lm.spelling(batch, *lm.inputs(code.value, batch, known), weights)
-        return pd.DataFrame({"word": words["word"], "n": np.nansum(words[_N].to_numpy(float), 1).astype(np.int64), "spelt": [x.tobytes() for x in out]})
+    def spell(rows: pd.DataFrame) -> pd.DataFrame:
+        """Answers to chunks: for each of their units how often training documents have its word, and what it costs to spell."""
+        own = Owned(next(rows[rows["kind"] == 3].itertuples()))
+        known = _known(own, rows[rows["kind"] == 5])
+        spelt = np.concatenate([lm.spelling(batch, *lm.inputs(code.value, batch, known), weights) for _, batch in own.batches()]).astype(np.float32)
+        word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
+        n, out = np.bincount(word, weights=own.n).astype(np.int64)[word], []
+        for row in rows[rows["kind"] == 4].itertuples():
+            at = unpress(row.a)
+            out.append(_row(6, 0, row.chunk, row.start, press(n[at]), zstandard.compress(spelt[at].tobytes(), 1)))
+        return _frame(out)
 
     return spell
 
 
-def _score(group: np.ndarray, recall: np.ndarray, n_all: int, distinct: int):
-    def score(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "train_tokens"])
-        index = {w: i for i, w in enumerate(words["word"])}
-        own = group[[lm.bucket(w) for w in words["word"]]]
-        seen, spelt = words["n"].to_numpy(), np.frombuffer(b"".join(words["spelt"]), np.float32).reshape(-1, lm.CLASSES + 1)
-        base, known, out = np.log10((seen + 1) / (n_all + distinct + 1)), seen > 0, []
-        for texts in _batches(docs["said"]):
-            tokens, sizes = _tokens(texts, index)
-            r, first = lm.Recall(tokens, sizes), np.cumsum(sizes) - sizes
-            logs = spelt[tokens, lm.classes(own[tokens], sizes)].astype(float)
+def _score(recall: np.ndarray, n_all: int, distinct: int):
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "train_tokens"]
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        answers = rows[rows["kind"] == 6].sort_values("start")
+        seen = np.concatenate([unpress(b) for b in answers["a"]])
+        spelt = np.concatenate([np.frombuffer(zstandard.decompress(b), np.float32) for b in answers["b"]]).astype(float)
+        base, known, out = np.log10((seen + 1) / (n_all + distinct + 1)), (seen > 0).astype(float), []
+        row = next(rows[rows["kind"] == 0].itertuples())
+        ids, marks, sizes, lengths = unpress(row.a).reshape(4, -1)
+        at, of = unpress(row.b), unpress(row.c)
+        for d, t in _parts(sizes):
+            r, first = lm.Recall(at[t], sizes[d]), np.cumsum(sizes[d]) - sizes[d]
+            logs = spelt[of[t]]
             logs[r.at[r.hit]] = 0.0  # a word that is recalled isn't spelt
             logs[r.at] += r.logs(recall)
-            out.append(np.stack([sizes, *(np.add.reduceat(x[tokens], first) for x in (known.astype(float), base)), np.add.reduceat(logs, first)]))
-        n, k, b, logs = np.concatenate(out, 1)
-        size = docs["said"].map(len).to_numpy() + 1
+            out.append(np.stack([np.add.reduceat(x, first) for x in (known[of[t]], base[of[t]], logs)]))
+        k, b, logs = np.concatenate(out, 1)
+        named = pd.Series(ids, dtype="Int64").mask(marks >= 2)
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(), "n_tokens": n.astype(np.int64), "n_known": k.astype(np.int64), "base_score": b,
-            "score": logs / math.log(10), "bits_per_byte": -logs / math.log(2) / size, "train_tokens": n_all,
-        })
+            "doc_id": named, "held_out": marks % 2 == 1, "n_tokens": sizes, "n_known": k.astype(np.int64), "base_score": b,
+            "score": logs / math.log(10), "bits_per_byte": -logs / math.log(2) / np.maximum(lengths, 1), "train_tokens": n_all,
+        })[columns]
 
     return score
 
 
+# The model's parts.
+
+
+def _add_up(gates: int, start: np.ndarray):
+    def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition's sums in one row; every row's are of one fixed size."""
+        total = lm.Fit(gates, start)
+        for frame in rows:
+            for sums in frame["sums"]:
+                total.take(sums)
+        yield pd.DataFrame({"sums": [total.sums()]})
+
+    return add
+
+
+def _fitted(sums: DataFrame, gates: int, start: np.ndarray) -> lm.Fit:
+    """The sum of a column of sums, added up in two steps before it reaches the driver."""
+    add, out = _add_up(gates, start), lm.Fit(gates, start)
+    few = max(1, math.isqrt(width(sums.sparkSession)))
+    for r in sums.mapInPandas(add, "sums binary").repartition(few).mapInPandas(add, "sums binary").collect():
+        out.take(r["sums"])
+    return out
+
+
+def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pair, byte, n): how often training documents have a byte after two others, within words; pair -1: tokens, -2: words they have."""
+    for frame in frames:
+        for row in frame.itertuples():
+            own = Owned(row)
+            word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
+            yield pd.DataFrame({"pair": [-1, -2], "byte": [0, 0], "n": [int(own.n.sum()), int((np.bincount(word, weights=own.n) > 0).sum())]}).astype({"pair": "int32", "byte": "int32"})
+            for part, b in own.batches():
+                key, of = np.unique(b.pair << 8 | b.bytes, return_inverse=True)
+                n = np.bincount(of, weights=np.repeat(own.n[part], b.sizes)).astype(np.int64)
+                yield pd.DataFrame({"pair": (key >> 8).astype(np.int32), "byte": (key & 255).astype(np.int32), "n": n})[n > 0]
+
+
+def _code(units: DataFrame) -> tuple[lm.Code, int, int]:
+    """Codes from the counts of bytes after pairs of bytes (65,536 pairs at most, far fewer in text); tokens and words of training documents."""
+    triples = units.mapInPandas(_triples, "pair int, byte int, n long").groupBy("pair", "byte").agg(F.sum("n").alias("n"))
+    own: dict[int, dict[int, int]] = {}
+    singles = np.zeros((256, 256), np.int64)
+    totals = {-1: 0, -2: 0}
+    for r in triples.collect():
+        if r["pair"] < 0:
+            totals[r["pair"]] = r["n"]
+        else:
+            own.setdefault(r["pair"], {})[r["byte"]] = r["n"]
+            singles[r["pair"] & 255, r["byte"]] += r["n"]
+    return lm.Code(own, singles), totals[-1], totals[-2]
+
+
 def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs.
 
     A text counts as its words (runs of other bytes than ASCII white space, A-Z lowered) with single spaces and an end. The model
     and the base learn from all documents that aren't held out (crc32 of the id as text, modulo 7, is 2). score is the model's
     log10 probability, base_score that of smoothed word counts. Null text is empty: one token, the end. A null id isn't
-    held out. Repeated rows are learnt from and scored each. A word may be of any length; contexts look back eight bytes in it.
+    held out. Repeated rows are learnt from and scored each. A word may be of any length; its contexts look back DEPTH bytes.
     An empty table gives an empty result. Other columns play no part.
-
-    Words are counted chunk by chunk and class by class, then summed by word. Distinct words are dealt out again in pieces; owners of hash
-    ranges tell each piece what follows its contexts. Each distinct word is spelt once for each class it stands in, and goes back to the chunks that have it.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).withColumn("held_out", held_out())
-    plain = slim.mapInPandas(_said, "doc_id long, held_out boolean, said binary")
-    table = materialise(plain.mapInPandas(_numbered(CHUNK, "said", "chunk"), "doc_id long, held_out boolean, said binary, chunk long"), "lm-texts")
-
-    group = _grouped(table.filter("not held_out").select("said"))
-    had = materialise(table.mapInPandas(_words(group), "chunk long, class int, word binary, n long, sums binary"), "lm-had")
-    recall = _fitted(had.filter("sums is not null").select("sums"), lm.RECALL_GATES, lm.RECALL_START).weights()
-    had_words = had.filter("sums is null")
-    counted = had_words.groupBy("word").agg(*(F.sum(F.when(F.col("class") == k, F.col("n"))).alias(c) for k, c in enumerate(_N)))
-    words = materialise(counted.mapInPandas(_numbered(PIECE, "word", "piece"), f"word binary, {', '.join(f'{c} long' for c in _N)}, piece long"), "lm-words")
-    every = sum((F.coalesce(c, F.lit(0)) for c in _N), F.lit(0))
-    totals = words.agg(F.sum(every), F.sum((every > 0).cast("long")), F.sum(F.length("word") + 1)).head()
-    n_all, distinct, n_bytes = (int(x or 0) for x in totals)
-
-    code = spark.sparkContext.broadcast(_code(words.filter(every > 0)))
-    owners = max(1, n_bytes // OWNED)
-    messages = words.mapInPandas(_tally(owners), "owner int, kind int, piece long, keys binary, counts binary")
-    told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, "kind int, piece long, keys binary, counts binary"), "lm-counts")
-    asked = words.groupBy("piece").cogroup(told.groupBy("piece"))
-    weights = _fitted(asked.applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
-    spelt = materialise(asked.applyInPandas(_spell(code, weights), "word binary, n long, spelt binary"), "lm-spelt")
-    discard(told)
-    discard(words)
-
-    known = had_words.select("chunk", "word").join(spelt, "word").select("chunk", "word", "n", "spelt")
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long"
-    scored = table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_score(group, recall, n_all, distinct), kinds)
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
+    slim = plain.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), held_out().alias("held_out"), "body")
+    group, bounds = _overview(slim)
+    sent = materialise(slim.mapInPandas(_chunks(group, bounds), ROW), "lm-chunks")
+    recall = _fitted(sent.filter("kind = 2").select(F.col("a").alias("sums")), lm.RECALL_GATES, lm.RECALL_START).weights()
+    owned = materialise(sent.filter("kind = 1").groupBy("owner").applyInPandas(_merge, ROW), "lm-words")
+    units = owned.filter("kind = 3")
+    made, n_all, distinct = _code(units)
+    code = spark.sparkContext.broadcast(made)
+
+    messages = units.mapInPandas(_asked(len(bounds) // 4 + 1), ROW)
+    told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, ROW), "lm-contexts")
+    weights = _fitted(units.unionByName(told).groupBy("owner").applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
+    answers = materialise(owned.unionByName(told).groupBy("owner").applyInPandas(_spell(code, weights), ROW), "lm-answers")
+    discard(owned)
+    discard(told)
+    scored = sent.filter("kind = 0").unionByName(answers).groupBy("chunk").applyInPandas(_score(recall, n_all, distinct), kinds)
+    scored = materialise(scored, "lm-scores")
+    discard(sent)
+    discard(answers)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

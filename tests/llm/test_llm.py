@@ -350,6 +350,7 @@ def _units(seed, n=120):
     """Words in classes, how often each, and the code of their bytes."""
     r = random.Random(seed)
     units = {("".join(r.choices("abc\u0436", k=r.randint(0, 11))).encode(), r.randrange(3)): r.randint(0, 5) for _ in range(n)}
+    units[b"ab" * 50, 1] = units[b"ab" * 50 + b"c", 1] = 2
     said, of, times = [w for w, _ in units], np.array([c for _, c in units]), np.array(list(units.values()))
     batch, own, singles = lm.Batch(said, of), defaultdict(Counter), np.zeros((256, 256), np.int64)
     for p, b, n in zip(batch.pair.tolist(), batch.bytes.tolist(), np.repeat(times, batch.sizes).tolist(), strict=True):
@@ -371,11 +372,11 @@ def test_spelling_against_a_plain_mixer(leave_out):
     weights = np.random.default_rng(3).uniform(-0.2, 0.8, (lm.GATES, lm.CONTEXTS + 1)).astype(np.float32)
     got = lm.spelling(batch, *lm.inputs(code, batch, told, leave_out), weights)
     after = defaultdict(Counter)  # kind, class, place (up to the kind's reach) and what precedes -> byte -> count
-    steps = lambda w, c: [(w[:i], (w + b"\xff")[i], [(k, c, min(i, k), w[max(0, i - k) : i]) for k in (*lm.ORDERS, 8)]) for i in range(len(w) + 1)]
+    steps = lambda w, c: [(w[:i], (w + b"\xff")[i], [(0, c, min(i, lm.ORDER), w[max(0, i - lm.ORDER) : i]), (1, c, i, w[:i] if i <= lm.DEPTH else None)]) for i in range(len(w) + 1)]
     for w, c, n in zip(said, of.tolist(), times.tolist(), strict=True):
         for _, byte, contexts in steps(w, c):
             for x in contexts:
-                after[x][byte] += n
+                after[x][byte] += n if x[3] is not None else 0
     for w, c, value in zip(said, of.tolist(), got.tolist(), strict=True):
         want = 0.0
         for before, byte, contexts in steps(w, c):
@@ -443,29 +444,37 @@ def test_classes_and_recall_against_plain_loops():
 
 def test_groups_of_words_that_share_documents():
     texts = [b"of the is " * 3] * 5 + [b"der die das"] * 4 + [b"le la de"] * 3
-    group = lm.groups(lm.together([b" ".join(random.Random(i).sample(t.split(), 3)) for i, t in enumerate(texts)]))
+    words, at, sizes = lm_score.tokens(lm_score._said([t.decode() for t in texts]))
+    group = lm.groups(lm.together(lm_score._buckets(words)[at], sizes))
     of = [{int(group[lm.bucket(w)]) for w in ws} for ws in ([b"of", b"the", b"is"], [b"der", b"die", b"das"], [b"le", b"la", b"de"])]
     assert all(not a & b for i, a in enumerate(of) for b in of[:i]) and group[lm.bucket(b"longer")] == lm.CLASSES
     assert set(lm.groups(np.zeros((lm.BUCKETS + 1, lm.BUCKETS + 1))).tolist()) == {lm.CLASSES}
 
 
-def test_pieces_hear_what_all_training_documents_have(spark):
+def test_tokens():
+    said = lm_score._said(["One two  one", "", " \n ", "\u00c9 two"])
+    words, at, sizes = lm_score.tokens(said)
+    assert [words[i] for i in at] == [b"one", b"two", b"one", b"", b"", b"", "\u00c9".encode(), b"two", b""]
+    assert sizes.tolist() == [4, 1, 1, 3] and words == sorted(words)
+
+
+def test_owners_know_what_all_training_documents_have(spark):
     r = random.Random(3)
-    rows = [("".join(r.choices("abcde", k=r.randint(1, 6))).encode(), r.randint(0, 5) if c == i % 3 or c == 1 else None, c, i % 4) for i in range(900) for c in (0, 1)]
-    words = {}
-    for w, n, c, piece in rows:
-        words.setdefault(w, [[None] * (lm.CLASSES + 1), piece])[0][c] = n
-    df = spark.createDataFrame([(w, *n, piece) for w, (n, piece) in words.items()], f"word binary, {', '.join(f'{c} long' for c in lm_score._N)}, piece long").repartition(4, "piece").sortWithinPartitions("piece")
-    messages = df.mapInPandas(lm_score._tally(3), "owner int, kind int, piece long, keys binary, counts binary")
-    told = messages.groupBy("owner", "kind").applyInPandas(lm_score._tell, "kind int, piece long, keys binary, counts binary").toPandas()
-    every = lm_score._units(df.toPandas())
-    whole = lm.tally(lm.Batch(every["word"].tolist(), every["class"].to_numpy()), every["n"].to_numpy())
-    for piece, part in df.toPandas().groupby("piece"):
-        units = lm_score._units(part)
-        here = lm.Batch(units["word"].tolist(), units["class"].to_numpy()).keys
-        for (keys, n), (all_keys, all_n), own in zip(lm_score._known(told[told["piece"] == piece]), whole, here, strict=True):
-            asked = np.isin(all_keys >> 8, own >> 8) & (all_n > 0)
-            assert (keys == all_keys[asked]).all() and (n == all_n[asked]).all()
+    units = sorted({("".join(r.choices("ab", k=r.randint(0, 9))).encode(), r.randrange(3)) for _ in range(1500)})
+    n = [r.randint(0, 4) for _ in units]
+    whole = lm.tally(lm.Batch([w for w, _ in units], np.array([c for _, c in units])), np.array(n))
+    words, rows, cuts = sorted({w for w, _ in units}), [], [0, 40, 300, 301, 10**6]
+    for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        own = [i for i, (w, _) in enumerate(units) if a <= words.index(w) < b]
+        rows.append(lm_score._row(3, o, a=lm_score._bytes([units[i][0] for i in own]), b=lm_score.press(np.array([units[i][1] for i in own])), c=lm_score.press(np.array([n[i] for i in own]))))
+    df = spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in row) for row in rows], lm_score.ROW)
+    told = df.mapInPandas(lm_score._asked(3), lm_score.ROW).groupBy("owner", "kind").applyInPandas(lm_score._tell, lm_score.ROW).toPandas()
+    for o, row in enumerate(lm_score._frame(rows).itertuples()):
+        own = lm_score.Owned(row)
+        for (keys, n_keys), (all_keys, all_n), here in zip(lm_score._known(own, told[told["owner"] == o]), whole, lm.Batch(own.words, own.of).keys, strict=True):
+            has = n_keys > 0
+            asked = np.isin(all_keys >> 8, here >> 8) & (all_n > 0)
+            assert (keys[has] == all_keys[asked]).all() and (n_keys[has] == all_n[asked]).all()
 
 
 def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
@@ -477,12 +486,11 @@ def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "_code", lambda *a: asked.append(code(*a)) or asked[-1])
     lm_score.lm_score(df)
     train = [t for i, t in enumerate(said) if zlib.crc32(str(i).encode()) % 7 != 2]
-    recall, code, spelling = asked
+    recall, (code, _, _), spelling = asked
     times = Counter(w for t in train for w in [*t.split(), b""])
     decisions = {w: code.spell((b := lm.Batch([w], np.zeros(1))).pair, b.bytes)[0].sum() for w in times}
     assert spelling.seen == sum(n * decisions[w] for w, n in times.items())
-    index = {w: i for i, w in enumerate(times)}
-    assert recall.seen == len(lm.Recall(*lm_score._tokens(train, index)).at) and len(train) > 3500
+    assert recall.seen == len(lm.Recall(*lm_score.tokens(lm_score._said([t.decode() for t in train]))[1:]).at) and len(train) > 3500
 
 
 def test_lm_odd(odd, none):
