@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -16,34 +21,61 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 _OWN: dict[str, str] = {}
+_HELD = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine, tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on one machine one of our own where that is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="riskweave-")
+        atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), ignore_errors=True)
     return _OWN[app]
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later reads don't depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing reads any more."""
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: later reads don't depend on lost executors.
+
+    Inside scratch() the files go at its end, unless they are to be kept.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    held = getattr(_HELD, "paths", [])
+    if held and not keep:
+        held[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside, and not kept, are deleted at the end."""
+    if not hasattr(_HELD, "paths"):
+        _HELD.paths = []
+    _HELD.paths.append([])
+    try:
+        yield
+    finally:
+        for path in _HELD.paths.pop():
+            _delete(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
 
 
 def press(x: np.ndarray) -> bytes:
