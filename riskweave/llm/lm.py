@@ -181,71 +181,69 @@ class Batch:
         self.keys[1][since > DEPTH] &= 255
 
 
-def tally(batch: Batch, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of context the distinct keys of a batch, sorted, and how often they occur if each word does so many times."""
+def tally(batch: Batch, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of context the distinct keys of a batch, sorted, how often they occur if each word does so many times, and which key each byte has."""
     times, out = np.repeat(times, batch.sizes), []
     for keys in batch.keys:
-        order = np.argsort(keys)
-        order = order[np.searchsorted(keys[order], 256) :]
-        keys = keys[order]
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.intp)
-        out.append((keys[new], np.add.reduceat(times[order], new) if len(new) else np.empty(0, np.int64)))
+        distinct, of = np.unique(keys, return_inverse=True)
+        out.append((distinct, np.bincount(of, weights=times, minlength=len(distinct)).astype(np.int64), of))
     return out
 
 
 class Counts:
-    """What all training documents did after the contexts of a batch, for one kind of context; exact, whatever their number.
+    """What all training documents did after some contexts, for one kind of context; exact, whatever their number.
 
-    keys (distinct, sorted) and counts: every byte that training documents have after these contexts, and how often. n0 and n1
-    are the noes and yeses at every decision of the batch, the word's own occurrence taken off with leave_out.
+    keys (distinct, sorted), pairs (the two bytes that end each key's context) and counts: every byte after these contexts, and
+    how often. A key's decisions begin at first; n0 and n1 are the noes and yeses that training documents have there, bits the key's own way.
     """
 
-    def __init__(self, code: Code, here: np.ndarray, pairs: np.ndarray, keys: np.ndarray, counts: np.ndarray, leave_out: bool = False):
-        context, first, of = np.unique(here >> 8, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(context, keys >> 8), max(0, len(context) - 1))
-        told = context[at] == keys >> 8 if len(context) else np.zeros(len(keys), bool)
-        at, keys, counts = at[told], keys[told], counts[told]
-        n, nodes, bits = code.spell(pairs[first[at]], keys & 255)
-        nodes, counts = nodes + np.repeat(at << 24, n), np.repeat(counts, n)
-        order = np.argsort(nodes)
-        nodes, bits, counts = nodes[order], bits[order], counts[order]
-        new = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.intp)
-        yes, both = (np.add.reduceat(c, new) if len(new) else np.empty(0, np.int64) for c in (counts * bits, counts))
-        nodes = nodes[new]
-        n, asked, bits = code.spell(pairs, here & 255)
-        asked = asked + np.repeat(of.astype(np.int64) << 24, n)
-        if len(nodes):
-            at = np.minimum(np.searchsorted(nodes, asked), len(nodes) - 1)
-            found = nodes[at] == asked
-            n1 = np.where(found, yes[at], 0)
-            n0 = np.where(found, both[at], 0) - n1
-        else:
-            n0, n1 = (np.zeros(len(asked), np.int64) for _ in range(2))
+    def __init__(self, code: Code, keys: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
+        n, nodes, self.bits = code.spell(pairs, keys & 255)
+        self.first = np.cumsum(n) - n
+        counts = np.repeat(np.where(keys < 256, 0, counts), n)  # context 0 knows nothing
+        yes, both = counts * self.bits, counts.copy()
+        context = keys >> 8
+        alone = np.ones(len(keys), bool)  # what is the only byte after its context has its decisions for itself
+        alone[1:] &= context[1:] != context[:-1]
+        alone[:-1] &= context[1:] != context[:-1]
+        at = np.flatnonzero(~np.repeat(alone, n))
+        if len(at):
+            number = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
+            node = (np.repeat(number, n)[at] << 24) + nodes[at]
+            order = np.argsort(node)
+            at, node = at[order], node[order]
+            new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            size = np.diff(np.append(new, len(node)))
+            yes[at], both[at] = (np.repeat(np.add.reduceat(x[at], new), size) for x in (yes, both))
+        self.n0, self.n1 = both - yes, yes
+
+    def inputs(self, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and level of each decision; with leave_out, one occurrence of the key itself is taken off."""
+        n0, n1 = self.n0, self.n1
         if leave_out:
-            n1 -= (bits == 1) & (n1 > 0)
-            n0 -= (bits == 0) & (n0 > 0)
-        self.n0, self.n1 = n0, n1
-        self.logits = np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32)
-        self.levels = (np.digitize(n0 + n1, SEEN) + 5 * ((n0 > 0) & (n1 > 0))).astype(np.int16)
+            n0, n1 = n0 - ((self.bits == 0) & (n0 > 0)), n1 - ((self.bits == 1) & (n1 > 0))
+        levels = np.digitize(n0 + n1, SEEN) + 5 * ((n0 > 0) & (n1 > 0))
+        return np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32), levels.astype(np.int16)
 
 
-def inputs(code: Code, batch: Batch, told: list[tuple[np.ndarray, np.ndarray]], leave_out: bool = False):
-    """Decisions of each byte, their bits, logits of each predictor, gates. told: (keys, counts) for each kind of context."""
-    n, nodes, bits = code.spell(batch.pair, batch.bytes)
+def inputs(code: Code, pairs: np.ndarray, joined: np.ndarray, known: list[tuple[Counts, np.ndarray, np.ndarray, np.ndarray]]):
+    """Decisions of each byte, their bits, logits of each predictor, gates. known: of each kind Counts, its inputs, the key of each byte."""
+    n, nodes, bits = code.spell(pairs, joined)
+    ends, step = np.cumsum(n), np.arange(len(nodes))
     logits, gate = [code.logits.take(nodes)], np.zeros(len(nodes), np.int16)
-    for here, (keys, counts) in zip(batch.keys, told, strict=True):
-        c = Counts(code, here, batch.pair, keys, counts, leave_out)
-        logits.append(c.logits)
-        gate = gate * np.int16(N_LEVELS) + c.levels
+    for counts, logit, level, of in known:
+        at = np.repeat(counts.first[of] - ends + n, n) + step
+        logits.append(logit.take(at))
+        gate = gate * np.int16(N_LEVELS) + level.take(at)
     return n, bits, logits, gate
 
 
-def spelling(batch: Batch, n: np.ndarray, bits: np.ndarray, logits: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural-log probability of each word of a batch."""
+def spelling(sizes: np.ndarray, n: np.ndarray, bits: np.ndarray, logits: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each word; sizes: bytes of each, with its end."""
     z = sum(x * weights[:, k].take(gate) for k, x in enumerate(logits))
     z = np.clip(np.where(bits == 1, z, -z), -30, 30)
     logs = -np.log1p(np.exp(-z))
-    ends = np.cumsum(n)[np.cumsum(batch.sizes) - 1]
+    ends = np.cumsum(n)[np.cumsum(sizes) - 1]
     return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])) if len(ends) else np.empty(0)
 
 

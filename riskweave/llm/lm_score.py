@@ -8,6 +8,7 @@ words of its neighbours share, and last bytes, which owners of hash ranges tell.
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lm
-from .common import discard, materialise, press, text_of, unpress, width
+from .common import discard, materialise, press, scratch, text_of, unpress, width
 
 #: Bytes of text in a chunk, bytes of text for each owner of words, tokens handled at once, and bytes of words spelt at once.
-CHUNK, OWNED, TOKENS, SPELT = 8 << 20, 16 << 20, 50_000, 1 << 18
+CHUNK, OWNED, TOKENS, SPELT = 4 << 20, 8 << 20, 50_000, 1 << 18
 #: Words that each task draws for the bounds of the owners' ranges.
 DRAWN = 64
 #: Rows between tasks. Which of the blobs a row has follows from its kind.
@@ -90,13 +91,18 @@ def _look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         said = _said(frame["body"])
         size += sum(map(len, said))
-        words, at, sizes = tokens(said)
-        own, learn = _buckets(words)[at], ~frame["held_out"].to_numpy(bool)
+        learn = np.flatnonzero(~frame["held_out"].to_numpy(bool))
+        lists = pc.split_pattern(pa.array([said[i] for i in learn], pa.large_binary()), b" ")
+        flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        short = pc.less_equal(pc.binary_length(flat), lm.SHORT).to_numpy(zero_copy_only=False)
+        coded = flat.filter(pa.array(short)).dictionary_encode()
+        own = np.full(len(flat), lm.BUCKETS)
+        own[short] = _buckets(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         for d, t in _parts(sizes):
-            keep = np.repeat(learn[d], sizes[d])
-            both += lm.together(own[t][keep], sizes[d][learn[d]])
-        drawn.update((xxhash.xxh32_intdigest(w), w) for w in words)
-        drawn = dict(sorted(drawn.items())[:DRAWN])
+            both += lm.together(own[t], sizes[d])
+        some = flat.take(pa.array(np.arange(0, len(flat), 16))).unique().to_pylist()  # every 16th word is enough for bounds
+        drawn.update((xxhash.xxh32_intdigest(w), w) for w in some)
+        drawn = {h: drawn[h] for h in heapq.nsmallest(DRAWN, drawn)}
     yield pd.DataFrame({"sums": [both.tobytes()], "size": [size], "drawn": [_bytes(sorted(drawn.values()))]})
 
 
@@ -189,27 +195,44 @@ class Owned:
 
     def __init__(self, row):
         self.words, self.of, self.n = _list(row.a), unpress(row.b), unpress(row.c)
-        slices = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) // SPELT
-        self.cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(self.words)]
-
-    def batches(self) -> Iterator[tuple[slice, lm.Batch]]:
-        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
-            yield slice(a, b), lm.Batch(self.words[a:b], self.of[a:b])
-
-    def tallies(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each kind of context, keys and counts over all units."""
-        each = [lm.tally(batch, self.n[part]) for part, batch in self.batches()]
-        out = []
-        for kind in range(lm.CONTEXTS):
-            keys, at = np.unique(np.concatenate([x[kind][0] for x in each]), return_inverse=True)
-            out.append((keys, np.bincount(at, weights=np.concatenate([x[kind][1] for x in each])).astype(np.int64)))
-        return out
+        self.batch = lm.Batch(self.words, self.of)
 
     def shared(self) -> np.ndarray:
         """Contexts of the second kind that neighbours may have too: beginnings of the first and of the last word."""
         ends = [w[: lm.DEPTH] for w in (self.words[0], self.words[-1]) for _ in range(UNIT)]
         return np.unique(lm.Batch(ends, np.tile(np.arange(UNIT), 2)).keys[1] >> 8)
 
+    def slices(self) -> Iterator[tuple[slice, slice]]:
+        """Words and their bytes, as many at a time as have SPELT bytes."""
+        ends = np.cumsum(self.batch.sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SPELT)) + 1).tolist(), len(ends)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield slice(a, b), slice(int(ends[a] - self.batch.sizes[a]), int(ends[b - 1]))
+
+    def known(self, code: lm.Code, told: pd.DataFrame) -> list[tuple[lm.Counts, np.ndarray]]:
+        """For each kind of context the counts over all training documents, and the key of each byte."""
+        out = []
+        for kind, (own, n, of) in enumerate(lm.tally(self.batch, self.n)):
+            pair = np.empty(len(own), np.int64)
+            pair[of] = self.batch.pair
+            part = told[told["start"] == kind]
+            keys = np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpress(b)) for b in part["a"])])
+            counts = np.concatenate([np.empty(0, np.int64), *map(unpress, part["b"])])
+            n = np.where(np.isin(own >> 8, self.shared()), 0, n) if kind else np.zeros_like(n)  # of these all is told
+            every, at = np.unique(np.concatenate([own, keys]), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([n, counts])).astype(np.int64)
+            new = np.concatenate([[0], np.cumsum((every[1:] >> 8) != (every[:-1] >> 8))])
+            pairs = np.empty(int(new[-1]) + 1, np.int64)
+            pairs[new[at[: len(own)]]] = pair  # every context told of is one of its own
+            out.append((lm.Counts(code, every, pairs[new], total), at[: len(own)][of]))
+        return out
+
+    def inputs(self, code: lm.Code, told: pd.DataFrame, leave_out: bool):
+        """Slice by slice: words, sizes, and what lm.inputs gives."""
+        known = [(c, *c.inputs(leave_out), of) for c, of in self.known(code, told)]
+        for words, bytes_ in self.slices():
+            yield words, self.batch.sizes[words], lm.inputs(code, self.batch.pair[bytes_], self.batch.bytes[bytes_], [(c, x, y, of[bytes_]) for c, x, y, of in known])
+
 
 def _asked(owners: int):
     """Messages to owners of hash ranges: the contexts that a range of words doesn't know alone, and what it has after them."""
@@ -218,7 +241,7 @@ def _asked(owners: int):
         for frame in frames:
             for row in frame.itertuples():
                 own = Owned(row)
-                for kind, (keys, n) in enumerate(own.tallies()):
+                for kind, (keys, n, _) in enumerate(lm.tally(own.batch, own.n)):
                     if kind:
                         at = np.isin(keys >> 8, own.shared())
                         keys, n = keys[at], n[at]
@@ -242,30 +265,14 @@ def _tell(messages: pd.DataFrame) -> pd.DataFrame:
     return _frame(rows)
 
 
-def _known(own: Owned, told: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of each kind of context, over all training documents."""
-    out = []
-    for kind, (own_keys, own_n) in enumerate(own.tallies()):
-        part = told[told["start"] == kind]
-        keys = np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpress(b)) for b in part["a"])])
-        n = np.concatenate([np.empty(0, np.int64), *map(unpress, part["b"])])
-        if kind:
-            alone = ~np.isin(own_keys >> 8, own.shared())
-            keys, n = np.concatenate([keys, own_keys[alone]]), np.concatenate([n, own_n[alone]])
-        order = np.argsort(keys)
-        out.append((keys[order], n[order]))
-    return out
-
-
 def _fit(code):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         """A range's sums for the mixing weights, each word as often as training documents have it."""
         own = Owned(next(rows[rows["kind"] == 3].itertuples()))
-        known, sums = _known(own, rows[rows["kind"] == 5]), lm.Fit(lm.GATES, lm.SPELL_START)
-        for part, batch in own.batches():
-            n, bits, logits, gate = lm.inputs(code.value, batch, known, True)
-            by = np.add.reduceat(n, np.cumsum(batch.sizes) - batch.sizes)
-            sums.add(bits, logits, gate, np.repeat(own.n[part], by))
+        sums = lm.Fit(lm.GATES, lm.SPELL_START)
+        for words, sizes, (n, bits, logits, gate) in own.inputs(code.value, rows[rows["kind"] == 5], True):
+            by = np.add.reduceat(n, np.cumsum(sizes) - sizes)
+            sums.add(bits, logits, gate, np.repeat(own.n[words], by))
         return pd.DataFrame({"sums": [sums.sums()]})
 
     return fit
@@ -275,8 +282,8 @@ def _spell(code, weights: np.ndarray):
     def spell(rows: pd.DataFrame) -> pd.DataFrame:
         """Answers to chunks: for each of their units how often training documents have its word, and what it costs to spell."""
         own = Owned(next(rows[rows["kind"] == 3].itertuples()))
-        known = _known(own, rows[rows["kind"] == 5])
-        spelt = np.concatenate([lm.spelling(batch, *lm.inputs(code.value, batch, known), weights) for _, batch in own.batches()]).astype(np.float32)
+        told = rows[rows["kind"] == 5]
+        spelt = np.concatenate([lm.spelling(sizes, *x, weights) for _, sizes, x in own.inputs(code.value, told, False)]).astype(np.float32)
         word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
         n, out = np.bincount(word, weights=own.n).astype(np.int64)[word], []
         for row in rows[rows["kind"] == 4].itertuples():
@@ -345,9 +352,10 @@ def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Owned(row)
             word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
             yield pd.DataFrame({"pair": [-1, -2], "byte": [0, 0], "n": [int(own.n.sum()), int((np.bincount(word, weights=own.n) > 0).sum())]}).astype({"pair": "int32", "byte": "int32"})
-            for part, b in own.batches():
-                key, of = np.unique(b.pair << 8 | b.bytes, return_inverse=True)
-                n = np.bincount(of, weights=np.repeat(own.n[part], b.sizes)).astype(np.int64)
+            for words, at in own.slices():
+                b = own.batch
+                key, of = np.unique(b.pair[at] << 8 | b.bytes[at], return_inverse=True)
+                n = np.bincount(of, weights=np.repeat(own.n[words], b.sizes[words])).astype(np.int64)
                 yield pd.DataFrame({"pair": (key >> 8).astype(np.int32), "byte": (key & 255).astype(np.int32), "n": n})[n > 0]
 
 
@@ -375,26 +383,29 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     held out. Repeated rows are learnt from and scored each. A word may be of any length; its contexts look back DEPTH bytes.
     An empty table gives an empty result. Other columns play no part.
     """
-    spark = docs.sparkSession
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long"
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
     slim = plain.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), held_out().alias("held_out"), "body")
+    with scratch(docs.sparkSession):
+        return _lm_score(slim)
+
+
+def _lm_score(slim: DataFrame) -> DataFrame:
+    spark = slim.sparkSession
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long"
     group, bounds = _overview(slim)
     sent = materialise(slim.mapInPandas(_chunks(group, bounds), ROW), "lm-chunks")
     recall = _fitted(sent.filter("kind = 2").select(F.col("a").alias("sums")), lm.RECALL_GATES, lm.RECALL_START).weights()
-    owned = materialise(sent.filter("kind = 1").groupBy("owner").applyInPandas(_merge, ROW), "lm-words")
+    owners = len(bounds) + 1
+    dealt = lambda rows: rows.repartition(owners, "owner").groupBy("owner")
+    owned = materialise(dealt(sent.filter("kind = 1")).applyInPandas(_merge, ROW), "lm-words")
     units = owned.filter("kind = 3")
     made, n_all, distinct = _code(units)
     code = spark.sparkContext.broadcast(made)
 
-    messages = units.mapInPandas(_asked(len(bounds) // 4 + 1), ROW)
+    messages = units.mapInPandas(_asked(owners // 4 + 1), ROW)
     told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, ROW), "lm-contexts")
-    weights = _fitted(units.unionByName(told).groupBy("owner").applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
-    answers = materialise(owned.unionByName(told).groupBy("owner").applyInPandas(_spell(code, weights), ROW), "lm-answers")
-    discard(owned)
-    discard(told)
-    scored = sent.filter("kind = 0").unionByName(answers).groupBy("chunk").applyInPandas(_score(recall, n_all, distinct), kinds)
-    scored = materialise(scored, "lm-scores")
-    discard(sent)
-    discard(answers)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    weights = _fitted(dealt(units.unionByName(told)).applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
+    answers = materialise(dealt(owned.unionByName(told)).applyInPandas(_spell(code, weights), ROW), "lm-answers")
+    discard(owned, told)
+    scored = sent.filter("kind = 0").unionByName(answers).repartition(2 * owners, "chunk").groupBy("chunk").applyInPandas(_score(recall, n_all, distinct), kinds)
+    return materialise(scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"), "lm-scores", keep=True)

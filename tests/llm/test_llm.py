@@ -360,6 +360,16 @@ def _units(seed, n=120):
     return said, of, times, batch, lm.Code({p: dict(c) for p, c in own.items()}, singles)
 
 
+def _known(code, batch, times, leave_out=False):
+    out = []
+    for keys, n, of in lm.tally(batch, times):
+        pairs = np.empty(len(keys), np.int64)
+        pairs[of] = batch.pair
+        counts = lm.Counts(code, keys, pairs, n)
+        out.append((counts, *counts.inputs(leave_out), of))
+    return out
+
+
 def _path(code, pair, byte):
     n, nodes, bits = code.spell(np.array([pair]), np.array([byte]))
     return list(zip(nodes.tolist(), bits.tolist(), strict=True))
@@ -368,9 +378,9 @@ def _path(code, pair, byte):
 @pytest.mark.parametrize("leave_out", [False, True])
 def test_spelling_against_a_plain_mixer(leave_out):
     said, of, times, batch, code = _units(2)
-    told = lm.tally(batch, times)
+    known = _known(code, batch, times, leave_out)
     weights = np.random.default_rng(3).uniform(-0.2, 0.8, (lm.GATES, lm.CONTEXTS + 1)).astype(np.float32)
-    got = lm.spelling(batch, *lm.inputs(code, batch, told, leave_out), weights)
+    got = lm.spelling(batch.sizes, *lm.inputs(code, batch.pair, batch.bytes, known), weights)
     after = defaultdict(Counter)  # kind, class, place (up to the kind's reach) and what precedes -> byte -> count
     steps = lambda w, c: [(w[:i], (w + b"\xff")[i], [(0, c, min(i, lm.ORDER), w[max(0, i - lm.ORDER) : i]), (1, c, i, w[:i] if i <= lm.DEPTH else None)]) for i in range(len(w) + 1)]
     for w, c, n in zip(said, of.tolist(), times.tolist(), strict=True):
@@ -400,10 +410,12 @@ def test_codes_and_next_bytes_have_a_probability_of_one_at_most():
     said, of, times, batch, code = _units(5)
     for own in range(256, len(code.depth)):
         assert sum(0.5 ** int(d) for d in code.depth[own] if d) == pytest.approx(1)
-    told, weights = lm.tally(batch, times), np.full((lm.GATES, lm.CONTEXTS + 1), 0.4, np.float32)
+    weights = np.full((lm.GATES, lm.CONTEXTS + 1), 0.4, np.float32)
     for prefix in (b"", b"a", b"ab", b"abcab", b"zz"):
         next_words = lm.Batch([prefix + bytes([b]) for b in range(255)] + [prefix], np.zeros(256, np.int64))
-        n, bits, logits, gate = lm.inputs(code, next_words, told)
+        both = lm.Batch([*said, *(prefix + bytes([b]) for b in range(255)), prefix], np.concatenate([of, np.zeros(256, np.int64)]))
+        known, late = _known(code, both, np.concatenate([times, np.zeros(256, np.int64)])), len(batch.bytes)
+        n, bits, logits, gate = lm.inputs(code, next_words.pair, next_words.bytes, [(c, x, y, at[late:]) for c, x, y, at in known])
         z = sum(x * weights[:, k].take(gate) for k, x in enumerate(logits))
         logs = -np.log1p(np.exp(np.where(bits == 1, -z, z)))
         ends = np.cumsum(n)
@@ -462,7 +474,10 @@ def test_owners_know_what_all_training_documents_have(spark):
     r = random.Random(3)
     units = sorted({("".join(r.choices("ab", k=r.randint(0, 9))).encode(), r.randrange(3)) for _ in range(1500)})
     n = [r.randint(0, 4) for _ in units]
-    whole = lm.tally(lm.Batch([w for w, _ in units], np.array([c for _, c in units])), np.array(n))
+    batch = lm.Batch([w for w, _ in units], np.array([c for _, c in units]))
+    singles, own_codes = np.ones((256, 256), np.int64), defaultdict(dict)
+    code, times = lm.Code(own_codes, singles), np.array(n)
+    whole, places = _known(code, batch, times), np.repeat(np.arange(len(units)), batch.sizes)
     words, rows, cuts = sorted({w for w, _ in units}), [], [0, 40, 300, 301, 10**6]
     for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         own = [i for i, (w, _) in enumerate(units) if a <= words.index(w) < b]
@@ -471,10 +486,12 @@ def test_owners_know_what_all_training_documents_have(spark):
     told = df.mapInPandas(lm_score._asked(3), lm_score.ROW).groupBy("owner", "kind").applyInPandas(lm_score._tell, lm_score.ROW).toPandas()
     for o, row in enumerate(lm_score._frame(rows).itertuples()):
         own = lm_score.Owned(row)
-        for (keys, n_keys), (all_keys, all_n), here in zip(lm_score._known(own, told[told["owner"] == o]), whole, lm.Batch(own.words, own.of).keys, strict=True):
-            has = n_keys > 0
-            asked = np.isin(all_keys >> 8, here >> 8) & (all_n > 0)
-            assert (keys[has] == all_keys[asked]).all() and (n_keys[has] == all_n[asked]).all()
+        at = np.flatnonzero(np.isin(places, [i for i, (w, _) in enumerate(units) if cuts[o] <= words.index(w) < cuts[o + 1]]))
+        for (got, of), (want, _, _, want_of) in zip(own.known(code, told[told["owner"] == o]), whole, strict=True):
+            for k, (i, j) in enumerate(zip(of.tolist(), want_of[at].tolist(), strict=True)):
+                n = code.spell(own.batch.pair[k : k + 1], own.batch.bytes[k : k + 1])[0][0]
+                a, b = got.first[i], want.first[j]
+                assert (got.n0[a : a + n] == want.n0[b : b + n]).all() and (got.n1[a : a + n] == want.n1[b : b + n]).all()
 
 
 def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
