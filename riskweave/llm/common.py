@@ -46,13 +46,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later reads don't depend on lost executors.
 
-    Inside scratch() the files go at its end, unless they are to be kept.
+    Inside scratch() the files go at its end; those to be kept, at the end of the scratch() around that, if there is one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     held = getattr(_HELD, "paths", [])
-    if held and not keep:
-        held[-1].append(path)
+    if len(held) > keep:
+        held[-1 - keep].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -97,6 +97,14 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like the one given that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class WordHashes(dict):
     """bytes word -> 64-bit hash; keeps what it has seen, up to a bound."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_preferences, pairs_from
+from .chat import preferences
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .lm_score import lm_score
@@ -34,7 +34,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(pairs_from(_table(spark, sf_dir, "conversations")))
+    return preferences(_table(spark, sf_dir, "conversations"))
 
 
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,22 +102,26 @@ SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
     "op3_preferences": """
-        WITH last AS (
-            SELECT conv_id, max(turn) AS last, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-        even AS (
-            SELECT c.conv_id AS pair_id, turn, role, text, l.last
-            FROM conversations c LEFT JOIN last l ON c.conv_id = l.conv_id WHERE c.conv_id % 2 = 0),
-        chosen AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn) AS i, role, text FROM even),
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        begun AS (SELECT conv_id, i, string_agg(role || chr(1) || text || chr(2), '') OVER (PARTITION BY conv_id ORDER BY i) AS begin FROM t),
+        shared AS (SELECT i, begin, min(conv_id) AS low, max(conv_id) AS high FROM begun GROUP BY i, begin HAVING min(conv_id) < max(conv_id)),
+        best AS (SELECT conv_id, arg_max(CASE WHEN conv_id = low THEN high ELSE low END, i) AS rejected_id FROM begun JOIN shared USING (i, begin) GROUP BY conv_id),
+        last AS (
+            SELECT conv_id, max(i) FILTER (WHERE role = 'assistant') AS last, count(*) AS n, arg_max(text, i) FILTER (WHERE role = 'assistant') AS answer FROM t GROUP BY conv_id),
+        alone AS (SELECT l.* FROM last l WHERE conv_id NOT IN (SELECT conv_id FROM best)),
+        lent AS (
+            SELECT a.conv_id, o.conv_id AS rejected_id, coalesce(a.last, a.n + 1) AS i, o.answer AS text
+            FROM alone a JOIN last o ON o.conv_id = a.conv_id + 1 - 2 * (((a.conv_id % 2) + 2) % 2) AND o.last IS NOT NULL),
+        chosen AS (SELECT conv_id AS pair_id, i, role, text FROM t),
         rejected AS (
-            SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn) AS i, role, text FROM (
-                SELECT pair_id, turn, role, text FROM even WHERE last IS NULL OR turn < last
-                UNION ALL
-                SELECT e.pair_id, e.turn, 'assistant', l.answer
-                FROM (SELECT pair_id, coalesce(max(last), max(turn) + 1) AS turn FROM even GROUP BY pair_id) e
-                JOIN last l ON l.conv_id = e.pair_id + 1)),
+            SELECT b.conv_id AS pair_id, t.i, role, text FROM best b JOIN t ON t.conv_id = b.rejected_id
+            UNION ALL SELECT t.conv_id, t.i, role, text FROM t JOIN alone a ON a.conv_id = t.conv_id AND (a.last IS NULL OR t.i < a.last)
+            UNION ALL SELECT conv_id, i, 'assistant', text FROM lent),
         common AS (
             SELECT p.pair_id, coalesce(min(CASE WHEN c.i IS NULL OR r.i IS NULL OR c.role <> r.role OR c.text <> r.text THEN coalesce(c.i, r.i) END) - 1, count(*)) AS n
-            FROM (SELECT DISTINCT pair_id FROM even) p
+            FROM (SELECT DISTINCT pair_id FROM chosen) p
             JOIN chosen c ON c.pair_id = p.pair_id
             LEFT JOIN rejected r ON r.pair_id = c.pair_id AND r.i = c.i GROUP BY p.pair_id),
         parts AS (
@@ -127,12 +131,12 @@ SQL = {
             FROM parts p JOIN common USING (pair_id)),
         placed AS (
             SELECT *, sum(length(said)) OVER (PARTITION BY side, pair_id, shared ORDER BY i) AS stop FROM rendered)
-        SELECT pair_id, n AS common_turns,
+        SELECT pair_id, coalesce(best.rejected_id, lent.rejected_id, pair_id) AS rejected_id, k.n AS common_turns,
             coalesce((SELECT string_agg(said, '' ORDER BY i) FROM placed x WHERE x.pair_id = k.pair_id AND side = 'c' AND shared), '') AS prompt,
             coalesce((SELECT string_agg(said, '' ORDER BY i) FROM placed x WHERE x.pair_id = k.pair_id AND side = 'c' AND NOT shared), '') AS chosen,
             coalesce((SELECT string_agg(said, '' ORDER BY i) FROM placed x WHERE x.pair_id = k.pair_id AND side = 'r' AND NOT shared), '') AS rejected,
             coalesce((SELECT string_agg((stop - length(said) + length(role) + 5)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FROM placed x WHERE x.pair_id = k.pair_id AND side = 'c' AND NOT shared AND role = 'assistant'), '') AS chosen_mask,
             coalesce((SELECT string_agg((stop - length(said) + length(role) + 5)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FROM placed x WHERE x.pair_id = k.pair_id AND side = 'r' AND NOT shared AND role = 'assistant'), '') AS rejected_mask
-        FROM common k
+        FROM common k LEFT JOIN best ON best.conv_id = k.pair_id LEFT JOIN lent ON lent.conv_id = k.pair_id
     """,
 }

@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 The lexicon is learnt from labelled rows: words and word beginnings that toxic documents have far more often, and
-exceptions, words with such a beginning that only clean documents have.
+exceptions that only clean documents have: words with such a beginning, and phrases of two or three words around one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, materialise, scratch, text_of
 
 # Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһνκαορτιΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aeopcyxijsdhvkaoptiabezhikmnoptyxabekmhopctx")
@@ -25,8 +25,8 @@ DIGITS = str.maketrans("0134578@$", "oieastbas")
 
 #: Labelled rows that the lexicon is fitted on, at most: those with the lowest hashes of their ids.
 LABELLED_ROWS = 40_000
-#: Shortest and longest word beginning, entries at most, and toxic documents that an entry must be in.
-STEM, ENTRIES, LEAST_DOCS = (4, 8), 20_000, 4
+#: Shortest and longest word beginning, toxic documents that an entry must be in, and clean ones that an exception must be in.
+STEM, LEAST_DOCS, LEAST_CLEAN = (4, 8), 4, 2
 #: How much likelier in toxic documents an entry must be (natural logarithm).
 LEAST_WEIGHT = 2.0
 THRESHOLD = 0.3
@@ -99,44 +99,78 @@ def _words_with(stems: frozenset):
     return count
 
 
+def _phrases(lexicon: Lexicon):
+    """How many of the documents have each phrase of two or three words around a word that counts."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for frame in frames:
+            for body in frame["body"]:
+                words, found = _WORD.findall(fold(body)), set()
+                for i, word in enumerate(words):
+                    if lexicon.weight(word) > 0:
+                        found.update(" ".join(words[a:b]) for a, b in ((i - 1, i + 1), (i, i + 2), (i - 1, i + 2)) if a >= 0 and b <= len(words))
+                counts.update(found)
+        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": object, "n": "int64"})
+
+    return count
+
+
 @dataclass
 class Lexicon:
-    """weights: word (ends with a space) or word beginning -> weight; exceptions: words that aren't held against a text."""
+    """weights: word (ends with a space) or word beginning -> weight; exceptions: words (with a space) that aren't held against a text; phrases likewise."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: set[str] = field(default_factory=set)
+    phrases: set[str] = field(default_factory=set)
     intercept: float = -6.0
     slopes: tuple[float, float] = (0.0, 0.0)
 
+    def weight(self, word: str) -> float:
+        """What a word by itself counts: the word's own weight, or that of its longest beginning."""
+        if word + " " in self.exceptions:
+            return 0.0
+        own = self.weights.get(word + " ")
+        return own if own is not None else next((self.weights[word[:k]] for k in range(min(STEM[1], len(word)), STEM[0] - 1, -1) if word[:k] in self.weights), 0.0)
+
     def automaton(self):
-        """key -> (its length, weight as a beginning, weight as a whole word); exceptions weigh nothing as whole words."""
+        """key -> (its length, weight as a beginning, weight as a whole word, if it is a phrase); exceptions weigh nothing as whole words."""
         import ahocorasick
 
         entries: dict[str, list] = {}
-        for term, weight in [*((t, 0.0) for t in self.exceptions), *self.weights.items()]:
-            entries.setdefault(term.rstrip(" "), [None, None])[term.endswith(" ")] = weight
+        for term, weight in [*self.weights.items(), *((t, 0.0) for t in self.exceptions)]:
+            entries.setdefault(term.rstrip(" "), [None, None, False])[term.endswith(" ")] = weight
+        for phrase in self.phrases:
+            entries.setdefault(phrase, [None, None, False])[2] = True
         machine = ahocorasick.Automaton()
-        for key, (stem, whole) in entries.items():
-            machine.add_word(key, (len(key), stem, whole))
+        for key, (stem, whole, phrase) in entries.items():
+            machine.add_word(key, (len(key), stem, whole, phrase))
         if len(machine):
             machine.make_automaton()
         return machine
 
     def measure(self, machine, text: str) -> tuple[float, float]:
-        """The sum of weights of matched words (each word's longest match counts), and that by length."""
+        """The sum of weights of matched words outside exception phrases (each word's longest match counts), and that by length."""
         low = fold(text)
         if not low or not len(machine):
             return 0.0, 0.0
+        said = " ".join(_WORD.findall(low))
         best: dict[int, tuple[int, float]] = {}
-        for last, (n, stem, whole) in machine.iter(low):
+        spared: list[tuple[int, int]] = []
+        for last, (n, stem, whole, phrase) in machine.iter(said):
             start = last - n + 1
-            if start and low[start - 1].isalpha():
+            if start and said[start - 1] != " ":
                 continue
-            ends = last + 1 == len(low) or not low[last + 1].isalpha()
+            ends = last + 1 == len(said) or said[last + 1] == " "
+            if phrase and ends:
+                spared.append((start, last))
             weight = whole if ends and whole is not None else stem
             if weight is not None and best.get(start, (0, 0))[0] < n:
                 best[start] = (n, weight)
-        total = sum(w for _, w in best.values())
+        covered = bytearray(len(said)) if spared else b""
+        for a, b in spared:
+            covered[a : b + 1] = b"\x01" * (b + 1 - a)
+        total = sum(w for at, (_, w) in best.items() if not spared or not covered[at])
         return math.log1p(total), total / math.sqrt(len(low) / 6 + 10)
 
     def score(self, machine, text: str) -> float:
@@ -165,31 +199,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
     return w
 
 
+def _totals(rows: DataFrame, count, least: int = 1) -> dict[str, int]:
+    """term -> number of documents, where that is least or more. There are no more terms than the labelled rows have."""
+    counted = rows.select("body").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return {r["term"]: r["n"] for r in counted.collect()}
+
+
 def fit(labelled: DataFrame) -> Lexicon:
-    """A lexicon from (body, toxic) rows: terms of toxic documents, how often clean ones have them, then the exceptions."""
-    toxic, clean = labelled.filter("toxic = 1").select("body"), labelled.filter("toxic <> 1").select("body")
+    """A lexicon from (body, toxic) rows: terms of toxic documents, how often clean ones have them, then words and phrases that are excepted."""
+    toxic, clean = labelled.filter("toxic = 1"), labelled.filter("toxic <> 1")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
     if not pos or not neg:
         return Lexicon()
-    kinds = "term string, n long"
-    often = toxic.mapInPandas(_toxic_terms, kinds).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    n_toxic = {r["term"]: r["n"] for r in often.orderBy(F.desc("n"), "term").limit(5 * ENTRIES).collect()}
-    counted = clean.mapInPandas(_clean_terms(frozenset(n_toxic)), kinds).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n_clean = {r["term"]: r["n"] for r in counted}
+    n_toxic = _totals(toxic, _toxic_terms, LEAST_DOCS)
+    n_clean = _totals(clean, _clean_terms(frozenset(n_toxic)))
     weigh = {t: math.log((n + 0.1) / (pos + 0.2)) - math.log((n_clean.get(t, 0) + 0.1) / (neg + 0.2)) for t, n in n_toxic.items()}
-    best = sorted((t for t, w in weigh.items() if w >= LEAST_WEIGHT), key=lambda t: (-weigh[t], -n_toxic[t], t))[:ENTRIES]
-    weights = {t: weigh[t] for t in best}
-    stems = frozenset(t for t in weights if not t.endswith(" "))
-    exceptions: set[str] = set()
+    lexicon = Lexicon({t: w for t, w in sorted(weigh.items()) if w >= LEAST_WEIGHT})
+    stems = frozenset(t for t in lexicon.weights if not t.endswith(" "))
     if stems:
-        fair = clean.mapInPandas(_words_with(stems), kinds).groupBy("term").agg(F.sum("n").alias("n")).filter("n >= 2")
-        fair = {r["term"] for r in fair.orderBy(F.desc("n"), "term").limit(ENTRIES).collect()}
-        exceptions = {t for t in fair if t not in n_toxic}
-    lexicon = Lexicon(weights, exceptions)
+        had = _totals(toxic, _words_with(stems))
+        lexicon.exceptions = _totals(clean, _words_with(stems), LEAST_CLEAN).keys() - had.keys()
+    if lexicon.weights:
+        had = _totals(toxic, _phrases(lexicon))
+        lexicon.phrases = _totals(clean, _phrases(lexicon), LEAST_CLEAN).keys() - had.keys()
     seen = labelled.select("body", (F.col("toxic") == 1).alias("toxic")).mapInPandas(_measured(lexicon), "toxic boolean, a double, b double").toPandas()
     w = _logistic(seen[["a", "b"]].to_numpy(), seen["toxic"].to_numpy(float))
-    return Lexicon(weights, exceptions, float(w[0]), (float(w[1]), float(w[2])))
+    lexicon.intercept, lexicon.slopes = float(w[0]), (float(w[1]), float(w[2]))
+    return lexicon
 
 
 def score_column(lexicon: Lexicon, text: Column) -> Column:
@@ -202,7 +239,7 @@ def score_column(lexicon: Lexicon, text: Column) -> Column:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = LABELLED_ROWS) -> Lexicon:
@@ -212,14 +249,15 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    return fit(slim.join(F.broadcast(known), "doc_id").select("body", "toxic"))  # so many labels at most, whatever the input
+    with scratch(docs.sparkSession):
+        return fit(materialise(slim.join(F.broadcast(known), "doc_id").select("body", "toxic"), "labelled"))  # so many labels at most, whatever the input
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 where score >= threshold) for every row of docs.
 
-    Learns from rows of labels whose id isn't held out (crc32 of the id as text, modulo 4, is not 2). Null and empty
-    texts match nothing and get the lowest score. A null id is held_out null. With no toxic or no clean label to learn
+    Learns from rows of labels whose id isn't held out (crc32 of the id as text, modulo 4, is 2). Null and empty
+    texts match nothing and get the lowest score. A null id isn't held out, and has no label. With no toxic or no clean label to learn
     from, every score is low. Repeated rows are scored each. An empty table gives an empty result. Only the text is scored.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
@@ -229,5 +267,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, d
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
-    scored = docs.withColumn("__score", score_column(learn(docs, labels), text_of()))
-    return scored.filter(F.col("__score") < threshold).drop("__score")
+    own = free_name(docs, "score")
+    scored = docs.withColumn(own, score_column(learn(docs, labels), text_of()))
+    return scored.filter(F.col(own) < threshold).select(docs.columns)

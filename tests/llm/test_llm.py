@@ -169,6 +169,33 @@ def test_preferences_odd(spark):
     assert got[2]["prompt"] == "" and got[2]["chosen"] and got[2]["rejected"] == "" and got[3]["chosen"] == ""
 
 
+def test_forks_are_found_and_every_conversation_is_formatted(spark):
+    r, talks = random.Random(9), {}
+    for i in [*range(0, 120, 2), *range(121, 160), -3, -4]:
+        talks[i] = [("user" if k % 2 == 0 else "assistant", r.choice("abc") if i < 120 else f"{i} {k}") for k in range(r.randint(1, 6))]
+    talks[500] = talks[501] = [("user", "a copy"), ("assistant", "of it")]
+    rows = [(i, k, role, text, "x") for i, turns in talks.items() for k, (role, text) in enumerate(turns)] + [(None, 0, "user", "nobody", "x")]
+    got = {x["pair_id"]: x for x in chat.preferences(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, pair_id string")).collect()}
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    said = lambda turns: "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns)
+    assert got.keys() == talks.keys()
+    forks = 0
+    for i, own in talks.items():
+        most = max(common(own, t) for j, t in talks.items() if j != i)
+        x = got[i]
+        if most:
+            forks += 1
+            sharing = sorted(j for j, t in talks.items() if common(own, t) >= most)
+            assert x["rejected_id"] == (sharing[-1] if sharing[0] == i else sharing[0]) and x["common_turns"] == most
+            assert (x["prompt"], x["chosen"], x["rejected"]) == (said(own[:most]), said(own[most:]), said(talks[x["rejected_id"]][most:]))
+            continue
+        last = max((k for k, t in enumerate(own) if t[0] == "assistant"), default=len(own))
+        lent = [t for t in talks.get(i + 1 - 2 * (i % 2), []) if t[0] == "assistant"][-1:]
+        assert x["rejected"] == said(lent) and x["prompt"] == said(own[:last]) and x["chosen"] == said(own[last:])
+        assert x["rejected_id"] == (i + 1 - 2 * (i % 2) if lent else i)
+    assert forks > 60 and chat.preferences(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
 # Decontamination.
 
 
@@ -561,20 +588,30 @@ def test_substring_odd(odd, none):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     rows = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in rows)
-    assert right >= 0.9 * len(rows)
+    both = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert both >= 0.9 * sum(r["toxic"] for r in rows) > 50 and both >= 0.8 * sum(r["predicted"] for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
 def test_folding_and_exceptions():
-    assert toxicity.fold("L0SER id10t") == "loser idiot" and toxicity.fold("ѕсum") == "scum" and toxicity.fold("room 101") == "room 101"
-    lexicon = toxicity.Lexicon({"scum ": 5.0, "idio": 4.0}, {"idiom "}, -3.0, (2.0, 1.0))
+    assert toxicity.fold("L0SER id10t") == "loser idiot" and toxicity.fold("\u0455\u0441um") == "scum" and toxicity.fold("room 101") == "room 101"
+    lexicon = toxicity.Lexicon({"scum ": 5.0, "idio": 4.0}, {"idiom "}, {"pond scum", "the idiot box"}, -3.0, (2.0, 1.0))
     machine = lexicon.automaton()
     assert lexicon.measure(machine, "such an idiom, scumble") == (0.0, 0.0)
     assert lexicon.measure(machine, "such an 1di0t!")[0] > 0 and lexicon.score(machine, "scum") > 0.5 > lexicon.score(machine, "")
+    assert lexicon.measure(machine, "Pond\nscum on THE idiot-box") == (0.0, 0.0)
+    assert lexicon.measure(machine, "beyond scum")[0] > 0 and lexicon.measure(machine, "pond scum, scum")[0] == math.log1p(5.0)
+
+
+def test_phrases_of_clean_documents_are_excepted(spark):
+    rows = [(f"you are scum number {i}", 1) for i in range(12)] + [(f"there is pond scum in water {i}", 0) for i in range(3)] + [(f"a clean text {i}", 0) for i in range(300)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "body string, toxic int"))
+    assert {"pond scum", "scum in", "pond scum in"} <= lexicon.phrases and not any("are scum" in x for x in lexicon.phrases)
+    machine = lexicon.automaton()
+    assert lexicon.score(machine, "scum, all of you") > 0.5 > lexicon.score(machine, "green pond scum")
 
 
 def test_toxicity_odd(odd, none, spark):

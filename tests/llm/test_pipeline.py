@@ -69,6 +69,15 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_told_apart(spark):
     assert clean == sorted(t for _, t in rows if t != item)
 
 
+def test_columns_with_names_that_stages_use(spark):
+    rows = [(1, "x y", "mine", 7, "own", 1), (2, "x y", "yours", 8, None, 2), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, row int, gone string, score int")
+    want = [rows[1], rows[2]]
+    for _, stage in P.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, SMALL), "t")
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(want, key=str)
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "x y", "en", None, 3), (2, "x y", "en", None, 3), (3, "x y", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
