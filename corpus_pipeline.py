@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import materialise, text_of
+from riskweave.llm.common import discard, free_name, materialise, scratch, text_of
 from riskweave.llm.decontaminate import find_leaks
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.near_dedup import near_dedup
@@ -14,15 +14,15 @@ from riskweave.llm.toxicity import keep_clean
 from riskweave.ship import ship
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row in a column __row, in the order of the ids, null ids last; equal rows have their own."""
-    return materialise(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(text_of(), 256)).withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in the order of the ids, null ids last, and the name of its column; equal rows have their own."""
+    row = free_name(docs, "row")
+    return materialise(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(text_of(), 256)).withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
     """Numbered rows less those whose numbers are among the dropped; rows that share an id, or have none, are told apart."""
-    gone = dropped.select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    return rows.join(dropped.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +32,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays; rows that repeat an id with other texts are told apart."""
-    dropped = exact_dedup(docs).filter("not kept").select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumn("text_sha256", F.sha2(text_of(), 256))
-    match = marked["doc_id"].eqNullSafe(dropped["doc_id"]) & (marked["text_sha256"] == dropped["text_sha256"])
-    return marked.join(dropped, match, "left_anti").select(docs.columns)
+    own, gone_id, gone = (free_name(docs, name) for name in ("digest", "gone_id", "gone"))
+    dropped = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone)).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone))
+    return docs.withColumn(own, F.sha2(text_of(), 256)).join(dropped, match, "left_anti").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8), the row with the smallest id stays."""
-    rows = _numbered(docs)
-    return _without(rows, near_dedup(rows, doc_id="__row").filter("not kept"))
+    rows, row = _numbered(docs)
+    return _without(rows, row, near_dedup(rows, doc_id=row).filter("not kept")).select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    rows = _numbered(docs)
-    return _without(rows, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="__row"))
+    rows, row = _numbered(docs)
+    return _without(rows, row, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=row)).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
