@@ -181,13 +181,10 @@ class Batch:
         self.keys[1][since > DEPTH] &= 255
 
 
-def tally(batch: Batch, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind of context the distinct keys of a batch, sorted, how often they occur if each word does so many times, and which key each byte has."""
-    times, out = np.repeat(times, batch.sizes), []
-    for keys in batch.keys:
-        distinct, of = np.unique(keys, return_inverse=True)
-        out.append((distinct, np.bincount(of, weights=times, minlength=len(distinct)).astype(np.int64), of))
-    return out
+def tally(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, how often they occur if each place counts so many times, and which key each place has."""
+    distinct, of = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(of, weights=times, minlength=len(distinct)).astype(np.int64), of.astype(np.int32)
 
 
 class Counts:

@@ -3,6 +3,8 @@
 Chunks of documents tell owners of ranges of words which words they have, class by class, and how often. An owner sums them up and so has
 all words of its range side by side: what follows the beginning of a word it knows by itself, but for beginnings that
 words of its neighbours share, and last bytes, which owners of hash ranges tell. Each word is spelt once and the answer sent back to the chunks.
+
+A chunk sends a message to each owner at most, and never more messages than it has words.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from . import lm
 from .common import discard, materialise, press, scratch, text_of, unpress, width
 
-#: Bytes of text in a chunk, bytes of text for each owner of words, tokens handled at once, and bytes of words spelt at once.
-CHUNK, OWNED, TOKENS, SPELT = 4 << 20, 8 << 20, 50_000, 1 << 18
+#: Bytes of text in a chunk and for each owner of words, bytes of distinct words in a piece, tokens handled at once, and bytes of words spelt at once.
+CHUNK, OWNED, PIECE, TOKENS, SPELT = 8 << 20, 32 << 20, 3 << 18, 50_000, 1 << 18
 #: Words that each task draws for the bounds of the owners' ranges.
 DRAWN = 64
 #: Rows between tasks. Which of the blobs a row has follows from its kind.
@@ -171,7 +173,8 @@ def _chunks(group: np.ndarray, bounds: list[bytes]):
     return chunks
 
 
-# Owners of words. Kind 3: an owner's units (words, classes, counts). Kind 4: the place of each unit of a chunk among them. Kind 5: what contexts are followed by.
+# Owners of words. Kind 3: a piece of an owner's units (words, classes, counts), its number as chunk. Kind 4: the place of each unit of a chunk among
+# all the owner's. Kind 5: to a piece, what contexts are followed by. Kind 7: a piece's units spelt. Kind 6: answers to a chunk.
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,8 +185,12 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     rank[order] = np.arange(len(order))
     units, of = np.unique(rank[flat.indices.to_numpy(zero_copy_only=False)] * UNIT + np.concatenate([unpress(b) for b in rows["b"]]), return_inverse=True)
     n = np.bincount(of, weights=np.concatenate([unpress(c) for c in rows["c"]])).astype(np.int64)
-    words, owner = flat.dictionary.take(pa.array(order[units // UNIT])).to_pylist(), int(rows["owner"].iloc[0])
-    out, at = [_row(3, owner, a=_bytes(words), b=press(units % UNIT), c=press(n))], 0
+    words, owner, out, at = flat.dictionary.take(pa.array(order[units // UNIT])).to_pylist(), int(rows["owner"].iloc[0]), [], 0
+    size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) // PIECE
+    begins = np.flatnonzero(np.concatenate([[True], units[1:] // UNIT != units[:-1] // UNIT]))  # a word's units stay together
+    cuts = [0, *begins[1:][np.diff(size[begins]) > 0].tolist(), len(words)]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        out.append(_row(3, owner, owner << 32 | k, a, _bytes(words[a:b]), press(units[a:b] % UNIT), press(n[a:b])))
     for chunk, start, ws in zip(rows["chunk"], rows["start"], sent, strict=True):
         out.append(_row(4, owner, chunk, start, press(of[at : at + len(ws)])))
         at += len(ws)
@@ -191,11 +198,17 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Owned:
-    """An owner's units: words (sorted), of (the class each stands in) and n; and what it knows of contexts by itself."""
+    """A piece of units: words (sorted), of (the class each stands in) and n; and what it knows of contexts by itself."""
 
     def __init__(self, row):
         self.words, self.of, self.n = _list(row.a), unpress(row.b), unpress(row.c)
-        self.batch = lm.Batch(self.words, self.of)
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
+        parts = [lm.Batch(self.words[w], self.of[w]) for w, _ in self.slices()]
+        self.bytes, self.pair = np.concatenate([b.bytes for b in parts]), np.concatenate([b.pair.astype(np.uint16) for b in parts])
+        self.keys = [np.concatenate([b.keys[kind] for b in parts]) for kind in range(lm.CONTEXTS)]
+
+    def tally(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return lm.tally(self.keys[kind], np.repeat(self.n, self.sizes))
 
     def shared(self) -> np.ndarray:
         """Contexts of the second kind that neighbours may have too: beginnings of the first and of the last word."""
@@ -204,17 +217,18 @@ class Owned:
 
     def slices(self) -> Iterator[tuple[slice, slice]]:
         """Words and their bytes, as many at a time as have SPELT bytes."""
-        ends = np.cumsum(self.batch.sizes)
+        ends = np.cumsum(self.sizes)
         cuts = [0, *(np.flatnonzero(np.diff(ends // SPELT)) + 1).tolist(), len(ends)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            yield slice(a, b), slice(int(ends[a] - self.batch.sizes[a]), int(ends[b - 1]))
+            yield slice(a, b), slice(int(ends[a] - self.sizes[a]), int(ends[b - 1]))
 
     def known(self, code: lm.Code, told: pd.DataFrame) -> list[tuple[lm.Counts, np.ndarray]]:
         """For each kind of context the counts over all training documents, and the key of each byte."""
         out = []
-        for kind, (own, n, of) in enumerate(lm.tally(self.batch, self.n)):
+        for kind in range(lm.CONTEXTS):
+            own, n, of = self.tally(kind)
             pair = np.empty(len(own), np.int64)
-            pair[of] = self.batch.pair
+            pair[of] = self.pair
             part = told[told["start"] == kind]
             keys = np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpress(b)) for b in part["a"])])
             counts = np.concatenate([np.empty(0, np.int64), *map(unpress, part["b"])])
@@ -224,14 +238,14 @@ class Owned:
             new = np.concatenate([[0], np.cumsum((every[1:] >> 8) != (every[:-1] >> 8))])
             pairs = np.empty(int(new[-1]) + 1, np.int64)
             pairs[new[at[: len(own)]]] = pair  # every context told of is one of its own
-            out.append((lm.Counts(code, every, pairs[new], total), at[: len(own)][of]))
+            out.append((lm.Counts(code, every, pairs[new], total), at[: len(own)].astype(np.int32)[of]))
         return out
 
     def inputs(self, code: lm.Code, told: pd.DataFrame, leave_out: bool):
         """Slice by slice: words, sizes, and what lm.inputs gives."""
         known = [(c, *c.inputs(leave_out), of) for c, of in self.known(code, told)]
         for words, bytes_ in self.slices():
-            yield words, self.batch.sizes[words], lm.inputs(code, self.batch.pair[bytes_], self.batch.bytes[bytes_], [(c, x, y, of[bytes_]) for c, x, y, of in known])
+            yield words, self.sizes[words], lm.inputs(code, self.pair[bytes_].astype(np.intp), self.bytes[bytes_], [(c, x, y, of[bytes_]) for c, x, y, of in known])
 
 
 def _asked(owners: int):
@@ -241,12 +255,13 @@ def _asked(owners: int):
         for frame in frames:
             for row in frame.itertuples():
                 own = Owned(row)
-                for kind, (keys, n, _) in enumerate(lm.tally(own.batch, own.n)):
+                for kind in range(lm.CONTEXTS):
+                    keys, n, _ = own.tally(kind)
                     if kind:
                         at = np.isin(keys >> 8, own.shared())
                         keys, n = keys[at], n[at]
                     edges = np.searchsorted(keys >> 8, [(o << 48) // owners for o in range(owners + 1)])  # a context has one owner
-                    yield _frame([_row(kind, o, row.owner, 0, press(np.diff(keys[a:b], prepend=0)), press(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
+                    yield _frame([_row(kind, o, row.chunk, 0, press(np.diff(keys[a:b], prepend=0)), press(n[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
 
     return ask
 
@@ -261,7 +276,7 @@ def _tell(messages: pd.DataFrame) -> pd.DataFrame:
     for kind, asker, s in zip(messages["kind"], messages["chunk"], sent, strict=True):
         own = np.unique(s >> 8)
         has = own[np.minimum(np.searchsorted(own, context), len(own) - 1)] == context
-        rows.append(_row(5, int(asker), 0, int(kind), press(np.diff(keys[has], prepend=0)), press(n[has])))
+        rows.append(_row(5, 0, int(asker), int(kind), press(np.diff(keys[has], prepend=0)), press(n[has])))
     return _frame(rows)
 
 
@@ -280,27 +295,39 @@ def _fit(code):
 
 def _spell(code, weights: np.ndarray):
     def spell(rows: pd.DataFrame) -> pd.DataFrame:
-        """Answers to chunks: for each of their units how often training documents have its word, and what it costs to spell."""
-        own = Owned(next(rows[rows["kind"] == 3].itertuples()))
-        told = rows[rows["kind"] == 5]
+        """For each unit of a piece how often training documents have its word, and what it costs to spell."""
+        row, told = next(rows[rows["kind"] == 3].itertuples()), rows[rows["kind"] == 5]
+        own = Owned(row)
         spelt = np.concatenate([lm.spelling(sizes, *x, weights) for _, sizes, x in own.inputs(code.value, told, False)]).astype(np.float32)
         word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
-        n, out = np.bincount(word, weights=own.n).astype(np.int64)[word], []
-        for row in rows[rows["kind"] == 4].itertuples():
-            at = unpress(row.a)
-            out.append(_row(6, 0, row.chunk, row.start, press(n[at]), zstandard.compress(spelt[at].tobytes(), 1)))
-        return _frame(out)
+        n = np.bincount(word, weights=own.n).astype(np.int64)[word]
+        return _frame([_row(7, row.owner, row.chunk, row.start, press(n), zstandard.compress(spelt.tobytes(), 1))])
 
     return spell
 
 
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """An owner's answers to chunks, from its pieces."""
+    pieces = rows[rows["kind"] == 7].sort_values("start")
+    n, spelt = np.concatenate([unpress(b) for b in pieces["a"]]), np.concatenate([_floats(b) for b in pieces["b"]])
+    out = []
+    for row in rows[rows["kind"] == 4].itertuples():
+        at = unpress(row.a)
+        out.append(_row(6, 0, row.chunk, row.start, press(n[at]), zstandard.compress(spelt[at].tobytes(), 1)))
+    return _frame(out)
+
+
+def _floats(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.float32)
+
+
 def _score(recall: np.ndarray, n_all: int, distinct: int):
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "train_tokens"]
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         answers = rows[rows["kind"] == 6].sort_values("start")
         seen = np.concatenate([unpress(b) for b in answers["a"]])
-        spelt = np.concatenate([np.frombuffer(zstandard.decompress(b), np.float32) for b in answers["b"]]).astype(float)
+        spelt = np.concatenate([_floats(b) for b in answers["b"]]).astype(float)
         base, known, out = np.log10((seen + 1) / (n_all + distinct + 1)), (seen > 0).astype(float), []
         row = next(rows[rows["kind"] == 0].itertuples())
         ids, marks, sizes, lengths = unpress(row.a).reshape(4, -1)
@@ -353,9 +380,8 @@ def _triples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
             yield pd.DataFrame({"pair": [-1, -2], "byte": [0, 0], "n": [int(own.n.sum()), int((np.bincount(word, weights=own.n) > 0).sum())]}).astype({"pair": "int32", "byte": "int32"})
             for words, at in own.slices():
-                b = own.batch
-                key, of = np.unique(b.pair[at] << 8 | b.bytes[at], return_inverse=True)
-                n = np.bincount(of, weights=np.repeat(own.n[words], b.sizes[words])).astype(np.int64)
+                key, of = np.unique(own.pair[at].astype(np.int64) << 8 | own.bytes[at], return_inverse=True)
+                n = np.bincount(of, weights=np.repeat(own.n[words], own.sizes[words])).astype(np.int64)
                 yield pd.DataFrame({"pair": (key >> 8).astype(np.int32), "byte": (key & 255).astype(np.int32), "n": n})[n > 0]
 
 
@@ -396,16 +422,21 @@ def _lm_score(slim: DataFrame) -> DataFrame:
     sent = materialise(slim.mapInPandas(_chunks(group, bounds), ROW), "lm-chunks")
     recall = _fitted(sent.filter("kind = 2").select(F.col("a").alias("sums")), lm.RECALL_GATES, lm.RECALL_START).weights()
     owners = len(bounds) + 1
-    dealt = lambda rows: rows.repartition(owners, "owner").groupBy("owner")
-    owned = materialise(dealt(sent.filter("kind = 1")).applyInPandas(_merge, ROW), "lm-words")
+    dealt = lambda rows, key, n: rows.repartition(n, key).groupBy(key)
+    owned = materialise(dealt(sent.filter("kind = 1"), "owner", owners).applyInPandas(_merge, ROW), "lm-words")
     units = owned.filter("kind = 3")
+    pieces = max(1, units.count())
     made, n_all, distinct = _code(units)
     code = spark.sparkContext.broadcast(made)
 
-    messages = units.mapInPandas(_asked(owners // 4 + 1), ROW)
+    messages = units.mapInPandas(_asked(pieces // 8 + 1), ROW)
     told = materialise(messages.groupBy("owner", "kind").applyInPandas(_tell, ROW), "lm-contexts")
-    weights = _fitted(dealt(units.unionByName(told)).applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
-    answers = materialise(dealt(owned.unionByName(told)).applyInPandas(_spell(code, weights), ROW), "lm-answers")
-    discard(owned, told)
-    scored = sent.filter("kind = 0").unionByName(answers).repartition(2 * owners, "chunk").groupBy("chunk").applyInPandas(_score(recall, n_all, distinct), kinds)
+    asked = dealt(units.unionByName(told), "chunk", pieces)
+    weights = _fitted(asked.applyInPandas(_fit(code), "sums binary"), lm.GATES, lm.SPELL_START).weights().astype(np.float32)
+    spelt = materialise(asked.applyInPandas(_spell(code, weights), ROW), "lm-spelt")
+    discard(told)
+    answers = dealt(owned.filter("kind = 4").unionByName(spelt), "owner", owners).applyInPandas(_answer, ROW)
+    answers = materialise(answers, "lm-answers")
+    discard(owned, spelt)
+    scored = dealt(sent.filter("kind = 0").unionByName(answers), "chunk", 2 * owners).applyInPandas(_score(recall, n_all, distinct), kinds)
     return materialise(scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"), "lm-scores", keep=True)

@@ -389,7 +389,7 @@ def _units(seed, n=120):
 
 def _known(code, batch, times, leave_out=False):
     out = []
-    for keys, n, of in lm.tally(batch, times):
+    for keys, n, of in (lm.tally(keys, np.repeat(times, batch.sizes)) for keys in batch.keys):
         pairs = np.empty(len(keys), np.int64)
         pairs[of] = batch.pair
         counts = lm.Counts(code, keys, pairs, n)
@@ -508,15 +508,15 @@ def test_owners_know_what_all_training_documents_have(spark):
     words, rows, cuts = sorted({w for w, _ in units}), [], [0, 40, 300, 301, 10**6]
     for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         own = [i for i, (w, _) in enumerate(units) if a <= words.index(w) < b]
-        rows.append(lm_score._row(3, o, a=lm_score._bytes([units[i][0] for i in own]), b=lm_score.press(np.array([units[i][1] for i in own])), c=lm_score.press(np.array([n[i] for i in own]))))
+        rows.append(lm_score._row(3, 0, o, a=lm_score._bytes([units[i][0] for i in own]), b=lm_score.press(np.array([units[i][1] for i in own])), c=lm_score.press(np.array([n[i] for i in own]))))
     df = spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in row) for row in rows], lm_score.ROW)
     told = df.mapInPandas(lm_score._asked(3), lm_score.ROW).groupBy("owner", "kind").applyInPandas(lm_score._tell, lm_score.ROW).toPandas()
     for o, row in enumerate(lm_score._frame(rows).itertuples()):
         own = lm_score.Owned(row)
         at = np.flatnonzero(np.isin(places, [i for i, (w, _) in enumerate(units) if cuts[o] <= words.index(w) < cuts[o + 1]]))
-        for (got, of), (want, _, _, want_of) in zip(own.known(code, told[told["owner"] == o]), whole, strict=True):
+        for (got, of), (want, _, _, want_of) in zip(own.known(code, told[told["chunk"] == o]), whole, strict=True):
             for k, (i, j) in enumerate(zip(of.tolist(), want_of[at].tolist(), strict=True)):
-                n = code.spell(own.batch.pair[k : k + 1], own.batch.bytes[k : k + 1])[0][0]
+                n = code.spell(own.pair[k : k + 1].astype(int), own.bytes[k : k + 1])[0][0]
                 a, b = got.first[i], want.first[j]
                 assert (got.n0[a : a + n] == want.n0[b : b + n]).all() and (got.n1[a : a + n] == want.n1[b : b + n]).all()
 
