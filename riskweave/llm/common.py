@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -79,12 +81,22 @@ def discard(*tables: DataFrame) -> None:
 
 
 def press(x: np.ndarray) -> bytes:
-    """Integers, compressed byte by byte: the lowest bytes of all, then the next."""
-    return zstandard.compress(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Integers, compressed byte by byte (the lowest bytes of all, then the next), in as few bytes as the largest needs."""
+    x = np.ascontiguousarray(x).ravel()
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or not len(x) or (x.min() >= 0 and x.max() < 1 << 8 * k))
+    return bytes([size]) + zstandard.compress(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes(), 1)
 
 
 def unpress(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+    size = b[0]
+    return np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(size, -1).T.copy().view(f"<u{size}").ravel().astype(np.int64)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that lives on holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def width(spark: SparkSession) -> int:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lm
-from .common import discard, materialise, press, scratch, text_of, unpress, width
+from .common import discard, give_back, materialise, press, scratch, text_of, unpress, width
 
 #: Bytes of text in a chunk and for each owner of words, bytes of distinct words in a piece, tokens handled at once, and bytes of words spelt at once.
-CHUNK, OWNED, PIECE, TOKENS, SPELT = 8 << 20, 32 << 20, 3 << 18, 50_000, 1 << 18
+CHUNK, OWNED, PIECE, TOKENS, SPELT = 4 << 20, 32 << 20, 3 << 18, 50_000, 1 << 18
 #: Words that each task draws for the bounds of the owners' ranges.
 DRAWN = 64
 #: Rows between tasks. Which of the blobs a row has follows from its kind.
@@ -66,8 +66,8 @@ def tokens(said: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     lists = pc.split_pattern(pa.array(said, pa.large_binary()), b" ")
     flat = lists.flatten().dictionary_encode()
     order = pc.array_sort_indices(flat.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     at = flat.indices.to_numpy(zero_copy_only=False)
     return flat.dictionary.take(pa.array(order)).to_pylist(), rank[at], np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
@@ -135,9 +135,9 @@ def _overview(slim: DataFrame) -> tuple[np.ndarray, list[bytes]]:
 def _chunk(number: int, docs: pd.DataFrame, group: np.ndarray, bounds: list[bytes]) -> list[tuple]:
     words, at, sizes = tokens(docs["said"].tolist())
     own, learn, fit = group[_buckets(words)], ~docs["held_out"].to_numpy(bool), lm.Fit(lm.RECALL_GATES, lm.RECALL_START)
-    unit = np.empty(len(at), np.int64)
+    unit = np.empty(len(at), np.int32 if len(words) * UNIT < 1 << 31 else np.int64)
     for d, t in _parts(sizes):
-        unit[t] = at[t] * UNIT + lm.classes(own[at[t]], sizes[d])
+        unit[t] = at[t].astype(np.int64) * UNIT + lm.classes(own[at[t]], sizes[d])
         keep = np.repeat(learn[d], sizes[d])
         if keep.any():
             r = lm.Recall(at[t][keep], sizes[d][learn[d]])
@@ -165,10 +165,12 @@ def _chunks(group: np.ndarray, bounds: list[bytes]):
                 if k and held:
                     yield _frame(_chunk(number, pd.concat(held), group, bounds))
                     number, held = number + 1, []
+                    give_back()
                 held.append(docs[cut == k])
             size = int(ends[-1] % CHUNK)
         if held:
             yield _frame(_chunk(number, pd.concat(held), group, bounds))
+        give_back()
 
     return chunks
 
@@ -288,6 +290,7 @@ def _fit(code):
         for words, sizes, (n, bits, logits, gate) in own.inputs(code.value, rows[rows["kind"] == 5], True):
             by = np.add.reduceat(n, np.cumsum(sizes) - sizes)
             sums.add(bits, logits, gate, np.repeat(own.n[words], by))
+        give_back()
         return pd.DataFrame({"sums": [sums.sums()]})
 
     return fit
@@ -301,6 +304,8 @@ def _spell(code, weights: np.ndarray):
         spelt = np.concatenate([lm.spelling(sizes, *x, weights) for _, sizes, x in own.inputs(code.value, told, False)]).astype(np.float32)
         word = np.cumsum([0, *(a != b for a, b in zip(own.words, own.words[1:], strict=False))])
         n = np.bincount(word, weights=own.n).astype(np.int64)[word]
+        del own
+        give_back()
         return _frame([_row(7, row.owner, row.chunk, row.start, press(n), zstandard.compress(spelt.tobytes(), 1))])
 
     return spell
