@@ -40,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends, if its session still runs then."""
+
+    def remove() -> None:
+        with suppress(Exception):
+            _delete(spark, path)
+
+    atexit.register(remove)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -48,13 +58,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later reads don't depend on lost executors.
 
-    Inside scratch() the files go at its end; those to be kept, at the end of the scratch() around that, if there is one.
+    Inside scratch() the files go at its end; those to be kept, at the end of the scratch() around that, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     held = getattr(_HELD, "paths", [])
     if len(held) > keep:
         held[-1 - keep].append(path)
+    else:
+        remove_at_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

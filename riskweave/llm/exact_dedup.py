@@ -15,10 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_of, width
+from .common import discard, materialise, scratch, text_of, width
 
 #: Bits of a fingerprint. Too few only make more suspects; bytes decide.
 BITS = 48
+#: Fingerprints that an owner judges, about.
+OWNED = 4_000_000
 #: Suspect fingerprints up to this count (8 bytes each) are broadcast; beyond it the semi-join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -87,7 +89,7 @@ def _read_answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def suspect_fingerprints(texts: DataFrame, owners: int | None = None) -> DataFrame:
     """fp: fingerprints (column fp of texts) that more than one row has."""
-    owners = owners or width(texts.sparkSession)
+    owners = owners or max(width(texts.sparkSession), texts.count() // OWNED)
     kinds = "owner int, sender int, n int, k int, unary binary, rest binary, twice binary"
     messages = materialise(texts.select("fp").mapInPandas(_sender(owners), kinds), "fingerprints")
     answers = messages.groupBy("owner").applyInPandas(_judge, "owner int, sender int, bitmap binary")
@@ -104,6 +106,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept is true. Rows that repeat an id and a text are reported each, all kept or none, and count each for group_size.
     An empty table gives an empty result. Other columns of docs play no part, whatever their names.
     """
+    with scratch(docs.sparkSession):
+        return materialise(_exact_dedup(docs, doc_id, text), "exact-found", keep=True)
+
+
+def _exact_dedup(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     slim = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("body"))
     marked = slim.withColumn("fp", fingerprint(F.col("body")))
     suspects = suspect_fingerprints(marked)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, scratch, text_of
 
 #: Bytes that one range should hold, and the bounds of the number of ranges (with it the driver's share is bounded).
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 1 << 28, 256, 16_384
@@ -50,12 +50,18 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     their share are subdivided by the hash of the id. Shards are cut from the ranges in order, so each ends within one
     record of an equal share. slot counts from 0 in every shard, in key order.
 
-    Null text is empty (size 1). Null ids count as one id. Repeated rows are records of their own, in any order among
+    Null text is empty (size 1). A record's own number, written with its key, tells records of one text and id apart, or
+    of no id, so these are cut like others. Repeated rows are records of their own, in any order among
     themselves. An empty table gives an empty result. Other columns play no part.
     """
+    with scratch(docs.sparkSession):
+        return materialise(_shard(docs, shards, doc_id, text), "shards", keep=True)
+
+
+def _shard(docs: DataFrame, shards: int, doc_id: str, text: str) -> DataFrame:
     body = text_of(text)
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(body).alias("hash"), F.xxhash64(F.lit(7), F.col(doc_id)).alias("spread"))
-    keyed = materialise(keyed, "shard-keys")  # 40 bytes a record; the texts aren't read again
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(body).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keyed = materialise(keyed.withColumn("spread", F.xxhash64("doc_id", "row")), "shard-keys")  # 50 bytes a record; the texts aren't read again
     total = keyed.agg(F.sum("size")).head()[0] or 0
     ranges = min(MOST_RANGES, max(LEAST_RANGES, total // RANGE_BYTES))
     ranged = keyed.withColumn("part", _range_of(_splitters(keyed, total, ranges)))
@@ -69,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     order = Window.orderBy(*by)  # over the segments, at most a few for each range
     segments = divided.groupBy(*by).agg(F.sum("size").alias("bytes"))
     before = segments.select(*by, (F.sum("bytes").over(order) - F.col("bytes")).alias("before"))
-    inside = Window.partitionBy(*by).orderBy("hash", "spread", "doc_id", "text_crc32")
+    inside = Window.partitionBy(*by).orderBy("hash", "spread", "row")
     ended = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     middle = ended - F.col("size") / 2
     placed = divided.join(F.broadcast(before), by).withColumn("nth", F.row_number().over(inside)).withColumn("middle", middle)
