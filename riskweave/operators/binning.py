@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if, ratio
+from .evaluation import below
 
 #: Edges are searched in blocks of so many.
 _STEP = 32
 
 
+def quantiles(rows: DataFrame, value: str, points: list[float] | int, by: list[str]) -> DataFrame:
+    """by, q: exact quantiles at the points (or at 0, 1/n .. 1 for a number n), interpolated between neighbours, nulls left out.
+
+    From the counts of distinct values, summed in ranges, so no task orders all values of a group.
+    """
+    keys = by or ["__all"]
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    v = (F.col(value).cast("double") + F.lit(0.0)).alias("value")  # -0.0 is 0.0
+    ranked = below(rows.filter(F.col(value).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("n")), keys, ["n"])
+    start, stop, last = F.col("n_below"), F.col("n_below") + F.col("n"), F.col("n_all") - 1
+    if isinstance(points, int):  # the few that may lie here
+        at = lambda i: F.floor(i * points / F.greatest(last, F.lit(1)))
+        near, point = F.sequence(F.greatest(at(start) - 1, F.lit(0)), F.least(at(stop) + 1, F.lit(points))), lambda i: i / F.lit(float(points))
+    else:
+        near, point = F.array(*(F.lit(i).cast("long") for i in range(len(points)))), lambda i: F.element_at(F.array(*map(F.lit, points)), (i + 1).cast("int"))
+    here = lambda x: (x >= start) & (x < stop)
+    met = ranked.select(*keys, "value", "n_all", "n_below", "n", F.explode(F.filter(near, lambda i: here(F.floor(point(i) * last)) | here(F.ceil(point(i) * last)))).alias("i"))
+    x = point(F.col("i")) * last
+    side = lambda c: F.max(F.when(here(c), F.col("value")))
+    ends = met.groupBy(*keys, "i", "n_all").agg(side(F.floor(x)).alias("lo"), side(F.ceil(x)).alias("hi"))
+    q = F.when(F.floor(x) == F.ceil(x), F.col("lo")).otherwise((F.ceil(x) - x) * F.col("lo") + (x - F.floor(x)) * F.col("hi"))
+    got = ends.select(*keys, F.struct("i", q.alias("q")).alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps"))  # one short list for each group
+    return got.select(*by, F.col("ps.q").alias("q"))
+
+
 def quantile_edges(scores: DataFrame, value: str, n: int, by: list[str]) -> DataFrame:
     """by, edges: inner quantiles that bins end at. The outermost take part when equal edges are merged, then fall away."""
-    points = F.array(*(F.lit(i / n) for i in range(n + 1)))
-    all_edges = scores.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(F.col(value).cast("double") + F.lit(0.0), points))).alias("e"))
+    all_edges = quantiles(scores, value, n, by).select(*by, F.array_sort(F.array_distinct("q")).alias("e"))
     return all_edges.select(*by, F.expr("filter(e, x -> x > e[0] and x < e[size(e) - 1])").alias("edges"), F.col("e")[0].alias("low"), F.element_at("e", -1).alias("high"))
 
 
@@ -90,11 +115,8 @@ def limits(edges: DataFrame, by: list[str]) -> DataFrame:
 
 def rank_bins(scores: DataFrame, value: str, n: int, by: list[str], out: str = "bin") -> DataFrame:
     """n bins by rank, ties by id: for scores with fewer distinct values than bins. Counts of distinct values stand for a sort of all rows."""
-    from pyspark.sql import Window
-
-    counts = scores.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumn("__before", F.sum("__c").over(w.orderBy(value)) - F.col("__c")).withColumn("__n", F.sum("__c").over(w))
+    counts = below(scores.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n")), by, ["n"])
+    counts = counts.select(*by, F.col("value").alias(value), F.col("n_below").alias("__before"), F.col("n_all").alias("__n"))
     inside = F.row_number().over(Window.partitionBy(*by, value).orderBy("iid"))
     ranked = scores.join(counts, [*by, value]).withColumn("__r", F.col("__before") + inside)
-    return ranked.withColumn(out, F.ceil(F.col("__r") * n / F.col("__n")).cast("int")).drop("__c", "__before", "__n", "__r")
+    return ranked.withColumn(out, F.ceil(F.col("__r") * n / F.col("__n")).cast("int")).drop("__before", "__n", "__r")

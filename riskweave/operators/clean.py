@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binning import quantiles
+
 
 def hard_call(raw: Column) -> Column:
     return F.when(raw < 0.7, 0).when(raw < 1.7, 1).when(raw >= 1.7, 2)
@@ -32,7 +34,7 @@ def mean_impute(values: DataFrame, fit: DataFrame, by: list[str], value: str = "
 
 
 def median_impute(values: DataFrame, fit: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    medians = fit.groupBy(*by).agg(F.percentile(F.col(value), F.lit(0.5)).alias("__mid"))
+    medians = quantiles(fit, value, [0.5], by).select(*by, F.col("q")[0].alias("__mid"))
     return values.join(medians, by, "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.col("__mid"))).drop("__mid")
 
 
@@ -45,7 +47,7 @@ def risk_direction(frame: DataFrame, marker: str, outcome: str) -> DataFrame:
 
 def binarise(frame: DataFrame, fit: DataFrame, marker: str, percentile: float = 0.2, threshold: float | None = None, higher_is_risk: bool = True) -> DataFrame:
     """flag: 1 on the risky side of a threshold, or of the percentile of fit. Null stays null."""
-    cut = fit.agg((F.lit(threshold) if threshold is not None else F.percentile(F.col(marker), F.lit(percentile))).alias("__cut"))
+    cut = fit.agg(F.max(F.lit(threshold)).alias("__cut")) if threshold is not None else quantiles(fit, marker, [percentile], []).select(F.col("q")[0].alias("__cut"))
     risky = F.col(marker) >= F.col("__cut") if higher_is_risk else F.col(marker) <= F.col("__cut")
     return frame.join(F.broadcast(cut)).withColumn("flag", risky.cast("int")).drop("__cut")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if, odds_ci, odds_ratio, ratio, wilson
+from .binning import quantiles
 
 
 def is_case() -> Column:
@@ -31,7 +32,7 @@ def top_percent_tables(binned: DataFrame, percents: list[int], n_bins: int = 100
 
 def confusion(scores: DataFrame, value: str, quantile: float = 0.8, by: str = "model") -> DataFrame:
     """Counts with 'high' at or above the quantile of its model; precision, recall and specificity, zero where undefined."""
-    cut = scores.groupBy(by).agg(F.percentile(F.col(value).cast("double"), F.lit(quantile)).alias("cut"))
+    cut = quantiles(scores, value, [quantile], [by]).select(by, F.col("q")[0].alias("cut"))
     high = F.col(value) >= F.col("cut")
     cells = scores.join(F.broadcast(cut), by).groupBy(by).agg(
         count_if(high & is_case()).alias("tp"), count_if(high & ~is_case()).alias("fp"), count_if(~high & ~is_case()).alias("tn"), count_if(~high & is_case()).alias("fn")

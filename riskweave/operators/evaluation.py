@@ -141,15 +141,16 @@ def chi2_yates(tables: DataFrame) -> DataFrame:
     return tables.withColumn("chi2", ratio(n * gap * gap, (a + b) * (c + d) * (a + c) * (b + d)))
 
 
-def average_rank(value: Column, by: list[str]) -> Column:
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def midranks(frame: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """frame with a column of ranks of value, ties averaged, from the counts of distinct values."""
+    counts = below(frame.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n")), by, ["n"])
+    ranks = counts.select(*by, F.col("value").alias(value), (F.col("n_below") + (F.col("n") + 1) / 2).alias(out))
+    return frame.join(ranks, [*by, value])
 
 
 def paired_scores(frame: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson with Fisher bounds, Spearman, and paired t, by group. Groups are comparisons of people high in either model."""
-    ranked = frame.withColumn("rx", average_rank(F.col(x), by)).withColumn("ry", average_rank(F.col(y), by))
+    ranked = midranks(midranks(frame, x, by, "rx"), y, by, "ry")
     d = F.col(x) - F.col(y)
     s = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.avg(d).alias("md"), F.stddev_samp(d).alias("sd"))
     r, z = F.col("pearson"), 1.96 / F.sqrt(F.col("n") - 3)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if
+from .binning import quantiles
 
 
 def histogram(scores: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
@@ -20,9 +21,8 @@ def histogram(scores: DataFrame, value: str, bins: int, by: list[str]) -> DataFr
 
 def box(scores: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Five numbers of each box."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
     names = ("min", "q1", "median", "q3", "max")
-    return scores.groupBy(*by).agg(q.alias("q")).select(*by, *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
+    return quantiles(scores, value, 4, by).select(*by, *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
 def forest(odds: DataFrame, label: str) -> DataFrame:

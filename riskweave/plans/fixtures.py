@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import written
+
 TABLES = ("customer", "orders", "lineitem", "part", "events", "embeddings")
 
 #: View -> SQL. Views may use the tables and views before them. {pc} is an engine's list of principal components.
@@ -104,20 +106,30 @@ _ENGINE = {
 }
 
 
-def _uses(sql: str) -> set[str]:
-    return set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql)) & VIEWS.keys()
+#: Views that are written once where a query reads them more than once; scores always are, as bins, edges and people all read them.
+SHARED = ("genotype", "prs")
+
+
+def _uses(sql: str) -> list[str]:
+    return [x for x in re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql) if x in VIEWS]
 
 
 @functools.cache
-def _needed(name: str) -> tuple[str, ...]:
-    """The views that a view needs, and itself, in the order of VIEWS."""
-    found = {name} | {x for u in _uses(VIEWS[name]) for x in _needed(u)}
+def _needed(name: str, known: frozenset = frozenset()) -> tuple[str, ...]:
+    """The views that a view needs and that aren't known, and itself, in the order of VIEWS."""
+    found = {name} | {x for u in _uses(VIEWS[name]) if u not in known for x in _needed(u, known)}
     return tuple(v for v in VIEWS if v in found)
 
 
-def with_views(sql: str, engine: str = "duckdb") -> str:
-    """sql with the views it names as common table expressions."""
-    found = {x for u in _uses(sql) for x in _needed(u)}
+@functools.cache
+def _times(name: str, view: str, known: frozenset) -> int:
+    """How often a view's plan would hold another."""
+    return sum(1 if u == view else _times(u, view, known) for u in _uses(VIEWS[name]) if u not in known)
+
+
+def with_views(sql: str, engine: str = "duckdb", known: frozenset = frozenset()) -> str:
+    """sql with the views it names, less those known, as common table expressions."""
+    found = {x for u in _uses(sql) if u not in known for x in _needed(u, known)}
     views = ",\n".join(f"{v} AS ({VIEWS[v].format(**_ENGINE[engine])})" for v in VIEWS if v in found)
     if not views:
         return sql
@@ -125,10 +137,22 @@ def with_views(sql: str, engine: str = "duckdb") -> str:
     return f"WITH {views},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views}\n{body}"
 
 
-def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """A view over the tables in sf_dir. Only the tables it needs are opened."""
-    sql = with_views(f"SELECT * FROM {view}", "spark")
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+def frame(spark: SparkSession, sf_dir: str, view: str, kept: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view over the tables in sf_dir. Only the tables it needs are opened. kept: views that this query has written, and will."""
+    kept = {} if kept is None else kept
+    if view in kept:
+        return kept[view]
+    for shared in SHARED:
+        if shared != view and shared not in kept:
+            n = _times(view, shared, frozenset(kept))
+            if n > 1 or n and shared == "prs":
+                kept[shared] = written(frame(spark, sf_dir, shared, kept), shared)
+    sql = with_views(f"SELECT * FROM {view}", "spark", frozenset(kept))
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
+    used |= {v: df for v, df in kept.items() if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql)}
     for t in used:
-        sql = re.sub(rf"(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        sql = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
+    out = spark.sql(sql, **used)
+    if view == "prs":
+        out = kept[view] = written(out, view)
+    return out

@@ -33,8 +33,9 @@ def query(sql: str | None = None):
     def add(f):
         class Views:
             def __init__(self, spark, sf_dir):
-                self.of = lambda name: frame(spark, sf_dir, name)
-                self.spark = spark
+                kept: dict[str, DataFrame] = {}
+                self.of = lambda name: frame(spark, sf_dir, name, kept)
+                self.spark, self.sf_dir = spark, sf_dir
 
             def __getattr__(self, name):
                 return self.of(name)
