@@ -58,3 +58,13 @@ def min_max(frame: DataFrame, column: str) -> DataFrame:
     inside = (F.col("__lo") >= 0) & (F.col("__hi") <= 1) | (F.col("__lo") == F.col("__hi"))
     scaled = F.when(inside, F.col(column)).otherwise((F.col(column) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
     return frame.join(F.broadcast(ends)).withColumn(column, scaled).drop("__lo", "__hi")
+
+
+#: Upper ends of what counts as healthy. Fixed values.
+CUTOFFS = {"hba1c": 41.0, "bmi": 25.0, "glucose": 12.0}
+
+
+def clinical_flags(values: DataFrame, cutoffs: dict[str, float] = CUTOFFS, key: str = "env_feature") -> DataFrame:
+    """(iid, key, flag): 1 where a marker is at its cut-off or above; markers without one have no row. Null stays null."""
+    cut = F.element_at(F.create_map(*(x for k, v in cutoffs.items() for x in (F.lit(k), F.lit(v)))), F.col(key))
+    return values.filter(F.col(key).isin(list(cutoffs))).select("iid", key, (F.col("value") >= cut).cast("int").alias("flag"))

@@ -70,3 +70,14 @@ def dominant(enriched: DataFrame) -> DataFrame:
 
 def risk_protective(scores: DataFrame, eps: float = 0.001) -> DataFrame:
     return scores.groupBy("cohort").agg((F.sum("risk") / (F.sum("protective") + eps)).alias("ratio"))
+
+
+def contributions(rows: DataFrame, mapping: DataFrame, enriched: DataFrame) -> DataFrame:
+    """(subtype, cluster, cohort, contribution): a cohort's genes in a cluster times its risk weight in the subtype; no weight counts as none.
+
+    rows: (gene_id, cohort, cluster); every cohort appears under every cluster of a subtype.
+    """
+    genes = rows.groupBy("cohort", "cluster").agg(F.count("*").alias("genes"))
+    every = mapping.select("subtype", "cluster").distinct().join(rows.select("cluster").distinct(), "cluster", "left_semi").join(F.broadcast(rows.select("cohort").distinct()))
+    met = every.join(genes, ["cohort", "cluster"], "left").join(enriched.select("subtype", "cohort", "risk_weight"), ["subtype", "cohort"], "left")
+    return met.select("subtype", "cluster", "cohort", (F.coalesce("genes", F.lit(0)) * F.coalesce("risk_weight", F.lit(0.0))).alias("contribution"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from operator import or_
 
@@ -20,10 +21,12 @@ def case_control(people: DataFrame, icd: str, words: str, self_reports: list[str
 
 
 def validate_cases(people: DataFrame, least: int = 10) -> int:
-    """The number of cases; none at all is an error, few are for the caller to warn about (compare with least)."""
+    """The number of cases; none at all is an error, fewer than least a warning."""
     cases = people.agg(count_if(F.col("phenotype") == 2)).head()[0] or 0
     if cases == 0:
         raise ValueError("the cohort has no cases")
+    if cases < least:
+        warnings.warn(f"the cohort has {cases} cases", stacklevel=2)
     return cases
 
 

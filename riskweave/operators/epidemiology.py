@@ -13,14 +13,14 @@ def is_case() -> Column:
     return F.col("phenotype") == 2
 
 
-def top_percent_tables(binned: DataFrame, percents: list[int], n_bins: int = 100, by: str = "model") -> DataFrame:
-    """Cells a, b (cases and controls in the top p per cent), c, d (the rest), odds ratio and its bounds.
+def top_percent_tables(binned: DataFrame, percents: list[int], n_bins: int = 100, by: str = "model", of: int = 100) -> DataFrame:
+    """Cells a, b (cases and controls in the top p per cent, or p of so many), c, d (the rest), odds ratio and its bounds.
 
     A histogram over bins is made once; each p is a suffix sum of it.
     """
     histogram = binned.groupBy(by, "bin").agg(count_if(is_case()).alias("cases"), count_if(~is_case()).alias("controls"))
     cuts = F.explode(F.array(*map(F.lit, percents))).alias("p")
-    high = F.col("bin") * 100 > (100 - F.col("p")) * n_bins
+    high = F.col("bin") * of > (of - F.col("p")) * n_bins
     cells = histogram.select("*", cuts).groupBy(by, "p").agg(
         F.sum(F.when(high, F.col("cases")).otherwise(0)).alias("a"), F.sum(F.when(high, F.col("controls")).otherwise(0)).alias("b"),
         F.sum(F.when(~high, F.col("cases")).otherwise(0)).alias("c"), F.sum(F.when(~high, F.col("controls")).otherwise(0)).alias("d"),
@@ -61,6 +61,21 @@ def wilson_prevalence(binned: DataFrame, groups: int, n_bins: int, by: str = "mo
     return n.select(by, "grp", "n", "cases", ratio(F.col("cases"), F.col("n")).alias("prevalence"), low.alias("ci_low"), up.alias("ci_high"))
 
 
+def binomial_prevalence(binned: DataFrame, groups: int, n_bins: int, by: str = "model", z: float = 1.96) -> DataFrame:
+    """Prevalence with bounds by the normal approximation of the binomial, within [0, 1], on bins regrouped into fewer."""
+    grouped = binned.withColumn("grp", F.ceil(F.col("bin") * groups / F.lit(n_bins)).cast("int"))
+    n = grouped.groupBy(by, "grp").agg(F.count("*").alias("n"), count_if(is_case()).alias("cases"))
+    p = ratio(F.col("cases"), F.col("n"))
+    half = z * F.sqrt(p * (1 - p) / F.col("n"))
+    return n.select(by, "grp", "n", "cases", p.alias("prevalence"), F.greatest(p - half, F.lit(0.0)).alias("ci_low"), F.least(p + half, F.lit(1.0)).alias("ci_high"))
+
+
+def group_columns(flags: DataFrame, models: list[str]) -> DataFrame:
+    """iid and one 0/1 column for each model: whether the person is high there."""
+    wide = flags.groupBy("iid").pivot("model", models).agg(F.max(F.col("high").cast("int")))
+    return wide.select("iid", *(F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(f"in_{m.replace('+', '_')}") for m in models))
+
+
 def range_prevalence(stats: DataFrame, ranges: dict[str, tuple[int, int]], by: str = "model") -> DataFrame:
     """Prevalence in overlapping inclusive ranges of bins; the ranges are a literal table, joined to bins, not people."""
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for k, (a, b) in ranges.items())))

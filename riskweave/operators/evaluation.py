@@ -80,6 +80,23 @@ def delong(scores: DataFrame, value: str, pairs: list[tuple[str, str]], y: str =
     return out.withColumn("z", F.when(spread > 1e-15, (F.col("auc1") - F.col("auc2")) / F.sqrt(spread)))
 
 
+def auc_bounds(scores: DataFrame, value: str, y: str = "y", z: float = 1.96) -> DataFrame:
+    """(model, auc, ci_low, ci_high) by DeLong's variance, bounds within [0, 1]."""
+    per = placements(scores, value, y).groupBy("model", "y").agg(F.avg("placement").alias("m"), F.var_samp("placement").alias("s"), F.count("*").alias("n"))
+    both = per.groupBy("model").agg(F.max(F.when(F.col("y") == 1, F.col("m"))).alias("auc"), F.sum(F.col("s") / F.col("n")).alias("var"))
+    half = z * F.sqrt("var")
+    return both.select("model", "auc", F.greatest(F.col("auc") - half, F.lit(0.0)).alias("ci_low"), F.least(F.col("auc") + half, F.lit(1.0)).alias("ci_high"))
+
+
+def all_tests(tests: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(model1, model2, test, value): the named statistics of several comparisons of the same pairs, one below the other."""
+    out = None
+    for name, (frame, column) in tests.items():
+        rows = frame.select("model1", "model2", F.lit(name).alias("test"), F.col(column).cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def with_p(frame: DataFrame, name: str, columns: list[str], fn) -> DataFrame:
     """A p-value column from a Python function, for frames of one row per comparison."""
 

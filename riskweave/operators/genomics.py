@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if
 from ..functions.stats import chi2_sf, hwe_exact
+from ..sources.shared import written
 from .evaluation import with_p
 
 
@@ -38,57 +39,68 @@ def outside_region(variants: DataFrame, first: int, last: int, position: str = "
 def ld_r2(genotype: DataFrame, n_people: int, reach: int) -> DataFrame:
     """(snp_a, snp_b, r2) of variants at most `reach` apart: squared correlation of dosages from sums over carriers.
 
-    Only people who carry both meet in the join; sums over all others are zero.
+    Only people who carry both meet in the join, and only within blocks of that length and the next; sums over all others are zero.
     """
     g = genotype.filter("dosage > 0")
+    block = F.floor(F.col("snp") / max(1, reach))
     one = g.groupBy("snp").agg(F.sum("dosage").cast("double").alias("s"), F.sum(F.col("dosage") * F.col("dosage")).cast("double").alias("q"))
-    x, y = (g.select("iid", F.col("snp").alias(f"snp_{k}"), F.col("dosage").alias(k)) for k in "ab")
-    both = x.join(y, "iid").filter((F.col("snp_a") < F.col("snp_b")) & (F.col("snp_b") - F.col("snp_a") <= reach)).groupBy("snp_a", "snp_b").agg(F.sum(F.col("a") * F.col("b")).cast("double").alias("p"))
-    rows = both.join(F.broadcast(one.select(F.col("snp").alias("snp_a"), F.col("s").alias("sa"), F.col("q").alias("qa"))), "snp_a").join(F.broadcast(one.select(F.col("snp").alias("snp_b"), F.col("s").alias("sb"), F.col("q").alias("qb"))), "snp_b")
+    x = g.select("iid", F.col("snp").alias("snp_a"), F.col("dosage").alias("a"), block.alias("block"))
+    y = g.select("iid", F.col("snp").alias("snp_b"), F.col("dosage").alias("b"), F.explode(F.array(block, block - 1)).alias("block"))
+    both = x.join(y, ["iid", "block"]).filter((F.col("snp_a") < F.col("snp_b")) & (F.col("snp_b") - F.col("snp_a") <= reach)).groupBy("snp_a", "snp_b").agg(F.sum(F.col("a") * F.col("b")).cast("double").alias("p"))
+    of = lambda k: one.select(F.col("snp").alias(f"snp_{k}"), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"))
+    rows = both.join(of("a"), "snp_a").join(of("b"), "snp_b")
     n = float(n_people)
     cov, va, vb = n * F.col("p") - F.col("sa") * F.col("sb"), n * F.col("qa") - F.col("sa") * F.col("sa"), n * F.col("qb") - F.col("sb") * F.col("sb")
     return rows.select("snp_a", "snp_b", (cov * cov / (va * vb)).alias("r2"))
 
 
-def window_prune(variants: list, edges: list[tuple], least: float = 0.6) -> list:
-    """Greedy pruning on the driver over a catalogue of variants in order of position: the later of a linked pair goes."""
-    gone, linked = set(), {}
-    for a, b, r2 in edges:
-        if r2 > least:
-            linked.setdefault(a, []).append(b)
-    for v in variants:
-        if v not in gone:
-            gone.update(linked.get(v, ()))
-    return [v for v in variants if v not in gone]
+def window_prune(variants: DataFrame, edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """snp of those kept: in the order of position the later of a linked pair goes, unless what it is linked to has gone itself.
 
-
-def epistasis_counts(genotype: DataFrame, people: DataFrame, snps: list[int]) -> DataFrame:
-    """(snp_a, snp_b, ga, gb, phenotype, n), with both carriers; pairs of a short list of variants, a < b."""
-    g = genotype.filter(F.col("snp").isin(snps) & (F.col("dosage") > 0)).join(people.select("iid", "phenotype"), "iid")
+    In each round what has no undecided partner ahead of it stays, and its partners go; as many rounds as the longest chain of
+    such partners has links.
+    """
+    e = edges.filter(F.col("r2") > least).select(F.least("snp_a", "snp_b").alias("ahead"), F.greatest("snp_a", "snp_b").alias("snp")).filter("ahead < snp").distinct()
+    e = e.join(variants.select("snp"), "snp", "left_semi").join(variants.select(F.col("snp").alias("ahead")), "ahead", "left_semi")
+    undecided, kept = written(variants.select("snp").distinct(), "prune"), None
+    e = written(e, "prune-edges")
+    while not undecided.isEmpty():
+        stays = written(undecided.join(e, "snp", "left_anti"), "prune-kept")
+        goes = e.join(stays.withColumnRenamed("snp", "ahead"), "ahead", "left_semi").select("snp").distinct()
+        undecided = written(undecided.join(stays, "snp", "left_anti").join(goes, "snp", "left_anti"), "prune")
+        left = e.join(undecided, "snp", "left_semi").join(undecided.withColumnRenamed("snp", "ahead"), "ahead", "left_semi")
+        e, kept = written(left, "prune-edges"), stays if kept is None else kept.unionByName(stays)
+    return variants.select("snp").limit(0) if kept is None else kept
+
+
+def epistasis_counts(genotype: DataFrame, people: DataFrame, snps: list[int] | None = None) -> DataFrame:
+    """(snp_a, snp_b, ga, gb, phenotype, n), with both carriers; pairs of all variants, or of a short list, a < b."""
+    g = genotype.filter(F.col("dosage") > 0 if snps is None else F.col("snp").isin(snps) & (F.col("dosage") > 0)).join(people.select("iid", "phenotype"), "iid")
     x = g.select("iid", "phenotype", F.col("snp").alias("snp_a"), F.col("dosage").alias("ga"))
     y = g.select("iid", F.col("snp").alias("snp_b"), F.col("dosage").alias("gb"))
     return x.join(y, "iid").filter("snp_a < snp_b").groupBy("snp_a", "snp_b", "ga", "gb", "phenotype").agg(F.count("*").alias("n"))
 
 
-def full_tables(counts: DataFrame, genotype: DataFrame, people: DataFrame, snps: list[int]) -> DataFrame:
+def full_tables(counts: DataFrame, genotype: DataFrame, people: DataFrame) -> DataFrame:
     """(snp_a, snp_b, cells): all 18 counts by (ga, gb, phenotype), those without a carrier by subtraction from margins."""
-    g = genotype.filter(F.col("snp").isin(snps) & (F.col("dosage") > 0)).join(people.select("iid", "phenotype"), "iid")
-    margins = g.groupBy("snp", "dosage", "phenotype").agg(F.count("*").alias("n"))
-    margins = {(r["snp"], r["dosage"], r["phenotype"]): r["n"] for r in margins.collect()}  # six numbers for each of the listed variants
+    g = genotype.filter("dosage > 0").join(people.select("iid", "phenotype"), "iid")
+    margins = g.groupBy("snp", "dosage", "phenotype").agg(F.count("*").alias("n")).groupBy("snp").agg(F.collect_list(F.struct("dosage", "phenotype", "n")).alias("m"))  # four for each variant
     totals = {r["phenotype"]: r["n"] for r in people.groupBy("phenotype").agg(F.count("*").alias("n")).collect()}
     packed = counts.groupBy("snp_a", "snp_b").agg(F.collect_list(F.struct("ga", "gb", "phenotype", "n")).alias("cells"))  # 8 at most
+    packed = packed.join(margins.select(F.col("snp").alias("snp_a"), F.col("m").alias("ma")), "snp_a").join(margins.select(F.col("snp").alias("snp_b"), F.col("m").alias("mb")), "snp_b").select("snp_a", "snp_b", "cells", "ma", "mb")
 
     def fill(frames):
         for f in frames:
             rows = []
-            for a, b, cells in f.itertuples(index=False):
+            for a, b, cells, *margins in f.itertuples(index=False):
                 seen = {(c["ga"], c["gb"], c["phenotype"]): c["n"] for c in cells}
+                of_a, of_b = ({(c["dosage"], c["phenotype"]): c["n"] for c in m} for m in margins)
                 out = []
                 for p in (1, 2):
                     t = [[seen.get((i, j, p), 0) for j in range(3)] for i in range(3)]
                     for i in (1, 2):
-                        t[i][0] = margins.get((a, i, p), 0) - t[i][1] - t[i][2]
-                        t[0][i] = margins.get((b, i, p), 0) - t[1][i] - t[2][i]
+                        t[i][0] = of_a.get((i, p), 0) - t[i][1] - t[i][2]
+                        t[0][i] = of_b.get((i, p), 0) - t[1][i] - t[2][i]
                     t[0][0] = totals.get(p, 0) - sum(map(sum, t))
                     out += [x for row in t for x in row]
                 rows.append((a, b, out))
@@ -146,3 +158,14 @@ def tags(edges: DataFrame, least: float = 0.6) -> DataFrame:
     e = edges.filter(F.col("r2") > least)
     both = e.select(F.col("snp_a").alias("snp"), F.col("snp_b").alias("tag")).unionByName(e.select(F.col("snp_b").alias("snp"), F.col("snp_a").alias("tag")))
     return both.groupBy("snp").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"), F.count_distinct("tag").alias("n_tags"))
+
+
+def simulate(people: DataFrame, n_snps: int, carriers: float, seed: str = "1") -> DataFrame:
+    """(iid, snp, dosage) of made-up genotypes: two alleles for each person and variant, each there with the same chance, by a hash."""
+
+    def allele(k: int):
+        key = F.concat_ws("-", F.lit(seed), F.col("iid").cast("string"), F.col("snp").cast("string"), F.lit(str(k)))
+        return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") < int(carriers * (1 << 32))).cast("long")
+
+    rows = people.select("iid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_snps - 1).cast("long"))).alias("snp"))
+    return rows.withColumn("dosage", allele(0) + allele(1)).filter("dosage > 0")

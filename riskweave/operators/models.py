@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
@@ -10,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Features of one fit, as in the batches of the planner; a batch becomes one vector column.
 MOST_FEATURES = 3000
 #: Covariates are stretched so that the penalty on them all but vanishes; MLlib has one penalty for all.
@@ -80,6 +84,20 @@ def boosted(rows: DataFrame, people: DataFrame, features: list[str], rates: tupl
     return CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1, parallelism=2).fit(assemble(rows, people, features)).bestModel
 
 
+def boosted_grid(rows: DataFrame, people: DataFrame, features: list[str], rates: tuple[float, ...] = (0.05, 0.1, 0.3), depths: tuple[int, ...] = (2, 3), gate: float = 0.51) -> DataFrame:
+    """(rate, depth, auc, passes): cross-validated AUC of boosted trees over a grid; models at or below the gate aren't ranked further."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    gbt = GBTClassifier(maxIter=5, seed=1)
+    grid = ParamGridBuilder().addGrid(gbt.stepSize, list(rates)).addGrid(gbt.maxDepth, list(depths)).build()
+    data = assemble(rows, people, features).persist()
+    fitted = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1, parallelism=4).fit(data)
+    data.unpersist()
+    found = [(float(g[gbt.stepSize]), int(g[gbt.maxDepth]), float(auc), bool(auc > gate)) for g, auc in zip(grid, fitted.avgMetrics, strict=True)]
+    return rows.sparkSession.createDataFrame(found, "rate double, depth int, auc double, passes boolean")
+
+
 def forest_importance(rows: DataFrame, labels: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
     """(label, feature, importance) of a random forest for each label; labels: (iid, label, y)."""
     names = sorted(r["label"] for r in labels.select("label").distinct().collect())
@@ -91,43 +109,48 @@ def forest_importance(rows: DataFrame, labels: DataFrame, features: list[str], t
     return rows.sparkSession.createDataFrame(out, "label string, feature string, importance double")
 
 
-def _irls(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 25) -> np.ndarray:
-    beta = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-8 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (w * (y - p)))
-        beta += step
-        if np.abs(step).max() < 1e-10:
-            break
-    return beta
+def _poisson(iid: np.ndarray, replicate: int) -> np.ndarray:
+    """Poisson(1) weights by a hash of person and replicate; replicate 0 is the data themselves."""
+    if replicate == 0:
+        return np.ones(len(iid))
+    with np.errstate(over="ignore"):
+        x = iid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(replicate) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    u = (x >> np.uint64(11)).astype(float) / float(1 << 53)
+    return np.searchsorted(np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(12)])), u, side="right").astype(float)
 
 
-def mixed_score(scores: DataFrame, models: list[str], replicates: int = 50, bins: int = 50) -> DataFrame:
+def mixed_score(scores: DataFrame, models: list[str], replicates: int = 50, steps: int = 25) -> DataFrame:
     """(model, beta, se, t, ci_low, ci_high) of a logistic model without intercept on scaled scores, errors by bootstrap.
 
-    Each score is put into so many equal bins first, so one replicate is a fit to a bounded table of weighted cells.
+    All replicates are fitted together by Newton steps; a step is one pass that sums slopes and curvatures, of fixed size, over the people.
     """
     wide = scores.groupBy("iid", "phenotype").pivot("model", models).agg(F.first("scaled_prs"))
-    cell = [F.round(F.greatest(F.least(F.col(f"`{m}`"), F.lit(4.0)), F.lit(-4.0)) * bins / 8).alias(f"c{i}") for i, m in enumerate(models)]
-    slices = wide.select(*cell, (F.col("phenotype") - 1).alias("y"), F.pmod(F.xxhash64("iid"), F.lit(16)).alias("slice"))
-    cells = slices.groupBy(*(f"c{i}" for i in range(len(models))), "y", "slice").agg(F.count("*").alias("n"))
-    tables = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        r = int(rows["replicate"].iloc[0])
-        rows = rows.sort_values([*(f"c{i}" for i in range(len(models))), "y", "slice"])
-        n = rows["n"].to_numpy(float)
-        w = n if r == 0 else np.random.default_rng(r).poisson(n).astype(float)
-        beta = _irls(rows[[f"c{i}" for i in range(len(models))]].to_numpy(float) * 8 / bins, rows["y"].to_numpy(float), w)
-        return pd.DataFrame({"replicate": r, "model": models, "beta": beta})
-
-    betas = tables.groupBy("replicate").applyInPandas(fit, "replicate int, model string, beta double")
-    resampled = F.when(F.col("replicate") > 0, F.col("beta"))
-    out = betas.groupBy("model").agg(
-        F.max(F.when(F.col("replicate") == 0, F.col("beta"))).alias("beta"), F.stddev_samp(resampled).alias("se"), F.percentile(resampled, F.lit(0.025)).alias("ci_low"), F.percentile(resampled, F.lit(0.975)).alias("ci_high")
-    )
-    return out.withColumn("t", F.abs(F.col("beta") / F.col("se")))
+    rows = written(wide.select("iid", (F.col("phenotype") - 1).cast("double").alias("y"), *(F.col(f"`{m}`").alias(f"x{i}") for i, m in enumerate(models))).na.drop(), "mix")
+    k, n = len(models), replicates + 1
+    betas = np.zeros((n, k))
+    for _ in range(steps):
+
+        def sums(frames, betas=betas):
+            total = np.zeros((n, k + k * k))
+            for f in frames:
+                x, y, iid = f[[f"x{i}" for i in range(k)]].to_numpy(float), f["y"].to_numpy(float), f["iid"].to_numpy(np.int64)
+                for r in range(n):
+                    w, p = _poisson(iid, r), 1 / (1 + np.exp(-np.clip(x @ betas[r], -30, 30)))
+                    total[r, :k] += x.T @ (w * (y - p))
+                    total[r, k:] += ((x * (w * p * (1 - p))[:, None]).T @ x).ravel()
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+        parts = rows.mapInPandas(sums, "sums binary").collect()  # one row of fixed size for each partition
+        total = sum(np.frombuffer(r["sums"]) for r in parts).reshape(n, -1)
+        step = np.linalg.solve(total[:, k:].reshape(n, k, k) + 1e-8 * np.eye(k), total[:, :k, None])[:, :, 0]
+        betas = betas + step
+        if np.abs(step).max() < 1e-10:
+            break
+    se, low, high = betas[1:].std(0, ddof=1), *np.quantile(betas[1:], [0.025, 0.975], axis=0)
+    out = [(m, *map(float, (betas[0, i], se[i], abs(betas[0, i] / se[i]), low[i], high[i]))) for i, m in enumerate(models)]
+    return scores.sparkSession.createDataFrame(out, "model string, beta double, se double, t double, ci_low double, ci_high double")
 
 
 def apply_mix(scores: DataFrame, betas: DataFrame) -> DataFrame:
@@ -143,7 +166,7 @@ def knn_impute(train: DataFrame, rows: DataFrame, target: str, features: list[st
     Cells cut the first feature into equal ranges of the training rows, so only neighbours in rank meet; no cross join.
     """
     first = features[0]
-    cuts = train.agg(F.percentile(F.col(first), F.array(*(F.lit(i / cells) for i in range(1, cells)))).alias("cuts"))
+    cuts = train.agg(F.percentile_approx(F.col(first), F.array(*(F.lit(i / cells) for i in range(1, cells)))).alias("cuts"))
     cell = lambda frame: frame.join(F.broadcast(cuts)).withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col(first)))).drop("cuts")
     known = cell(train.filter(F.col(target).isNotNull())).select("cell", F.col(target).alias("__t"), *(F.col(f).alias(f"__{f}") for f in features))
     missing = cell(rows.filter(F.col(target).isNull())).withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))

@@ -114,6 +114,16 @@ def dropped_models(comparisons: DataFrame, level: float = 0.05, always: str = "e
     return same.select(loser.alias("model")).distinct()
 
 
+#: What a fitted model has beside its features. Fixed values of the format.
+COVARIATES = ["(Intercept)", "age", "SEX", *(f"PC{i}" for i in range(1, 11))]
+
+
+def without_covariates(scores: DataFrame, models: list[str] | None = None, covariates: list[str] = COVARIATES) -> DataFrame:
+    """Coefficients of features proper: no intercept, no covariates, and only of the models named."""
+    kept = scores.filter(~F.col("feature").isin(covariates))
+    return kept if models is None else kept.filter(F.col("model").isin(models))
+
+
 def cascade(features: DataFrame, gene_map: DataFrame, known: DataFrame) -> DataFrame:
     """(feature, gene, level, trait): known associations by name, then by locus for what is left, then by gene."""
     mapped = features.join(gene_map, "feature", "left")

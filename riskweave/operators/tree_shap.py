@@ -90,9 +90,19 @@ def tree_shap(model, data: DataFrame, features: list[str]) -> DataFrame:
     share = 1.0 if hasattr(model, "getMaxIter") else 1.0 / sum(getattr(model, "treeWeights", [1.0] * len(trees)))
 
     def explain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: list[dict[bytes, np.ndarray]] = [{} for _ in trees]  # a tree's contributions depend on the sides of its splits only
         for frame in frames:
-            phis = [sum(contributions(t, np.asarray(x), len(features)) for t in trees) * share for x in frame["x"]]
-            yield pd.DataFrame({"iid": np.repeat(frame["iid"].to_numpy(), len(features)), "feature": features * len(frame), "shap": np.concatenate([np.empty(0), *phis])})
+            x, phis = np.stack(frame["x"].to_list()), np.zeros((len(frame), len(features)))
+            for tree, seen in zip(trees, known, strict=True):
+                splits = [(r[0], r[1]) for r in tree if r[0] >= 0]
+                sides, of = np.unique(np.stack([x[:, f] <= t for f, t in splits], 1) if splits else np.zeros((len(x), 1), bool), axis=0, return_inverse=True)
+                first = np.zeros(len(sides), np.int64)
+                first[of.ravel()] = np.arange(len(x))
+                for side, row in zip(sides, first.tolist(), strict=True):
+                    if side.tobytes() not in seen:
+                        seen[side.tobytes()] = contributions(tree, x[row], len(features))
+                phis += np.stack([seen[side.tobytes()] for side in sides])[of.ravel()]
+            yield pd.DataFrame({"iid": np.repeat(frame["iid"].to_numpy(), len(features)), "feature": features * len(frame), "shap": (phis * share).ravel()})
 
     return data.select("iid", vector_to_array("features").alias("x")).mapInPandas(explain, "iid long, feature string, shap double")
 

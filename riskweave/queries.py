@@ -20,6 +20,7 @@ from .operators import models as M
 from .operators import prs as R
 from .operators import selection as S
 from .plans.fixtures import frame, with_views
+from .sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,10 +34,16 @@ def query(sql: str | None = None):
     def add(f):
         class Views:
             def __init__(self, spark, sf_dir):
-                kept: dict[str, DataFrame] = {}
-                self.of = lambda name: frame(spark, sf_dir, name, kept)
+                self.kept: dict[str, DataFrame] = {}
+                self.of = lambda name: frame(spark, sf_dir, name, self.kept)
                 self.spark, self.sf_dir = spark, sf_dir
 
+            def written(self, name):
+                """A view that the query reads more than once."""
+                if name not in self.kept:
+                    self.kept[name] = written(self.of(name), name)
+                return self.kept[name]
+
             def __getattr__(self, name):
                 return self.of(name)
 
@@ -660,23 +667,23 @@ def known_association_cascade(v):
 
 @query("""
     SELECT a.snp AS snp_a, b.snp AS snp_b, a.dosage AS ga, b.dosage AS gb, p.phenotype, count(*) AS n FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp < b.snp JOIN participant p ON p.iid = a.iid
-    WHERE a.snp < 12 AND b.snp < 12 GROUP BY 1, 2, 3, 4, 5""")
+    GROUP BY 1, 2, 3, 4, 5""")
 def epistasis_counts(v):
-    return G.epistasis_counts(v.genotype, v.participant, list(range(12)))
+    return G.epistasis_counts(v.genotype, v.participant)
 
 
 @query("""
-    WITH c AS (SELECT a.snp AS snp_a, b.snp AS snp_b, count(*) AS n FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp <> b.snp WHERE a.snp < 12 AND b.snp < 12 GROUP BY 1, 2)
+    WITH c AS (SELECT a.snp AS snp_a, b.snp AS snp_b, count(*) AS n FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp <> b.snp GROUP BY 1, 2)
     SELECT snp_a AS snp, snp_b AS best_snp, n AS best FROM (SELECT *, row_number() OVER (PARTITION BY snp_a ORDER BY n DESC, snp_b) AS rn FROM c) WHERE rn = 1""")
 def epistasis_best_partner(v):
-    pairs = G.epistasis_counts(v.genotype, v.participant, list(range(12))).groupBy("snp_a", "snp_b").agg(F.sum("n").alias("n"))
+    pairs = G.epistasis_counts(v.genotype, v.participant).groupBy("snp_a", "snp_b").agg(F.sum("n").alias("n"))
     return G.best_partner(pairs)
 
 
 @query()
 def epistasis_boost(v):
-    snps = list(range(8))
-    return G.boost(G.full_tables(G.epistasis_counts(v.genotype, v.participant, snps), v.genotype, v.participant, snps))
+    genotype = v.written("genotype")
+    return G.boost(G.full_tables(G.epistasis_counts(genotype, v.participant), genotype, v.participant))
 
 
 # Clusters.
@@ -731,13 +738,13 @@ def risk_protective_ratio(v):
 
 # Models (rows only).
 
-_TOP = [str(k) for k in range(12)]
+_TOP = [str(k) for k in range(64)]
 
 
 @query()
 def lasso_logistic(v):
     covar = v.covar.select("iid", F.lit("age").alias("feature"), F.col("age").alias("x")).unionByName(v.covar.select("iid", F.lit("sex").alias("feature"), F.col("sex").alias("x")))
-    return M.lasso(v.main_rows.unionByName(covar), v.participant, [*_TOP, "age", "sex"], ["age", "sex"], lambdas=3, folds=2)
+    return M.lasso(v.main_rows.unionByName(covar), v.participant, [*_TOP, "age", "sex"], ["age", "sex"], lambdas=3, folds=5)
 
 
 @query()
@@ -837,8 +844,11 @@ def nagelkerke_bootstrap(v):
 def tree_shap_rank(v):
     from .operators.tree_shap import tree_shap
 
-    data = M.assemble(v.main_rows, v.participant, _TOP[:6])
+    data = M.assemble(v.main_rows, v.participant, _TOP)
     from pyspark.ml.classification import GBTClassifier
 
     model = GBTClassifier(maxIter=3, maxDepth=3, seed=1).fit(data)
-    return S.rank_shap(tree_shap(model, data, _TOP[:6]))
+    return S.rank_shap(tree_shap(model, data, _TOP))
+
+
+from . import queries_files, queries_joins  # noqa: E402, F401  they register more

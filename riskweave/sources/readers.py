@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Leading columns of a dosage file that aren't variants. Fixed values of the format.
@@ -60,7 +60,15 @@ def read_packed_hla(spark: SparkSession, path: str, names: list[str]) -> DataFra
     rows = rows.toDF("iid", "packed", *rows.columns[2:])
     labels = F.array(*map(F.lit, names))
     long = rows.select(F.col("iid").cast("long").alias("iid"), F.posexplode(F.split("packed", ",")).alias("i", "v"))
-    return long.filter(F.col("i") < len(names)).select("iid", F.get(labels, F.col("i")).alias("allele"), F.col("v").cast("double").alias("raw")).filter("raw is not null")
+    return long.filter(F.col("i") < len(names)).select("iid", F.get(labels, F.col("i")).alias("allele"), F.expr("try_cast(v as double)").alias("raw")).filter("raw is not null")
+
+
+def read_hla(spark: SparkSession, path: str, key: str = "Participant ID") -> DataFrame:
+    """(iid, allele, raw) of a wide table of alleles whose id column has a long name; absent values have no row."""
+    raw = spark.read.option("header", True).csv(path).withColumnRenamed(key, "iid")
+    alleles = [c for c in raw.columns if c != "iid"]
+    wide = raw.select(F.col("iid").cast("long").alias("iid"), *(F.expr(f"try_cast({quoted(c)} as double)").alias(c) for c in alleles))
+    return wide.unpivot("iid", [quoted(c) for c in alleles], "allele", "raw").filter("raw is not null")
 
 
 def read_covariates(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -124,11 +132,31 @@ def read_associations(spark: SparkSession, paths: str, p_column: str = "p.value"
     return spark.read.option("header", True).option("sep", "\t").csv(paths).withColumn("p", F.col(quoted(p_column)).cast("double")).filter(F.col("p") < most)
 
 
+def read_catalogue(spark: SparkSession, paths: str) -> DataFrame:
+    """(snp, effect_weight, previous_or, journal) of published weights, one file for each study; of a repeated name the largest odds ratio.
+
+    The journal is what the file's or folder's name begins with, up to the first underscore.
+    """
+    rows = spark.read.option("header", True).option("sep", "\t").csv(paths)
+    rows = rows.select(
+        F.col("rsID").alias("snp"), F.col("effect_weight").cast("double").alias("effect_weight"), F.col("OR").cast("double").alias("previous_or"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/_]+)_[^/]*\.txt", 1).alias("journal"),
+    )
+    best = F.max_by(F.struct("effect_weight", "previous_or", "journal"), F.struct("previous_or", "effect_weight", "journal")).alias("best")
+    return rows.groupBy("snp").agg(best).select("snp", "best.*")
+
+
+def important_lists(rows: DataFrame) -> DataFrame:
+    """(list, feature): single variants, pairs, and interactions with an environment, by the type of data they come from."""
+    kind = F.when(F.col("data_type").contains("cardio"), "cardio").when(F.col("feature").contains(","), "pair").otherwise("single")
+    return rows.select(kind.alias("list"), "feature").distinct()
+
+
 def read_important(spark: SparkSession, path: str, threshold: float = 0.0) -> DataFrame:
-    """(feature, shap_zscore, data_type) beyond the threshold; of a repeated feature the row furthest out."""
+    """(feature, shap_zscore, data_type) beyond the threshold; of a repeated feature the row furthest out, which a file sorted that way has first."""
     rows = spark.read.option("header", True).schema("feature string, shap_zscore double, data_type string").csv(path).filter(F.abs("shap_zscore") > threshold)
-    best = Window.partitionBy("feature").orderBy(F.desc(F.abs("shap_zscore")), "data_type")
-    return rows.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
+    best = F.max_by(F.struct("shap_zscore", "data_type"), F.struct(F.abs("shap_zscore"), "shap_zscore", "data_type")).alias("best")
+    return rows.groupBy("feature").agg(best).select("feature", "best.*")
 
 
 def main_environment(features: DataFrame, env: DataFrame, people: DataFrame, most_missing: float = 0.05, clinical: list[str] | None = None) -> DataFrame:
@@ -145,3 +173,15 @@ def read_config(text: str) -> dict[str, str]:
     """key=value lines; later ones win, comments and blank lines are skipped."""
     pairs = (line.split("=", 1) for line in map(str.strip, text.splitlines()) if "=" in line and not line.startswith("#"))
     return {k.strip().removeprefix("export ").strip(): v.strip().strip("'\"") for k, v in pairs}
+
+
+def upsert_config(text: str, **values: str) -> str:
+    """The lines of a configuration with the values set: a line that sets one is replaced, the others follow at the end."""
+    left, out = dict(values), []
+    for line in text.splitlines():
+        key = line.split("=", 1)[0].strip().removeprefix("export ").strip() if "=" in line and not line.lstrip().startswith("#") else None
+        if key not in values:
+            out.append(line)
+        elif key in left:
+            out.append(f"{'export ' if line.lstrip().startswith('export ') else ''}{key}={left.pop(key)}")
+    return "\n".join([*out, *(f"{k}={v}" for k, v in left.items())])

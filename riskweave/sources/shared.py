@@ -29,9 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read back; a lost executor costs its tasks only. The files go when the driver ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
@@ -40,5 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     atexit.register(remove)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back; a lost executor costs its tasks only. The files go when the driver ends."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

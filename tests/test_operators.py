@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -74,8 +76,51 @@ def test_boost_is_zero_without_interaction():
     assert genomics.boost_statistic([10, 0, 0, 0, 10, 0, 0, 0, 10, 0, 10, 10, 10, 0, 10, 10, 10, 0]) > 10
 
 
-def test_window_prune():
-    assert genomics.window_prune([1, 2, 3, 4], [(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.1)]) == [1, 3, 4]
+def test_window_prune(spark):
+    def slow(variants, edges):
+        gone = set()
+        for x in sorted(variants):
+            if x not in gone:
+                gone |= {b for a, b in edges if a == x}
+        return sorted(set(variants) - gone)
+
+    r = random.Random(3)
+    for n, m in ((4, 3), (60, 90), (40, 0)):
+        edges = [tuple(sorted(r.sample(range(n), 2))) for _ in range(m)]
+        rows = [(b, a, 0.9) if i % 2 else (a, b, 0.9) for i, (a, b) in enumerate(edges)] + [(0, n - 1, 0.3)]
+        got = genomics.window_prune(spark.range(n).select(F.col("id").alias("snp")), spark.createDataFrame(rows, "snp_a long, snp_b long, r2 double"))
+        assert sorted(x["snp"] for x in got.collect()) == slow(range(n), edges)
+
+
+def test_quantiles_and_midranks(spark):
+    from riskweave.operators.binning import quantiles
+    from riskweave.operators.evaluation import midranks
+
+    r = random.Random(5)
+    rows = [(g, float(r.choice((0.0, 1.5, -2.0, r.gauss(0, 1e3)))) if r.random() > 0.1 else None, i) for i in range(900) for g in ("a", "b")] + [("one", 4.0, 0)]
+    df = spark.createDataFrame(rows, "g string, x double, iid long")
+    for points in (20, [0.0, 0.025, 0.5, 1.0]):
+        for got in quantiles(df, "x", points, ["g"]).collect():
+            own = [x for g, x, _ in rows if g == got["g"] and x is not None]
+            want = np.quantile(own, [k / points for k in range(points + 1)] if isinstance(points, int) else points)
+            assert np.allclose(got["q"], want)
+    whole = quantiles(df, "x", [0.5], []).head()["q"][0]
+    assert whole == pytest.approx(np.median([x for _, x, _ in rows if x is not None]))
+    ranked = midranks(df.filter("g <> 'one'").na.drop(), "x", ["g"], "rank").toPandas()
+    assert np.allclose(ranked["rank"], ranked.groupby("g")["x"].rank())
+
+
+def test_joins_that_must_find_everybody(spark):
+    from riskweave.operators import assembly, cohort
+
+    people = spark.createDataFrame([(1, 2), (2, 1)], "iid long, phenotype int")
+    assert assembly.strict_labels(people.select("iid"), people).count() == 2
+    with pytest.raises(KeyError):
+        assembly.strict_labels(spark.range(4).select(F.col("id").alias("iid")), people)
+    with pytest.warns(UserWarning):
+        assert cohort.validate_cases(people) == 1
+    with pytest.raises(ValueError):
+        cohort.validate_cases(people.filter("phenotype = 1"))
 
 
 def test_dropped_models(spark):

@@ -86,3 +86,16 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("view", ["covar", "hla", "env", "cluster_genes"])
 def test_fixture_views_have_rows(spark, view):
     assert frame(spark, SMALL, view).count() > 0
+
+
+def test_config_lines_and_log(spark, tmp_path):
+    text = readers.upsert_config("# A=1\nexport A=old\nB=2\nA=older\n", A="new", C="x")
+    assert text.splitlines() == ["# A=1", "export A=new", "B=2", "C=x"] and readers.read_config(text) == {"A": "new", "B": "2", "C": "x"}
+    path = tmp_path / "lines"
+    sinks.write_lines(spark.range(500).selectExpr("id", "concat('line ', id) as value").repartition(7), f"file://{path}", order="id")
+    lines = [x for f in sorted(path.glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f"line {i}" for i in range(500)]
+    logger = sinks.log_to(str(tmp_path / "logs"), "run")
+    logger.info("one line")
+    [file] = (tmp_path / "logs").glob("run-*.log")
+    assert file.read_text().rstrip().endswith("INFO one line")
