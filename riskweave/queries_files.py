@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import cohort as P
 from .operators import selection as S
 from .queries import query, rounded
+from .sources import bed
 from .sources import readers as IN
 from .sources import sinks as OUT
 from .sources.shared import folder
@@ -67,6 +70,17 @@ def read_packed_hla_file(v):
     return rounded(IN.read_packed_hla(v.spark, path, names), "raw")
 
 
+@query("SELECT CAST(iid AS VARCHAR) AS iid, CAST(snp AS VARCHAR) AS snp, CAST(dosage AS INTEGER) AS dosage FROM genotype_missing WHERE dosage IS NULL OR dosage <> 0")
+def read_bed_files(v):
+    path = folder(v.spark, "bed").removeprefix("file://")
+    Path(path).mkdir(parents=True)
+    people, snps = (sorted(r[0] for r in rows.collect()) for rows in (v.participant.select("iid"), v.ks))
+    table = v.genotype_missing.fillna(-1, "dosage").toPandas().pivot(index="snp", columns="iid", values="dosage").reindex(index=snps, columns=people).fillna(0)
+    bed.write_bed(f"{path}/all", [str(i) for i in people], [str(k) for k in snps], table.to_numpy(int))
+    bed.register(v.spark)
+    return v.spark.read.format("bed").load(f"{path}/all")
+
+
 _PCS = ", ".join(f"round(pc{i}, 6) AS pc{i}" for i in range(1, 11))
 
 

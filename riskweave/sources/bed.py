@@ -1,7 +1,7 @@
 """Binary genotype files (.bed with .bim and .fam) as a Spark data source: spark.read.format("bed").load(prefix).
 
 Variants are cut into ranges, each read by one task; two bits a genotype become dosages of the first allele, zeros left out. The
-files must be on a path that every executor mounts.
+prefix is an address that pyarrow's file systems open (s3, hdfs, gs, file), or a path that every executor mounts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -32,31 +33,40 @@ class BedSource(DataSource):
         return BedReader(self.options["path"])
 
 
+def opened(prefix: str, suffix: str):
+    """A file of the set, for reading."""
+    system, path = (fs.FileSystem.from_uri(prefix) if "://" in prefix else (fs.LocalFileSystem(), prefix.removeprefix("file:")))
+    return system.open_input_file(path + suffix)
+
+
+def second_fields(prefix: str, suffix: str) -> list[str]:
+    with opened(prefix, suffix) as f:
+        return [line.split()[1].decode() for line in f.read().splitlines()]
+
+
 class BedReader(DataSourceReader):
     def __init__(self, prefix: str):
-        self.prefix = prefix.removeprefix("file:").removesuffix(".bed")
+        self.prefix = prefix.removesuffix(".bed")
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.prefix + ".bim") as f:
-            n = sum(1 for _ in f)
-        return [InputPartition((a, min(n, a + VARIANTS_IN_PART))) for a in range(0, n, VARIANTS_IN_PART)]
+        names = second_fields(self.prefix, ".bim")  # read once; each task gets the names of its own range
+        return [InputPartition((a, names[a : a + VARIANTS_IN_PART])) for a in range(0, len(names), VARIANTS_IN_PART)]
 
     def read(self, partition: InputPartition):
-        first, last = partition.value
-        people = [line.split()[1] for line in Path(self.prefix + ".fam").read_text().splitlines()]
-        with open(self.prefix + ".bim") as f:
-            names = [line.split()[1] for i, line in enumerate(f) if first <= i < last]
+        first, names = partition.value
+        people = second_fields(self.prefix, ".fam")
         width = -(-len(people) // 4)
-        with open(self.prefix + ".bed", "rb") as f:
+        with opened(self.prefix, ".bed") as f:
             if f.read(3) != MAGIC:
                 raise ValueError("not a variant-major .bed file")
             f.seek(3 + first * width)
-            raw = np.frombuffer(f.read(width * (last - first)), np.uint8).reshape(-1, width)
+            raw = np.frombuffer(f.read(width * len(names)), np.uint8).reshape(-1, width)
         codes = (raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(raw), -1)[:, : len(people)]
+        ids = pa.array(people)
         for name, row in zip(names, CODES[codes], strict=True):
             at = np.flatnonzero(row)
-            d = [None if x < 0 else int(x) for x in row[at]]
-            yield pa.RecordBatch.from_pydict({"iid": [people[i] for i in at], "snp": [name] * len(at), "dosage": pa.array(d, pa.int32())})
+            dosage = pa.array(row[at].astype(np.int32), mask=row[at] < 0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array([name] * len(at)), dosage], names=["iid", "snp", "dosage"])
 
 
 def register(spark: SparkSession) -> None:
