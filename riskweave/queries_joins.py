@@ -14,9 +14,12 @@ from .operators import evaluation as V
 from .operators import features as X
 from .operators import genomics as G
 from .operators import models as M
+from .operators import plots as D
 from .operators import prs as R
 from .operators import selection as S
-from .queries import SQL, _binned, _bins, _flags, chi2_independence, delong_pairs, kappa_jaccard_discordance, mcnemar_pairs, query, rounded
+from .queries import PAIRS, SQL, _binned, _bins, _flags, chi2_independence, delong_pairs, kappa_jaccard_discordance, mcnemar_pairs, query, rounded
+from .sources.shared import folder
+from .streaming.scoring import score_stream
 
 # Assembly.
 
@@ -372,3 +375,79 @@ def discrimination_gain(v):
     """Integrated discrimination of the joint score over the main one, with bootstrap bounds."""
     wide = v.probs.groupBy("iid", "y").pivot("model", ["main", "epi+main"]).agg(F.first("p")).toDF("iid", "y", "p1", "p2").withColumn("model", F.lit("main"))
     return V.bootstrap(wide, V.discrimination_gain("p1", "p2"), 20)
+
+
+@query("SELECT * FROM (" + SQL["subtype_enrichment"].replace("sum(effect) AS weight", "CAST(count(*) AS DOUBLE) AS weight").replace("THEN effect ELSE 0 END) AS risk_weight", "THEN 1 ELSE 0 END) AS risk_weight").replace("THEN 0 ELSE effect END) AS protective_weight", "THEN 0 ELSE 1 END) AS protective_weight") + ")")
+def subtype_enrichment_equal(v):
+    """Every gene weighs the same."""
+    rows, mapping = K.long_clusters(v.cluster_genes, _CLUSTERS), K.subtype_map(v.cluster_subtype)
+    return rounded(K.enrichment(rows, mapping, "equal"), "weight", "risk_weight", "protective_weight", "risk_percent")
+
+
+_NINE = [*PAIRS, *(("covariate", m) for m in ("main", "epi", "cardio"))]
+_WITH_COVARIATE = "SELECT iid, model, phenotype - 1 AS y, prs100 AS v FROM prs UNION ALL SELECT iid, 'covariate', phenotype - 1, CAST(age * 10 + sex * 5 AS BIGINT) FROM participant JOIN covar USING (iid)"
+
+
+@query(f"""
+    WITH p AS ({_WITH_COVARIATE}),
+    r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY v) + (count(*) OVER (PARTITION BY model, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model, y ORDER BY v) + (count(*) OVER (PARTITION BY model, y, v) - 1) / 2.0 AS ro,
+        CAST(count(*) FILTER (WHERE y = 1) OVER (PARTITION BY model) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE y = 0) OVER (PARTITION BY model) AS DOUBLE) AS n0 FROM p),
+    pl AS (SELECT iid, model, y, CASE WHEN y = 1 THEN (ra - ro) / n0 ELSE 1 - (ra - ro) / n1 END AS s FROM r),
+    c AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _NINE)}) AS t(model1, model2)),
+    g AS (SELECT c.model1, c.model2, a.y, avg(a.s) AS m1, avg(b.s) AS m2, var_samp(a.s) AS s1, var_samp(b.s) AS s2, covar_samp(a.s, b.s) AS cv, count(*) AS n FROM c JOIN pl a ON a.model = c.model1 JOIN pl b ON b.model = c.model2 AND b.iid = a.iid GROUP BY 1, 2, 3),
+    d AS (SELECT model1, model2, max(m1) FILTER (WHERE y = 1) AS auc1, max(m2) FILTER (WHERE y = 1) AS auc2, sum(s1 / n) AS var1, sum(s2 / n) AS var2, sum(cv / n) AS cov FROM g GROUP BY 1, 2)
+    SELECT model1, model2, round(auc1, 6) AS auc1, round(auc2, 6) AS auc2, round((auc1 - auc2) / sqrt(var1 + var2 - 2 * cov), 6) AS z FROM d""")
+def delong_nine_pairs(v):
+    """Scores against each other and against the covariates' own score."""
+    covariate = v.covar.join(v.participant, "iid").select("iid", "phenotype", F.lit("covariate").alias("model"), (F.col("age") * 10 + F.col("sex") * 5).cast("long").alias("prs100"))
+    rows = v.prs.unionByName(covariate).withColumn("y", F.col("phenotype") - 1)
+    return rounded(V.delong(rows, "prs100", _NINE).select("model1", "model2", "auc1", "auc2", "z"), "auc1", "auc2", "z")
+
+
+# Plot data.
+
+
+@query("""
+    WITH e AS (SELECT model, CAST(min(prs100) AS DOUBLE) AS lo, (max(prs100) - min(prs100)) / 20.0 AS width FROM prs GROUP BY model),
+    s AS (SELECT p.*, lo, width, CASE WHEN width > 0 THEN least(floor((prs100 - lo) / width), 19) ELSE 0 END AS slot FROM prs p JOIN e USING (model))
+    SELECT model, CAST(slot AS INTEGER) AS slot, round(lo + slot * width, 6) AS start, CAST(count(*) FILTER (WHERE phenotype = 2) AS BIGINT) AS cases, CAST(count(*) FILTER (WHERE phenotype = 1) AS BIGINT) AS controls FROM s GROUP BY model, slot, lo, width""")
+def plot_histogram(v):
+    return rounded(D.histogram(v.prs, "prs100", 20, ["model"]), "start")
+
+
+@query("""
+    SELECT model, phenotype, CAST(min(prs100) AS DOUBLE) AS min, round(quantile_cont(CAST(prs100 AS DOUBLE), 0.25), 6) AS q1, round(quantile_cont(CAST(prs100 AS DOUBLE), 0.5), 6) AS median,
+        round(quantile_cont(CAST(prs100 AS DOUBLE), 0.75), 6) AS q3, CAST(max(prs100) AS DOUBLE) AS max FROM prs GROUP BY model, phenotype""")
+def plot_box(v):
+    return rounded(D.box(v.prs, "prs100", ["model", "phenotype"]), "q1", "median", "q3")
+
+
+@query(f"WITH {_HIGH} SELECT iid, CASE WHEN bool_or(high AND model = 'main') AND bool_or(high AND model = 'epi') THEN 'both' WHEN bool_or(high AND model = 'main') THEN 'main' WHEN bool_or(high AND model = 'epi') THEN 'epi' ELSE 'neither' END AS colour FROM flags GROUP BY iid")
+def plot_agreement(v):
+    return D.agreement_groups(_flags(v), "main", "epi")
+
+
+@query("SELECT model, feature, coefs, round(exp(coefs), 6) AS odds, CASE WHEN coefs > 0.05 THEN 'risk' WHEN coefs < -0.05 THEN 'protect' ELSE 'none' END AS side FROM feature_scores")
+def plot_volcano(v):
+    return rounded(D.volcano(v.feature_scores, 0.05), "odds")
+
+
+_CELL = "coalesce(max(CASE WHEN bin = {0} THEN prevalence END), 0)"
+
+
+@query(f"""
+    WITH {_bins(5)}, p AS (SELECT model, bin, round(CAST(sum(phenotype - 1) AS DOUBLE) / count(*), 6) AS prevalence FROM binned GROUP BY model, bin)
+    SELECT model, {", ".join(f"{_CELL.format(k)} AS bin_{k}" for k in range(1, 6))} FROM p GROUP BY model""")
+def plot_heatmap(v):
+    shares = rounded(B.prevalence(_binned(v, 5), ["model"]), "prevalence")
+    return D.heatmap(shares, "model", "bin", "prevalence", list(range(1, 6))).toDF("model", *(f"bin_{k}" for k in range(1, 6)))
+
+
+@query("SELECT f.iid, w.model, CAST(sum(f.x * w.coef100) AS BIGINT) AS score FROM feature_rows f JOIN weights w USING (feature) GROUP BY f.iid, w.model")
+def streamed_scores(v):
+    """People who arrive in four files, scored by a stream that ends when all are read."""
+    path = folder(v.spark, "stream")
+    v.feature_rows.repartition(4, "iid").write.parquet(f"{path}/in")
+    edges = B.quantile_edges(v.prs, "prs100", 10, ["model"])
+    score_stream(v.spark, f"{path}/in", v.weights, edges, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{path}/out").select("iid", "model", "score")
