@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,8 +79,9 @@ def test_exact_dedup_odd(odd, none):
 
 
 def test_shards(odd, docs, none, spark):
+    alike = spark.createDataFrame([(None, "")] * 700 + [(5, "the same")] * 700, "doc_id long, text string")
     hot = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"text {i} " * (i % 17)) for i in range(2000)], "doc_id long, text string")
-    for df, slack in ((docs, None), (odd, None), (hot, 300)):
+    for df, slack in ((docs, None), (odd, None), (hot, 300), (alike, None)):
         rows = sharding.shard(df, 8).collect()
         size, slots = Counter(), defaultdict(list)
         for r in rows:
@@ -88,6 +90,10 @@ def test_shards(odd, docs, none, spark):
         assert len(rows) == df.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
         assert max(size.values()) - min(size[k] for k in range(8)) <= 2 * (slack or max(r["size"] for r in rows))
         assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+        total, before = sum(size.values()), 0
+        for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):  # by the middle of each record in their order
+            assert r["shard"] == min(7, int((before + r["size"] / 2) * 8 // total))
+            before += r["size"]
     assert sharding.shard(none, 8).count() == 0
     for r in sharding.shard(docs, 8).join(docs, "doc_id").collect():
         assert r["size"] == len(r["text"].encode()) + 1 and r["text_crc32"] == zlib.crc32(r["text"].encode())
@@ -133,6 +139,9 @@ def test_packing_round_trip(spark, docs, odd, none):
                 at += p["length"]
                 assert bytes(p["ids"]) == ids[p["start"] : at].tobytes()
             assert at == len(ids)
+        total = sum(n for spans in offsets.values() for _, n in spans)
+        plans = len({i >> 32 for i in offsets if i >= 0})
+        assert len(offsets) <= -(-total // 1024) + plans  # one sequence of each plan at most isn't full
         for spans in offsets.values():
             at = 0
             for start, n in sorted(spans):
@@ -340,6 +349,37 @@ def test_near_duplicates_without_a_good_hub(spark, monkeypatch):
         assert x["component_id"] == want[x["doc_id"]][1]
 
 
+def test_documents_with_a_common_frame_meet_nobody(spark, monkeypatch):
+    r, asked = random.Random(8), []
+    frame = [f"frame{k}" for k in range(60)]
+    made = {i: " ".join([*frame[:30], *(f"own{r.randrange(10**9)}" for _ in range(14 + i % 9)), *frame[30:]]) for i in range(400)}
+    for i in range(0, 400, 40):  # and some real copies
+        made[1000 + i] = made[i] + " end"
+    resolve = near_dedup._resolve
+    monkeypatch.setattr(near_dedup, "_resolve", lambda percent: asked.append(1) or resolve(percent))
+    want = _near(made, 2)
+    members = []
+    written = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, tag, **k: members.append(written(df, tag, **k)) or (members[-1] if tag != "near-members" else asked.append(members[-1].count()) or members[-1]))
+    for x in near_dedup.near_dedup(spark.createDataFrame(list(made.items()), "doc_id long, text string"), words=2).collect():
+        assert x["component_id"] == want[x["doc_id"]][1]
+    assert len({top for _, top in want.values()}) == 400 and sum(n for n in asked[::2]) < 200
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=40, unique=True), st.lists(st.integers(0, 60), min_size=1, max_size=40, unique=True), st.sampled_from([50, 80, 90]))
+def test_similar_sets_share_a_prefix_key(a, b, percent):
+    from riskweave.llm.common import mix
+
+    often = np.full(1 << 12, 9, np.uint8)
+    often[np.arange(0, 1 << 12, 3)] = 2
+    x, y = (np.unique(mix(np.array(v, np.uint64))) for v in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    if near_dedup.similar(x, y, percent):
+        assert set(near_dedup.prefix_keys(x, often, percent)[1].tolist()) & set(near_dedup.prefix_keys(y, often, percent)[0].tolist())
+
+
 def test_near_duplicates_odd(odd, none):
     rows = near_dedup.near_dedup(odd, words=2).collect()
     by = {r["doc_id"]: r for r in rows}
@@ -673,6 +713,47 @@ def test_decoding_by_enumeration():
         assert got == pytest.approx(best) or len({s[:2] for s in spans}) < len(spans)
 
 
+# Personal data written in ways that the field's own examples were not made from.
+_WRITTEN = [
+    ("write to jane.doe [at] example [dot] org please", "jane.doe [at] example [dot] org", "email"), ("server 192.168.1[.]10 is down", "192.168.1[.]10", "ip"),
+    ("card 4111.1111.1111.1111, exp 12/27", "4111.1111.1111.1111", "card"), ("call (212) 555-0147 now", "(212) 555-0147", "phone"), ("Tel 212.555.0147", "212.555.0147", "phone"),
+    ("mail bob at example dot com today", "bob at example dot com", "email"), ("bob(at)mail.example.com", "bob(at)mail.example.com", "email"), ("host 10[.]0[.]0[.]1 up", "10[.]0[.]0[.]1", "ip"),
+    ("alice @ example . net", "alice @ example . net", "email"), ("pay 4111_1111_1111_1111", "4111_1111_1111_1111", "card"), ("fax 415-555-0199.", "415-555-0199", "phone"), ("Reach me: (415)555-0199", "(415)555-0199", "phone"),
+]
+_PLAIN_NUMBERS = ["on 2024-01-02 at 10.30", "order 12345678", "room 101 at noon", "pages 12 - 14", "look at this dot", "see 3.14159 and 2.71828"]
+
+
+def test_field_on_ways_of_writing_it_was_not_trained_on():
+    weights, found = np.array(pii.train()), 0
+    for text, span, kind in _WRITTEN:
+        found += (kind, text.index(span), text.index(span) + len(span)) in pii.added_spans(text, pii.base_spans(text), weights)
+    assert found >= 0.9 * len(_WRITTEN)
+    assert not any(pii.added_spans(text, pii.base_spans(text), weights) for text in _PLAIN_NUMBERS)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(["(555) 123-4567", " at home dot com", "bob", "4111.1111.1111.1111", "@", " ", "1.2.3.4", "[.]", "5", "+1 ", "a@b.co", "-", "(", "x"]), max_size=12))
+def test_added_spans_overlap_nothing(parts):
+    text, weights = "".join(parts), np.array(pii.train())
+    base = pii.base_spans(text)
+    added = sorted(pii.added_spans(text, base, weights), key=lambda s: s[1])
+    assert all(a[2] <= b[1] for a, b in zip(added, added[1:], strict=False))
+    assert not any(a < y and x < b for _, a, b in added for _, x, y in base)
+
+
+@pytest.mark.parametrize("unit", ["1.2.3.", "12 34 ", "@", "a@a", "+(1", "5 "])
+def test_work_grows_with_the_text_and_no_faster(unit):
+    import time
+
+    weights, took = np.array(pii.train()), []
+    for n in (50_000, 400_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        pii.added_spans(text, pii.base_spans(text), weights)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] * 3 + 0.5
+
+
 def test_pii_odd(odd, none):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == odd.count() and pii.find_pii(none).count() == 0
@@ -685,3 +766,29 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(want.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_nothing_but_results_is_left_behind(spark, docs, tmp_path):
+    from riskweave.llm import common
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    tables = len(spark.catalog.listTables())
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    seen = {p.name for p in shared.iterdir()}
+    for run, name in ((near_dedup.near_dedup, "near-found"), (lm_score.lm_score, "lm-scores"), (exact_dedup.exact_dedup, "exact-found"), (sharding.shard, "shards")):
+        assert run(docs).count() == docs.count()
+        left = {p.name for p in shared.iterdir()} - seen
+        assert {x.rpartition("-")[0] for x in left} == {name}
+        seen |= left
+    substring.substring_dedup(docs).count()
+    assert len(spark.catalog.listTables()) == tables and spark.conf.get("spark.checkpoint.dir") == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from riskweave.llm import common
+
+    unset = N(get=lambda key, default=None: default)
+    with pytest.raises(ValueError):
+        common.shared_dir(N(sparkContext=N(getConf=lambda: unset, master="spark://host:7077", applicationId="x"), conf=unset))
