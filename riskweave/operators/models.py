@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from threading import Timer
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +25,12 @@ MOST_FEATURES = 3000
 FREE = 1e3
 
 
+def side_by_side(jobs: list, at_once: int = 4) -> list:
+    """What the functions return, in order; each runs Spark jobs of its own, several at a time share the cluster."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def assemble(rows: DataFrame, people: DataFrame, features: list[str]) -> DataFrame:
     """(iid, label, features): one vector for each person, zeros where a feature has no row."""
     if len(features) > MOST_FEATURES:
@@ -50,12 +61,13 @@ def lasso(rows: DataFrame, people: DataFrame, features: list[str], free: list[st
     data = assemble(scaled, people, features).withColumn("fold", F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(folds))).persist()
     grid = np.geomspace(0.1, 0.0005, lambdas)
     fit = lambda frame, reg: LogisticRegression(regParam=float(reg), elasticNetParam=1.0, standardization=False, maxIter=50).fit(frame)
-    losses = np.zeros(lambdas)
-    for k in range(folds):
-        for j, reg in enumerate(grid):
-            scored = fit(data.filter(F.col("fold") != k), reg).transform(data.filter(F.col("fold") == k))
-            p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
-            losses[j] += scored.agg(F.sum(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).head()[0] or 0.0
+
+    def loss(k: int, j: int) -> float:
+        scored = fit(data.filter(F.col("fold") != k), grid[j]).transform(data.filter(F.col("fold") == k))
+        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+        return scored.agg(F.sum(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).head()[0] or 0.0
+
+    losses = np.array(side_by_side([(lambda k=k, j=j: loss(k, j)) for j in range(lambdas) for k in range(folds)])).reshape(lambdas, folds).sum(1)
     model = fit(data, grid[int(losses.argmin())])
     data.unpersist()
     out = [(f, float(c * factors.get(f, 1.0))) for f, c in zip(features, model.coefficients.toArray(), strict=True)]
@@ -99,13 +111,18 @@ def boosted_grid(rows: DataFrame, people: DataFrame, features: list[str], rates:
 
 
 def forest_importance(rows: DataFrame, labels: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
-    """(label, feature, importance) of a random forest for each label; labels: (iid, label, y)."""
+    """(label, feature, importance) of a random forest for each label; labels: (iid, label, y). Vectors are assembled once for all."""
     names = sorted(r["label"] for r in labels.select("label").distinct().collect())
-    out = []
-    for name in names:
-        people = labels.filter(F.col("label") == name).select("iid", (F.col("y") + 1).alias("phenotype"))
-        model = RandomForestClassifier(numTrees=trees, maxDepth=4, seed=1).fit(assemble(rows, people, features))
-        out += [(name, f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    people = labels.groupBy("iid").agg(F.lit(1).alias("phenotype"))
+    vectors = assemble(rows, people, features).select("iid", "features").persist()
+
+    def fitted(name: str) -> list[tuple]:
+        data = vectors.join(labels.filter(F.col("label") == name).select("iid", F.col("y").cast("double").alias("label")), "iid")
+        model = RandomForestClassifier(numTrees=trees, maxDepth=4, seed=1).fit(data)
+        return [(name, f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+
+    out = [row for part in side_by_side([(lambda name=name: fitted(name)) for name in names]) for row in part]
+    vectors.unpersist()
     return rows.sparkSession.createDataFrame(out, "label string, feature string, importance double")
 
 
@@ -188,22 +205,33 @@ def forest_impute(train: DataFrame, rows: DataFrame, target: str, features: list
     return model.transform(assembler.transform(rows)).withColumn(target, F.coalesce(target, "__p")).drop("__v", "__p")
 
 
-def fit_batches(rows: DataFrame, people: DataFrame, catalogue: DataFrame, fit) -> DataFrame:
+def fit_batches(rows: DataFrame, people: DataFrame, catalogue: DataFrame, fit, at_once: int = 4, seconds: float = 3600.0) -> DataFrame:
     """(batch, feature, coefs, status) of fit(rows, people, features) for each batch of (batch, feature); a batch that fails says why.
 
-    Batches run one after the other, each as distributed jobs; one failure doesn't end the others.
+    Several batches run at a time, each as distributed jobs of a group of its own. One that takes longer than so many seconds is
+    cancelled, and its status says so; neither that nor a failure ends the others.
     """
+    spark = rows.sparkSession
     batches: dict[int, list[str]] = {}
     for r in catalogue.orderBy("batch", "feature").collect():
         batches.setdefault(r["batch"], []).append(r["feature"])
-    out = None
-    for b, names in batches.items():
+    run, schema = uuid.uuid4().hex, "batch long, feature string, coefs double, status string"
+
+    def one(number: int, names: list[str]) -> list[tuple]:
+        group = f"batch-{number}-{run}"
+        spark.sparkContext.setJobGroup(group, f"batch {number}", interruptOnCancel=True)
+        late = Timer(seconds, spark.sparkContext.cancelJobGroup, [group])
+        late.start()
+        began = time.monotonic()
         try:
-            part = fit(rows, people, names).select(F.lit(b).cast("long").alias("batch"), "feature", "coefs", F.lit("ok").alias("status"))
+            return [(number, r["feature"], r["coefs"], "ok") for r in fit(rows, people, names).select("feature", "coefs").collect()]  # a row for each feature
         except Exception as error:  # noqa: BLE001  the reason goes into the table
-            part = rows.sparkSession.createDataFrame([(b, None, None, str(error)[:200])], "batch long, feature string, coefs double, status string")
-        out = part if out is None else out.unionByName(part)
-    return out
+            return [(number, None, None, "timeout" if time.monotonic() - began >= seconds else str(error)[:200])]
+        finally:
+            late.cancel()
+
+    parts = side_by_side([(lambda b=b, names=names: one(b, names)) for b, names in batches.items()], at_once)
+    return spark.createDataFrame([row for part in parts for row in part], schema)
 
 
 def save_model(model, path: str) -> None:

@@ -205,6 +205,18 @@ def test_failed_batches_say_why(spark):
     assert got == {0: "ok", 1: "no such thing"}
 
 
+def test_a_batch_that_takes_too_long(spark):
+    catalogue = spark.createDataFrame([(0, "a"), (1, "b")], "batch long, feature string")
+    rows = spark.createDataFrame([(1,)], "iid long")
+
+    def fit(rows, people, names):
+        n = 10 if names == ["a"] else 10**14
+        return spark.range(n).selectExpr("sum(hash(id)) as coefs").selectExpr("'x' as feature", "cast(coefs as double) as coefs")
+
+    got = {r["batch"]: r["status"] for r in models.fit_batches(rows, rows, catalogue, fit, seconds=3.0).collect()}
+    assert got == {0: "ok", 1: "timeout"}
+
+
 def test_feature_sets():
     parts = {"main": ["a"], "epi": ["a,b"], "cardio": ["e,a,b"], "hla": ["h"], "env_main": ["e"], "clinical": ["c"], "covariate": ["age"]}
     one, two = models.feature_sets(parts), models.feature_sets(parts, separate_hla=True)
