@@ -211,9 +211,9 @@ def test_a_batch_that_takes_too_long(spark):
 
     def fit(rows, people, names):
         n = 10 if names == ["a"] else 10**14
-        return spark.range(n).selectExpr("sum(hash(id)) as coefs").selectExpr("'x' as feature", "cast(coefs as double) as coefs")
+        return spark.range(0, n, 1, 1).selectExpr("sum(hash(id)) as coefs").selectExpr("'x' as feature", "cast(coefs as double) as coefs")
 
-    got = {r["batch"]: r["status"] for r in models.fit_batches(rows, rows, catalogue, fit, seconds=3.0).collect()}
+    got = {r["batch"]: r["status"] for r in models.fit_batches(rows, rows, catalogue, fit, seconds=4.0).collect()}
     assert got == {0: "ok", 1: "timeout"}
 
 
