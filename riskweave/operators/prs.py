@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights up to this count (a name and a number each) are broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def score(rows: DataFrame, weights: DataFrame, people: DataFrame, coef: str = "coef100", out: str = "prs100") -> DataFrame:
     """(iid, phenotype, model, out) for every person and model; no known feature sums to zero.
 
-    Weights are joined on the feature; sums are partial before the shuffle on (iid, model).
+    Weights go to the rows if they are few (they are counted), so sums are partial before the shuffle on (iid, model); else both
+    are shuffled by feature.
     """
-    summed = rows.join(weights, "feature").groupBy("iid", "model").agg(F.sum(F.col("x") * F.col(coef)).alias(out))
+    few = weights.select("feature").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    summed = rows.join(F.broadcast(weights) if few else weights, "feature").groupBy("iid", "model").agg(F.sum(F.col("x") * F.col(coef)).alias(out))
     models = weights.select("model").distinct()
     every = people.select("iid", "phenotype").join(F.broadcast(models))  # a handful of models
     return every.join(summed, ["iid", "model"], "left").select("iid", "phenotype", "model", F.coalesce(out, F.lit(0)).cast("long").alias(out))

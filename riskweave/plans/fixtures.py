@@ -14,7 +14,8 @@ from ..sources.shared import written
 
 TABLES = ("customer", "orders", "lineitem", "part", "events", "embeddings")
 
-#: View -> SQL. Views may use the tables and views before them. {pc} is an engine's list of principal components.
+#: View -> SQL. Views may use the tables and views before them. {pc} is an engine's list of principal components. What a hint
+#: broadcasts has a few hundred rows whatever the size of the tables: 64 variants, 32 pairs, and their weights.
 VIEWS = {
     "ks": "SELECT p_partkey - 1 AS k FROM part WHERE p_partkey BETWEEN 1 AND 64",
     "participant": "SELECT c_custkey AS iid, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 2 ELSE 1 END AS phenotype FROM customer",
@@ -54,10 +55,10 @@ VIEWS = {
         UNION ALL SELECT 200 + k, CAST(k AS STRING), CAST((5 * k + 3) % 64 AS STRING) FROM ks WHERE k % 7 = 0""",
     "main_rows": "SELECT iid, CAST(snp AS STRING) AS feature, dosage AS x FROM genotype",
     "pair_rows": """
-        SELECT g.iid, p.feature, sum(g.dosage) AS x FROM genotype g
+        SELECT /*+ BROADCAST(p) */ g.iid, p.feature, sum(g.dosage) AS x FROM genotype g
         JOIN (SELECT feature, a AS snp FROM pairs UNION ALL SELECT feature, b FROM pairs) p ON g.snp = p.snp GROUP BY g.iid, p.feature""",
     "gxe_rows": """
-        SELECT r.iid, concat('n_orders,', r.feature) AS feature, r.x * CAST(e.value AS BIGINT) AS x
+        SELECT /*+ BROADCAST(p) */ r.iid, concat('n_orders,', r.feature) AS feature, r.x * CAST(e.value AS BIGINT) AS x
         FROM pair_rows r JOIN env e ON e.iid = r.iid AND e.env_feature = 'n_orders' JOIN pairs p ON p.feature = r.feature WHERE p.k < 16""",
     "feature_rows": """
         SELECT iid, feature, CAST(x AS BIGINT) AS x FROM main_rows UNION ALL SELECT iid, feature, CAST(x AS BIGINT) FROM pair_rows
@@ -72,7 +73,7 @@ VIEWS = {
     "prs": """
         SELECT p.iid, p.phenotype, m.model, CAST(coalesce(s.prs100, 0) AS BIGINT) AS prs100
         FROM participant p JOIN (SELECT DISTINCT model FROM weights) m ON 1 = 1
-        LEFT JOIN (SELECT f.iid, w.model, sum(f.x * w.coef100) AS prs100 FROM feature_rows f JOIN weights w ON f.feature = w.feature GROUP BY f.iid, w.model) s
+        LEFT JOIN (SELECT /*+ BROADCAST(w) */ f.iid, w.model, sum(f.x * w.coef100) AS prs100 FROM feature_rows f JOIN weights w ON f.feature = w.feature GROUP BY f.iid, w.model) s
         ON s.iid = p.iid AND s.model = m.model""",
     "shap": "SELECT CAST(k AS STRING) AS feature, CAST(((k * 29) % 61) - 30 AS DOUBLE) / 10 AS shap_zscore, 'main' AS data_type FROM ks UNION ALL SELECT feature, CAST(((k * 23) % 51) - 25 AS DOUBLE) / 10, 'epi' FROM pairs",
     "feature_scores": """
@@ -100,6 +101,23 @@ VIEWS = {
     "clinical": "SELECT iid, CASE WHEN iid % 19 = 0 THEN NULL ELSE value END AS marker FROM env WHERE env_feature = 'acctbal'",
     "probs": "SELECT iid, phenotype - 1 AS y, model, round(1 / (1 + exp(-(CAST(prs100 AS DOUBLE) / 100 - 0.5))), 6) AS p FROM prs",
 }
+#: Views that Spark is told in another way, with the same rows. Scores are linear in dosages, so weights are summed by variant first
+#: and meet each genotype once; features of pairs and environments need no rows of their own.
+SPARK_VIEWS = {
+    "prs": """
+        SELECT p.iid, p.phenotype, m.model, CAST(coalesce(s.prs100, 0) AS BIGINT) AS prs100
+        FROM participant p JOIN (SELECT DISTINCT model FROM weights) m ON 1 = 1
+        LEFT JOIN (
+            SELECT t.iid, t.model, sum(t.x * CASE WHEN t.env = 1 THEN coalesce(n.n_orders, 0) ELSE 1 END) AS prs100 FROM (
+                SELECT /*+ BROADCAST(w) */ g.iid, w.model, w.env, sum(g.dosage * w.c) AS x FROM genotype g JOIN (
+                    SELECT model, snp, env, sum(coef100) AS c FROM (
+                        SELECT w.model, k AS snp, 0 AS env, w.coef100 FROM weights w JOIN ks ON w.feature = CAST(k AS STRING)
+                        UNION ALL SELECT w.model, explode(array(x.a, x.b)), 0, w.coef100 FROM weights w JOIN pairs x ON w.feature = x.feature
+                        UNION ALL SELECT w.model, explode(array(x.a, x.b)), 1, w.coef100 FROM weights w JOIN pairs x ON w.feature = concat('n_orders,', x.feature)) u
+                    GROUP BY model, snp, env) w ON g.snp = w.snp GROUP BY g.iid, w.model, w.env) t
+            LEFT JOIN (SELECT o_custkey AS iid, count(*) AS n_orders FROM orders GROUP BY o_custkey) n ON n.iid = t.iid GROUP BY t.iid, t.model) s
+        ON s.iid = p.iid AND s.model = m.model""",
+}
 _ENGINE = {
     "spark": {"pc": ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS pc{i + 1}" for i in range(10))},
     "duckdb": {"pc": ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS pc{i + 1}" for i in range(10))},
@@ -110,27 +128,31 @@ _ENGINE = {
 SHARED = ("genotype", "prs")
 
 
+def _sql(view: str, engine: str) -> str:
+    return (SPARK_VIEWS.get(view) if engine == "spark" else None) or VIEWS[view]
+
+
 def _uses(sql: str) -> list[str]:
     return [x for x in re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql) if x in VIEWS]
 
 
 @functools.cache
-def _needed(name: str, known: frozenset = frozenset()) -> tuple[str, ...]:
+def _needed(name: str, engine: str, known: frozenset = frozenset()) -> tuple[str, ...]:
     """The views that a view needs and that aren't known, and itself, in the order of VIEWS."""
-    found = {name} | {x for u in _uses(VIEWS[name]) if u not in known for x in _needed(u, known)}
+    found = {name} | {x for u in _uses(_sql(name, engine)) if u not in known for x in _needed(u, engine, known)}
     return tuple(v for v in VIEWS if v in found)
 
 
 @functools.cache
 def _times(name: str, view: str, known: frozenset) -> int:
     """How often a view's plan would hold another."""
-    return sum(1 if u == view else _times(u, view, known) for u in _uses(VIEWS[name]) if u not in known)
+    return sum(1 if u == view else _times(u, view, known) for u in _uses(_sql(name, "spark")) if u not in known)
 
 
 def with_views(sql: str, engine: str = "duckdb", known: frozenset = frozenset()) -> str:
     """sql with the views it names, less those known, as common table expressions."""
-    found = {x for u in _uses(sql) if u not in known for x in _needed(u, known)}
-    views = ",\n".join(f"{v} AS ({VIEWS[v].format(**_ENGINE[engine])})" for v in VIEWS if v in found)
+    found = {x for u in _uses(sql) if u not in known for x in _needed(u, engine, known)}
+    views = ",\n".join(f"{v} AS ({_sql(v, engine).format(**_ENGINE[engine])})" for v in VIEWS if v in found)
     if not views:
         return sql
     body = sql.strip()
