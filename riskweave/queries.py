@@ -242,7 +242,7 @@ def prs_mean_diff(v):
 
 @query(f"WITH {_bins(10)} SELECT model, bin, count(*) AS n, CAST(sum(phenotype - 1) AS BIGINT) AS cases, round(CAST(sum(phenotype - 1) AS DOUBLE) / count(*), 6) AS prevalence FROM binned GROUP BY model, bin")
 def prs_decile_prevalence(v):
-    scores = R.score(v.feature_rows, v.weights, v.participant)
+    scores = written(R.score(v.feature_rows, v.weights, v.participant), "scores")  # edges and people both read them
     return rounded(B.prevalence(B.qcut(scores, "prs100", 10, ["model"]), ["model"]), "prevalence")
 
 
