@@ -129,6 +129,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns, by whatever names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 class WordHashes(dict):
     """bytes word -> 64-bit hash; keeps what it has seen, up to a bound."""
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, scratch, text_of
+from .common import columns_of, free_name, materialise, scratch, text_of
 
 # Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһνκαορτιΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aeopcyxijsdhvkaoptiabezhikmnoptyxabekmhopctx")
@@ -269,4 +269,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of docs, with all their columns, that score below the threshold."""
     own = free_name(docs, "score")
     scored = docs.withColumn(own, score_column(learn(docs, labels), text_of()))
-    return scored.filter(F.col(own) < threshold).select(docs.columns)
+    return scored.filter(F.col(own) < threshold).select(columns_of(docs))
