@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import discard, free_name, materialise, scratch, text_of
+from riskweave.llm.common import columns_of, discard, free_name, materialise, scratch, text_of
 from riskweave.llm.decontaminate import find_leaks
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.near_dedup import near_dedup
@@ -35,19 +35,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, gone_id, gone = (free_name(docs, name) for name in ("digest", "gone_id", "gone"))
     dropped = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone)).distinct()
     match = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone))
-    return docs.withColumn(own, F.sha2(text_of(), 256)).join(dropped, match, "left_anti").select(docs.columns)
+    return docs.withColumn(own, F.sha2(text_of(), 256)).join(dropped, match, "left_anti").select(columns_of(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8), the row with the smallest id stays."""
     rows, row = _numbered(docs)
-    return _without(rows, row, near_dedup(rows, doc_id=row).filter("not kept")).select(docs.columns)
+    return _without(rows, row, near_dedup(rows, doc_id=row).filter("not kept")).select(columns_of(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     rows, row = _numbered(docs)
-    return _without(rows, row, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=row)).select(docs.columns)
+    return _without(rows, row, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=row)).select(columns_of(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
