@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, free_name, materialise, scratch, text_of
+from .common import columns_of, free_name, materialise, scratch, text_of, width
 
 # Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһνκαορτιΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aeopcyxijsdhvkaoptiabezhikmnoptyxabekmhopctx")
@@ -249,8 +249,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    with scratch(docs.sparkSession):
-        return fit(materialise(slim.join(F.broadcast(known), "doc_id").select("body", "toxic"), "labelled"))  # so many labels at most, whatever the input
+    with scratch(docs.sparkSession):  # so many labels at most, whatever the input; spread, as each is read several times
+        return fit(materialise(slim.join(F.broadcast(known), "doc_id").select("body", "toxic").repartition(width(docs.sparkSession)), "labelled"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -71,7 +71,7 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_told_apart(spark):
 
 def test_columns_with_names_that_stages_use(spark):
     rows = [(1, "x y", "mine", 7, "own", 1), (2, "x y", "yours", 8, None, 2), (None, None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, row int, gone string, score int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, row int, `gone.id` string, score int")
     want = [rows[1], rows[2]]
     for _, stage in P.STAGES[:-1]:
         docs = materialise(stage(spark, docs, SMALL), "t")
