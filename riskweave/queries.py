@@ -143,9 +143,19 @@ def variant_qc_geno_maf(v):
     return rounded(G.variant_qc(v.genotype_missing, v.participant.count()), "missing_rate", "maf")
 
 
-@query()
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+
+
+@query(f"""
+    WITH q AS ({SQL["variant_qc_geno_maf"]}), r AS (SELECT *, n0 + n1 + n2 AS n, 2 * least(n0, n2) + n1 AS rare FROM q),
+    h AS (SELECT *, unnest(range(rare % 2, rare + 1, 2)) AS het FROM r),
+    p AS (SELECT *, exp(lgamma(n + 1) - lgamma((rare - het) // 2 + 1) - lgamma(het + 1) - lgamma(n - het - (rare - het) // 2 + 1) + het * ln(2) - {_choose("2 * n", "rare")}) AS p FROM h),
+    t AS (SELECT snp, sum(p) AS total, max(CASE WHEN het = n1 THEN p END) AS here FROM p GROUP BY snp)
+    SELECT snp, missing, n1, n2, n0, missing_rate, maf, round(least(sum(CASE WHEN p.p <= here * (1 + 1e-7) THEN p.p ELSE 0 END) / any_value(total), 1), 6) AS hwe_p
+    FROM p JOIN t USING (snp) GROUP BY snp, missing, n1, n2, n0, missing_rate, maf""")
 def variant_qc_hwe(v):
-    return G.variant_qc(v.genotype_missing, v.participant.count(), least_hwe=0.0)
+    return rounded(G.variant_qc(v.genotype_missing, v.participant.count(), least_hwe=0.0), "missing_rate", "maf", "hwe_p")
 
 
 # Features.
@@ -341,9 +351,17 @@ def odds_ratio_top_percent(v):
     return rounded(A.top_percent_tables(_binned(v, 100), [1, 2, 5, 10, 20]), "odds_ratio", "ci_low", "ci_high")
 
 
-@query()
+_PMF = f"exp({_choose('a + b', 'i')} + {_choose('c + d', 'a + c - i')} - {_choose('a + b + c + d', 'a + c')})"
+
+
+@query(f"""
+    WITH o AS (SELECT * FROM ({SQL["odds_ratio_top_percent"]}) WHERE p IN (5, 10, 20)),
+    i AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS i FROM o), x AS (SELECT *, {_PMF} AS pmf FROM i),
+    h AS (SELECT model, p, max(CASE WHEN i = a THEN pmf END) AS here FROM x GROUP BY model, p)
+    SELECT model, p, a, b, c, d, odds_ratio, ci_low, ci_high, round(least(sum(CASE WHEN pmf <= here * (1 + 1e-7) THEN pmf ELSE 0 END), 1), 6) AS fisher_p
+    FROM x JOIN h USING (model, p) GROUP BY ALL""")
 def odds_ratio_fisher(v):
-    return V.fisher_p(A.top_percent_tables(_binned(v, 100), [5, 10, 20]))
+    return rounded(V.fisher_p(A.top_percent_tables(_binned(v, 100), [5, 10, 20])), "odds_ratio", "ci_low", "ci_high", "fisher_p")
 
 
 _DIV0 = "round(CASE WHEN {0} + {1} > 0 THEN CAST({0} AS DOUBLE) / ({0} + {1}) ELSE 0 END, 6)"
@@ -504,9 +522,13 @@ def chi2_independence(v):
     return rounded(V.chi2_yates(_tables(v)), "chi2")
 
 
-@query()
+@query(f"""
+    WITH {_HIGH}, {_TABLES}, o AS (SELECT *, CAST(a AS DOUBLE) * (a + b + c + d) / nullif((a + b) * (a + c), 0) AS ratio FROM tables),
+    i AS (SELECT *, unnest(range(greatest(0, a + b - (b + d)), a + 1)) AS i FROM o)
+    SELECT model1, model2, a, b, c, d, round(ratio, 6) AS overlap_ratio, round(least(sum(exp({_choose("a + c", "i")} + {_choose("b + d", "a + b - i")} - {_choose("a + b + c + d", "a + b")})), 1), 6) AS overlap_p
+    FROM i GROUP BY ALL""")
 def overlap_hypergeometric(v):
-    return V.overlap_p(_tables(v))
+    return rounded(V.overlap_p(_tables(v)), "overlap_ratio", "overlap_p")
 
 
 @query(f"""
@@ -680,6 +702,20 @@ def epistasis_best_partner(v):
     return G.best_partner(pairs)
 
 
+@query("""
+    WITH pairs2 AS (SELECT DISTINCT a.snp AS snp_a, b.snp AS snp_b FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp < b.snp),
+    cells AS (SELECT snp_a, snp_b, phenotype, coalesce(a.dosage, 0) AS ga, coalesce(b.dosage, 0) AS gb, count(*) AS n FROM pairs2 CROSS JOIN participant p
+        LEFT JOIN genotype a ON a.iid = p.iid AND a.snp = snp_a LEFT JOIN genotype b ON b.iid = p.iid AND b.snp = snp_b GROUP BY 1, 2, 3, 4, 5)
+    SELECT * FROM cells""")
+def epistasis_tables(v):
+    """Counts by both dosages and phenotype, with people who carry neither."""
+    genotype = v.written("genotype")
+    full = G.full_tables(G.epistasis_counts(genotype, v.participant), genotype, v.participant)
+    rows = full.select("snp_a", "snp_b", F.posexplode("cells").alias("at", "n")).filter("n > 0")
+    place = F.col("at").cast("long")
+    return rows.select("snp_a", "snp_b", (F.floor(place / 9) + 1).cast("int").alias("phenotype"), (F.floor(place / 3) % 3).alias("ga"), (place % 3).alias("gb"), "n")
+
+
 @query()
 def epistasis_boost(v):
     genotype = v.written("genotype")
@@ -747,9 +783,13 @@ def lasso_logistic(v):
     return M.lasso(v.main_rows.unionByName(covar), v.participant, [*_TOP, "age", "sex"], ["age", "sex"], lambdas=3, folds=5)
 
 
-@query()
+@query("""
+    WITH s AS (SELECT k, CAST(coalesce(sum(CASE WHEN phenotype = 1 THEN dosage END), 0) AS DOUBLE) AS x0, CAST(coalesce(sum(CASE WHEN phenotype = 2 THEN dosage END), 0) AS DOUBLE) AS x1
+        FROM (SELECT unnest(range(64)) AS k) f LEFT JOIN genotype ON snp = k LEFT JOIN participant USING (iid) GROUP BY k),
+    t AS (SELECT CAST(k AS VARCHAR) AS feature, -ln((x1 + 1) / (sum(x1) OVER () + 64)) AS lp0, -ln((x0 + 1) / (sum(x0) OVER () + 64)) AS lp1 FROM s)
+    SELECT feature, round(lp0, 6) AS lp0, round(lp1, 6) AS lp1, round((lp1 / lp0) / (exp(-lp1) / exp(-lp0)), 6) AS odds_yes, round((lp0 / lp1) / (exp(-lp0) / exp(-lp1)), 6) AS odds_no FROM t""")
 def complement_nb(v):
-    return S.log_odds_table(M.complement_bayes(v.main_rows, v.participant, _TOP))
+    return rounded(S.log_odds_table(M.complement_bayes(v.main_rows, v.participant, _TOP)), "lp0", "lp1", "odds_yes", "odds_no")
 
 
 @query()
