@@ -562,11 +562,16 @@ def delong_pairs(v):
     return rounded(out, "auc1", "auc2", "z").withColumns({c: F.round(c, 8) for c in ("var1", "var2", "cov")})
 
 
-@query()
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: power(-1, k) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-12) / sqrt(2)) - lgamma(k + 1)) / (2 * k + 1)))"
+
+
+@query(f"""
+    SELECT model1, model2, auc1, auc2, z, round(CASE WHEN abs(z) < 5.5 THEN 1 - {_ERF} ELSE 0 END, 4) AS p FROM ({SQL["delong_pairs"]})""")
 def delong_p_values(v):
     from .functions.stats import normal_sf2
 
-    return V.with_p(V.delong(v.prs.withColumn("y", F.col("phenotype") - 1), "prs100", PAIRS), "p", ["z"], normal_sf2)
+    tested = V.with_p(V.delong(v.prs.withColumn("y", F.col("phenotype") - 1), "prs100", PAIRS), "p", ["z"], normal_sf2)
+    return rounded(tested.select("model1", "model2", "auc1", "auc2", "z", F.round("p", 4).alias("p")), "auc1", "auc2", "z")
 
 
 @query(f"""
