@@ -363,11 +363,15 @@ def covariate_logistic(v):
     return v.spark.createDataFrame([("age", float(model.coefficients[0])), ("sex", float(model.coefficients[1])), ("(Intercept)", float(model.intercept))], "feature string, coefs double")
 
 
-@query()
+@query("""
+    WITH s AS (SELECT k, CAST(coalesce(sum(CASE WHEN phenotype = 1 THEN dosage END), 0) AS DOUBLE) AS x0 FROM ks LEFT JOIN genotype ON snp = k LEFT JOIN participant USING (iid) GROUP BY k),
+    b AS (SELECT CAST(k AS VARCHAR) AS feature, x0, (row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1) // 20 AS batch FROM s)
+    SELECT CAST(batch AS BIGINT) AS batch, feature, round(-ln((x0 + 1) / (sum(x0) OVER w + count(*) OVER w)), 6) AS coefs, 'ok' AS status FROM b WINDOW w AS (PARTITION BY batch)""")
 def fitted_batches(v):
     """Feature weights of complement naive Bayes, batch by batch, for all variants."""
     catalogue = X.batches(v.ks.select(F.col("k").cast("string").alias("feature")), 20)
-    return M.fit_batches(v.main_rows, v.participant, catalogue, lambda rows, people, names: M.complement_bayes(rows, people, names).select("feature", F.col("lp1").alias("coefs")))
+    rows = v.written("main_rows")
+    return rounded(M.fit_batches(rows, v.participant, catalogue, lambda rows, people, names: M.complement_bayes(rows, people, names).select("feature", F.col("lp1").alias("coefs"))), "coefs")
 
 
 @query()
