@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -27,8 +27,9 @@ FREE = 1e3
 
 def side_by_side(jobs: list, at_once: int = 4) -> list:
     """What the functions return, in order; each runs Spark jobs of its own, several at a time share the cluster."""
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(at_once) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
 def assemble(rows: DataFrame, people: DataFrame, features: list[str]) -> DataFrame:
