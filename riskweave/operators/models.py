@@ -6,6 +6,7 @@ import math
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from threading import Timer
 
 import numpy as np
@@ -127,6 +128,29 @@ def forest_importance(rows: DataFrame, labels: DataFrame, features: list[str], t
     return rows.sparkSession.createDataFrame(out, "label string, feature string, importance double")
 
 
+def forest_report(rows: DataFrame, labels: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
+    """(label, n, auc and the numbers of evaluation.classification) of forests fitted on three quarters of the people, on the others.
+
+    The quarter is chosen by a hash of the id, so it is the same for every label.
+    """
+    from .evaluation import classification, rank_auc
+
+    names = sorted(r["label"] for r in labels.select("label").distinct().collect())
+    vectors = assemble(rows, labels.groupBy("iid").agg(F.lit(1).alias("phenotype")), features).select("iid", "features").persist()
+    tested = F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(4)) == 3
+
+    def scored(name: str) -> DataFrame:
+        data = vectors.join(labels.filter(F.col("label") == name).select("iid", F.col("y").cast("double").alias("label")), "iid")
+        model = RandomForestClassifier(numTrees=trees, maxDepth=4, seed=1).fit(data.filter(~tested))
+        return model.transform(data.filter(tested)).select("iid", F.lit(name).alias("model"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+
+    parts = side_by_side([(lambda name=name: scored(name)) for name in names])
+    probs = written(reduce(DataFrame.unionByName, parts), "forest-report")
+    vectors.unpersist()
+    sizes = probs.groupBy("model").agg(F.count("*").alias("n"))
+    return sizes.join(rank_auc(probs, "p", ["model"]), "model").join(classification(probs), "model").withColumnRenamed("model", "label")
+
+
 def _poisson(iid: np.ndarray, replicate: int) -> np.ndarray:
     """Poisson(1) weights by a hash of person and replicate; replicate 0 is the data themselves."""
     if replicate == 0:
@@ -206,6 +230,29 @@ def forest_impute(train: DataFrame, rows: DataFrame, target: str, features: list
     return model.transform(assembler.transform(rows)).withColumn(target, F.coalesce(target, "__p")).drop("__v", "__p")
 
 
+def iterative_impute(train: DataFrame, rows: DataFrame, columns: list[str], rounds: int = 3, trees: int = 10) -> DataFrame:
+    """rows with nulls in the columns filled: medians of train first, then in each round every column by a forest on the others.
+
+    Forests learn from train's known values, with its other columns filled as rows' are.
+    """
+    from .clean import median_impute
+
+    def filled(frame: DataFrame) -> DataFrame:
+        out = frame.select("*", *(F.col(c).isNull().alias(f"__no_{c}") for c in columns)).withColumn("__one", F.lit(1))
+        fit = train.withColumn("__one", F.lit(1))
+        for c in columns:
+            out = median_impute(out, fit, ["__one"], c)
+        return written(out.drop("__one"), "impute")
+
+    known, wanted = filled(train), filled(rows)
+    for _ in range(rounds):
+        for c in columns:
+            others = [o for o in columns if o != c]
+            bare = lambda frame, c=c: frame.withColumn(c, F.when(~F.col(f"__no_{c}"), F.col(c)))
+            known, wanted = (written(forest_impute(bare(known), bare(frame), c, others, trees), "impute") for frame in (known, wanted))
+    return wanted.select(rows.columns)
+
+
 def fit_batches(rows: DataFrame, people: DataFrame, catalogue: DataFrame, fit, at_once: int = 4, seconds: float = 3600.0) -> DataFrame:
     """(batch, feature, coefs, status) of fit(rows, people, features) for each batch of (batch, feature); a batch that fails says why.
 

@@ -137,6 +137,14 @@ def test_imputation_by_neighbours_and_forest(spark):
     assert abs(got[1] - 100) < 20 and got[2] == 7.0
 
 
+def test_imputation_in_rounds(spark):
+    r = np.random.default_rng(4)
+    a = r.normal(size=300)
+    make = lambda start, none: spark.createDataFrame([(start + i, float(x), None if i % none == 0 else float(2 * x), float(-x) if i % 7 else None) for i, x in enumerate(a)], "iid long, a double, b double, c double")
+    got = models.iterative_impute(make(0, 11), make(1000, 5), ["a", "b", "c"], rounds=2, trees=5).toPandas().sort_values("iid")
+    assert not got.isna().any().any() and np.abs(got["b"].to_numpy() - 2 * a)[::5].mean() < 0.5 * np.abs(2 * a)[::5].mean()
+
+
 def test_mixed_score_finds_the_informative_one(spark):
     r = np.random.default_rng(2)
     a, b = r.normal(size=(2, 400))
