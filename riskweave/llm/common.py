@@ -18,10 +18,6 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these six bytes; bytes.split() splits on just them.
-WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
-
-
 _OWN: dict[str, str] = {}
 _HELD = threading.local()
 
