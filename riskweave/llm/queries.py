@@ -11,6 +11,7 @@ from .chat import preferences
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .lm_score import lm_score
+from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
 from .pii import find_pii
@@ -66,7 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity)}
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), budgets=(1.0, 1.5)).drop("nested")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity, op12_mix)}
 
 SQL = {
     "op7_near_dedup": r"""
@@ -96,6 +101,21 @@ SQL = {
             sha256(coalesce(string_agg(words.word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
         FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY d.doc_id
     """,
+    "op12_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15] AS h FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+            FROM d GROUP BY source),
+        filling AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM s WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        level AS (SELECT max(level) FILTER (WHERE cap > weight * level) AS level FROM filling),
+        wanted AS (SELECT source, source_size, least(cap, weight * level) AS target, round(least(cap, weight * level))::BIGINT AS want FROM s, level),
+        ordered AS (
+            SELECT d.*, source_size, target, want // greatest(source_size, 1) AS whole, want % greatest(source_size, 1) AS need, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS ahead
+            FROM d JOIN wanted ON d.source IS NOT DISTINCT FROM wanted.source)
+        SELECT doc_id, size, source_size, target, (whole * size + least(greatest(need - ahead, 0), size))::BIGINT AS taken, source FROM ordered
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
