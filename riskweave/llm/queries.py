@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .lm_score import lm_score
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .periodic import periodic_runs
 from .pii import find_pii
 from .sharding import shard
 from .substring import substring_dedup
@@ -67,11 +69,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, with a periodic tail in one of ten, by a hash of the id. A null id has no hash and no tail."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    unit = words[a : a + p]
+    return words[:a] + (unit * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_table(spark, sf_dir, "documents"), rewrite=planted)
+    better = lambda best, r: F.when(best["length"].isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    best = found.withColumn("best", F.aggregate("runs", none, better))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), budgets=(1.0, 1.5)).drop("nested")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity, op12_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity, op11_runs, op12_mix)}
 
 SQL = {
     "op7_near_dedup": r"""
@@ -101,6 +123,32 @@ SQL = {
             sha256(coalesce(string_agg(words.word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
         FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY d.doc_id
     """,
+    "op11_runs": r"""
+        WITH RECURSIVE c AS (
+            SELECT 0 AS k, [i::UBIGINT FOR i IN range(256)] AS t
+            UNION ALL SELECT k + 1, list_transform(t, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) FROM c WHERE k < 8),
+        d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                    lambda s, x: xor(s >> 8, t[xor(s & 255, x)::INT + 1]))) AS h
+            FROM documents, c WHERE k = 8),
+        a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END::BIGINT AS a FROM d),
+        p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8)::BIGINT AS p FROM a),
+        words AS (SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+        same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        stretches AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same)
+            GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+        told AS (
+            SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': period}, {'e': -length / period, 's': start, 'p': period}) AS b,
+                sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest FROM runs GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli,
+            coalesce(digest, sha256('')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+        FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """,
     "op12_mix": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15] AS h FROM documents),
         s AS (
