@@ -51,8 +51,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later reads don't depend on lost executors.
+def materialise(df: DataFrame, tag: str, keep: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet into the shared folder, in folders by some columns, and read it back: later reads don't depend on lost executors.
 
     Inside scratch() the files go at its end; those to be kept, at the end of the scratch() around that, else when the driver ends.
     """
@@ -63,7 +63,7 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
         held[-1 - keep].append(path)
     else:
         remove_at_end(spark, path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

@@ -17,6 +17,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .periodic import periodic_runs
 from .pii import find_pii
+from .ranked import rank_documents
 from .sharding import shard
 from .substring import substring_dedup
 from .toxicity import toxicity
@@ -93,7 +94,11 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), budgets=(1.0, 1.5)).drop("nested")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity, op11_runs, op12_mix)}
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_pii, op3_preferences, op4_leaks, op5_exact_dedup, op6_shard, op7_near_dedup, op8_lm_score, op9_substring, op10_toxicity, op11_runs, op12_mix, op13_ranked)}
 
 SQL = {
     "op7_near_dedup": r"""
@@ -164,6 +169,24 @@ SQL = {
             FROM d JOIN wanted ON d.source IS NOT DISTINCT FROM wanted.source)
         SELECT doc_id, size, source_size, target, (whole * size + least(greatest(need - ahead, 0), size))::BIGINT AS taken, source FROM ordered
     """,
+    "op13_ranked": r"""
+        WITH terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+        whole AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM sizes),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+        weighed AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term),
+        lengths AS (SELECT doc_id, 50 + (50 * n * nd) // l AS m FROM sizes, whole),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weighed USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 50
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
