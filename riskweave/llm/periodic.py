@@ -194,7 +194,7 @@ class Document:
 
 def runs_of(w: np.ndarray, starts: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """First word of a document -> its runs (first word, length, period), by first word, then period. Documents without runs are left out."""
-    ends, found = dict(zip(starts.tolist(), np.append(starts[1:], len(w)).tolist(), strict=True)), {}
+    ends, found = dict(zip(starts.tolist(), np.append(starts, len(w))[1:].tolist(), strict=True)), {}
     for begin, b, first, end in _spans(w, starts):
         if begin not in found:
             found[begin] = Document(w, begin, ends[begin])
