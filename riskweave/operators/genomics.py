@@ -1,14 +1,12 @@
-"""Variant quality control, linkage and pairwise epistasis on long genotypes (iid, snp, dosage); no row is dosage 0."""
+"""Variant quality control and linkage on long genotypes (iid, snp, dosage); no row is dosage 0."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if
-from ..functions.stats import chi2_sf, hwe_exact
+from ..functions.stats import hwe_exact
 from ..sources.shared import written
 from .evaluation import with_p
 
@@ -73,66 +71,6 @@ def window_prune(variants: DataFrame, edges: DataFrame, least: float = 0.6) -> D
     return variants.select("snp").limit(0) if kept is None else kept
 
 
-def epistasis_counts(genotype: DataFrame, people: DataFrame, snps: list[int] | None = None) -> DataFrame:
-    """(snp_a, snp_b, ga, gb, phenotype, n), with both carriers; pairs of all variants, or of a short list, a < b."""
-    g = genotype.filter(F.col("dosage") > 0 if snps is None else F.col("snp").isin(snps) & (F.col("dosage") > 0)).join(people.select("iid", "phenotype"), "iid")
-    x = g.select("iid", "phenotype", F.col("snp").alias("snp_a"), F.col("dosage").alias("ga"))
-    y = g.select("iid", F.col("snp").alias("snp_b"), F.col("dosage").alias("gb"))
-    return x.join(y, "iid").filter("snp_a < snp_b").groupBy("snp_a", "snp_b", "ga", "gb", "phenotype").agg(F.count("*").alias("n"))
-
-
-def full_tables(counts: DataFrame, genotype: DataFrame, people: DataFrame) -> DataFrame:
-    """(snp_a, snp_b, cells): all 18 counts by (ga, gb, phenotype), those without a carrier by subtraction from margins."""
-    g = genotype.filter("dosage > 0").join(people.select("iid", "phenotype"), "iid")
-    margins = g.groupBy("snp", "dosage", "phenotype").agg(F.count("*").alias("n")).groupBy("snp").agg(F.collect_list(F.struct("dosage", "phenotype", "n")).alias("m"))  # four for each variant
-    totals = {r["phenotype"]: r["n"] for r in people.groupBy("phenotype").agg(F.count("*").alias("n")).collect()}
-    packed = counts.groupBy("snp_a", "snp_b").agg(F.collect_list(F.struct("ga", "gb", "phenotype", "n")).alias("cells"))  # 8 at most
-    packed = packed.join(margins.select(F.col("snp").alias("snp_a"), F.col("m").alias("ma")), "snp_a").join(margins.select(F.col("snp").alias("snp_b"), F.col("m").alias("mb")), "snp_b").select("snp_a", "snp_b", "cells", "ma", "mb")
-
-    def fill(frames):
-        for f in frames:
-            rows = []
-            for a, b, cells, *margins in f.itertuples(index=False):
-                seen = {(c["ga"], c["gb"], c["phenotype"]): c["n"] for c in cells}
-                of_a, of_b = ({(c["dosage"], c["phenotype"]): c["n"] for c in m} for m in margins)
-                out = []
-                for p in (1, 2):
-                    t = [[seen.get((i, j, p), 0) for j in range(3)] for i in range(3)]
-                    for i in (1, 2):
-                        t[i][0] = of_a.get((i, p), 0) - t[i][1] - t[i][2]
-                        t[0][i] = of_b.get((i, p), 0) - t[1][i] - t[2][i]
-                    t[0][0] = totals.get(p, 0) - sum(map(sum, t))
-                    out += [x for row in t for x in row]
-                rows.append((a, b, out))
-            import pandas as pd
-
-            yield pd.DataFrame(rows, columns=["snp_a", "snp_b", "cells"])
-
-    return packed.mapInPandas(fill, "snp_a long, snp_b long, cells array<long>")
-
-
-def boost_statistic(cells) -> float:
-    """Likelihood ratio of the saturated log-linear model against that without the three-way term, fitted by iterative proportions."""
-    import numpy as np
-
-    n = np.asarray(cells, float).reshape(2, 3, 3).transpose(1, 2, 0)
-    if n.sum() == 0:
-        return 0.0
-    m = np.ones_like(n)
-    for _ in range(60):
-        for axis in (2, 1, 0):
-            have = m.sum(axis, keepdims=True)
-            m = np.where(have > 0, m * n.sum(axis, keepdims=True) / np.where(have > 0, have, 1), 0)
-    ok = (n > 0) & (m > 0)
-    return float(2 * (n[ok] * np.log(n[ok] / m[ok])).sum())
-
-
-def boost(tables: DataFrame) -> DataFrame:
-    """(snp_a, snp_b, chisq, p) of pairwise interaction, four degrees of freedom."""
-    tested = with_p(tables, "chisq", ["cells"], boost_statistic).drop("cells")
-    return with_p(tested, "p", ["chisq"], lambda x: chi2_sf(max(x, 0.0), 4) if math.isfinite(x) else 1.0)
-
-
 def best_partner(pairs: DataFrame, value: str = "n") -> DataFrame:
     """snp, best_snp and its value; the smaller partner wins ties."""
     both = pairs.select(F.col("snp_a").alias("snp"), F.col("snp_b").alias("other"), value).unionByName(pairs.select(F.col("snp_b").alias("snp"), F.col("snp_a").alias("other"), value))

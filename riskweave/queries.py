@@ -13,6 +13,7 @@ from .operators import clean as C
 from .operators import clusters as K
 from .operators import cohort as P
 from .operators import epidemiology as A
+from .operators import epistasis as E
 from .operators import evaluation as V
 from .operators import features as X
 from .operators import genomics as G
@@ -696,14 +697,14 @@ def known_association_cascade(v):
     SELECT a.snp AS snp_a, b.snp AS snp_b, a.dosage AS ga, b.dosage AS gb, p.phenotype, count(*) AS n FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp < b.snp JOIN participant p ON p.iid = a.iid
     GROUP BY 1, 2, 3, 4, 5""")
 def epistasis_counts(v):
-    return G.epistasis_counts(v.genotype, v.participant)
+    return E.carriers_of(E.tables(v.written("genotype"), v.participant))
 
 
 @query("""
     WITH c AS (SELECT a.snp AS snp_a, b.snp AS snp_b, count(*) AS n FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp <> b.snp GROUP BY 1, 2)
     SELECT snp_a AS snp, snp_b AS best_snp, n AS best FROM (SELECT *, row_number() OVER (PARTITION BY snp_a ORDER BY n DESC, snp_b) AS rn FROM c) WHERE rn = 1""")
 def epistasis_best_partner(v):
-    pairs = G.epistasis_counts(v.genotype, v.participant).groupBy("snp_a", "snp_b").agg(F.sum("n").alias("n"))
+    pairs = E.carriers_of(E.tables(v.written("genotype"), v.participant)).groupBy("snp_a", "snp_b").agg(F.sum("n").alias("n"))
     return G.best_partner(pairs)
 
 
@@ -714,17 +715,46 @@ def epistasis_best_partner(v):
     SELECT * FROM cells""")
 def epistasis_tables(v):
     """Counts by both dosages and phenotype, with people who carry neither."""
-    genotype = v.written("genotype")
-    full = G.full_tables(G.epistasis_counts(genotype, v.participant), genotype, v.participant)
-    rows = full.select("snp_a", "snp_b", F.posexplode("cells").alias("at", "n")).filter("n > 0")
-    place = F.col("at").cast("long")
-    return rows.select("snp_a", "snp_b", (F.floor(place / 9) + 1).cast("int").alias("phenotype"), (F.floor(place / 3) % 3).alias("ga"), (place % 3).alias("gb"), "n")
+    return E.cells_of(E.tables(v.written("genotype"), v.participant))
+
+
+@query("""
+    WITH pairs2 AS (SELECT DISTINCT a.snp AS snp_a, b.snp AS snp_b FROM genotype_missing a JOIN genotype_missing b ON a.iid = b.iid AND a.snp < b.snp WHERE a.dosage > 0 AND b.dosage > 0)
+    SELECT snp_a, snp_b, phenotype, coalesce(a.dosage, 0) AS ga, coalesce(b.dosage, 0) AS gb, count(*) AS n FROM pairs2 CROSS JOIN participant p
+    LEFT JOIN genotype_missing a ON a.iid = p.iid AND a.snp = snp_a LEFT JOIN genotype_missing b ON b.iid = p.iid AND b.snp = snp_b
+    WHERE NOT (a.iid IS NOT NULL AND a.dosage IS NULL) AND NOT (b.iid IS NOT NULL AND b.dosage IS NULL) GROUP BY 1, 2, 3, 4, 5""")
+def epistasis_tables_missing(v):
+    """The same where calls are missing: people without a call at either variant aren't counted for the pair."""
+    return E.cells_of(E.tables(v.written("genotype_missing"), v.participant))
+
+
+_KIRKWOOD = """
+    WITH pairs2 AS (SELECT DISTINCT a.snp AS snp_a, b.snp AS snp_b FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp < b.snp),
+    t AS (SELECT snp_a, snp_b, phenotype AS p, coalesce(a.dosage, 0) AS i, coalesce(b.dosage, 0) AS j, CAST(count(*) AS DOUBLE) AS n FROM pairs2 CROSS JOIN participant p
+        LEFT JOIN genotype a ON a.iid = p.iid AND a.snp = snp_a LEFT JOIN genotype b ON b.iid = p.iid AND b.snp = snp_b GROUP BY 1, 2, 3, 4, 5),
+    ij AS (SELECT snp_a, snp_b, i, j, sum(n) AS nij FROM t GROUP BY 1, 2, 3, 4), pi AS (SELECT snp_a, snp_b, p, i, sum(n) AS npi FROM t GROUP BY 1, 2, 3, 4), pj AS (SELECT snp_a, snp_b, p, j, sum(n) AS npj FROM t GROUP BY 1, 2, 3, 4),
+    f AS (SELECT snp_a, snp_b, i, j, p, nij * npi * npj / (sum(npi) OVER (PARTITION BY snp_a, snp_b, i, j) * sum(npj) OVER (PARTITION BY snp_a, snp_b, i, j) * any_value(np)) AS k
+        FROM ij JOIN pi USING (snp_a, snp_b, i) JOIN pj USING (snp_a, snp_b, j, p) JOIN (SELECT snp_a, snp_b, p, sum(n) AS np FROM t GROUP BY 1, 2, 3) USING (snp_a, snp_b, p) GROUP BY snp_a, snp_b, i, j, p, nij, npi, npj),
+    e AS (SELECT snp_a, snp_b, sum(k) AS eta FROM f GROUP BY 1, 2), w AS (SELECT snp_a, snp_b, sum(n) AS whole FROM t GROUP BY 1, 2),
+    b AS (SELECT snp_a, snp_b, 2 * sum(n * ln(n / (k / eta * whole))) AS bound FROM t JOIN f USING (snp_a, snp_b, i, j, p) JOIN e USING (snp_a, snp_b) JOIN w USING (snp_a, snp_b) GROUP BY 1, 2)"""
+
+
+@query(_KIRKWOOD + " SELECT snp_a, snp_b, round(bound, 5) AS bound FROM b")
+def epistasis_bounds(v):
+    """Kirkwood's bound on the interaction of every pair."""
+    return E.tables(v.written("genotype"), v.participant).select("snp_a", "snp_b", F.round("bound", 5).alias("bound"))
 
 
 @query()
 def epistasis_boost(v):
-    genotype = v.written("genotype")
-    return G.boost(G.full_tables(G.epistasis_counts(genotype, v.participant), genotype, v.participant))
+    return E.boost(E.tables(v.written("genotype"), v.participant)).drop("bound")
+
+
+@query(_KIRKWOOD + " SELECT snp_a, snp_b, round(bound, 5) AS bound, TRUE AS fits FROM b WHERE bound >= 9")
+def epistasis_screened(v):
+    """Pairs that the bound lets through, and whether their fitted interaction is within it."""
+    fitted = E.boost(E.tables(v.written("genotype"), v.participant, 9.0))
+    return fitted.select("snp_a", "snp_b", F.round("bound", 5).alias("bound"), F.col("chisq").between(-1e-6, F.col("bound") + 1e-6).alias("fits"))
 
 
 # Clusters.

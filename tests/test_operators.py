@@ -69,13 +69,6 @@ def test_delong_by_double_loop(spark):
     assert got["var1"] == pytest.approx(cov(one, one)) and got["cov"] == pytest.approx(cov(one, two))
 
 
-def test_boost_is_zero_without_interaction():
-    a, b = np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.3, 0.1])
-    t = np.outer(a, b) * 1000
-    assert genomics.boost_statistic(np.concatenate([t.ravel() * 2, t.ravel()])) == pytest.approx(0, abs=1e-6)
-    assert genomics.boost_statistic([10, 0, 0, 0, 10, 0, 0, 0, 10, 0, 10, 10, 10, 0, 10, 10, 10, 0]) > 10
-
-
 def test_window_prune(spark):
     def slow(variants, edges):
         gone = set()
