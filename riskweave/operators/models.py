@@ -22,8 +22,6 @@ from ..sources.shared import written
 
 #: Features of one fit, as in the batches of the planner; a batch becomes one vector column.
 MOST_FEATURES = 3000
-#: Covariates are stretched so that the penalty on them all but vanishes; MLlib has one penalty for all.
-FREE = 1e3
 
 
 def side_by_side(jobs: list, at_once: int = 4) -> list:
@@ -43,39 +41,6 @@ def assemble(rows: DataFrame, people: DataFrame, features: list[str]) -> DataFra
     return VectorAssembler(inputCols=safe, outputCol="features").transform(full).select("iid", "label", "features")
 
 
-def standardised(rows: DataFrame, people: DataFrame, features: list[str], free: list[str]) -> DataFrame:
-    """Rows over their deviation among all people (absent rows are zeros), covariates stretched."""
-    n = people.count()
-    rows = rows.filter(F.col("feature").isin(features))
-    sums = rows.groupBy("feature").agg((F.sum("x") / n).alias("m"), (F.sum(F.col("x") * F.col("x")) / n).alias("q"))
-    sd = F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))
-    factor = F.when(sd > 0, 1 / sd).otherwise(1.0) * F.when(F.col("feature").isin(free), FREE).otherwise(1.0)
-    return rows.join(F.broadcast(sums.select("feature", factor.alias("factor"))), "feature").select("iid", "feature", (F.col("x") * F.col("factor")).alias("x"), "factor")
-
-
-def lasso(rows: DataFrame, people: DataFrame, features: list[str], free: list[str] = (), lambdas: int = 8, folds: int = 3) -> DataFrame:
-    """(feature, coefs) of an L1 logistic model; the penalty with the least cross-validated log-loss, folds by a hash of the id.
-
-    Covariates (`free`) are as good as unpenalised. One pass over the data for each fit; all fits of a fold share the cached vectors.
-    """
-    scaled = standardised(rows, people, features, list(free))
-    factors = {r["feature"]: r["factor"] for r in scaled.groupBy("feature").agg(F.max("factor").alias("factor")).collect()}
-    data = assemble(scaled, people, features).withColumn("fold", F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(folds))).persist()
-    grid = np.geomspace(0.1, 0.0005, lambdas)
-    fit = lambda frame, reg: LogisticRegression(regParam=float(reg), elasticNetParam=1.0, standardization=False, maxIter=50).fit(frame)
-
-    def loss(k: int, j: int) -> float:
-        scored = fit(data.filter(F.col("fold") != k), grid[j]).transform(data.filter(F.col("fold") == k))
-        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
-        return scored.agg(F.sum(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).head()[0] or 0.0
-
-    losses = np.array(side_by_side([(lambda k=k, j=j: loss(k, j)) for j in range(lambdas) for k in range(folds)])).reshape(lambdas, folds).sum(1)
-    model = fit(data, grid[int(losses.argmin())])
-    data.unpersist()
-    out = [(f, float(c * factors.get(f, 1.0))) for f, c in zip(features, model.coefficients.toArray(), strict=True)]
-    return data.sparkSession.createDataFrame([*out, ("(Intercept)", float(model.intercept))], "feature string, coefs double")
-
-
 def logistic(rows: DataFrame, people: DataFrame, features: list[str]):
     """Plain logistic regression without a penalty."""
     return LogisticRegression(regParam=0.0, maxIter=50).fit(assemble(rows, people, features))

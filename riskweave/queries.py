@@ -812,12 +812,6 @@ def risk_protective_ratio(v):
 _TOP = [str(k) for k in range(64)]
 
 
-@query()
-def lasso_logistic(v):
-    covar = v.covar.select("iid", F.lit("age").alias("feature"), F.col("age").alias("x")).unionByName(v.covar.select("iid", F.lit("sex").alias("feature"), F.col("sex").alias("x")))
-    return M.lasso(v.main_rows.unionByName(covar), v.participant, [*_TOP, "age", "sex"], ["age", "sex"], lambdas=3, folds=5)
-
-
 @query("""
     WITH s AS (SELECT k, CAST(coalesce(sum(CASE WHEN phenotype = 1 THEN dosage END), 0) AS DOUBLE) AS x0, CAST(coalesce(sum(CASE WHEN phenotype = 2 THEN dosage END), 0) AS DOUBLE) AS x1
         FROM (SELECT unnest(range(64)) AS k) f LEFT JOIN genotype ON snp = k LEFT JOIN participant USING (iid) GROUP BY k),
@@ -926,4 +920,4 @@ def tree_shap_rank(v):
     return S.rank_shap(tree_shap(model, data, _TOP))
 
 
-from . import queries_files, queries_joins  # noqa: E402, F401  they register more
+from . import queries_files, queries_joins, queries_models  # noqa: E402, F401  they register more
