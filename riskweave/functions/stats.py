@@ -65,6 +65,17 @@ def t_sf2(t: float, df: float) -> float:
     return beta_i(df / 2, 0.5, df / (df + t * t))
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The value of Student's t below which a share p lies, p above one half, by halving."""
+    low, high = 0.0, 1.0
+    while t_sf2(high, df) > 2 * (1 - p):
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_sf2(middle, df) > 2 * (1 - p) else (low, middle)
+    return (low + high) / 2
+
+
 def log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 

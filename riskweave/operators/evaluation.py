@@ -242,26 +242,6 @@ def pseudo_r2(probs: DataFrame, by: str = "model") -> DataFrame:
     return s.select(by, (1 - F.col("ll") / F.col("ll0")).alias("mcfadden"), cox.alias("cox_snell"), (cox / (1 - F.exp(2 * F.col("ll0") / n))).alias("nagelkerke"), "tjur")
 
 
-def bootstrap(rows: DataFrame, statistic, replicates: int, by: str = "model", seed: int = 1) -> DataFrame:
-    """Percentile interval and error of a statistic. Each row's weight in a replicate is Poisson(1), by a hash of both.
-
-    statistic(weight) is an aggregate column that uses the weight. Weights are partial sums before the shuffle.
-    """
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64("iid", by, "replicate", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cumulative, weight = 0.0, F.lit(0)
-    for k in range(8):
-        cumulative += math.exp(-1) / math.factorial(k)
-        weight = weight + F.when(u >= cumulative, 1).otherwise(0)
-    each = spread.withColumn("w", weight.cast("double")).groupBy(by, "replicate").agg(statistic(F.col("w")).alias("value"))
-    return each.groupBy(by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("se"), F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"))
-
-
-def tjur(weight: Column) -> Column:
-    mean = lambda k: F.sum(F.when(F.col("y") == k, weight * F.col("p"))) / F.sum(F.when(F.col("y") == k, weight))
-    return mean(1) - mean(0)
-
-
 def fisher_p(tables: DataFrame) -> DataFrame:
     return with_p(tables, "fisher_p", ["a", "b", "c", "d"], lambda *v: stats.fisher_exact(*map(int, v)))
 
@@ -274,24 +254,27 @@ def overlap_p(tables: DataFrame) -> DataFrame:
     return with_p(rated, "overlap_p", ["a", "b", "c", "d"], lambda a, b, c, d: stats.hypergeom_cdf(int(a), int(a + b + c + d), int(a + c), int(a + b)))
 
 
-def nagelkerke(weight: Column) -> Column:
-    """For bootstrap(): weighted Nagelkerke R-squared."""
-    q = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
-    n = F.sum(weight)
-    ll = F.sum(weight * F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q)))
-    r = F.sum(weight * F.col("y")) / n
-    ll0 = n * (r * F.log(r) + (1 - r) * F.log(1 - r))
-    return (1 - F.exp(2 * (ll0 - ll) / n)) / (1 - F.exp(2 * ll0 / n))
-
+def tjur_gaps(probs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(model1, model2, tjur1, tjur2, gap): Tjur's R-squared of two models, from one pass over the probabilities."""
+    per = probs.groupBy("model").agg((F.avg(F.when(F.col("y") == 1, F.col("p"))) - F.avg(F.when(F.col("y") == 0, F.col("p")))).alias("tjur"))
+    wide = per.agg(F.map_from_entries(F.collect_list(F.struct("model", "tjur"))).alias("t"))  # a row for each model
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("model1"), F.lit(b).alias("model2"), F.col("t")[a].alias("tjur1"), F.col("t")[b].alias("tjur2")) for a, b in pairs))).alias("r")
+    return wide.select(each).select("r.*").withColumn("gap", F.col("tjur1") - F.col("tjur2"))
 
-def discrimination_gain(first: str, second: str):
-    """For bootstrap() over rows with two probabilities: the integrated discrimination of second over first."""
 
-    def statistic(weight: Column) -> Column:
-        mean = lambda p, k: F.sum(F.when(F.col("y") == k, weight * F.col(p))) / F.sum(F.when(F.col("y") == k, weight))
-        return (mean(second, 1) - mean(second, 0)) - (mean(first, 1) - mean(first, 0))
+def nri_by_measure(measures: DataFrame, flags: DataFrame, by: str, value: str, quantile: float = 0.8) -> DataFrame:
+    """For each measure, net reclassification from its own flag (above the quantile) to another's. flags: (iid, phenotype, high)."""
+    from .binning import quantiles
 
-    return statistic
+    cuts = quantiles(measures, value, [quantile], [by]).select(by, F.col("q")[0].alias("cut"))  # a row for each measure
+    rows = measures.join(F.broadcast(cuts), by).join(flags, "iid")
+    case, flag, high = F.col("phenotype") == 2, F.col(value) > F.col("cut"), F.col("high")
+    g = rows.groupBy(by).agg(
+        count_if(case & high & ~flag).alias("case_up"), count_if(case & flag & ~high).alias("case_down"), count_if(~case & high & ~flag).alias("control_up"), count_if(~case & flag & ~high).alias("control_down"),
+        count_if(case).alias("n1"), count_if(~case).alias("n0"),
+    )
+    cases, controls = ratio(F.col("case_up") - F.col("case_down"), F.col("n1")), ratio(F.col("control_down") - F.col("control_up"), F.col("n0"))
+    return g.select(by, "case_up", "case_down", "control_up", "control_down", cases.alias("nri_cases"), controls.alias("nri_controls"), (cases + controls).alias("nri"))
 
 
 def any_of(flags: DataFrame, models: list[str], name: str) -> DataFrame:

@@ -32,7 +32,7 @@ def vectors(rows: DataFrame, people: DataFrame, features: list[str], folds: int)
     numbers = F.broadcast(spark.createDataFrame(list(enumerate(features)), "at int, feature string"))  # MOST_FEATURES rows at most
     each = rows.join(numbers, "feature").groupBy("iid", "at").agg(F.sum(F.col("x").cast("double")).alias("x"))
     packed = each.groupBy("iid").agg(F.collect_list(F.struct("at", "x")).alias("v"))
-    fold = F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(folds)).cast("int")
+    fold = F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(max(folds, 1))).cast("int")
     return people.select("iid", (F.col("phenotype") - 1).cast("double").alias("y"), fold.alias("fold")).join(packed, "iid", "left").select("iid", "y", "fold", F.coalesce("v.at", F.array().cast("array<int>")).alias("at"), F.coalesce("v.x", F.array().cast("array<double>")).alias("x"))
 
 

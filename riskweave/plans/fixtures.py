@@ -156,7 +156,10 @@ def with_views(sql: str, engine: str = "duckdb", known: frozenset = frozenset())
     if not views:
         return sql
     body = sql.strip()
-    return f"WITH {views},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body[: len(start)].upper() == start:
+            return f"{start}{views},\n{body[len(start) :]}"
+    return f"WITH {views}\n{body}"
 
 
 def frame(spark: SparkSession, sf_dir: str, view: str, kept: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from .operators import features as X
 from .operators import genomics as G
 from .operators import models as M
 from .operators import prs as R
+from .operators import resampling as Z
 from .operators import selection as S
 from .plans.fixtures import frame, with_views
 from .sources.shared import written
@@ -616,7 +617,7 @@ def pseudo_r2(v):
 
 @query()
 def bootstrap_ci(v):
-    return V.bootstrap(v.probs, V.tjur, 100)
+    return Z.bootstrap(v.probs, Z.tjur(), 1000)
 
 
 # Selection, linkage, epistasis.
@@ -906,7 +907,7 @@ def coefficient_gap(v):
 
 @query()
 def nagelkerke_bootstrap(v):
-    return V.bootstrap(v.probs, V.nagelkerke, 50)
+    return Z.bootstrap(v.probs, Z.nagelkerke(), 1000)
 
 
 @query()

@@ -16,6 +16,7 @@ from .operators import genomics as G
 from .operators import models as M
 from .operators import plots as D
 from .operators import prs as R
+from .operators import resampling as Z
 from .operators import selection as S
 from .queries import PAIRS, SQL, _binned, _bins, _flags, chi2_independence, delong_pairs, kappa_jaccard_discordance, mcnemar_pairs, query, rounded
 from .sources.shared import folder
@@ -355,14 +356,6 @@ def boosted_gains(v):
     return M.boosted_grid(v.main_rows, v.participant, _FEATURES)
 
 
-@query()
-def covariate_logistic(v):
-    """Plain logistic regression on age and sex."""
-    rows = v.covar.select("iid", "age", "sex").unpivot("iid", ["age", "sex"], "feature", "x")
-    model = M.logistic(rows, v.participant, ["age", "sex"])
-    return v.spark.createDataFrame([("age", float(model.coefficients[0])), ("sex", float(model.coefficients[1])), ("(Intercept)", float(model.intercept))], "feature string, coefs double")
-
-
 @query("""
     WITH s AS (SELECT k, CAST(coalesce(sum(CASE WHEN phenotype = 1 THEN dosage END), 0) AS DOUBLE) AS x0 FROM ks LEFT JOIN genotype ON snp = k LEFT JOIN participant USING (iid) GROUP BY k),
     b AS (SELECT CAST(k AS VARCHAR) AS feature, x0, (row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1) // 20 AS batch FROM s)
@@ -378,7 +371,7 @@ def fitted_batches(v):
 def discrimination_gain(v):
     """Integrated discrimination of the joint score over the main one, with bootstrap bounds."""
     wide = v.probs.groupBy("iid", "y").pivot("model", ["main", "epi+main"]).agg(F.first("p")).toDF("iid", "y", "p1", "p2").withColumn("model", F.lit("main"))
-    return V.bootstrap(wide, V.discrimination_gain("p1", "p2"), 20)
+    return Z.bootstrap(wide, Z.discrimination_gain("p1", "p2"), 1000)
 
 
 @query("SELECT * FROM (" + SQL["subtype_enrichment"].replace("sum(effect) AS weight", "CAST(count(*) AS DOUBLE) AS weight").replace("THEN effect ELSE 0 END) AS risk_weight", "THEN 1 ELSE 0 END) AS risk_weight").replace("THEN 0 ELSE effect END) AS protective_weight", "THEN 0 ELSE 1 END) AS protective_weight") + ")")

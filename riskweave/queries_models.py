@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import binning as B
+from .operators import evaluation as V
 from .operators import models as M
 from .operators import penalised as L
-from .queries import query
+from .operators import resampling as Z
+from .queries import MODELS, PAIRS, _binned, _bins, query, rounded
 from .sources.shared import written
 
 # Penalised association: sets of features, covariates free.
@@ -77,3 +80,150 @@ def penalised_batches(v):
     sets = {f"batch {k // 20}": [*main[k : k + 20], *parts["covariate"]] for k in range(0, len(main), 20)}
     fits = L.fit_paths(rows, v.participant, sets, parts["covariate"], lambdas=4)
     return _optimal(rows, v.participant, fits, parts["covariate"])
+
+
+# Refits and resampling.
+
+_SCORED = "SELECT iid, model, phenotype - 1 AS y, CAST(prs100 AS DOUBLE) / 100 AS x FROM prs"
+
+
+def _scored(v) -> DataFrame:
+    return v.prs.select("iid", "model", (F.col("phenotype") - 1).alias("y"), (F.col("prs100").cast("double") / 100).alias("x"))
+
+
+@query(f"""
+    WITH RECURSIVE sc AS ({_SCORED}), h AS (SELECT model, x, CAST(y AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM sc GROUP BY 1, 2, 3),
+    s AS (
+        SELECT 0 AS i, model, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM h GROUP BY model
+        UNION ALL SELECT i + 1, model, a + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), b + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01) FROM (
+            SELECT i, model, any_value(a) AS a, any_value(b) AS b, sum(n * (y - p)) AS g0, sum(n * x * (y - p)) AS g1, sum(n * p * (1 - p)) AS h00, sum(n * x * p * (1 - p)) AS h01, sum(n * x * x * p * (1 - p)) AS h11
+            FROM (SELECT s.*, x, y, n, 1 / (1 + exp(-(a + b * x))) AS p FROM s JOIN h USING (model) WHERE i < 12) GROUP BY i, model)),
+    f AS (SELECT model, y, n, 1 / (1 + exp(-(a + b * x))) AS p FROM h JOIN s USING (model) WHERE i = 12),
+    t AS (SELECT model, sum(n) AS n, sum(n * y) AS c, sum(n * CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS ll, sum(n * y * p) / sum(n * y) - sum(n * (1 - y) * p) / sum(n * (1 - y)) AS tjur FROM f GROUP BY model),
+    z AS (SELECT *, c * ln(c / n) + (n - c) * ln(1 - c / n) AS ll0 FROM t)
+    SELECT model, CAST(n AS BIGINT) AS n, round((1 - exp(2 * (ll0 - ll) / n)) / (1 - exp(2 * ll0 / n)), 7) AS nagelkerke, round(tjur, 7) AS tjur FROM z""")
+def refit_r2(v):
+    """Nagelkerke's and Tjur's R-squared of a logistic model on each score."""
+    found = Z.refit_r2(_scored(v), ["x"], replicates=0)
+    return found.select("model", "n", F.round("nagelkerke", 7).alias("nagelkerke"), F.round("tjur", 7).alias("tjur"))
+
+
+@query()
+def nagelkerke_bca(v):
+    """The same with bias-corrected and accelerated bounds: 2000 replicates, each fitted anew."""
+    return Z.refit_r2(_scored(v), ["x"])
+
+
+@query()
+def bin_prevalence_bootstrap(v):
+    """Prevalence in 20 groups of 100 bins, bounds from 10,000 replicates."""
+    return Z.bootstrap_prevalence(_binned(v, 100), 20, 100, 10_000)
+
+
+def _with_composite(v) -> DataFrame:
+    """Ten bins of each score, and those of the composite score."""
+    binned = _binned(v, 10).select("iid", "phenotype", "model", "bin")
+    flagged = _binned(v, 10).withColumn("case_bin", F.col("bin") > 5).withColumn("high_risk", F.col("bin") > 8)
+    return binned.unionByName(B.composite(flagged, ["main", "epi", "cardio"], "prs100", 9).select("iid", "phenotype", F.lit("composite").alias("model"), "bin"))
+
+
+@query()
+def mean_prevalence_bootstrap(v):
+    """Mean over bins of their prevalence, also of the composite score, bounds by bootstrap of the bins and by Student's t."""
+    return Z.mean_prevalence(_with_composite(v))
+
+
+# The 0.975 quantile of Student's t for 1 to 9 degrees of freedom.
+_T = "[12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163]"
+
+
+@query(f"""
+    WITH {_bins(10)}, ordered AS (SELECT *, bin > 8 AS high_risk, bin > 5 AS case_bin, CASE model WHEN 'main' THEN 1 WHEN 'epi' THEN 2 WHEN 'cardio' THEN 3 END AS place FROM binned WHERE model IN ('main', 'epi', 'cardio')),
+    up AS (SELECT iid, bool_or(high_risk) OR avg(CAST(case_bin AS INTEGER)) > 0.6 AS up FROM ordered GROUP BY iid),
+    pick AS (SELECT o.*, row_number() OVER (PARTITION BY o.iid ORDER BY CASE WHEN u.up THEN -bin ELSE bin END, place) AS rn FROM ordered o JOIN up u ON u.iid = o.iid),
+    every AS (SELECT model, bin, phenotype FROM binned UNION ALL SELECT 'composite', bin, phenotype FROM pick WHERE rn = 1),
+    rates AS (SELECT model, bin, CAST(sum(phenotype - 1) AS DOUBLE) / count(*) AS rate FROM every GROUP BY model, bin),
+    m AS (SELECT model, count(*) AS bins, avg(rate) AS mean_rate, stddev_samp(rate) / sqrt(count(*)) AS sem FROM rates GROUP BY model)
+    SELECT model, bins, round(mean_rate, 6) AS mean_rate, round(mean_rate - {_T}[bins - 1] * sem, 6) AS t_low, round(mean_rate + {_T}[bins - 1] * sem, 6) AS t_high FROM m""")
+def mean_prevalence_t(v):
+    return rounded(Z.mean_prevalence(_with_composite(v), replicates=100).drop("boot_low", "boot_high"), "mean_rate", "t_low", "t_high")
+
+
+# Comparison with a fitted model of the covariates.
+
+_COVARIATE_FIT = """
+    c AS (SELECT age - 50 AS x, sex AS z, CAST(phenotype - 1 AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM participant JOIN covar USING (iid) GROUP BY 1, 2, 3),
+    fit AS (
+        SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS d
+        UNION ALL SELECT i + 1, a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det, b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+            d + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+        FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+            SELECT i, any_value(a) AS a, any_value(b) AS b, any_value(d) AS d, sum(n * (y - p)) AS g0, sum(n * x * (y - p)) AS g1, sum(n * z * (y - p)) AS g2, sum(w) AS h00, sum(w * x) AS h01, sum(w * z) AS h02, sum(w * x * x) AS h11, sum(w * x * z) AS h12, sum(w * z * z) AS h22
+            FROM (SELECT fit.*, x, z, y, n, 1 / (1 + exp(-(a + b * x + d * z))) AS p, n * p * (1 - p) AS w FROM fit, c WHERE i < 12) GROUP BY i))),
+    beta AS (SELECT a - 50 * b AS a, b, d FROM fit WHERE i = 12)"""
+
+
+def _covariate_scores(v) -> DataFrame:
+    """(iid, phenotype, model, prs100): the linear predictor of a logistic model on age and sex, to six decimals."""
+    rows = v.covar.select("iid", "age", "sex").unpivot("iid", ["age", "sex"], "feature", "x")
+    fits = L.fit_paths(rows, v.participant, {"covariate": ["age", "sex"]}, ["age", "sex"], folds=0, tolerance=1e-12)
+    b = {r["feature"]: r["coefs"] for r in fits.coefficients.collect()}
+    value = F.round(F.lit(b[L.INTERCEPT]) + F.lit(b["age"]) * F.col("age") + F.lit(b["sex"]) * F.col("sex"), 6)
+    return v.covar.join(v.participant, "iid").select("iid", "phenotype", F.lit("covariate").alias("model"), value.alias("score"))
+
+
+_AGAINST = [("covariate", m) for m in MODELS]
+_FITTED_SCORES = "SELECT iid, model, phenotype - 1 AS y, CAST(prs100 AS DOUBLE) AS v FROM prs UNION ALL SELECT iid, 'covariate', phenotype - 1, round(a + b * age + d * sex, 6) FROM participant JOIN covar USING (iid), beta"
+
+
+@query(f"""
+    WITH RECURSIVE {_COVARIATE_FIT}, p AS ({_FITTED_SCORES}),
+    r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY v) + (count(*) OVER (PARTITION BY model, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model, y ORDER BY v) + (count(*) OVER (PARTITION BY model, y, v) - 1) / 2.0 AS ro,
+        CAST(count(*) FILTER (WHERE y = 1) OVER (PARTITION BY model) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE y = 0) OVER (PARTITION BY model) AS DOUBLE) AS n0 FROM p),
+    pl AS (SELECT iid, model, y, CASE WHEN y = 1 THEN (ra - ro) / n0 ELSE 1 - (ra - ro) / n1 END AS s FROM r),
+    q AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _AGAINST)}) AS t(model1, model2)),
+    g AS (SELECT q.model1, q.model2, a.y, avg(a.s) AS m1, avg(b.s) AS m2, var_samp(a.s) AS s1, var_samp(b.s) AS s2, covar_samp(a.s, b.s) AS cv, count(*) AS n FROM q JOIN pl a ON a.model = q.model1 JOIN pl b ON b.model = q.model2 AND b.iid = a.iid GROUP BY 1, 2, 3),
+    d AS (SELECT model1, model2, max(m1) FILTER (WHERE y = 1) AS auc1, max(m2) FILTER (WHERE y = 1) AS auc2, sum(s1 / n) AS var1, sum(s2 / n) AS var2, sum(cv / n) AS cov FROM g GROUP BY 1, 2)
+    SELECT model1, model2, round(auc1, 6) AS auc1, round(auc2, 6) AS auc2, round((auc1 - auc2) / sqrt(var1 + var2 - 2 * cov), 6) AS z FROM d""")
+def delong_against_covariates(v):
+    """Every score against a fitted model of age and sex."""
+    rows = v.prs.select("iid", "phenotype", "model", F.col("prs100").cast("double").alias("score")).unionByName(_covariate_scores(v)).withColumn("y", F.col("phenotype") - 1)
+    return rounded(V.delong(rows, "score", _AGAINST).select("model1", "model2", "auc1", "auc2", "z"), "auc1", "auc2", "z")
+
+
+@query(f"""
+    WITH RECURSIVE {_COVARIATE_FIT} SELECT feature, round(coefs, 6) AS coefs FROM (SELECT 'age' AS feature, b AS coefs FROM beta UNION ALL SELECT 'sex', d FROM beta UNION ALL SELECT '(Intercept)', a FROM beta)""")
+def covariate_logistic(v):
+    """Plain logistic regression on age and sex."""
+    rows = v.covar.select("iid", "age", "sex").unpivot("iid", ["age", "sex"], "feature", "x")
+    fits = L.fit_paths(rows, v.participant, {"covariate": ["age", "sex"]}, ["age", "sex"], folds=0, tolerance=1e-12)
+    return rounded(fits.coefficients.select("feature", "coefs"), "coefs")
+
+
+# Tjur's difference of two models of one set of people.
+
+
+@query(f"""
+    WITH t AS (SELECT model, avg(p) FILTER (WHERE y = 1) - avg(p) FILTER (WHERE y = 0) AS tjur FROM probs GROUP BY model),
+    c AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PAIRS)}) AS t(model1, model2))
+    SELECT model1, model2, round(a.tjur, 6) AS tjur1, round(b.tjur, 6) AS tjur2, round(a.tjur - b.tjur, 6) AS gap FROM c JOIN t a ON a.model = model1 JOIN t b ON b.model = model2""")
+def tjur_differences(v):
+    """Tjur's R-squared of each pair of models and its difference."""
+    return rounded(V.tjur_gaps(v.probs, PAIRS), "tjur1", "tjur2", "gap")
+
+
+# Reclassification by clinical measure.
+
+
+@query(f"""
+    WITH {_bins(10)}, cut AS (SELECT env_feature, quantile_cont(value, 0.8) AS cut FROM env GROUP BY env_feature),
+    f AS (SELECT e.env_feature, e.iid, phenotype, e.value > cut AS flag, b.bin > 8 AS high FROM env e JOIN cut USING (env_feature) JOIN binned b ON b.iid = e.iid AND b.model = 'epi+main'),
+    t AS (SELECT env_feature, CAST(count(*) FILTER (WHERE phenotype = 2 AND high AND NOT flag) AS BIGINT) AS case_up, CAST(count(*) FILTER (WHERE phenotype = 2 AND flag AND NOT high) AS BIGINT) AS case_down,
+        CAST(count(*) FILTER (WHERE phenotype = 1 AND high AND NOT flag) AS BIGINT) AS control_up, CAST(count(*) FILTER (WHERE phenotype = 1 AND flag AND NOT high) AS BIGINT) AS control_down,
+        CAST(count(*) FILTER (WHERE phenotype = 2) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE phenotype = 1) AS DOUBLE) AS n0 FROM f GROUP BY env_feature)
+    SELECT env_feature, case_up, case_down, control_up, control_down, round((case_up - case_down) / nullif(n1, 0), 6) AS nri_cases, round((control_down - control_up) / nullif(n0, 0), 6) AS nri_controls,
+        round((case_up - case_down) / nullif(n1, 0) + (control_down - control_up) / nullif(n0, 0), 6) AS nri FROM t""")
+def nri_by_measure(v):
+    """From a flag on each measure's highest fifth to the joint score's: who moves, and the net reclassification."""
+    flags = _binned(v, 10).filter("model = 'epi+main'").select("iid", "phenotype", (F.col("bin") > 8).alias("high"))
+    return rounded(V.nri_by_measure(v.env, flags, "env_feature", "value", 0.8), "nri_cases", "nri_controls", "nri")
