@@ -12,7 +12,7 @@ from threading import Timer
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -53,30 +53,6 @@ def complement_bayes(rows: DataFrame, people: DataFrame, features: list[str]) ->
     return rows.sparkSession.createDataFrame([(f, float(theta[0, i]), float(theta[1, i])) for i, f in enumerate(features)], "feature string, lp0 double, lp1 double")
 
 
-def boosted(rows: DataFrame, people: DataFrame, features: list[str], rates: tuple[float, ...] = (0.05, 0.1, 0.3)):
-    """Gradient-boosted trees; the learning rate with the best cross-validated AUC."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    gbt = GBTClassifier(maxIter=10, maxDepth=3, seed=1)
-    grid = ParamGridBuilder().addGrid(gbt.stepSize, list(rates)).build()
-    return CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1, parallelism=2).fit(assemble(rows, people, features)).bestModel
-
-
-def boosted_grid(rows: DataFrame, people: DataFrame, features: list[str], rates: tuple[float, ...] = (0.05, 0.1, 0.3), depths: tuple[int, ...] = (2, 3), gate: float = 0.51) -> DataFrame:
-    """(rate, depth, auc, passes): cross-validated AUC of boosted trees over a grid; models at or below the gate aren't ranked further."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    gbt = GBTClassifier(maxIter=5, seed=1)
-    grid = ParamGridBuilder().addGrid(gbt.stepSize, list(rates)).addGrid(gbt.maxDepth, list(depths)).build()
-    data = assemble(rows, people, features).persist()
-    fitted = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1, parallelism=4).fit(data)
-    data.unpersist()
-    found = [(float(g[gbt.stepSize]), int(g[gbt.maxDepth]), float(auc), bool(auc > gate)) for g, auc in zip(grid, fitted.avgMetrics, strict=True)]
-    return rows.sparkSession.createDataFrame(found, "rate double, depth int, auc double, passes boolean")
-
-
 def forest_importance(rows: DataFrame, labels: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
     """(label, feature, importance) of a random forest for each label; labels: (iid, label, y). Vectors are assembled once for all."""
     names = sorted(r["label"] for r in labels.select("label").distinct().collect())

@@ -350,12 +350,6 @@ def auc_by_measure(v):
 _FEATURES = [str(k) for k in range(64)]
 
 
-@query()
-def boosted_gains(v):
-    """Learning rates with their cross-validated AUC, and whether they pass the gate."""
-    return M.boosted_grid(v.main_rows, v.participant, _FEATURES)
-
-
 @query("""
     WITH s AS (SELECT k, CAST(coalesce(sum(CASE WHEN phenotype = 1 THEN dosage END), 0) AS DOUBLE) AS x0 FROM ks LEFT JOIN genotype ON snp = k LEFT JOIN participant USING (iid) GROUP BY k),
     b AS (SELECT CAST(k AS VARCHAR) AS feature, x0, (row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1) // 20 AS batch FROM s)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import binning as B
+from .operators import boosting as H
 from .operators import evaluation as V
 from .operators import models as M
 from .operators import penalised as L
@@ -149,6 +150,41 @@ def mean_prevalence_t(v):
     return rounded(Z.mean_prevalence(_with_composite(v), replicates=100).drop("boot_low", "boot_high"), "mean_rate", "t_low", "t_high")
 
 
+# Boosting.
+
+_SNPS = [str(k) for k in range(64)]
+
+
+@query()
+def boosted_gains(v):
+    """Histogram boosting, three folds: four learning rates, three penalties on leaves, three numbers of iterations; whether the AUC passes the gate."""
+    settings = [H.Setting(rate, l2) for rate in (0.001, 0.01, 0.1, 1.0) for l2 in (0.0, 0.1, 0.5)]
+    _, found = H.fit_boosted(v.main_rows, v.participant, _SNPS, settings, [4, 8, 12])
+    return found.withColumn("passes", F.col("auc") > 0.51)
+
+
+@query()
+def boosted_columns(v):
+    """A learning-rate grid whose trees use four fifths of the features and leaves a penalty of one; fits stop early."""
+    settings = [H.Setting(rate, 1.0, columns=0.8, patience=5) for rate in (0.001, 0.01, 0.1, 1.0)]
+    _, found = H.fit_boosted(v.feature_rows.withColumn("x", F.col("x").cast("double")), v.participant, [*_SNPS, *(r["feature"] for r in v.pairs.select("feature").collect())], settings, [10])
+    return found.withColumn("passes", F.col("auc") > 0.51)
+
+
+@query("""
+    WITH g AS (SELECT k, iid, phenotype - 1 AS y, coalesce(dosage, 0) AS x FROM ks CROSS JOIN participant LEFT JOIN genotype USING (iid) WHERE snp = k OR snp IS NULL
+        UNION ALL SELECT k, p.iid, p.phenotype - 1, 0 FROM ks CROSS JOIN participant p WHERE p.iid IN (SELECT iid FROM genotype) AND NOT EXISTS (SELECT 1 FROM genotype z WHERE z.iid = p.iid AND z.snp = k)),
+    m AS (SELECT avg(CAST(phenotype - 1 AS DOUBLE)) AS p, CAST(count(*) AS DOUBLE) AS n FROM participant),
+    h AS (SELECT k, x, CAST(count(*) AS DOUBLE) AS n, sum(p - y) AS g, count(*) * any_value(p * (1 - p)) AS c FROM g, m GROUP BY k, x),
+    t AS (SELECT k, c.cut, sum(n) FILTER (WHERE x <= cut) AS nl, sum(n) FILTER (WHERE x > cut) AS nr, sum(g) FILTER (WHERE x <= cut) AS gl, sum(g) FILTER (WHERE x > cut) AS gr, sum(c) FILTER (WHERE x <= cut) AS cl, sum(c) FILTER (WHERE x > cut) AS cr, sum(g) AS gt, sum(c) AS ct
+        FROM h, (SELECT unnest([0, 1]) AS cut) c GROUP BY k, c.cut),
+    s AS (SELECT k, cut, gl * gl / (cl + 0.5) + gr * gr / (cr + 0.5) - gt * gt / (ct + 0.5) AS gain FROM t WHERE nl >= 20 AND nr >= 20)
+    SELECT CAST(ks.k AS VARCHAR) AS feature, round(max(gain), 6) AS gain FROM ks LEFT JOIN s USING (k) GROUP BY ks.k""")
+def boosting_root_gains(v):
+    """The best first split of each variant."""
+    return rounded(H.root_gains(v.main_rows, v.participant, _SNPS, H.Setting(l2=0.5)).select("feature", "gain"), "gain")
+
+
 # Comparison with a fitted model of the covariates.
 
 _COVARIATE_FIT = """

@@ -46,4 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read back; a lost executor costs its tasks only. The files go when the driver ends."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
