@@ -25,9 +25,13 @@ OWNED = 4_000_000
 BROADCAST_ROWS = 500_000
 
 
-def rice_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Golomb code with a power of two as divisor: (k, unary plane, remainder plane) of sorted distinct integers."""
-    gaps = np.diff(values, prepend=0).astype(np.uint64)
+def rice_encode(values: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """Golomb code with a power of two as divisor: (first value, k, unary plane, remainder plane) of sorted distinct integers.
+
+    Gaps are counted from the first value: where an owner's slice begins has no part in the divisor.
+    """
+    base = int(values[0]) if len(values) else 0
+    gaps = np.diff(values, prepend=base).astype(np.uint64)
     k = max(0, int(np.log2(max(1.0, float(gaps.mean() * 0.69))))) if len(gaps) else 0
     quotients = (gaps >> np.uint64(k)).astype(np.int64)
     ends = np.cumsum(quotients + 1) - 1
@@ -35,15 +39,15 @@ def rice_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
     unary[ends] = 1
     shifts = np.arange(k - 1, -1, -1, dtype=np.uint64)
     rest = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-    return k, np.packbits(unary).tobytes(), np.packbits(rest.ravel()).tobytes()
+    return base, k, np.packbits(unary).tobytes(), np.packbits(rest.ravel()).tobytes()
 
 
-def rice_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
+def rice_decode(n: int, base: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     ends = np.flatnonzero(np.unpackbits(np.frombuffer(unary, np.uint8)))[:n]
     quotients = np.diff(ends, prepend=-1) - 1
     bits = np.unpackbits(np.frombuffer(rest, np.uint8), count=n * k).reshape(n, k) if k else np.zeros((n, 0), np.uint8)
     remainders = bits.astype(np.int64) @ (np.int64(1) << np.arange(k - 1, -1, -1, dtype=np.int64))
-    return np.cumsum((quotients << k) + remainders)
+    return base + np.cumsum((quotients << k) + remainders)
 
 
 def _bitmap(flags: np.ndarray) -> bytes:
@@ -68,13 +72,13 @@ def _sender(owners: int):
             if b > a:
                 rows.append((o, me, int(b - a), *rice_encode(values[a:b]), _bitmap(counts[a:b] > 1)))
         if rows:
-            yield pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "twice"])
+            yield pd.DataFrame(rows, columns=["owner", "sender", "n", "base", "k", "unary", "rest", "twice"])
 
     return send
 
 
 def _judge(messages: pd.DataFrame) -> pd.DataFrame:
-    sent = [rice_decode(n, k, u, r) for n, k, u, r in messages[["n", "k", "unary", "rest"]].itertuples(index=False)]
+    sent = [rice_decode(*m) for m in messages[["n", "base", "k", "unary", "rest"]].itertuples(index=False)]
     twice = np.concatenate([v[_flags(t, len(v))] for v, t in zip(sent, messages["twice"], strict=True)])
     values, counts = np.unique(np.concatenate(sent), return_counts=True)
     suspects = np.union1d(values[counts > 1], twice)
@@ -83,14 +87,14 @@ def _judge(messages: pd.DataFrame) -> pd.DataFrame:
 
 def _read_answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for n, k, u, r, b in f[["n", "k", "unary", "rest", "bitmap"]].itertuples(index=False):
-            yield pd.DataFrame({"fp": rice_decode(n, k, u, r)[_flags(b, n)]})
+        for *m, b in f[["n", "base", "k", "unary", "rest", "bitmap"]].itertuples(index=False):
+            yield pd.DataFrame({"fp": rice_decode(*m)[_flags(b, m[0])]})
 
 
 def suspect_fingerprints(texts: DataFrame, owners: int | None = None) -> DataFrame:
     """fp: fingerprints (column fp of texts) that more than one row has."""
     owners = owners or max(width(texts.sparkSession), texts.count() // OWNED)
-    kinds = "owner int, sender int, n int, k int, unary binary, rest binary, twice binary"
+    kinds = "owner int, sender int, n int, base long, k int, unary binary, rest binary, twice binary"
     messages = materialise(texts.select("fp").mapInPandas(_sender(owners), kinds), "fingerprints")
     answers = messages.groupBy("owner").applyInPandas(_judge, "owner int, sender int, bitmap binary")
     found = materialise(messages.join(answers, ["owner", "sender"]).mapInPandas(_read_answers, "fp long").distinct(), "suspects")

@@ -67,11 +67,11 @@ def _messages(chunk: int, prints: list[np.ndarray], owners: int) -> pd.DataFrame
     values, counts = np.unique(np.concatenate([np.empty(0, np.int64), *each]), return_counts=True)
     edges = _edges(values, owners, BITS)
     rows = [(o, chunk, int(b - a), *rice_encode(values[a:b]), _bitmap(counts[a:b] > 1)) for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-    return pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "twice"])
+    return pd.DataFrame(rows, columns=["owner", "sender", "n", "base", "k", "unary", "rest", "twice"])
 
 
 def _suspects(answers: pd.DataFrame) -> np.ndarray:
-    got = [rice_decode(n, k, u, r)[_flags(b, n)] for n, k, u, r, b in answers[["n", "k", "unary", "rest", "bitmap"]].itertuples(index=False)]
+    got = [rice_decode(*m)[_flags(b, m[0])] for *m, b in answers[["n", "base", "k", "unary", "rest", "bitmap"]].itertuples(index=False)]
     return np.sort(np.concatenate([np.empty(0, np.int64), *got]))
 
 
@@ -144,14 +144,14 @@ def _last_level(window: int, owners: int):
         for o, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if b > a:
                 rows.append((o, int(docs["chunk"].iloc[0]), int(b - a), *rice_encode(values[a:b]), more[a:b].tobytes(), _zip(least[a:b])))
-        return pd.DataFrame(rows, columns=["owner", "sender", "n", "k", "unary", "rest", "more", "least"])
+        return pd.DataFrame(rows, columns=["owner", "sender", "n", "base", "k", "unary", "rest", "more", "least"])
 
     return send
 
 
 def _settle(messages: pd.DataFrame) -> pd.DataFrame:
     """Answers each message with the smallest id of all, window by window."""
-    sent = [rice_decode(n, k, u, r) for n, k, u, r in messages[["n", "k", "unary", "rest"]].itertuples(index=False)]
+    sent = [rice_decode(*m) for m in messages[["n", "base", "k", "unary", "rest"]].itertuples(index=False)]
     values, more, ids = np.concatenate(sent), np.concatenate([np.frombuffer(b, np.uint32) for b in messages["more"]]), np.concatenate([_unzip(b) for b in messages["least"]])
     order, first = _least(values, more, ids)
     least = np.empty(len(ids), np.int64)
@@ -163,7 +163,7 @@ def _settle(messages: pd.DataFrame) -> pd.DataFrame:
 def _cut(window: int):
     def cut(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         hashes, rows = WordHashes(), []
-        parts = [(rice_decode(n, k, u, r), np.frombuffer(m, np.uint32), _unzip(b)) for n, k, u, r, m, b in told[["n", "k", "unary", "rest", "more", "answer"]].itertuples(index=False)]
+        parts = [(rice_decode(*x), np.frombuffer(m, np.uint32), _unzip(b)) for *x, m, b in told[["n", "base", "k", "unary", "rest", "more", "answer"]].itertuples(index=False)]
         known, more, least = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
         order = np.argsort(known)
         known, more, least = known[order], more[order], least[order]
@@ -224,17 +224,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     spark.sql(f"DROP TABLE {name}")  # its files stay, and what reads them knows how they are dealt out
     remove_at_end(spark, f"{shared_dir(spark).rstrip('/')}/{name}")
 
-    owners, kinds = max(width(spark), n_bytes // OWNED_BYTES), "owner int, sender int, n int, k int, unary binary, rest binary, twice binary"
-    reps, told = table.filter("not copy"), spark.createDataFrame([], "chunk int, n int, k int, unary binary, rest binary, bitmap binary, level int")
+    owners, kinds = max(width(spark), n_bytes // OWNED_BYTES), "owner int, sender int, n int, base long, k int, unary binary, rest binary, twice binary"
+    reps, told = table.filter("not copy"), spark.createDataFrame([], "chunk int, n int, base long, k int, unary binary, rest binary, bitmap binary, level int")
     for level in levels(window)[:-1] or [window]:
         messages = materialise(reps.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_level(level, window, owners), kinds), "seeds")
         answers = messages.groupBy("owner").applyInPandas(_judge, "owner int, sender int, bitmap binary")
-        heard = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "k", "unary", "rest", "bitmap", F.lit(level).alias("level"))
+        heard = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "base", "k", "unary", "rest", "bitmap", F.lit(level).alias("level"))
         told = told.unionByName(materialise(heard, "told"))
         discard(messages)
-    kinds = "owner int, sender int, n int, k int, unary binary, rest binary, more binary, least binary"
+    kinds = "owner int, sender int, n int, base long, k int, unary binary, rest binary, more binary, least binary"
     messages = materialise(reps.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_last_level(window, owners), kinds), "windows")
     answers = messages.groupBy("owner").applyInPandas(_settle, "owner int, sender int, answer binary")
-    replies = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "k", "unary", "rest", "more", "answer")
+    replies = messages.join(answers, ["owner", "sender"]).select(F.col("sender").alias("chunk"), "n", "base", "k", "unary", "rest", "more", "answer")
     done = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_cut(window), "doc_id long, no_id boolean, n_words long, n_removed long, kept string")
     return done.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept")
