@@ -15,9 +15,9 @@ from riskweave.ship import ship
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, in the order of the ids, null ids last, and the name of its column; equal rows have their own."""
+    """docs with a number for each row, and the name of its column; equal rows have their own. Written as they lie: no text is moved."""
     row = free_name(docs, "row")
-    return materialise(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(text_of(), 256)).withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
 def _without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
@@ -41,7 +41,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8), the row with the smallest id stays."""
     rows, row = _numbered(docs)
-    return _without(rows, row, near_dedup(rows, doc_id=row).filter("not kept")).select(columns_of(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(text_of(), 256).alias("digest"))  # null ids last
+    groups = near_dedup(rows, doc_id=row).select(F.col("doc_id").alias("member"), F.col("component_id").alias("component"))
+    placed = rows.select(F.col(row).alias("member"), order.alias("order")).join(groups, "member")  # no texts
+    stays = placed.groupBy("component").agg(F.min(F.struct("order", "member")).alias("first")).select("first.member")
+    dropped = groups.join(stays, "member", "left_anti")  # by the row, so a large group meets nowhere
+    return _without(rows, row, dropped.select(F.col("member").alias("doc_id"))).select(columns_of(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
