@@ -45,6 +45,15 @@ def test_near_duplicates_go(kept):
     assert _ids(kept[3]) == {i for i, (_, top) in want.items() if i == top}
 
 
+def test_no_text_is_sorted_to_number_rows(spark, monkeypatch):
+    """Rows are numbered as they lie: neither plan that is written for it has an exchange or a sort."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plans, write = [], P.materialise
+    monkeypatch.setattr(P, "materialise", lambda df, tag, **k: plans.append((tag, df._jdf.queryExecution().toString())) or write(df, tag, **k))
+    P._numbered(docs)
+    assert [tag for tag, _ in plans] == ["pipeline-rows"] and not any(word in plan for _, plan in plans for word in ("Exchange", "Sort"))
+
+
 def test_leaks_go_and_nothing_else(spark, kept):
     from riskweave.llm.decontaminate import words_of
 
