@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if
@@ -52,23 +53,45 @@ def ld_r2(genotype: DataFrame, n_people: int, reach: int) -> DataFrame:
     return rows.select("snp_a", "snp_b", (cov * cov / (va * vb)).alias("r2"))
 
 
-def window_prune(variants: DataFrame, edges: DataFrame, least: float = 0.6) -> DataFrame:
-    """snp of those kept: in the order of position the later of a linked pair goes, unless what it is linked to has gone itself.
+def _running(rows: DataFrame, block: str, order: list[str], value: str, out: str) -> DataFrame:
+    """rows with the maximum of value over all rows before, in the order of blocks, then `order`: within blocks, and over the blocks' own."""
+    inside = Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(block).agg(F.max(value).alias("__top"))  # a row for each block
+    ahead = tops.select(block, F.max("__top").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)).alias("__ahead"))
+    return rows.join(F.broadcast(ahead), block).withColumn(out, F.greatest(F.max(value).over(inside), F.col("__ahead"))).drop("__ahead")
 
-    In each round what has no undecided partner ahead of it stays, and its partners go; as many rounds as the longest chain of
-    such partners has links.
+
+def window_prune(variants: DataFrame, edges: DataFrame, reach: int, least: float = 0.6) -> DataFrame:
+    """snp of those kept by pruning in windows: of a pair in linkage the variant with the rarer allele goes, of equals the later.
+
+    variants: (snp, minor), snp is a position, minor how often its rarer allele is there; edges: (snp_a, snp_b, r2). A window holds all
+    within `reach` of its first variant and moves on by one variant at a time; in a window pairs are looked at by their first, then
+    their second, and those of which one has gone are passed over. So a pair is settled in the first window that holds both.
+
+    Stretches that no pair bridges are pruned by themselves, one after another within a task. Blocks of positions find them: the furthest
+    end so far is handed from block to block by one number each. A stretch is as long as linkage goes without a gap.
     """
-    e = edges.filter(F.col("r2") > least).select(F.least("snp_a", "snp_b").alias("ahead"), F.greatest("snp_a", "snp_b").alias("snp")).filter("ahead < snp").distinct()
-    e = e.join(variants.select("snp"), "snp", "left_semi").join(variants.select(F.col("snp").alias("ahead")), "ahead", "left_semi")
-    undecided, kept = written(variants.select("snp").distinct(), "prune"), None
-    e = written(e, "prune-edges")
-    while not undecided.isEmpty():
-        stays = written(undecided.join(e, "snp", "left_anti"), "prune-kept")
-        goes = e.join(stays.withColumnRenamed("snp", "ahead"), "ahead", "left_semi").select("snp").distinct()
-        undecided = written(undecided.join(stays, "snp", "left_anti").join(goes, "snp", "left_anti"), "prune")
-        left = e.join(undecided, "snp", "left_semi").join(undecided.withColumnRenamed("snp", "ahead"), "ahead", "left_semi")
-        e, kept = written(left, "prune-edges"), stays if kept is None else kept.unionByName(stays)
-    return variants.select("snp").limit(0) if kept is None else kept
+    span = max(1, reach)
+    e = edges.filter(F.col("r2") > least).select(F.least("snp_a", "snp_b").alias("a"), F.greatest("snp_a", "snp_b").alias("b")).filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= reach)).distinct()
+    own = variants.select("snp", "minor")
+    block = F.floor(F.col("snp") / span)
+    copies = own.select("snp", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))).alias("c")).select("snp", "c.*")
+    begins = copies.withColumn("begin", F.min("snp").over(Window.partitionBy("block").orderBy("snp").rangeBetween(-reach, 0))).filter("own").select(F.col("snp").alias("b"), "begin")
+    of = lambda k: own.select(F.col("snp").alias(k), F.col("minor").alias(f"minor_{k}"))
+    rows = written(e.join(of("a"), "a").join(of("b"), "b").join(begins, "b").withColumn("block", F.floor(F.col("a") / span)), "prune-edges")
+    ended = _running(rows, "block", ["a", "b"], "b", "before")
+    starts = ended.withColumn("start", F.when(F.col("before").isNull() | (F.col("a") > F.col("before")), F.col("a")))
+    stretches = _running(starts, "block", ["a", "b"], "start", "earlier").withColumn("stretch", F.greatest("start", "earlier"))
+
+    def sweep(f):
+        gone: set[int] = set()
+        for a, b, x, y in f.sort_values(["begin", "a", "b"])[["a", "b", "minor_a", "minor_b"]].itertuples(index=False):
+            if a not in gone and b not in gone:
+                gone.add(a if x < y else b)
+        return pd.DataFrame({"snp": sorted(gone)}, dtype="int64")
+
+    pruned = stretches.select("stretch", "begin", "a", "b", "minor_a", "minor_b").groupBy("stretch").applyInPandas(sweep, "snp long")
+    return own.select("snp").join(pruned, "snp", "left_anti")
 
 
 def best_partner(pairs: DataFrame, value: str = "n") -> DataFrame:

@@ -143,25 +143,6 @@ def apply_mix(scores: DataFrame, betas: DataFrame) -> DataFrame:
     return mixed.join(F.broadcast(s)).select("iid", "phenotype", ((F.col("v") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("prs_cr"))
 
 
-def knn_impute(train: DataFrame, rows: DataFrame, target: str, features: list[str], k: int = 5, cells: int = 10) -> DataFrame:
-    """rows with null targets filled by the mean of the k nearest training rows of the same or a neighbouring cell.
-
-    Cells cut the first feature into equal ranges of the training rows, so only neighbours in rank meet; no cross join.
-    """
-    first = features[0]
-    cuts = train.agg(F.percentile_approx(F.col(first), F.array(*(F.lit(i / cells) for i in range(1, cells)))).alias("cuts"))
-    cell = lambda frame: frame.join(F.broadcast(cuts)).withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col(first)))).drop("cuts")
-    known = cell(train.filter(F.col(target).isNotNull())).select("cell", F.col(target).alias("__t"), *(F.col(f).alias(f"__{f}") for f in features))
-    missing = cell(rows.filter(F.col(target).isNull())).withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
-    distance = sum(((F.col(f) - F.col(f"__{f}")) * (F.col(f) - F.col(f"__{f}")) for f in features), F.lit(0.0))
-    met = missing.join(known, "cell").select("iid", distance.alias("d"), "__t")
-    from pyspark.sql import Window
-
-    near = met.withColumn("rn", F.row_number().over(Window.partitionBy("iid").orderBy("d", "__t"))).filter(F.col("rn") <= k)
-    means = near.groupBy("iid").agg(F.avg("__t").alias("__fill"))
-    return rows.join(means, "iid", "left").withColumn(target, F.coalesce(target, "__fill")).drop("__fill")
-
-
 def forest_impute(train: DataFrame, rows: DataFrame, target: str, features: list[str], trees: int = 20) -> DataFrame:
     """rows with null targets filled by a regression forest on the features."""
     from pyspark.ml.regression import RandomForestRegressor

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .operators import binning as B
 from .operators import boosting as H
 from .operators import evaluation as V
+from .operators import genomics as G
 from .operators import models as M
+from .operators import neighbours as N
 from .operators import penalised as L
 from .operators import resampling as Z
 from .queries import MODELS, PAIRS, _binned, _bins, query, rounded
@@ -263,3 +265,40 @@ def nri_by_measure(v):
     """From a flag on each measure's highest fifth to the joint score's: who moves, and the net reclassification."""
     flags = _binned(v, 10).filter("model = 'epi+main'").select("iid", "phenotype", (F.col("bin") > 8).alias("high"))
     return rounded(V.nri_by_measure(v.env, flags, "env_feature", "value", 0.8), "nri_cases", "nri_controls", "nri")
+
+
+# Exact neighbours, pruning in windows.
+
+_PEOPLE = """
+    people AS (SELECT p.iid, s.split, marker AS t, age, coalesce(n.value, 0) AS n_orders, coalesce(q.value, 0) AS avg_qty FROM participant p JOIN split s ON s.iid = p.iid JOIN covar c ON c.iid = p.iid
+        LEFT JOIN clinical m ON m.iid = p.iid LEFT JOIN (SELECT * FROM env WHERE env_feature = 'n_orders') n ON n.iid = p.iid LEFT JOIN (SELECT * FROM env WHERE env_feature = 'avg_qty') q ON q.iid = p.iid)"""
+
+
+@query(f"""
+    WITH {_PEOPLE},
+    met AS (SELECT a.iid, b.t, row_number() OVER (PARTITION BY a.iid ORDER BY sqrt((a.age - b.age) * (a.age - b.age) + (a.n_orders - b.n_orders) * (a.n_orders - b.n_orders) + (a.avg_qty - b.avg_qty) * (a.avg_qty - b.avg_qty)), b.t) AS rn
+        FROM people a JOIN people b ON a.t IS NULL AND b.t IS NOT NULL AND b.split = 'train')
+    SELECT iid, round(avg(t), 6) AS marker FROM met WHERE rn <= 5 GROUP BY iid""")
+def knn_imputation(v):
+    """The missing clinical marker of everybody by the five nearest people of the training split."""
+    of = lambda name: v.env.filter(F.col("env_feature") == name).select("iid", F.col("value").alias(name))
+    people = v.split.select("iid", "split").join(v.covar.select("iid", "age"), "iid").join(v.clinical.select("iid", F.col("marker").alias("t")), "iid", "left").join(of("n_orders"), "iid", "left").join(of("avg_qty"), "iid", "left").fillna(0.0, ["n_orders", "avg_qty"])
+    people = written(people, "people")
+    found = N.nearest_means(people.filter("split = 'train'"), people.filter("t is null"), "t", ["age", "n_orders", "avg_qty"])
+    return found.select("iid", F.round("fill", 6).alias("marker"))
+
+
+@query("""
+    WITH RECURSIVE n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM participant), o AS (SELECT snp, CAST(sum(dosage) AS DOUBLE) AS s, CAST(sum(dosage * dosage) AS DOUBLE) AS q FROM genotype GROUP BY snp),
+    p AS (SELECT a.snp AS snp_a, b.snp AS snp_b, CAST(sum(a.dosage * b.dosage) AS DOUBLE) AS p FROM genotype a JOIN genotype b ON a.iid = b.iid AND a.snp < b.snp AND b.snp - a.snp <= 9 GROUP BY 1, 2),
+    e AS (SELECT snp_a, snp_b, least(x.s, 2 * n - x.s) AS ma, least(y.s, 2 * n - y.s) AS mb, (SELECT min(snp) FROM o WHERE snp >= p.snp_b - 9) AS begin FROM p JOIN o x ON x.snp = snp_a JOIN o y ON y.snp = snp_b, n
+        WHERE power(n * p - x.s * y.s, 2) / ((n * x.q - x.s * x.s) * (n * y.q - y.s * y.s)) > 0.002),
+    t AS (SELECT *, row_number() OVER (ORDER BY begin, snp_a, snp_b) AS i FROM e),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL
+        SELECT t.i, CASE WHEN list_contains(gone, snp_a) OR list_contains(gone, snp_b) THEN gone ELSE list_append(gone, CASE WHEN ma < mb THEN snp_a ELSE snp_b END) END FROM g JOIN t ON t.i = g.i + 1)
+    SELECT snp FROM o WHERE NOT list_contains((SELECT gone FROM g ORDER BY i DESC LIMIT 1), snp)""")
+def window_pruned(v):
+    """Variants left when windows of ten positions are pruned at an r-squared of 0.002."""
+    genotype, n = v.written("genotype"), v.participant.count()
+    alleles = genotype.groupBy("snp").agg(F.sum("dosage").alias("s")).select("snp", F.least("s", 2 * n - F.col("s")).alias("minor"))
+    return G.window_prune(alleles, G.ld_r2(genotype, n, 9), 9, 0.002)

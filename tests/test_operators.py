@@ -69,20 +69,47 @@ def test_delong_by_double_loop(spark):
     assert got["var1"] == pytest.approx(cov(one, one)) and got["cov"] == pytest.approx(cov(one, two))
 
 
-def test_window_prune(spark):
-    def slow(variants, edges):
-        gone = set()
-        for x in sorted(variants):
-            if x not in gone:
-                gone |= {b for a, b in edges if a == x}
-        return sorted(set(variants) - gone)
+def _sweep(variants, linked, reach):
+    """Window after window over all variants, pair after pair until nothing goes."""
+    kept, order = set(variants), sorted(variants)
+    for first in order:
+        while True:
+            window = [v for v in order if v in kept and first <= v <= first + reach]
+            pair = next(((a, b) for i, a in enumerate(window) for b in window[i + 1 :] if (a, b) in linked), None)
+            if pair is None:
+                break
+            kept.discard(pair[0] if variants[pair[0]] < variants[pair[1]] else pair[1])
+    return sorted(kept)
+
 
+def test_window_prune(spark):
     r = random.Random(3)
-    for n, m in ((4, 3), (60, 90), (40, 0)):
-        edges = [tuple(sorted(r.sample(range(n), 2))) for _ in range(m)]
-        rows = [(b, a, 0.9) if i % 2 else (a, b, 0.9) for i, (a, b) in enumerate(edges)] + [(0, n - 1, 0.3)]
-        got = genomics.window_prune(spark.range(n).select(F.col("id").alias("snp")), spark.createDataFrame(rows, "snp_a long, snp_b long, r2 double"))
-        assert sorted(x["snp"] for x in got.collect()) == slow(range(n), edges)
+    for n, m, reach in ((4, 3, 50), (60, 150, 90), (60, 400, 12), (60, 400, 300), (40, 0, 5)):
+        variants = {x: r.randint(1, 6) for x in r.sample(range(-50, 400), n)}
+        linked = {tuple(sorted(r.sample(sorted(variants), 2))) for _ in range(m)}
+        rows = [(b, a, 0.9) if i % 2 else (a, b, 0.9) for i, (a, b) in enumerate(linked)] + [(*sorted(variants)[:2], 0.3)]
+        edges = spark.createDataFrame(rows, "snp_a long, snp_b long, r2 double")
+        got = genomics.window_prune(spark.createDataFrame(list(variants.items()), "snp long, minor long"), edges, reach)
+        assert sorted(x["snp"] for x in got.collect()) == _sweep(variants, linked, reach)
+
+
+@pytest.mark.parametrize("pivots", [1, 3, 4096])
+def test_exact_neighbours(spark, monkeypatch, pivots):
+    from riskweave.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", pivots)
+    r = np.random.default_rng(pivots)
+    make = lambda n, start: [(start + i, *map(float, p), float(t)) for i, (p, t) in enumerate(zip(np.concatenate([r.integers(0, 5, (n // 2, 2)), r.normal(size=(n - n // 2, 2)) * 3]), r.integers(0, 9, n), strict=True))]
+    train, asked = make(300, 0), make(80, 1000)
+    known = spark.createDataFrame([*train, (5000, None, 1.0, 2.0), (5001, 1.0, 1.0, None)], "iid long, a double, b double, t double")
+    rows = spark.createDataFrame([*((i, a, b, None) for i, a, b, _ in asked), (7000, None, 1.0, None), (7001, 1.0, 1.0, 77.0)], "iid long, a double, b double, t double")
+    for k in (1, 4, 500):
+        got = {x["iid"]: x["t"] for x in neighbours.knn_impute(known, rows, "t", ["a", "b"], k).collect()}
+        for i, a, b, _ in asked:
+            best = sorted((np.sqrt((a - x) ** 2 + (b - y) ** 2), t) for _, x, y, t in train)[:k]
+            assert got[i] == pytest.approx(np.mean([t for _, t in best]))
+        assert got[7000] is None and got[7001] == 77.0 and len(got) == 82
+    assert neighbours.knn_impute(known.limit(0), rows, "t", ["a", "b"]).filter("t is null").count() == 81
 
 
 def test_quantiles_and_midranks(spark):
@@ -121,11 +148,9 @@ def test_dropped_models(spark):
     assert {r[0] for r in selection.dropped_models(rows).collect()} == {"epi", "epi+main"}
 
 
-def test_imputation_by_neighbours_and_forest(spark):
+def test_imputation_by_forest(spark):
     train = spark.createDataFrame([(i, float(i), float(i * 2)) for i in range(100)], "iid long, a double, t double")
     rows = spark.createDataFrame([(1, 50.0, None), (2, 10.0, 7.0)], "iid long, a double, t double")
-    got = {r["iid"]: r["t"] for r in models.knn_impute(train, rows, "t", ["a"]).collect()}
-    assert got[1] == pytest.approx(100) and got[2] == 7.0
     got = {r["iid"]: r["t"] for r in models.forest_impute(train, rows, "t", ["a"]).collect()}
     assert abs(got[1] - 100) < 20 and got[2] == 7.0
 
