@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +70,10 @@ def read_packed_hla_file(v):
 
 @query("SELECT CAST(iid AS VARCHAR) AS iid, CAST(snp AS VARCHAR) AS snp, CAST(dosage AS INTEGER) AS dosage FROM genotype_missing WHERE dosage IS NULL OR dosage <> 0")
 def read_bed_files(v):
-    path = folder(v.spark, "bed").removeprefix("file://")
-    Path(path).mkdir(parents=True)
-    people, snps = (sorted(r[0] for r in rows.collect()) for rows in (v.participant.select("iid"), v.ks))
-    table = v.genotype_missing.fillna(-1, "dosage").toPandas().pivot(index="snp", columns="iid", values="dosage").reindex(index=snps, columns=people).fillna(0)
-    bed.write_bed(f"{path}/all", [str(i) for i in people], [str(k) for k in snps], table.to_numpy(int))
-    bed.register(v.spark)
-    return v.spark.read.format("bed").load(f"{path}/all")
+    """Written as filesets by tasks, and read back."""
+    path = folder(v.spark, "bed")
+    bed.save(v.genotype_missing, v.participant.select("iid"), path, v.ks.select(F.col("k").alias("snp")))
+    return v.spark.read.format("bed").load(path)
 
 
 _PCS = ", ".join(f"round(pc{i}, 6) AS pc{i}" for i in range(1, 11))
@@ -207,10 +202,18 @@ def read_important_file(v):
     return IN.read_important(v.spark, path, 1.5)
 
 
-@query("SELECT key, value FROM (VALUES ('PHENO', 'celiac'), ('THRESHOLD', '1.99'), ('ICD', 'E11'), ('EPI', 'prod')) AS t(key, value)")
+@query("""
+    SELECT concat('AUC_', upper(env_feature)) AS key, CAST(count(*) AS VARCHAR) AS value FROM env GROUP BY env_feature UNION ALL SELECT 'PEOPLE', CAST(count(*) AS VARCHAR) FROM participant
+    UNION ALL SELECT 'CASES', CAST(count(*) AS VARCHAR) FROM participant WHERE phenotype = 2""")
 def config_upsert(v):
-    text = IN.upsert_config("# paths\nexport PHENO=diabetes\nICD='E11'\n\nTHRESHOLD=0.5\n", PHENO="celiac", THRESHOLD="1.99", EPI="prod")
-    return v.spark.createDataFrame(sorted(IN.read_config(text).items()), "key string, value string")
+    """A configuration written from a table, with two of its lines set anew from another, read back as a table."""
+    path = folder(v.spark, "config")
+    counts = v.env.groupBy("env_feature").agg(F.count("*").alias("n"))
+    lines = counts.select(F.concat(F.lit("export AUC_"), F.upper("env_feature"), F.lit("="), F.col("n").cast("string")).alias("value")).unionByName(v.spark.createDataFrame([("PEOPLE=0",)], "value string"))
+    lines.coalesce(1).write.text(path)
+    text = "\n".join(r["value"] for r in v.spark.read.text(path).collect())  # a configuration: a line for each measure
+    n = v.participant.agg(F.count("*").alias("n"), F.count_if(F.col("phenotype") == 2).alias("c")).head()
+    return v.spark.createDataFrame(sorted(IN.read_config(IN.upsert_config(text, PEOPLE=str(n["n"]), CASES=str(n["c"]))).items()), "key string, value string")
 
 
 # Sinks.

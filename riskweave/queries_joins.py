@@ -18,8 +18,8 @@ from .operators import plots as D
 from .operators import prs as R
 from .operators import resampling as Z
 from .operators import selection as S
-from .queries import PAIRS, SQL, _binned, _bins, _flags, chi2_independence, delong_pairs, kappa_jaccard_discordance, mcnemar_pairs, query, rounded
-from .sources.shared import folder
+from .queries import PAIRS, SQL, _binned, _bins, _flags, chi2_independence, delong_p_values, delong_pairs, kappa_jaccard_discordance, mcnemar_pairs, nri_idi, overlap_hypergeometric, pearson_spearman_ttest, query, rounded
+from .sources.shared import folder, written
 from .streaming.scoring import score_stream
 
 # Assembly.
@@ -305,10 +305,11 @@ def gated_features(v):
 
 
 @query(f"""
-    WITH d AS (SELECT model1 AS model, auc1 AS auc, var1 AS v FROM ({SQL["delong_pairs"].replace("round(var1, 8)", "var1").replace("round(auc1, 6)", "auc1")}))
+    WITH w AS ({SQL["delong_pairs"].replace("round(var1, 8)", "var1").replace("round(auc1, 6)", "auc1").replace("round(var2, 8)", "var2").replace("round(auc2, 6)", "auc2")}),
+    d AS (SELECT model1 AS model, auc1 AS auc, var1 AS v FROM w UNION ALL SELECT model2, auc2, var2 FROM w)
     SELECT DISTINCT model, round(auc, 6) AS auc, round(greatest(auc - 1.96 * sqrt(v), 0), 6) AS ci_low, round(least(auc + 1.96 * sqrt(v), 1), 6) AS ci_high FROM d""")
 def auc_bounds(v):
-    rows = v.prs.filter("model <> 'epi+main'").withColumn("y", F.col("phenotype") - 1)  # those that come first in a pair
+    rows = v.prs.withColumn("y", F.col("phenotype") - 1)
     return rounded(V.auc_bounds(rows, "prs100"), "auc", "ci_low", "ci_high")
 
 
@@ -322,10 +323,23 @@ def all_tests(v):
     return V.all_tests(tests)
 
 
-@query("SELECT model FROM (VALUES ('epi'), ('epi+main')) AS t(model)")
+@query(f"""
+    SELECT DISTINCT CASE WHEN model1 = 'epi+main' OR model2 = 'epi+main' THEN 'epi+main' WHEN auc1 < auc2 THEN model1 ELSE model2 END AS model
+    FROM ({SQL["delong_p_values"]}) WHERE p > 0.05""")
 def dropped_models(v):
-    alike = v.spark.createDataFrame([("main", "epi", 0.61, 0.55, 0.4), ("main", "cardio", 0.61, 0.52, 0.01), ("main", "epi+main", 0.61, 0.62, 0.7)], "model1 string, model2 string, auc1 double, auc2 double, p double")
-    return S.dropped_models(alike)
+    """Models that don't differ from a better one, by the p-values of their comparisons."""
+    return S.dropped_models(delong_p_values(v))
+
+
+@query(f"""
+    SELECT * FROM ({SQL["all_tests"]}) UNION ALL SELECT model1, model2, 'overlap', overlap_ratio FROM ({SQL["overlap_hypergeometric"]}) UNION ALL SELECT model1, model2, 'hypergeometric', overlap_p FROM ({SQL["overlap_hypergeometric"]})
+    UNION ALL SELECT model1, model2, 'pearson', pearson FROM ({SQL["pearson_spearman_ttest"]}) UNION ALL SELECT model1, model2, 'spearman', spearman FROM ({SQL["pearson_spearman_ttest"]}) UNION ALL SELECT model1, model2, 'paired t', t FROM ({SQL["pearson_spearman_ttest"]})
+    UNION ALL SELECT model1, model2, 'nri', nri FROM ({SQL["nri_idi"]}) UNION ALL SELECT model1, model2, 'idi', idi FROM ({SQL["nri_idi"]})""")
+def every_test(v):
+    """The tests of all_tests, and overlap, correlations, paired t, net reclassification and integrated discrimination."""
+    overlap, paired, moved = overlap_hypergeometric(v), written(pearson_spearman_ttest(v), "paired"), written(nri_idi(v), "moved")
+    more = {"overlap": (overlap, "overlap_ratio"), "hypergeometric": (overlap, "overlap_p"), "pearson": (paired, "pearson"), "spearman": (paired, "spearman"), "paired t": (paired, "t"), "nri": (moved, "nri"), "idi": (moved, "idi")}
+    return all_tests(v).unionByName(V.all_tests(more))
 
 
 @query("""

@@ -1,3 +1,4 @@
+import json
 import numpy as np
 import pytest
 
@@ -53,9 +54,31 @@ def test_environment_files(spark, tmp_path):
     assert {tuple(r) for r in readers.read_environment(spark, str(e)).collect()} == {(1, "BMI", 20.5), (2, "HbA1c (x)", 41.0)}
 
 
+def test_bed_folder_of_ranges_and_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bed, "PEOPLE", 6)
+    monkeypatch.setattr(bed, "VARIANTS_IN_PART", 4)
+    r = np.random.default_rng(2)
+    g = r.choice([0, 1, 2, None], (23, 11), p=[0.5, 0.2, 0.2, 0.1])
+    rows = [(i, 10 * k, None if g[i, k] is None else int(g[i, k])) for i in range(23) for k in range(11) if g[i, k] != 0]
+    genotype, people = spark.createDataFrame([*rows, (99, 0, 1)], "iid long, snp long, dosage long"), spark.range(23).withColumnRenamed("id", "iid")
+    variants = spark.createDataFrame([(10 * k,) for k in range(11)] + [(500,)], "snp long")
+    path = f"file://{tmp_path}/folder"
+    bed.save(genotype, people, path, variants)
+    listed = [json.loads(x) for x in (tmp_path / "folder" / bed.LIST).read_text().splitlines()]
+    assert len(listed) >= 12 and [(x["part"], x["chunk"]) for x in listed] == sorted((x["part"], x["chunk"]) for x in listed)
+    assert sum(x["variants"] * x["people"] for x in listed) == 12 * 23
+    df = spark.read.format("bed").load(path)
+    want = sorted((str(i), str(s), d) for i, s, d in rows)
+    told = lambda df: sorted(map(tuple, df.collect()), key=lambda x: x[:2])
+    assert told(df) == sorted(want, key=lambda x: x[:2])
+    (tmp_path / "folder" / "part-left-behind.bed").write_bytes(b"x")  # not on the list
+    assert told(df.filter("snp in ('10', '500') and iid <> '3'")) == [x for x in sorted(want, key=lambda x: x[:2]) if x[1] == "10" and x[0] != "3"]
+    assert told(df.filter("iid = '7' and snp = '20'")) == [x for x in want if x[:2] == ("7", "20")]
+
+
 def test_bed_round_trip(spark, tmp_path):
     d = np.random.default_rng(0).integers(-1, 3, (5, 7))
-    bed.write_bed(str(tmp_path / "g"), [f"p{i}" for i in range(7)], [f"rs{i}" for i in range(5)], d)
+    bed.write_fileset(str(tmp_path / "g"), [f"p{i}" for i in range(7)], [f"rs{i}" for i in range(5)], d)
     bed.register(spark)
     got = {(r["iid"], r["snp"]): r["dosage"] for r in spark.read.format("bed").load(str(tmp_path / "g")).collect()}
     assert got == {(f"p{j}", f"rs{i}"): None if d[i, j] < 0 else int(d[i, j]) for i in range(5) for j in range(7) if d[i, j]}
