@@ -24,7 +24,7 @@ def quantiles(rows: DataFrame, value: str, points: list[float] | int, by: list[s
     start, stop, last = F.col("n_below"), F.col("n_below") + F.col("n"), F.col("n_all") - 1
     if isinstance(points, int):  # the few that may lie here
         at = lambda i: F.floor(i * points / F.greatest(last, F.lit(1)))
-        near, point = F.sequence(F.greatest(at(start) - 1, F.lit(0)), F.least(at(stop) + 1, F.lit(points))), lambda i: i / F.lit(float(points))
+        near, point = F.sequence(F.greatest(at(start - 1) - 1, F.lit(0)), F.least(at(stop) + 1, F.lit(points))), lambda i: i / F.lit(float(points))
     else:
         near, point = F.array(*(F.lit(i).cast("long") for i in range(len(points)))), lambda i: F.element_at(F.array(*map(F.lit, points)), (i + 1).cast("int"))
     here = lambda x: (x >= start) & (x < stop)

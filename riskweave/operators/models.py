@@ -6,15 +6,13 @@ import math
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from threading import Timer
 
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,45 +51,6 @@ def complement_bayes(rows: DataFrame, people: DataFrame, features: list[str]) ->
     return rows.sparkSession.createDataFrame([(f, float(theta[0, i]), float(theta[1, i])) for i, f in enumerate(features)], "feature string, lp0 double, lp1 double")
 
 
-def forest_importance(rows: DataFrame, labels: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
-    """(label, feature, importance) of a random forest for each label; labels: (iid, label, y). Vectors are assembled once for all."""
-    names = sorted(r["label"] for r in labels.select("label").distinct().collect())
-    people = labels.groupBy("iid").agg(F.lit(1).alias("phenotype"))
-    vectors = assemble(rows, people, features).select("iid", "features").persist()
-
-    def fitted(name: str) -> list[tuple]:
-        data = vectors.join(labels.filter(F.col("label") == name).select("iid", F.col("y").cast("double").alias("label")), "iid")
-        model = RandomForestClassifier(numTrees=trees, maxDepth=4, seed=1).fit(data)
-        return [(name, f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
-
-    out = [row for part in side_by_side([(lambda name=name: fitted(name)) for name in names]) for row in part]
-    vectors.unpersist()
-    return rows.sparkSession.createDataFrame(out, "label string, feature string, importance double")
-
-
-def forest_report(rows: DataFrame, labels: DataFrame, features: list[str], trees: int = 20) -> DataFrame:
-    """(label, n, auc and the numbers of evaluation.classification) of forests fitted on three quarters of the people, on the others.
-
-    The quarter is chosen by a hash of the id, so it is the same for every label.
-    """
-    from .evaluation import classification, rank_auc
-
-    names = sorted(r["label"] for r in labels.select("label").distinct().collect())
-    vectors = assemble(rows, labels.groupBy("iid").agg(F.lit(1).alias("phenotype")), features).select("iid", "features").persist()
-    tested = F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(4)) == 3
-
-    def scored(name: str) -> DataFrame:
-        data = vectors.join(labels.filter(F.col("label") == name).select("iid", F.col("y").cast("double").alias("label")), "iid")
-        model = RandomForestClassifier(numTrees=trees, maxDepth=4, seed=1).fit(data.filter(~tested))
-        return model.transform(data.filter(tested)).select("iid", F.lit(name).alias("model"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
-
-    parts = side_by_side([(lambda name=name: scored(name)) for name in names])
-    probs = written(reduce(DataFrame.unionByName, parts), "forest-report")
-    vectors.unpersist()
-    sizes = probs.groupBy("model").agg(F.count("*").alias("n"))
-    return sizes.join(rank_auc(probs, "p", ["model"]), "model").join(classification(probs), "model").withColumnRenamed("model", "label")
-
-
 def _poisson(iid: np.ndarray, replicate: int) -> np.ndarray:
     """Poisson(1) weights by a hash of person and replicate; replicate 0 is the data themselves."""
     if replicate == 0:

@@ -822,12 +822,6 @@ def complement_nb(v):
     return rounded(S.log_odds_table(M.complement_bayes(v.main_rows, v.participant, _TOP)), "lp0", "lp1", "odds_yes", "odds_no")
 
 
-@query()
-def random_forest_multilabel(v):
-    labels = _flags(v).filter(F.col("model").isin("main", "epi")).select("iid", F.col("model").alias("label"), F.col("high").cast("int").alias("y"))
-    return M.forest_importance(v.main_rows, labels, _TOP, trees=10)
-
-
 @query()
 def prscr_mix(v):
     return M.mixed_score(R.scale(v.prs), ["main", "epi", "cardio"])

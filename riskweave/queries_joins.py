@@ -458,17 +458,9 @@ def streamed_scores(v):
     return v.spark.read.parquet(f"{path}/out").select("iid", "model", "score")
 
 
-@query()
-def forest_report(v):
-    """Forests for being high in a model, tested on a quarter of the people."""
-    labels = _flags(v).filter(F.col("model").isin("main", "epi")).select("iid", F.col("model").alias("label"), F.col("high").cast("int").alias("y"))
-    return M.forest_report(v.written("main_rows"), labels, _FEATURES, trees=10)
-
-
 @query()
 def iterative_clinical_imputation(v):
     """The clinical marker from other measures, by forests in rounds."""
     wide = v.env.filter(F.col("env_feature").isin("avg_qty", "n_orders")).groupBy("iid").pivot("env_feature", ["avg_qty", "n_orders"]).agg(F.max("value"))
     rows = v.written("clinical").join(wide, "iid", "left").join(v.split.select("iid", "split"), "iid")
-    train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    return M.iterative_impute(train, test, ["marker", "avg_qty", "n_orders"], rounds=1, trees=5)
+    return M.iterative_impute(rows.filter(F.col("split") == "train").drop("split"), rows.drop("split"), ["marker", "avg_qty", "n_orders"], rounds=1, trees=5)

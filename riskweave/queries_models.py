@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .operators import binning as B
 from .operators import boosting as H
 from .operators import evaluation as V
+from .operators import forest as T
 from .operators import genomics as G
 from .operators import models as M
 from .operators import neighbours as N
 from .operators import penalised as L
 from .operators import resampling as Z
-from .queries import MODELS, PAIRS, _binned, _bins, query, rounded
+from .queries import MODELS, PAIRS, _HIGH, _binned, _bins, _flags, query, rounded
 from .sources.shared import written
 
 # Penalised association: sets of features, covariates free.
@@ -187,6 +188,36 @@ def boosting_root_gains(v):
     return rounded(H.root_gains(v.main_rows, v.participant, _SNPS, H.Setting(l2=0.5)).select("feature", "gain"), "gain")
 
 
+# One forest for all models as labels.
+
+
+def _forest(v, trees: int) -> T.Forest:
+    """Being high in each model, from all variants; a quarter of the people is left out of the fit."""
+    labels = _flags(v).select("iid", F.col("model").alias("label"), F.col("high").cast("int").alias("y"))
+    tested = F.pmod(F.crc32(F.col("iid").cast("string").cast("binary")), F.lit(4)) == 3
+    return T.fit_forest(v.main_rows, labels, _SNPS, trees=trees, depth=5, least=10, tested=tested)
+
+
+@query()
+def random_forest_multilabel(v):
+    """Which variants the splits of a forest for all models are on, by label."""
+    return _forest(v, 100).importance()
+
+
+@query()
+def forest_report(v):
+    """The forest on the quarter that it hasn't seen, and on the others by the trees that haven't."""
+    return T.report(_forest(v, 100))
+
+
+@query(f"""
+    WITH {_HIGH} SELECT model AS label, iid % 4 > -1 AS known, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(high AS INTEGER)) AS BIGINT) AS cases FROM flags WHERE iid IN (SELECT iid FROM participant) GROUP BY 1, 2""")
+def forest_votes(v):
+    """People and cases that the votes of the forest cover, by label: everybody is voted on by some tree."""
+    votes = _forest(v, 40).votes()
+    return votes.groupBy("label", (F.col("trees") > 0).alias("known")).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("cases"))
+
+
 # Comparison with a fitted model of the covariates.
 
 _COVARIATE_FIT = """

@@ -119,7 +119,7 @@ def test_quantiles_and_midranks(spark):
     r = random.Random(5)
     rows = [(g, float(r.choice((0.0, 1.5, -2.0, r.gauss(0, 1e3)))) if r.random() > 0.1 else None, i) for i in range(900) for g in ("a", "b")] + [("one", 4.0, 0)]
     df = spark.createDataFrame(rows, "g string, x double, iid long")
-    for points in (20, [0.0, 0.025, 0.5, 1.0]):
+    for points in (20, 2500, [0.0, 0.025, 0.5, 1.0]):  # also more points than values
         for got in quantiles(df, "x", points, ["g"]).collect():
             own = [x for g, x, _ in rows if g == got["g"] and x is not None]
             want = np.quantile(own, [k / points for k in range(points + 1)] if isinstance(points, int) else points)
