@@ -84,6 +84,10 @@ def contributions(tree: list[tuple], x: np.ndarray, n_features: int) -> np.ndarr
     return phi
 
 
+#: Ways through the splits of one tree whose contributions a task keeps.
+MOST_KNOWN = 20_000
+
+
 def tree_shap(model, data: DataFrame, features: list[str]) -> DataFrame:
     """(iid, feature, shap) of a fitted forest or boosted model for rows (iid, features vector)."""
     trees = flatten(model)
@@ -98,6 +102,8 @@ def tree_shap(model, data: DataFrame, features: list[str]) -> DataFrame:
                 sides, of = np.unique(np.stack([x[:, f] <= t for f, t in splits], 1) if splits else np.zeros((len(x), 1), bool), axis=0, return_inverse=True)
                 first = np.zeros(len(sides), np.int64)
                 first[of.ravel()] = np.arange(len(x))
+                if len(seen) + len(sides) > MOST_KNOWN:
+                    seen.clear()
                 for side, row in zip(sides, first.tolist(), strict=True):
                     if side.tobytes() not in seen:
                         seen[side.tobytes()] = contributions(tree, x[row], len(features))

@@ -15,6 +15,7 @@ from .operators import genomics as G
 from .operators import models as M
 from .operators import neighbours as N
 from .operators import penalised as L
+from .operators import permutation_shap as Q
 from .operators import resampling as Z
 from .queries import MODELS, PAIRS, _HIGH, _binned, _bins, _flags, query, rounded
 from .sources.shared import written
@@ -333,3 +334,30 @@ def window_pruned(v):
     genotype, n = v.written("genotype"), v.participant.count()
     alleles = genotype.groupBy("snp").agg(F.sum("dosage").alias("s")).select("snp", F.least("s", 2 * n - F.col("s")).alias("minor"))
     return G.window_prune(alleles, G.ld_r2(genotype, n, 9), 9, 0.002)
+
+
+# Contributions of a model that isn't a tree.
+
+# Weights of a score of clinical measures, and of the product of two of them.
+_LINEAR, _CROSS = {"age": 0.03, "n_orders": -0.2, "avg_qty": 0.05}, 0.01
+
+
+@query(f"""
+    WITH {_PEOPLE}, b AS (SELECT age, n_orders, avg_qty FROM people ORDER BY md5(CAST(iid AS VARCHAR)), iid LIMIT 20),
+    m AS (SELECT avg(age) AS age, avg(n_orders) AS n_orders, avg(avg_qty) AS avg_qty, avg(n_orders * avg_qty) AS cross FROM b),
+    s AS (SELECT p.iid, {_LINEAR["age"]} * (p.age - m.age) AS age, p.n_orders * p.avg_qty AS whole, p.n_orders * m.avg_qty AS left_only, m.n_orders * p.avg_qty AS right_only, m.cross AS none, p.n_orders - m.n_orders AS dn, p.avg_qty - m.avg_qty AS dq FROM people p, m),
+    c AS (SELECT iid, 'age' AS feature, age AS shap FROM s UNION ALL SELECT iid, 'n_orders', {_LINEAR["n_orders"]} * dn + {_CROSS} * ((left_only - none) + (whole - right_only)) / 2 FROM s
+        UNION ALL SELECT iid, 'avg_qty', {_LINEAR["avg_qty"]} * dq + {_CROSS} * ((right_only - none) + (whole - left_only)) / 2 FROM s)
+    SELECT feature, round(avg(shap), 6) AS mean_shap, round(avg(abs(shap)), 6) AS mean_abs FROM c GROUP BY feature""")
+def permutation_shap_means(v):
+    """Mean contributions of the measures to a score with a product in it, against twenty people as background."""
+    of = lambda name: v.env.filter(F.col("env_feature") == name).select("iid", F.col("value").alias(name))
+    people = written(v.participant.select("iid").join(v.covar.select("iid", "age"), "iid").join(of("n_orders"), "iid", "left").join(of("avg_qty"), "iid", "left").fillna(0.0, ["n_orders", "avg_qty"]), "people")
+    background = people.orderBy(F.md5(F.col("iid").cast("string").cast("binary")), "iid").limit(20)
+    names, weights, cross = list(_LINEAR), list(_LINEAR.values()), _CROSS
+
+    def score(m):
+        return m @ weights + cross * m[:, 1] * m[:, 2]
+
+    found = Q.permutation_shap(score, people, names, background)
+    return rounded(found.groupBy("feature").agg(F.avg("shap").alias("mean_shap"), F.avg(F.abs("shap")).alias("mean_abs")), "mean_shap", "mean_abs")
