@@ -20,7 +20,7 @@ from .operators import resampling as Z
 from .operators import selection as S
 from .queries import PAIRS, SQL, _binned, _bins, _flags, chi2_independence, delong_p_values, delong_pairs, kappa_jaccard_discordance, mcnemar_pairs, nri_idi, overlap_hypergeometric, pearson_spearman_ttest, query, rounded
 from .sources.shared import folder, written
-from .streaming.scoring import score_stream
+from .streaming.scoring import score_pieces, score_stream
 
 # Assembly.
 
@@ -458,6 +458,21 @@ def streamed_scores(v):
     return v.spark.read.parquet(f"{path}/out").select("iid", "model", "score")
 
 
+@query("SELECT f.iid, w.model, CAST(sum(f.x * w.coef100) AS BIGINT) AS score, TRUE AS complete FROM feature_rows f JOIN weights w USING (feature) GROUP BY f.iid, w.model")
+def streamed_pieces(v):
+    """The same people in three pieces each, dealt over four files, some of them twice."""
+    path = folder(v.spark, "pieces")
+    piece = F.pmod(F.xxhash64("feature"), F.lit(3)).cast("int")
+    rows = v.written("feature_rows").withColumn("piece", piece).groupBy("iid", "piece").agg(F.collect_list(F.struct("feature", "x")).alias("rows"))
+    pieces = rows.join(rows.groupBy("iid").agg(F.count("*").cast("int").alias("pieces")), "iid").select("iid", "piece", "pieces", "rows")
+    for k in range(4):
+        here = F.pmod(F.xxhash64("iid", "piece"), F.lit(4))
+        pieces.filter((here == k) | ((here == (k + 1) % 4) & (F.col("iid") % 5 == 0))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    edges = B.quantile_edges(v.prs, "prs100", 10, ["model"])
+    score_pieces(v.spark, f"{path}/in", v.weights, edges, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{path}/out").select("iid", "model", "score", "complete")
+
+
 @query()
 def iterative_clinical_imputation(v):
     """The clinical marker from other measures, by forests in rounds."""

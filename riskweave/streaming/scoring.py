@@ -1,14 +1,19 @@
-"""Scoring people as they arrive, against frozen weights and bin edges: an extension, without state.
+"""Scoring people as they arrive, against frozen weights and bin edges: an extension.
 
-Each micro-batch holds whole people (a file of long feature rows for a set of ids), so a stream-static join and a sum
-within the batch give final scores, and no watermark is needed.
+score_stream: each micro-batch holds whole people (a file of long feature rows for a set of ids), so a stream-static join and a sum
+within the batch give final scores, without state. score_pieces: people arrive in pieces, and what is known of each is kept.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.binning import bin_of
 
@@ -27,3 +32,57 @@ def score_stream(spark: SparkSession, path: str, weights: DataFrame, edges: Data
         score_batch(batch, weights, edges).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: How long a person waits for what is missing, in milliseconds.
+PATIENCE = 3_600_000
+_PIECE = "iid long, piece int, pieces int, rows array<struct<feature: string, x: long>>"
+
+
+def _gather(patience: int):
+    """Adds a person's pieces to what is known; scores go out when all have come, or as they are when none has come for so long."""
+
+    def gather(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, sums, told = (json.loads(x) for x in state.get) if state.exists else ([], {}, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not told and sums:
+                yield pd.DataFrame({"iid": key[0], "model": list(sums), "score": list(sums.values()), "complete": False})
+            return
+        f = pd.concat(list(frames))  # all of the person's rows of this batch: a piece may lie in two frames
+        f = f[~f["piece"].isin(seen)].drop_duplicates(["piece", "at", "model"])  # one that came before, or twice at once
+        due = int(f["pieces"].max()) if len(f) else 0
+        for model, part in f[f["model"].notna()].groupby("model"):
+            sums[model] = sums.get(model, 0) + int(part["part"].sum())
+        seen += sorted(set(f["piece"].tolist()))
+        whole = not told and 0 < due <= len(seen)
+        if whole and sums:
+            yield pd.DataFrame({"iid": key[0], "model": list(sums), "score": list(sums.values()), "complete": True})
+        state.update((json.dumps(seen), json.dumps({} if whole else sums), json.dumps(told or whole)))  # it stays, so that a replayed piece finds that it has been
+        state.setTimeoutDuration(patience)
+
+    return gather
+
+
+def score_pieces(spark: SparkSession, path: str, weights: DataFrame, edges: DataFrame, out: str, checkpoint: str, coef: str = "coef100", patience: int = PATIENCE) -> StreamingQuery:
+    """(iid, model, score, complete, bin) of people who arrive in pieces, in any order, some more than once.
+
+    Parquet files in path hold pieces: (iid, piece, pieces, rows), rows a list of features with their values, piece a number of one of so many. What is
+    known of a person is kept between batches: the pieces that have come, and a sum for each model. A person without a piece for `patience`
+    milliseconds is scored as far as known (complete is false) when the next data come, and forgotten. A replayed batch overwrites its own part of the output.
+    """
+    pieces = spark.readStream.schema(_PIECE).parquet(path)
+    each = pieces.select("iid", "piece", "pieces", F.posexplode_outer("rows").alias("at", "r")).select("iid", "piece", "pieces", "at", "r.feature", "r.x")
+    parts = each.join(weights.select("feature", "model", coef), "feature", "left").select("iid", "piece", "pieces", F.coalesce("at", F.lit(-1)).alias("at"), "model", F.coalesce(F.col("x") * F.col(coef), F.lit(0)).cast("long").alias("part"))
+    scored = parts.groupBy("iid").applyInPandasWithState(_gather(patience), "iid long, model string, score long, complete boolean", "seen string, sums string, told string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def write(batch: DataFrame, number: int) -> None:
+        binned = batch.join(F.broadcast(edges.select("model", "edges")), "model").select("iid", "model", "score", "complete", bin_of(F.col("score"), F.col("edges")).alias("bin"))
+        binned.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    name, before = "spark.sql.streaming.noDataMicroBatches.enabled", spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set(name, "false")  # who has waited long enough is told with the next data, so a run ends when all files are read
+    try:
+        return scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)

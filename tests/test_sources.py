@@ -5,7 +5,7 @@ import pytest
 from riskweave.operators import binning, prs
 from riskweave.plans.fixtures import frame
 from riskweave.sources import bed, readers, sinks
-from riskweave.streaming.scoring import score_stream
+from riskweave.streaming.scoring import score_pieces, score_stream
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -106,6 +106,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items()) and all(v == 0 for k, v in want.items() if k not in got)
 
 
+def test_people_in_pieces(spark, tmp_path):
+    """In any order, over several runs, some twice, some without weights; who isn't whole isn't told."""
+    weights = spark.createDataFrame([("a", "m", 3), ("b", "m", 5), ("b", "n", 7)], "feature string, model string, coef100 int")
+    edges = spark.createDataFrame([("m", [4.0]), ("n", [4.0])], "model string, edges array<double>")
+    kind = "iid long, piece int, pieces int, rows array<struct<feature: string, x: long>>"
+    batches = [
+        [(1, 0, 2, [("a", 1)]), (2, 0, 1, [("b", 2)]), (1, 0, 2, [("a", 1)]), (3, 0, 2, [("a", 9)]), (4, 1, 2, [("zz", 1)])],
+        [(1, 0, 2, [("a", 1)]), (1, 1, 2, [("b", 1), ("b", 1)]), (4, 0, 2, [("a", 1)]), (2, 0, 1, [("b", 2)])],
+        [(1, 1, 2, [("b", 1), ("b", 1)]), (5, 0, 1, [])],
+    ]
+    run = lambda patience: score_pieces(spark, str(tmp_path / "in"), weights, edges, str(tmp_path / "out"), str(tmp_path / "ck"), patience=patience).awaitTermination(120)
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run(3_600_000)
+    told = lambda: sorted((r["iid"], r["model"], r["score"], r["complete"], r["bin"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert told() == [(1, "m", 13, True, 2), (1, "n", 14, True, 2), (2, "m", 10, True, 2), (2, "n", 14, True, 2), (4, "m", 3, True, 1)]
+
+
 @pytest.mark.parametrize("view", ["covar", "hla", "env", "cluster_genes"])
 def test_fixture_views_have_rows(spark, view):
     assert frame(spark, SMALL, view).count() > 0
