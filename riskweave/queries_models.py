@@ -58,7 +58,7 @@ def _optimal(rows: DataFrame, people: DataFrame, fits: L.Fits, free: list[str])
 def lasso_logistic(v):
     """Ten sets, five folds, covariates free: coefficients at the penalty with the least cross-validated loss."""
     rows, parts = _association(v)
-    fits = L.fit_paths(rows, v.participant, M.feature_sets(parts), parts["covariate"], lambdas=8)
+    fits = L.fit_paths(rows, v.participant, M.feature_sets(parts), parts["covariate"], lambdas=6, ratio=0.1)
     return fits.coefficients
 
 
@@ -71,7 +71,7 @@ _MODELS = [*dict(_SETS), "covariate"]
 def lasso_conditions(v):
     """Alleles as a set of their own: whether every feature of every set meets its condition at the minimum, recomputed from the rows."""
     rows, parts = _association(v)
-    fits = L.fit_paths(rows, v.participant, M.feature_sets(parts, separate_hla=True), parts["covariate"], lambdas=5)
+    fits = L.fit_paths(rows, v.participant, M.feature_sets(parts, separate_hla=True), parts["covariate"], lambdas=3, ratio=0.2)
     return _optimal(rows, v.participant, fits, parts["covariate"])
 
 
@@ -83,7 +83,7 @@ def penalised_batches(v):
     rows, parts = _association(v)
     main = parts["main"]
     sets = {f"batch {k // 20}": [*main[k : k + 20], *parts["covariate"]] for k in range(0, len(main), 20)}
-    fits = L.fit_paths(rows, v.participant, sets, parts["covariate"], lambdas=4)
+    fits = L.fit_paths(rows, v.participant, sets, parts["covariate"], lambdas=3, ratio=0.2)
     return _optimal(rows, v.participant, fits, parts["covariate"])
 
 
