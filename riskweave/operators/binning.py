@@ -32,7 +32,8 @@ def quantiles(rows: DataFrame, value: str, points: list[float] | int, by: list[s
     x = point(F.col("i")) * last
     side = lambda c: F.max(F.when(here(c), F.col("value")))
     ends = met.groupBy(*keys, "i", "n_all").agg(side(F.floor(x)).alias("lo"), side(F.ceil(x)).alias("hi"))
-    q = F.when(F.floor(x) == F.ceil(x), F.col("lo")).otherwise((F.ceil(x) - x) * F.col("lo") + (x - F.floor(x)) * F.col("hi"))
+    equal = F.col("lo") == F.col("hi")  # their weighted sum might be a bit less or more, and an edge miss the rows that it equals
+    q = F.when((F.floor(x) == F.ceil(x)) | equal, F.col("lo")).otherwise((F.ceil(x) - x) * F.col("lo") + (x - F.floor(x)) * F.col("hi"))
     got = ends.select(*keys, F.struct("i", q.alias("q")).alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps"))  # one short list for each group
     return got.select(*by, F.col("ps.q").alias("q"))
 

@@ -248,3 +248,13 @@ def test_feature_sets():
     one, two = models.feature_sets(parts), models.feature_sets(parts, separate_hla=True)
     assert one["main"] == ["a", "h", "age"] and two["main"] == ["a", "age"] and two["hla"] == ["h", "age"]
     assert one["all+env_main+clinical_main"][-3:] == ["e", "c", "age"] and one["covariate"] == ["age"]
+
+
+def test_quantiles_between_equal_values_are_that_value(spark, duck):
+    """0.216599 at 3/10 of 1408 rows would be 0.21659899999999999 as a weighted sum, and rows that equal the edge would lie above it."""
+    values = [0.1] * 300 + [0.216599] * 700 + [0.9] * 408
+    rows = spark.createDataFrame([("m", x) for x in values], "model string, p double")
+    [want] = duck.sql(f"SELECT quantile_cont(x, {[i / 10 for i in range(11)]}) FROM (SELECT unnest(CAST({values} AS DOUBLE[])) AS x)").fetchall()
+    assert binning.quantiles(rows, "p", 10, ["model"]).first()["q"] == want[0]
+    got = {(r["p"], r["bin"]) for r in binning.qcut(rows, "p", 10, ["model"]).select("p", "bin").distinct().collect()}
+    assert got == {(0.1, 1), (0.216599, 1), (0.9, 2)}
