@@ -50,7 +50,8 @@ def _gather(patience: int):
                 yield pd.DataFrame({"iid": key[0], "model": list(sums), "score": list(sums.values()), "complete": False})
             return
         f = pd.concat(list(frames))  # all of the person's rows of this batch: a piece may lie in two frames
-        f = f[~f["piece"].isin(seen)].drop_duplicates(["piece", "at", "model"])  # one that came before, or twice at once
+        f = f[~f["piece"].isin(seen)]  # one that came before
+        f = f[f["copy"] == f.groupby("piece")["copy"].transform("min")]  # or twice at once: a copy's rows may lie in another order, so one copy is taken whole
         due = int(f["pieces"].max()) if len(f) else 0
         for model, part in f[f["model"].notna()].groupby("model"):
             sums[model] = sums.get(model, 0) + int(part["part"].sum())
@@ -71,9 +72,10 @@ def score_pieces(spark: SparkSession, path: str, weights: DataFrame, edges: Data
     known of a person is kept between batches: the pieces that have come, and a sum for each model. A person without a piece for `patience`
     milliseconds is scored as far as known (complete is false) when the next data come, and forgotten. A replayed batch overwrites its own part of the output.
     """
-    pieces = spark.readStream.schema(_PIECE).parquet(path)
-    each = pieces.select("iid", "piece", "pieces", F.posexplode_outer("rows").alias("at", "r")).select("iid", "piece", "pieces", "at", "r.feature", "r.x")
-    parts = each.join(weights.select("feature", "model", coef), "feature", "left").select("iid", "piece", "pieces", F.coalesce("at", F.lit(-1)).alias("at"), "model", F.coalesce(F.col("x") * F.col(coef), F.lit(0)).cast("long").alias("part"))
+    copy = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("copy")
+    pieces = spark.readStream.schema(_PIECE).parquet(path).select("iid", "piece", "pieces", copy, "rows")
+    each = pieces.select("iid", "piece", "pieces", "copy", F.explode_outer("rows").alias("r")).select("iid", "piece", "pieces", "copy", "r.feature", "r.x")
+    parts = each.join(weights.select("feature", "model", coef), "feature", "left").select("iid", "piece", "pieces", "copy", "model", F.coalesce(F.col("x") * F.col(coef), F.lit(0)).cast("long").alias("part"))
     scored = parts.groupBy("iid").applyInPandasWithState(_gather(patience), "iid long, model string, score long, complete boolean", "seen string, sums string, told string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
     def write(batch: DataFrame, number: int) -> None:

@@ -124,6 +124,17 @@ def test_people_in_pieces(spark, tmp_path):
     assert told() == [(1, "m", 13, True, 2), (1, "n", 14, True, 2), (2, "m", 10, True, 2), (2, "n", 14, True, 2), (4, "m", 3, True, 1)]
 
 
+def test_copies_of_a_piece_in_another_order(spark, tmp_path):
+    """Two copies of a piece in one batch, in files and orders of their own, count as one."""
+    weights = spark.createDataFrame([(f, "m", c) for f, c in (("a", 1), ("b", 10), ("c", 100))], "feature string, model string, coef100 int")
+    edges, kind = spark.createDataFrame([("m", [4.0])], "model string, edges array<double>"), "iid long, piece int, pieces int, rows array<struct<feature: string, x: long>>"
+    for order in ("abc", "cab", "bca"):
+        spark.createDataFrame([(i, 0, 1, [(f, 1) for f in order]) for i in range(20)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    score_pieces(spark, str(tmp_path / "in"), weights, edges, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("iid", "model", "score", "complete").collect())
+    assert got == [(i, "m", 111, True) for i in range(20)]
+
+
 @pytest.mark.parametrize("view", ["covar", "hla", "env", "cluster_genes"])
 def test_fixture_views_have_rows(spark, view):
     assert frame(spark, SMALL, view).count() > 0
