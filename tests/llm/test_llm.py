@@ -303,6 +303,28 @@ def test_odd_items(spark):
     assert got == sorted([(d, i) for d in (1, None) for i in (1, 2, None)], key=str)
 
 
+def test_latent_space_of_all_documents(spark, docs, monkeypatch):
+    """However many documents there are, the fit takes them all, and its products are those of passages one by one."""
+    seen, fit = [], decontaminate.latent
+    monkeypatch.setattr(decontaminate, "FIT_DOCS", 5)
+    monkeypatch.setattr(decontaminate, "latent", lambda rows, *rest: (seen.append(rows.count()), fit(rows, *rest))[1])
+    decontaminate.find_leaks(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).count()
+    assert seen == [docs.count()]
+    r = np.random.default_rng(1)
+    idf, basis = np.append(0, r.random(40) + 0.1), r.normal(size=(41, 7))
+    group = [(n, np.where(r.random(n) < 0.3, 0, r.integers(1, 41, n)).astype(np.int32)) for n in (0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 200)] + [(0, np.zeros(50, np.int32))]
+    want = np.zeros(basis.shape)
+    for _, ids in group:
+        for k in range(0, max(1, len(ids) - 16), 16):
+            v = np.bincount(ids[k : k + 32], minlength=41) * idf
+            v = v / (np.linalg.norm(v) or 1)
+            want += np.outer(v, v @ basis)
+    got = np.zeros(basis.shape)
+    terms, rows = decontaminate._pairs(idf, (idf[:, None] * basis).astype(np.float32), group)
+    got[terms] += rows
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_leaks_where_the_latent_space_is_fitted_on_a_sample(spark):
     bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
