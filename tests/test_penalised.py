@@ -106,3 +106,20 @@ def test_sums_of_many_tasks_meet_in_lanes(data, monkeypatch):
     want = sorted(map(str, penalised.fit_paths(rows, people, {"some": SETS["some"]}, [], lambdas=2, folds=2).losses.select("step", "chosen").collect()))
     monkeypatch.setattr(penalised, "LANES", 2)
     assert sorted(map(str, penalised.fit_paths(rows, people, {"some": SETS["some"]}, [], lambdas=2, folds=2).losses.select("step", "chosen").collect())) == want
+
+
+def test_conditions_of_the_written_people_are_those_of_the_rows(data):
+    _, _, rows, people = data
+    twice = rows.unionByName(rows.filter("feature = 'f3'"))  # rows of one feature of a person add up
+    fits = penalised.fit_paths(twice, people, SETS, ["f0", "f1"], lambdas=3, folds=3)
+    got = {(r["model"], r["feature"]): r for r in fits.conditions().collect()}
+    want = {(r["model"], r["feature"]): r for r in penalised.slopes(twice, people, fits.coefficients).collect()}
+    assert got.keys() == want.keys() and all(r["off"] < 1e-6 for r in got.values())
+    for key, r in want.items():
+        assert got[key]["n"] == r["n"] and got[key]["slope"] == pytest.approx(r["slope"], abs=1e-9) and got[key]["off"] == pytest.approx(r["off"], abs=1e-9)
+
+
+def test_rows_are_shuffled_once_for_vectors(data):
+    _, _, rows, people = data
+    plan = penalised.vectors(rows, people, ["f0", "f1"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(iid") <= 2  # rows, people
