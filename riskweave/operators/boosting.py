@@ -21,6 +21,8 @@ from .evaluation import rank_auc
 
 #: Bins of a column; features of one model; rounds after which scores are written; lanes of partial sums.
 BINS, MOST_FEATURES, CUT, LANES = 255, 3000, 10, 64
+#: People laid out at once; cells (bins of all features) up to which sums are products of matrices.
+SLICE, MOST_CELLS = 1024, 4096
 #: Of ten people of a fit, one is kept back where it may stop early.
 KEPT_BACK = 10
 
@@ -62,41 +64,78 @@ def column_edges(rows: DataFrame, features: list[str], bins: int = BINS) -> list
 
 
 def binned_people(rows: DataFrame, people: DataFrame, features: list[str], edges: list[np.ndarray], folds: int) -> DataFrame:
-    """(iid, y, fold, back, at, bin): the bins of the features that a person has; folds, and who is kept back, by hashes of the id."""
+    """(iid, y, fold, back, bin): the bins of all features as bytes; folds, and who is kept back, by hashes of the id."""
     if len(features) > MOST_FEATURES:
         raise ValueError(f"{len(features)} features; fit them in batches of {MOST_FEATURES}")
-    table = rows.sparkSession.createDataFrame([(i, f, [float(x) for x in e]) for i, (f, e) in enumerate(zip(features, edges, strict=True))], "at int, feature string, edges array<double>")
-    each = rows.join(F.broadcast(table), "feature").groupBy("iid", "at").agg(F.sum(F.col("x").cast("double")).alias("x"), F.first("edges").alias("edges"))
-    packed = each.select("iid", F.struct("at", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("bin")).alias("v")).groupBy("iid").agg(F.collect_list("v").alias("v"))
+    table = rows.sparkSession.createDataFrame(list(enumerate(features)), "at int, feature string")
+    each = rows.filter(F.col("x").isNotNull()).join(F.broadcast(table), "feature")
+    packed = each.groupBy("iid").agg(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x"))).alias("v"))
     lot = lambda word, n: F.pmod(F.crc32(F.concat(F.lit(word), F.col("iid").cast("string")).cast("binary")), F.lit(max(n, 1))).cast("int")
-    none = F.array().cast("array<int>")
     out = people.select("iid", (F.col("phenotype") - 1).cast("double").alias("y"), lot("", folds).alias("fold"), (lot("back", KEPT_BACK) == 0).alias("back")).join(packed, "iid", "left")
-    return out.select("iid", "y", "fold", "back", F.coalesce("v.at", none).alias("at"), F.coalesce("v.bin", none).alias("bin"))
+    out = out.select("iid", "y", "fold", "back", F.coalesce("v.at", F.array().cast("array<int>")).alias("at"), F.coalesce("v.x", F.array().cast("array<double>")).alias("x"))
+    k = len(features)
 
+    def dense(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), SLICE):
+                f = frame.iloc[lo : lo + SLICE]
+                x, sizes = np.zeros(len(f) * k), [len(a) for a in f["at"]]
+                if sum(sizes):
+                    cell = np.repeat(np.arange(len(f)), sizes) * k + np.concatenate(list(f["at"])).astype(int)
+                    x = np.bincount(cell, np.concatenate(list(f["x"])).astype(float), len(x))
+                x = x.reshape(len(f), k)
+                bin_ = np.column_stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)]).astype(np.uint16) if k else np.zeros((len(f), 0), np.uint16)
+                yield f[["iid", "y", "fold", "back"]].assign(bin=[r.tobytes() for r in bin_])
 
-def _matrix(f: pd.DataFrame, zero: np.ndarray) -> np.ndarray:
-    x = np.repeat(zero[None], len(f), 0)
-    sizes = [len(a) for a in f["at"]]
-    if sum(sizes):
-        x[np.repeat(np.arange(len(f)), sizes), np.concatenate(list(f["at"])).astype(int)] = np.concatenate(list(f["bin"]))
-    return x
+    return out.mapInPandas(dense, f"iid {dict(people.dtypes)['iid']}, y double, fold int, back boolean, bin binary")
+
+
+def _matrix(f: pd.DataFrame) -> np.ndarray:
+    """(people, features): bins, each feature's together."""
+    return np.asfortranarray(np.frombuffer(b"".join(f["bin"]), np.uint16).reshape(len(f), -1))
 
 
 def _leaf(x: np.ndarray, tree: tuple) -> np.ndarray:
     """The node of a tree that each person ends in."""
     feature, cut, _ = tree
-    node = np.zeros(len(x), int)
-    while True:
-        inner = np.flatnonzero(feature[node] >= 0)
-        if not len(inner):
-            return node
-        at = node[inner]
-        node[inner] = 2 * at + 1 + (x[inner, feature[at]] > cut[at])
+    node = np.zeros(len(x), np.int32)
+    for n in np.flatnonzero(feature >= 0):  # parents come before their children
+        node = np.where(node == n, 2 * n + 1 + (x[:, feature[n]] > cut[n]), node)
+    return node
+
+
+class Histograms:
+    """Sums by feature and bin of many columns at once: cells that people are in times what is summed, or, of very many cells, one by one."""
+
+    def __init__(self, sizes: list[int], bins: int):
+        self.k, self.bins, self.sizes = len(sizes), bins, np.array(sizes, int)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.cells = int(self.sizes.sum())
+        self.place = np.concatenate([np.arange(n) + j * bins for j, n in enumerate(sizes)]) if sizes else np.zeros(0, int)
+
+    def sums(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(features times bins, columns of w)."""
+        out = np.zeros((self.k * self.bins, w.shape[1]))
+        if self.cells > MOST_CELLS:
+            key = (x + np.arange(self.k) * self.bins).astype(int)
+            for i in range(w.shape[1]):
+                own = np.flatnonzero(w[:, i])
+                out[:, i] = np.bincount(key[own].ravel(), np.repeat(w[own, i], self.k), len(out))
+            return out
+        for lo in range(0, len(x), SLICE):
+            out[self.place] += self.inside(x[lo : lo + SLICE]).T @ w[lo : lo + SLICE]
+        return out
+
+    def inside(self, x: np.ndarray) -> np.ndarray:
+        """(people, cells): 1 where a person is."""
+        z = np.zeros((len(x), self.cells))
+        z[np.arange(len(x))[:, None], x + self.first] = 1
+        return z
 
 
 def _scores(f: pd.DataFrame, x: np.ndarray, fits: list[Fit], since: int) -> np.ndarray:
     """(people, fits): what stands in the table and what the trees since then add."""
-    base = np.array([np.frombuffer(b) for b in f["base"]]).reshape(len(f), -1)[:, [t.number for t in fits]].copy()
+    base = np.frombuffer(b"".join(f["base"])).reshape(len(f), -1)[:, [t.number for t in fits]].copy()
     for i, t in enumerate(fits):
         for tree in t.trees[since:]:
             base[:, i] += tree[2][_leaf(x, tree)]
@@ -125,30 +164,31 @@ def _allowed(t: Fit, features: int) -> np.ndarray:
 _SPLITS = "fit int, node int, feature int, bin int, gain double, slope double, curvature double, people double, left_slope double, left_curvature double, held_out double, first boolean, histogram binary"
 
 
-def _level(data: DataFrame, many: bool, fits: list[Fit], since: int, growing: dict[int, tuple], wanted: dict[int, list[tuple[int, int]]], parents: DataFrame | None, zero: np.ndarray, bins: int) -> DataFrame:
+def _level(data: DataFrame, many: bool, fits: list[Fit], since: int, growing: dict[int, tuple], wanted: dict[int, list[tuple[int, int]]], parents: DataFrame | None, sizes: list[int], bins: int) -> DataFrame:
     """Splits of the children of the parents, and their histograms. wanted: fit -> (parent, the smaller of its children); the root is its own."""
-    k = len(zero)
+    k = len(sizes)
     plan = [t for t in fits if wanted.get(t.number)]
     allowed = {t.number: _allowed(t, k) for t in plan}
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {(t.number, *w): np.zeros(k * bins * 3 + 1) for t in plan for w in wanted[t.number]}
+        histograms = Histograms(sizes, bins)
         for f in frames:
-            x, y = _matrix(f, zero), f["y"].to_numpy(float)
+            x, y = _matrix(f), f["y"].to_numpy(float)
             eta, fold, back = _scores(f, x, plan, since), f["fold"].to_numpy(), f["back"].to_numpy(bool)
-            column = np.arange(k) * bins
+            terms = []
             for i, t in enumerate(plan):
                 own, p = fold != t.fold, 1 / (1 + np.exp(-eta[:, i]))
                 kept = own & back if t.setting.patience else np.zeros(len(f), bool)
                 node = _leaf(x, growing[t.number])
                 for parent, child in wanted[t.number]:
-                    here = np.flatnonzero((node == child) & own & ~kept)
-                    key = (x[here] + column).ravel()
-                    sums = total[t.number, parent, child]
-                    for j, w in enumerate((p[here] - y[here], p[here] * (1 - p[here]), np.ones(len(here)))):
-                        sums[j : k * bins * 3 : 3] += np.bincount(key, np.repeat(w, k), k * bins)
+                    here = (node == child) & own & ~kept
+                    terms += [(p - y) * here, p * (1 - p) * here, here]
                     if parent == child and kept.any():
-                        sums[-1] += (np.logaddexp(0, eta[kept, i]) - y[kept] * eta[kept, i]).sum()
+                        total[t.number, parent, child][-1] += (np.logaddexp(0, eta[kept, i]) - y[kept] * eta[kept, i]).sum()
+            sums = histograms.sums(x, np.column_stack(terms).astype(float))
+            for i, t in enumerate(total.values()):
+                t[:-1] += sums[:, 3 * i : 3 * i + 3].ravel()
         yield pd.DataFrame({"fit": [a for a, _, _ in total], "parent": [b for _, b, _ in total], "node": [c for *_, c in total], "histogram": [s.tobytes() for s in total.values()]})
 
     def add(key, frame):
@@ -185,12 +225,12 @@ def _level(data: DataFrame, many: bool, fits: list[Fit], since: int, growing: di
     return written(sums.groupBy("fit", "parent").applyInPandas(split, _SPLITS), "splits")
 
 
-def _round(data: DataFrame, many: bool, fits: list[Fit], since: int, zero: np.ndarray, bins: int) -> None:
+def _round(data: DataFrame, many: bool, fits: list[Fit], since: int, sizes: list[int], bins: int) -> None:
     """One more tree for each fit that hasn't stopped."""
     growing = {t.number: t.blank() for t in fits}
     wanted, parents = {t.number: [(0, 0)] for t in fits}, None
     for depth in range(max(t.setting.depth for t in fits)):
-        table = _level(data, many, fits, since, growing, wanted, parents, zero, bins)
+        table = _level(data, many, fits, since, growing, wanted, parents, sizes, bins)
         released(parents)
         wanted, parents = {}, table
         found: dict[int, list] = {}
@@ -217,13 +257,13 @@ def _round(data: DataFrame, many: bool, fits: list[Fit], since: int, zero: np.nd
             t.stopped = True
 
 
-def _with_scores(data: DataFrame, fits: list[Fit], since: int, zero: np.ndarray, width: int) -> DataFrame:
+def _with_scores(data: DataFrame, fits: list[Fit], since: int, width: int) -> DataFrame:
     """The people with the scores that all trees give by now."""
 
     def rescore(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            new = np.array([np.frombuffer(b) for b in f["base"]]).reshape(len(f), width).copy()
-            new[:, [t.number for t in fits]] = _scores(f, _matrix(f, zero), fits, since)
+            new = np.frombuffer(b"".join(f["base"])).reshape(len(f), width).copy()
+            new[:, [t.number for t in fits]] = _scores(f, _matrix(f), fits, since)
             yield f.assign(base=[r.tobytes() for r in new])
 
     return written(data.mapInPandas(rescore, data.schema), "scored")
@@ -255,7 +295,7 @@ def fit_boosted(rows: DataFrame, people: DataFrame, features: list[str], setting
     one for each level of a tree. Ties between splits go to the first feature and the lowest cut, so reruns agree.
     """
     edges = column_edges(rows, features, bins)
-    zero = np.array([int((e < 0).sum()) for e in edges])
+    sizes = [len(e) + 1 for e in edges]
     bins = max(len(e) for e in edges) + 1 if edges else 1
     data = binned_people(rows, people, features, edges, folds)
     sides = range(folds) if folds else (-1,)
@@ -271,9 +311,9 @@ def fit_boosted(rows: DataFrame, people: DataFrame, features: list[str], setting
     since, parts = 0, []
     for i in range(1, max(iterations) + 1):
         if left := [t for t in fits if not t.stopped]:
-            _round(data, many, left, since, zero, bins)
+            _round(data, many, left, since, sizes, bins)
         if i % CUT == 0 or i in iterations:
-            before, data, since = data, _with_scores(data, fits, since, zero, len(fits)), i
+            before, data, since = data, _with_scores(data, fits, since, len(fits)), i
             released(before)
             for t in fits:
                 if len(t.trees) < i:  # one that has stopped has nothing to add from now on
@@ -293,7 +333,7 @@ def _aucs(data: DataFrame, fits: list[Fit], i: int) -> list[tuple[int, int, floa
 
     def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            base, fold = np.array([np.frombuffer(b) for b in f["base"]]).reshape(len(f), -1), f["fold"].to_numpy()
+            base, fold = np.frombuffer(b"".join(f["base"])).reshape(len(f), -1), f["fold"].to_numpy()
             for number, side in sides:
                 own = (fold == side) | (side < 0)
                 yield pd.DataFrame({"fit": number, "y": f["y"].to_numpy()[own].astype(int), "score": base[own, number]}).astype({"fit": "int32"})
@@ -304,12 +344,12 @@ def _aucs(data: DataFrame, fits: list[Fit], i: int) -> list[tuple[int, int, floa
 def root_gains(rows: DataFrame, people: DataFrame, features: list[str], setting: Setting) -> DataFrame:
     """(feature, cut, gain): the best first split of each feature on its own, from the histogram of the root."""
     edges = column_edges(rows, features)
-    zero, bins = np.array([int((e < 0).sum()) for e in edges]), max(len(e) for e in edges) + 1
+    bins = max(len(e) for e in edges) + 1
     data = binned_people(rows, people, features, edges, 0)
     n, c = data.agg(F.count("*"), F.sum("y")).head()
     t = Fit(0, setting, -1, float(np.log(c / (n - c))))
     data = written(data.withColumn("base", F.lit(np.array([t.start]).tobytes())), "boosted")
-    table = _level(data, False, [t], 0, {0: t.blank()}, {0: [(0, 0)]}, None, zero, bins)
+    table = _level(data, False, [t], 0, {0: t.blank()}, {0: [(0, 0)]}, None, [len(e) + 1 for e in edges], bins)
 
     def gains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -27,7 +27,6 @@ class Forest:
     labels: list[str]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     data: DataFrame
-    zero: np.ndarray
     seed: int
 
     def importance(self) -> DataFrame:
@@ -42,11 +41,11 @@ class Forest:
 
     def votes(self) -> DataFrame:
         """(iid, tested, label, y, p, trees): mean shares of the trees that haven't learnt from the person; p is null where all have."""
-        trees, zero, labels, seed = self.trees, self.zero, self.labels, self.seed
+        trees, labels, seed = self.trees, self.labels, self.seed
 
         def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                x, tested = _matrix(f, zero), f["tested"].to_numpy(bool)
+                x, tested = _matrix(f), f["tested"].to_numpy(bool)
                 weights = poisson_weights(f["key"].to_numpy(np.int64), np.arange(1, len(trees) + 1), seed)
                 total, n = np.zeros((len(f), len(labels))), np.zeros(len(f), int)
                 for t, tree in enumerate(trees):
@@ -91,17 +90,17 @@ def fit_forest(rows: DataFrame, labels: DataFrame, features: list[str], trees: i
     """
     names = sorted(r["label"] for r in labels.select("label").distinct().collect())
     edges = column_edges(rows, features, bins)
-    zero, bins = np.array([int((e < 0).sum()) for e in edges]), max(len(e) for e in edges) + 1
+    bins = max(len(e) for e in edges) + 1
     wide = labels.groupBy("iid").pivot("label", names).agg(F.max(F.col("y").cast("double"))).fillna(0.0, names)
     marked = wide.select("iid", F.xxhash64("iid").alias("key"), F.array(*(F.col(f"`{n}`") for n in names)).alias("ys"), (F.lit(False) if tested is None else tested).alias("tested"))
-    vectors = binned_people(rows, wide.select("iid", F.lit(1).alias("phenotype")), features, edges, 0).select("iid", "at", "bin")
+    vectors = binned_people(rows, wide.select("iid", F.lit(1).alias("phenotype")), features, edges, 0).select("iid", "bin")
     data = written(marked.join(vectors, "iid"), "forest")
     many = data.select(F.spark_partition_id().alias("task")).distinct().count() > LANES
     size, k, n_labels = 2 ** (depth + 1) - 1, len(features), len(names)
     grown = [(np.full(size, -1), np.zeros(size, int), np.zeros((size, n_labels)), np.zeros((size, n_labels))) for _ in range(trees)]
     open_ = dict.fromkeys(range(trees), [0])
     for level in range(depth):
-        found = _grow(data, many, grown, open_, zero, bins, k, n_labels, least, seed)
+        found = _grow(data, many, grown, open_, bins, k, n_labels, least, seed)
         open_ = {}
         for r in found:
             feature, cut, shares, gains = grown[r["tree"]]
@@ -113,17 +112,17 @@ def fit_forest(rows: DataFrame, labels: DataFrame, features: list[str], trees: i
                 open_.setdefault(r["tree"], []).extend((2 * n + 1, 2 * n + 2))
         if not open_:
             break
-    return Forest(features, names, grown, data, zero, seed)
+    return Forest(features, names, grown, data, seed)
 
 
-def _grow(data: DataFrame, many: bool, grown: list, open_: dict[int, list[int]], zero: np.ndarray, bins: int, k: int, n_labels: int, least: int, seed: int) -> list:
+def _grow(data: DataFrame, many: bool, grown: list, open_: dict[int, list[int]], bins: int, k: int, n_labels: int, least: int, seed: int) -> list:
     """The splits of all open nodes."""
     width = n_labels + 1
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {t: np.zeros(len(nodes) * k * bins * width) for t, nodes in open_.items()}
         for f in frames:
-            x, y, learns = _matrix(f, zero), np.array(list(f["ys"])).reshape(len(f), -1), ~f["tested"].to_numpy(bool)
+            x, y, learns = _matrix(f), np.array(list(f["ys"])).reshape(len(f), -1), ~f["tested"].to_numpy(bool)
             weights = poisson_weights(f["key"].to_numpy(np.int64), np.arange(1, len(grown) + 1), seed)
             for t, nodes in open_.items():
                 node = _leaf(x, grown[t][:3])

@@ -129,3 +129,25 @@ def test_columns_are_drawn_anew_for_each_tree():
         seen.add(tuple(np.flatnonzero(H._allowed(t, 12))))
         t.trees.append(None)
     assert all(len(s) == 3 for s in seen) and len(seen) > 10
+
+
+def test_histograms_are_the_same_by_products_and_by_counts(monkeypatch):
+    r = np.random.default_rng(3)
+    sizes = [3, 1, 7, 2]
+    x = np.column_stack([r.integers(0, n, 2500) for n in sizes]).astype(np.uint16)
+    w = r.normal(size=(2500, 5)) * (r.random((2500, 5)) < 0.6)
+    want = np.zeros((4, 7, 5))
+    for j in range(4):
+        np.add.at(want[j], x[:, j], w)
+    h = H.Histograms(sizes, 7)
+    products = h.sums(x, w)
+    monkeypatch.setattr(H, "MOST_CELLS", 5)
+    for got in (products, h.sums(x, w)):
+        assert np.allclose(got.reshape(4, 7, 5), want)
+
+
+def test_bins_of_people_add_rows_and_take_absence_as_zero(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (2, "b", -1.0), (2, "a", None)], "iid long, feature string, x double")
+    people = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "iid long, phenotype int")
+    found = H.binned_people(rows, people, ["a", "b"], [np.array([0.0, 2.5]), np.array([-2.0, -0.5, 0.0])], 2).orderBy("iid").toPandas()
+    assert H._matrix(found).tolist() == [[2, 2], [0, 1], [0, 2]]
