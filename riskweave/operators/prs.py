@@ -43,6 +43,19 @@ def directed(weights: DataFrame, coef: str = "coef100") -> DataFrame:
     return weights.withColumn("direction", F.explode(kinds))
 
 
+def directed_score(genotype: DataFrame, weights: DataFrame, environment: DataFrame, by: str, out: str = "prs100") -> DataFrame:
+    """(iid, model, direction, out) of genotypes (iid, snp, dosage), from weights by variant (model, direction, snp, env, c).
+
+    What goes with the environment (env is 1) is multiplied by the person's value in the column `by`, and isn't there without one. Weights are few. One sum by
+    person stands before the join, so nothing larger than the scores is exchanged if genotypes lie by person.
+    """
+    part = lambda env: F.sum(F.when(F.col("env") == env, F.col("dosage") * F.col("c")))
+    sums = genotype.join(F.broadcast(weights), "snp").groupBy("iid", "model", "direction").agg(part(0).alias("plain"), part(1).alias("times"))
+    score = F.coalesce("plain", F.lit(0)) + F.coalesce(F.col("times") * F.col(by), F.lit(0))
+    there = F.col("plain").isNotNull() | (F.col("times") * F.col(by)).isNotNull()
+    return sums.join(environment.select("iid", by), "iid", "left").filter(there).select("iid", "model", "direction", score.cast("long").alias(out))
+
+
 def saturation(rows: DataFrame, weights: DataFrame, people: DataFrame, step: int, coef: str = "coef100") -> DataFrame:
     """(model, direction, k, mean_diff): difference of means with the k strongest features, for k in steps and all.
 
