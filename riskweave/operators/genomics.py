@@ -10,6 +10,7 @@ from ..functions.scalars import count_if
 from ..functions.stats import hwe_exact
 from ..sources.shared import written
 from .evaluation import with_p
+from .prs import BROADCAST_ROWS
 
 
 def genotype_counts(genotype: DataFrame, n_people: int) -> DataFrame:
@@ -107,11 +108,18 @@ def keep_people(genotype: DataFrame, keep: DataFrame | None = None, remove: Data
 
 
 def merge_variants(parts: list[DataFrame], variants: DataFrame | None = None) -> DataFrame:
-    """Chromosomes one below the other, restricted to the variants that passed elsewhere."""
+    """Chromosomes one below the other, restricted to the variants that passed elsewhere.
+
+    A list of variants goes to the genotypes if it is short (it is counted): by variant, a common one's genotypes would all lie in one task.
+    """
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out if variants is None else out.join(variants.select("snp"), "snp", "left_semi")
+    if variants is None:
+        return out
+    names = variants.select("snp")
+    few = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return out.join(F.broadcast(names) if few else names, "snp", "left_semi")
 
 
 def tags(edges: DataFrame, least: float = 0.6) -> DataFrame:

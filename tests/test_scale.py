@@ -27,3 +27,14 @@ def test_directed_score(spark):
     orders = spark.createDataFrame([(1, 4), (3, 9)], "iid long, n long")
     got = R.directed_score(genotype, weights, orders, "n", "s")
     assert sorted(map(tuple, got.collect())) == [(1, "m", "protect", 0), (1, "m", "risk", 22), (2, "m", "protect", 0), (3, "m", "risk", 5)]
+
+
+def test_merged_variants_are_not_dealt_by_variant(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select("id", (F.col("id") % 4).alias("snp"))
+        out = G.merge_variants([rows.filter("snp < 2"), rows.filter("snp >= 2")], spark.createDataFrame([(1,), (2,)], "snp long"))
+        assert "hashpartitioning(snp" not in plan(out)
+        assert out.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
