@@ -263,8 +263,9 @@ def report_sheets(v):
 @query("SELECT family, split, iid, feature, x FROM (SELECT 'pair' AS family, iid, feature, CAST(x AS BIGINT) AS x FROM pair_rows UNION ALL SELECT 'gxe', iid, feature, CAST(x AS BIGINT) FROM gxe_rows) r JOIN split USING (iid)")
 def interaction_matrices(v):
     path = folder(v.spark, "matrices")
-    rows = v.pair_rows.select("iid", "feature", F.col("x").cast("long").alias("x"), F.lit("pair").alias("family")).unionByName(v.gxe_rows.select("iid", "feature", F.col("x").cast("long").alias("x"), F.lit("gxe").alias("family")))
-    OUT.write_matrices(rows.join(v.split.select("iid", "split"), "iid"), path)
+    split = v.split.select("iid", "split")
+    of = lambda rows, family: rows.join(split, "iid").select("iid", "feature", F.col("x").cast("long").alias("x"), "split", F.lit(family).alias("family"))
+    OUT.write_matrices(of(v.pair_rows, "pair").unionByName(of(v.gxe_rows, "gxe")), path)  # each joined where its rows lie
     return v.spark.read.parquet(path).select(F.col("family").cast("string").alias("family"), F.col("split").cast("string").alias("split"), "iid", "feature", "x")
 
 

@@ -1,7 +1,10 @@
 """How tables are laid out: what a task holds doesn't grow with the input."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from riskweave import queries, queries_files
 from riskweave.operators import genomics as G
 from riskweave.operators import prs as R
 from riskweave.plans import fixtures
@@ -38,3 +41,17 @@ def test_merged_variants_are_not_dealt_by_variant(spark):
         assert out.count() == 50
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_task_ranks_a_whole_class_for_the_split(spark):
+    sorted_in = [line for line in plan(fixtures.frame(spark, SMALL, "split")).splitlines() if "row_number()" in line and "Window [" in line]
+    assert sorted_in and all(re.search(r"\[phenotype#\d+, slice#\d+\]", line) for line in sorted_in)
+
+
+def test_interaction_rows_stay_where_they_lie(spark, monkeypatch):
+    """Families are joined with the split before they are put together; both families' rows are exchanged once, as genotypes."""
+    seen = []
+    monkeypatch.setattr(queries_files.OUT, "write_matrices", lambda df, path: (seen.append(plan(df)), df.write.partitionBy("family", "split").parquet(path)))
+    queries.QUERIES["interaction_matrices"](spark, SMALL)
+    top = seen[0].split("Union", 1)[0]
+    assert "Exchange" not in top
