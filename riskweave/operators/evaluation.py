@@ -175,16 +175,23 @@ def paired_scores(frame: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return s.select(*by, "n", "pearson", F.when(inside, F.tanh(F.atanh(r) - z)).alias("ci_low"), F.when(inside, F.tanh(F.atanh(r) + z)).alias("ci_high"), "spearman", F.when(F.col("sd") > 0, F.col("md") / (F.col("sd") / F.sqrt("n"))).alias("t"))
 
 
+def paired(scores: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(phenotype, model1, model2, h1, h2, s1, s2) of each person and pair: by one sum over a person's models, not by joining people with themselves.
+
+    scores: (iid, phenotype, model, high, scaled_prs).
+    """
+    models = sorted({m for p in pairs for m in p})
+    wide = scores.groupBy("iid", "phenotype").pivot("model", models).agg(F.max("high").alias("h"), F.max("scaled_prs").alias("s"))
+    named = F.explode(F.array(*(F.struct(F.lit(a).alias("model1"), F.lit(b).alias("model2"), F.col(f"`{a}_h`").alias("h1"), F.col(f"`{b}_h`").alias("h2"), F.col(f"`{a}_s`").alias("s1"), F.col(f"`{b}_s`").alias("s2")) for a, b in pairs)))
+    return wide.select("phenotype", named.alias("r")).select("phenotype", "r.*")
+
+
 def reclassification(flags: DataFrame, scores: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Net reclassification from model1 to model2 among cases and controls, its standard error, and integrated discrimination.
 
     The error divides by n twice, as the published tables do; see the README.
     """
-    models = sorted({m for p in pairs for m in p})
-    rows = flags.join(scores.select("iid", "model", "scaled_prs"), ["iid", "model"])
-    wide = rows.groupBy("iid", "phenotype").pivot("model", models).agg(F.max(F.col("high").cast("int")).alias("h"), F.max("scaled_prs").alias("s"))
-    named = F.explode(F.array(*(F.struct(F.lit(a).alias("model1"), F.lit(b).alias("model2"), F.col(f"`{a}_h`").alias("h1"), F.col(f"`{b}_h`").alias("h2"), F.col(f"`{a}_s`").alias("s1"), F.col(f"`{b}_s`").alias("s2")) for a, b in pairs)))
-    r = wide.select("phenotype", named.alias("r")).select("phenotype", "r.*")
+    r = paired(flags.join(scores.select("iid", "model", "scaled_prs"), ["iid", "model"]), pairs)
     case = F.col("phenotype") == 2
     up, down = F.col("h2") > F.col("h1"), F.col("h2") < F.col("h1")
     mean = lambda c, k: F.avg(F.when(k, F.col(c)))

@@ -55,3 +55,10 @@ def test_interaction_rows_stay_where_they_lie(spark, monkeypatch):
     queries.QUERIES["interaction_matrices"](spark, SMALL)
     top = seen[0].split("Union", 1)[0]
     assert "Exchange" not in top
+
+
+def test_correlations_join_nobody_with_themselves(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.V, "paired_scores", lambda rows, *a, f=queries.V.paired_scores: seen.append(plan(rows)) or f(rows, *a))
+    queries.QUERIES["pearson_spearman_ttest"](spark, SMALL)
+    assert "Join" not in seen[0] and seen[0].count("Scan parquet") == 1  # pairs are written once, ranks read them
