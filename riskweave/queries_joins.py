@@ -337,6 +337,7 @@ def dropped_models(v):
     UNION ALL SELECT model1, model2, 'nri', nri FROM ({SQL["nri_idi"]}) UNION ALL SELECT model1, model2, 'idi', idi FROM ({SQL["nri_idi"]})""")
 def every_test(v):
     """The tests of all_tests, and overlap, correlations, paired t, net reclassification and integrated discrimination."""
+    v.kept["flags"] = written(_flags(v), "flags")  # all but one of them start from these
     overlap, paired, moved = overlap_hypergeometric(v), written(pearson_spearman_ttest(v), "paired"), written(nri_idi(v), "moved")
     more = {"overlap": (overlap, "overlap_ratio"), "hypergeometric": (overlap, "overlap_p"), "pearson": (paired, "pearson"), "spearman": (paired, "spearman"), "paired t": (paired, "t"), "nri": (moved, "nri"), "idi": (moved, "idi")}
     return all_tests(v).unionByName(V.all_tests(more))

@@ -62,3 +62,10 @@ def test_correlations_join_nobody_with_themselves(spark, monkeypatch):
     monkeypatch.setattr(queries.V, "paired_scores", lambda rows, *a, f=queries.V.paired_scores: seen.append(plan(rows)) or f(rows, *a))
     queries.QUERIES["pearson_spearman_ttest"](spark, SMALL)
     assert "Join" not in seen[0] and seen[0].count("Scan parquet") == 1  # pairs are written once, ranks read them
+
+
+def test_every_test_bins_people_once(spark, monkeypatch):
+    times = []
+    monkeypatch.setattr(queries, "_binned", lambda v, n, f=queries._binned: times.append(n) or f(v, n))
+    queries.QUERIES["every_test"](spark, SMALL)
+    assert times == [10]
