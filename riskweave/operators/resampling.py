@@ -18,6 +18,8 @@ from ..sources.shared import written
 
 #: People whose weights are laid out at once, and replicates; lanes in which partial sums meet first.
 SLICE, BLOCK, LANES = 2048, 512, 64
+#: Lots in which people who are alike are summed; people for each such row from which on it is worth it; people in a task.
+SALT, FEW, PEOPLE = 8, 4, 100_000
 #: A Poisson(1) weight for each of 65536 equal parts of a hash; the mean is right to 1e-4.
 POISSON = np.searchsorted(np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(12)])), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
 
@@ -117,10 +119,50 @@ def _added(sums: DataFrame, many: bool) -> DataFrame:
 _PLAIN = ("n", "c", "ll", "up", "down")
 
 
+def _fit_weights(key: np.ndarray, fits: np.ndarray, drawn: int, groups: int, seed: int) -> np.ndarray:
+    """(people, fits): each person's weight in some of the fits; those from `drawn` on leave out a group each."""
+    w = poisson_weights(key, fits, seed)
+    left_out = fits >= drawn
+    if left_out.any():
+        w[:, left_out] = (key[:, None] % max(groups, 1)) != (fits[left_out] - drawn)[None]
+    return w
+
+
+def _alike(data: DataFrame, columns: list[str], drawn: int, groups: int, seed: int) -> DataFrame:
+    """(model, y, columns, weights): people of a model with equal y and columns as one row with the sums of their weights in all fits.
+
+    Sums are whole numbers, so fits are those of the people. Many that are alike are dealt by a hash of the person too, and summed in stretches of a sorted
+    task; a row for each stretch. Where there would be less than FEW people to a row they stay as they are: the weights of all fits are long.
+    """
+    own, n = ["model", "y", *columns], data.count()
+    lot = F.pmod("key", F.lit(SALT)).alias("lot")
+    if data.groupBy(*own, lot).agg(F.count("*").alias("n")).count() * FEW > n:
+        return data
+    every = np.arange(drawn + groups)
+
+    def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), SLICE):
+                part = frame.iloc[lo : lo + SLICE]
+                new = (part[own] != part[own].shift()).any(axis=1).to_numpy()
+                new[0] = True
+                first, key = np.flatnonzero(new), part["key"].to_numpy(np.int64)
+                w = np.concatenate([np.add.reduceat(_fit_weights(key, every[r : r + BLOCK], drawn, groups, seed), first, axis=0, dtype=np.uint32) for r in range(0, len(every), BLOCK)], 1)
+                yield part[own].iloc[first].assign(weights=[x.tobytes() for x in w])
+
+    tasks = max(2 * data.sparkSession.sparkContext.defaultParallelism, n // PEOPLE + 1)
+    kinds = ", ".join(f"`{c}` double" for c in columns)
+    return written(data.select(*own, "key").repartition(tasks, *own, lot).sortWithinPartitions(*own).mapInPandas(stretches, f"model string, y double, {kinds}, weights binary"), "alike")
+
+
 def _refit_pass(data: DataFrame, many: bool, columns: list[str], betas: dict[str, np.ndarray], means: dict, scales: dict, groups: int, seed: int) -> dict[str, np.ndarray]:
     """Model -> (fits, sums): weighted sums of all fits where they stand. Fits: all people, the replicates, all people but one group."""
     k, fits = len(columns) + 1, len(next(iter(betas.values())))
-    drawn, pairs = fits - groups, [(i, j) for i in range(k) for j in range(i, k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    if "weights" in data.columns:
+        weights = lambda part, some: np.frombuffer(b"".join(part["weights"]), np.uint32).reshape(len(part), -1)[:, some]
+    else:
+        weights = lambda part, some: _fit_weights(part["key"].to_numpy(np.int64), some, fits - groups, groups, seed)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -129,15 +171,12 @@ def _refit_pass(data: DataFrame, many: bool, columns: list[str], betas: dict[str
                 t = total.setdefault(model, np.zeros((fits, len(_PLAIN) + k + len(pairs))))
                 for lo in range(0, len(f), SLICE):
                     part = f.iloc[lo : lo + SLICE]
-                    key, y = part["key"].to_numpy(np.int64), part["y"].to_numpy(float)[:, None]
+                    y = part["y"].to_numpy(float)[:, None]
                     x = np.column_stack([(part[columns].to_numpy(float) - means[model]) * scales[model], np.ones(len(part))])
                     cross = np.column_stack([x[:, i] * x[:, j] for i, j in pairs])
                     for r in range(0, fits, BLOCK):
                         some = np.arange(r, min(fits, r + BLOCK))
-                        w = poisson_weights(key, some, seed).astype(float)
-                        left_out = some >= drawn
-                        if left_out.any():
-                            w[:, left_out] = (key[:, None] % max(groups, 1)) != (some[left_out] - drawn)[None]
+                        w = weights(part, some).astype(float)
                         eta = x @ betas[model][some].T
                         p = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
                         wy = w * y
@@ -196,13 +235,15 @@ def refit_r2(rows: DataFrame, columns: list[str], replicates: int = 2000, groups
     are fitted anew in every replicate, with bias-corrected and accelerated bounds; the acceleration is from fits without one of `groups` groups.
 
     rows: (iid, model, y, columns); people with a null among these don't count. All fits of all models take Newton steps in the same passes over the
-    people: a pass gives sums of fixed size for each fit. Without replicates there are no bounds, and errors are null. The models' columns are few.
+    people: a pass gives sums of fixed size for each fit. People who are alike are one row with the weights of all, where there are many. Without replicates there are no bounds, and errors are null. The models' columns are few.
     """
     data = written(rows.select("model", F.col("y").cast("double").alias("y"), F.xxhash64("iid").alias("key"), *(F.col(c).cast("double").alias(c) for c in columns)).na.drop(), "refit")
-    many = data.select(F.spark_partition_id().alias("task")).distinct().count() > LANES
     stats = data.groupBy("model").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{name}") for c in columns for name, f in (("m", F.avg), ("s", F.stddev_pop)))).collect()
     means = {r["model"]: np.array([r[f"{c}_m"] for c in columns]) for r in stats}
     scales = {r["model"]: np.array([1 / r[f"{c}_s"] if r[f"{c}_s"] else 0.0 for c in columns]) for r in stats}
+    if replicates:
+        data = _alike(data, columns, 1 + replicates, groups, seed)
+    many = data.select(F.spark_partition_id().alias("task")).distinct().count() > LANES
     k, fitted = len(columns) + 1, {}
     for fits, left in ((1, 0), (1 + replicates + groups * (replicates > 0), groups * (replicates > 0))):  # the people themselves, then all from there
         betas = {m: np.repeat(fitted[m][None], fits, 0) if m in fitted else np.zeros((fits, k)) for m in means}

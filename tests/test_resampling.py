@@ -133,3 +133,15 @@ def test_mean_over_bins(spark):
 def test_quantiles_of_t():
     assert t_quantile(0.975, 9) == pytest.approx(2.262157163) and t_quantile(0.975, 1) == pytest.approx(12.706204736)
     assert all(t_sf2(t_quantile(p, df), df) == pytest.approx(2 * (1 - p)) for p in (0.6, 0.9, 0.999) for df in (1, 3, 50, 1e4))
+
+
+def test_people_who_are_alike_are_fitted_as_one_row(spark, monkeypatch):
+    rows = spark.range(9000).select(F.col("id").alias("iid"), F.lit("m").alias("model"), (F.col("id") % 7).cast("double").alias("x"), (F.crc32(F.col("id").cast("string").cast("binary")) % 11 < F.col("id") % 7).cast("int").alias("y"))
+    seen = []
+    monkeypatch.setattr(Z, "_refit_pass", lambda data, *a, f=Z._refit_pass: seen.append(data) or f(data, *a))
+    got = Z.refit_r2(rows, ["x"], replicates=50, groups=10).head()
+    assert 14 <= seen[-1].count() < 9000 / Z.FEW
+    monkeypatch.setattr(Z, "FEW", 10**9)  # each on their own
+    want = Z.refit_r2(rows, ["x"], replicates=50, groups=10).head()
+    assert seen[-1].count() == 9000
+    assert all(a == b if isinstance(b, str) else abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
