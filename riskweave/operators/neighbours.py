@@ -13,6 +13,8 @@ from ..sources.shared import written
 
 #: Pivots at most; the number grows with the square root of the points that can be neighbours. What a task holds of them is bounded.
 MOST_PIVOTS = 4096
+#: Distances of rows to pivots that a task lays out at once.
+CELLS = 1 << 19
 
 
 def _numbers(df: DataFrame, features: list[str]) -> list[Column]:
@@ -23,6 +25,14 @@ def _distance(features: list[str]) -> Column:
     return F.sqrt(sum(((F.col(f"f{i}") - F.col(f"g{i}")) * (F.col(f"f{i}") - F.col(f"g{i}")) for i in range(len(features))), F.lit(0.0)))
 
 
+def _parts(frames: Iterator[pd.DataFrame], pivots: int) -> Iterator[pd.DataFrame]:
+    """The frames in parts of so many rows that their distances to all pivots are at most CELLS."""
+    step = max(1, CELLS // max(pivots, 1))
+    for f in frames:
+        for lo in range(0, len(f), step):
+            yield f.iloc[lo : lo + step]
+
+
 def _to_pivots(f: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
     x = f[[f"f{i}" for i in range(pivots.shape[1])]].to_numpy(float)
     return np.sqrt(sum((x[:, None, i] - pivots[None, :, i]) ** 2 for i in range(pivots.shape[1])))
@@ -57,7 +67,7 @@ def nearest_means(known: DataFrame, asked: DataFrame, target: str, features: lis
     pivots = np.array([list(r) for r in drawn], float).reshape(-1, len(features))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in _parts(frames, len(pivots)):
             d = _to_pivots(f, pivots)
             yield f.assign(cell=d.argmin(1).astype(np.int32), r=d.min(1))
 
@@ -69,7 +79,7 @@ def nearest_means(known: DataFrame, asked: DataFrame, target: str, features: lis
 
     def look(first: bool):
         def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in _parts(frames, len(pivots)):
                 d = _to_pivots(f, pivots)
                 order = np.argsort(d, 1, kind="stable")
                 held = np.cumsum(sizes[order], 1)

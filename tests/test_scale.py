@@ -2,10 +2,13 @@
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from riskweave import queries, queries_files
 from riskweave.operators import genomics as G
+from riskweave.operators import neighbours
 from riskweave.operators import prs as R
 from riskweave.plans import fixtures
 
@@ -69,3 +72,10 @@ def test_every_test_bins_people_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_binned", lambda v, n, f=queries._binned: times.append(n) or f(v, n))
     queries.QUERIES["every_test"](spark, SMALL)
     assert times == [10]
+
+
+def test_distances_to_pivots_are_laid_out_in_bounded_parts():
+    frame = pd.DataFrame({"f0": np.arange(10_000.0)})
+    parts = list(neighbours._parts(iter([frame, frame.head(3)]), neighbours.MOST_PIVOTS))
+    assert max(len(p) for p in parts) * neighbours.MOST_PIVOTS <= neighbours.CELLS
+    assert pd.concat(parts)["f0"].tolist() == [*frame["f0"], 0.0, 1.0, 2.0]
