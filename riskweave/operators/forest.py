@@ -18,6 +18,9 @@ from ..sources.shared import written
 from .boosting import BINS, LANES, _leaf, _matrix, binned_people, column_edges
 from .resampling import poisson_weights
 
+#: People laid out at once: their weights in all trees stay small, whatever a batch holds.
+SLICE = 4096
+
 
 @dataclass
 class Forest:
@@ -46,12 +49,14 @@ class Forest:
         def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 x, tested = _matrix(f), f["tested"].to_numpy(bool)
-                weights = poisson_weights(f["key"].to_numpy(np.int64), np.arange(1, len(trees) + 1), seed)
-                total, n = np.zeros((len(f), len(labels))), np.zeros(len(f), int)
-                for t, tree in enumerate(trees):
-                    out = (weights[:, t] == 0) | tested
-                    total[out] += tree[2][_leaf(x[out], tree[:3])]
-                    n += out
+                key, total, n = f["key"].to_numpy(np.int64), np.zeros((len(f), len(labels))), np.zeros(len(f), int)
+                for lo in range(0, len(f), SLICE):
+                    here = slice(lo, lo + SLICE)
+                    weights = poisson_weights(key[here], np.arange(1, len(trees) + 1), seed)
+                    for t, tree in enumerate(trees):
+                        out = (weights[:, t] == 0) | tested[here]
+                        total[here][out] += tree[2][_leaf(x[here], tree[:3])[out]]
+                        n[here] += out
                 y = np.array(list(f["ys"])).reshape(len(f), -1)
                 for j, label in enumerate(labels):
                     yield pd.DataFrame({"iid": f["iid"], "tested": tested, "label": label, "y": y[:, j].astype(int), "p": np.where(n > 0, total[:, j] / np.maximum(n, 1), np.nan), "trees": n})
@@ -77,7 +82,7 @@ def best_split(histogram: np.ndarray, allowed: np.ndarray, least: int) -> tuple[
 
 
 def drawn_columns(seed: int, tree: int, node: int, features: int) -> np.ndarray:
-    """The square root of the features, drawn anew for each node."""
+    """Which features a node may split on: the square root of them, drawn anew for each node."""
     drawn = np.random.Generator(np.random.Philox(key=[seed * 1_000_003 + tree, node])).permutation(features)[: int(np.ceil(np.sqrt(features)))]
     return np.isin(np.arange(features), drawn)
 
@@ -86,7 +91,7 @@ def fit_forest(rows: DataFrame, labels: DataFrame, features: list[str], trees: i
     """A forest of rows (iid, feature, x), no row is 0, for labels (iid, label, y of 0 or 1); a person without a row for a label hasn't it.
 
     Who is `tested`, a condition on iid, takes no part in the fit. least: people (by weight) in a leaf. A pass sums, for each tree and open node,
-    cases of every label by feature and bin; the driver gets the splits. Reruns agree.
+    cases of every label by bin of the features that the node has drawn; the driver gets the splits. Reruns agree.
     """
     names = sorted(r["label"] for r in labels.select("label").distinct().collect())
     edges = column_edges(rows, features, bins)
@@ -118,19 +123,29 @@ def fit_forest(rows: DataFrame, labels: DataFrame, features: list[str], trees: i
 def _grow(data: DataFrame, many: bool, grown: list, open_: dict[int, list[int]], bins: int, k: int, n_labels: int, least: int, seed: int) -> list:
     """The splits of all open nodes."""
     width = n_labels + 1
+    drawn = {t: np.stack([np.flatnonzero(drawn_columns(seed, t, n, k)) for n in nodes]) for t, nodes in open_.items()}  # (nodes, columns)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {t: np.zeros(len(nodes) * k * bins * width) for t, nodes in open_.items()}
-        for f in frames:
-            x, y, learns = _matrix(f), np.array(list(f["ys"])).reshape(len(f), -1), ~f["tested"].to_numpy(bool)
-            weights = poisson_weights(f["key"].to_numpy(np.int64), np.arange(1, len(grown) + 1), seed)
-            for t, nodes in open_.items():
-                node = _leaf(x, grown[t][:3])
-                own = np.flatnonzero(learns & (weights[:, t] > 0) & np.isin(node, nodes))
-                key = ((np.searchsorted(nodes, node[own])[:, None] * k + np.arange(k)) * bins + x[own]).ravel()
-                w = weights[own, t].astype(float)
-                for j in range(width):
-                    total[t][j::width] += np.bincount(key, np.repeat(w * y[own, j] if j < n_labels else w, k), len(nodes) * k * bins)
+        total = {t: np.zeros(drawn[t].size * bins * width) for t in open_}
+        place = {t: np.full(len(grown[t][0]), -1) for t in open_}
+        for t, nodes in open_.items():
+            place[t][nodes] = np.arange(len(nodes))
+        for frame in frames:
+            frame = frame[~frame["tested"].to_numpy(bool)]
+            for lo in range(0, len(frame), SLICE):
+                f = frame.iloc[lo : lo + SLICE]
+                x, cases = _matrix(f), np.array(list(f["ys"])).reshape(len(f), -1)
+                weights = poisson_weights(f["key"].to_numpy(np.int64), np.arange(1, len(grown) + 1), seed)
+                for t in open_:
+                    at = place[t][_leaf(x, grown[t][:3])]
+                    own = np.flatnonzero((weights[:, t] > 0) & (at >= 0))
+                    columns = drawn[t][at[own]]
+                    key = (at[own, None] * columns.shape[1] + np.arange(columns.shape[1])) * bins + x[own[:, None], columns]
+                    w, y = weights[own, t].astype(float), cases[own]
+                    for j in range(width):
+                        some = np.flatnonzero(y[:, j]) if j < n_labels else slice(None)
+                        each = w[some] * y[some, j] if j < n_labels else w
+                        total[t][j::width] += np.bincount(key[some].ravel(), np.repeat(each, key.shape[1]), drawn[t].size * bins)
         yield pd.DataFrame({"tree": list(total), "sums": [s.tobytes() for s in total.values()]})
 
     def add(key, frame):
@@ -138,10 +153,10 @@ def _grow(data: DataFrame, many: bool, grown: list, open_: dict[int, list[int]],
 
     def split(key, frame):
         t, out = int(key[0]), []
-        sums = sum(np.frombuffer(b) for b in frame["sums"]).reshape(len(open_[t]), k, bins, width)
-        for n, h in zip(open_[t], sums, strict=True):
-            gains, feature, cut = best_split(h, drawn_columns(seed, t, n, k), least)
-            whole, left = h[0].sum(0), h[feature, : cut + 1].sum(0)
+        sums = sum(np.frombuffer(b) for b in frame["sums"]).reshape(*drawn[t].shape, bins, width)
+        for n, columns, h in zip(open_[t], drawn[t], sums, strict=True):
+            gains, best, cut = best_split(h, np.ones(len(columns), bool), least)
+            feature, whole, left = int(columns[best]), h[0].sum(0), h[best, : cut + 1].sum(0)
             share = lambda s: (s[:-1] / max(s[-1], 1e-300)).tobytes()
             out.append((t, n, feature if gains.sum() > 1e-9 else -1, cut, gains.tobytes(), share(whole), share(left), share(whole - left)))
         return pd.DataFrame(out, columns=["tree", "node", "feature", "bin", "gains", "here", "left", "right"])

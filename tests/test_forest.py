@@ -1,6 +1,7 @@
 """A forest for several labels against a plain one that tries every cut."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,25 @@ def test_gain_is_over_all_labels():
     gains, feature, cut = forest.best_split(h, np.ones(2, bool), 1)
     assert (feature, cut) == (0, 0) and gains == pytest.approx([10, 0])
     assert forest.best_split(h, np.array([False, True]), 1)[1] == 1 and np.isinf(forest.best_split(h, np.ones(2, bool), 11)[0]).all()
+
+
+def test_passes_sum_what_a_node_may_split_on(spark, monkeypatch):
+    """Of 16 features a node draws 4: no pass lays out sums of the others, and no weights of more than a slice of people at once."""
+    sizes, people, n = [], [], 5000
+    zeros, weights = np.zeros, forest.poisson_weights
+    frame = pd.DataFrame({"key": np.arange(n), "tested": False, "ys": [np.array([float(i % 3 == 0)]) for i in range(n)], "bin": [np.array([i >> j & 1 for j in range(16)], np.uint16).tobytes() for i in range(n)]})
+
+    class Rows:
+        """What a pass asks of the people, here one frame."""
+
+        def mapInPandas(self, f, schema):
+            monkeypatch.setattr(forest.np, "zeros", lambda size, *a, **k: sizes.append(size) or zeros(size, *a, **k))
+            monkeypatch.setattr(forest, "poisson_weights", lambda key, *a: people.append(len(key)) or weights(key, *a))
+            out = pd.concat(f(iter([frame])))
+            monkeypatch.undo()
+            return spark.createDataFrame(out, schema)
+
+    blank = [(np.full(3, -1), np.zeros(3, int), np.zeros((3, 1)), np.zeros((3, 1))) for _ in range(2)]
+    found = forest._grow(Rows(), False, blank, {0: [0], 1: [0]}, 2, 16, 1, 1, 1)
+    assert sizes[:2] == [4 * 2 * 2] * 2 and sum(people) == n and max(people) <= forest.SLICE
+    assert {r["tree"] for r in found} == {0, 1} and all(r["feature"] in np.flatnonzero(forest.drawn_columns(1, r["tree"], 0, 16)) for r in found if r["feature"] >= 0)
