@@ -79,3 +79,12 @@ def test_distances_to_pivots_are_laid_out_in_bounded_parts():
     parts = list(neighbours._parts(iter([frame, frame.head(3)]), neighbours.MOST_PIVOTS))
     assert max(len(p) for p in parts) * neighbours.MOST_PIVOTS <= neighbours.CELLS
     assert pd.concat(parts)["f0"].tolist() == [*frame["f0"], 0.0, 1.0, 2.0]
+
+
+def test_each_pass_of_a_boosted_fit_reads_written_vectors(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    plans, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: plans.append(data._jdf.queryExecution().executedPlan().toString()) or fit(self, data))
+    assert queries.QUERIES["tree_shap_rank"](spark, SMALL).count() > 0
+    assert len(plans) == 1 and "Exchange" not in plans[0]
