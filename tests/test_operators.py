@@ -155,6 +155,17 @@ def test_imputation_by_forest(spark):
     assert abs(got[1] - 100) < 20 and got[2] == 7.0
 
 
+def test_imputation_fits_each_column_once(spark, monkeypatch):
+    """What is known and what is wanted are filled by one forest."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    fits, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, data: fits.append(self.getLabelCol()) or fit(self, data))
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else float(i), None if i % 5 == 0 else float(2 * i)) for i in range(60)], "iid long, a double, b double")
+    got = models.iterative_impute(rows.filter("iid < 50"), rows, ["a", "b"], rounds=1, trees=3).collect()
+    assert fits == ["a", "b"] and len(got) == 60 and all(r["a"] is not None and r["b"] is not None for r in got)
+
+
 def test_imputation_in_rounds(spark):
     r = np.random.default_rng(4)
     a = r.normal(size=300)
