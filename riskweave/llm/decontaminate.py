@@ -8,7 +8,7 @@ common subsequence of words decides, and the item's last words (its answer) must
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,6 +28,8 @@ FIT_WORDS = 32
 BLOCK, PROBE = 20_000, 64
 #: Rows of a matrix in one message, words of documents handled together, and similarities held at once.
 BLOCK_TERMS, GROUP, CELLS = 4096, 50_000, 1 << 21
+#: Regions of a document for one item that are looked at without a count of the item's words in them before.
+FEW = 8
 #: A candidate's cosine (of an item with itself it is 1, whatever the latent space loses of it), the share of an item's words in order, words of the answer and the share of them.
 COSINE, LCS, ANSWER_WORDS, ANSWER = 0.38, 0.7, 5, 0.6
 #: Passage lengths in words; a passage starts every half of its length.
@@ -119,7 +121,8 @@ def _pairs(idf: np.ndarray, table: np.ndarray, group: list[tuple[object, np.ndar
     last[(first + blocks - 1)[blocks > 0]] = True
     begins[first[blocks > 0]] = True
     here, before = begins[at] | ~last[at], ~begins[at]  # a document's last block begins no passage, unless it is the only one
-    cell, times = np.unique(np.concatenate([at[here], at[before] - 1]) * len(table) + np.concatenate([said[here], said[before]]), return_counts=True)
+    cell = np.concatenate([at[here], at[before] - 1]) * len(table) + np.concatenate([said[here], said[before]])
+    cell, times = np.unique(cell.astype(np.int32 if n * len(table) < 1 << 31 else np.int64), return_counts=True)  # short numbers are sorted sooner
     square = np.bincount(cell // len(table), weights=(times * idf[cell % len(table)]) ** 2, minlength=n)
     sums, joined = sum(table.take(ids[j::half], axis=0) for j in range(half)), (~last[:-1, None]).astype(np.float32)
     seen = sums.copy()
@@ -127,7 +130,7 @@ def _pairs(idf: np.ndarray, table: np.ndarray, group: list[tuple[object, np.ndar
     seen *= np.where((begins | ~last) & (square > 0), 1 / np.where(square > 0, square, 1), 0).astype(np.float32)[:, None]
     both = seen.copy()
     both[1:] += seen[:-1] * joined
-    order = np.argsort(said, kind="stable")
+    order = np.argsort(said.astype(np.uint16 if len(table) <= 1 << 16 else np.int64), kind="stable")
     start = np.flatnonzero(np.diff(said[order], prepend=-1))
     terms = said[order][start]
     return terms, np.add.reduceat(both.take(at[order], axis=0), start, axis=0) * idf[terms, None]
@@ -237,7 +240,7 @@ class Searcher:
                 v = (sums[high[k : k + rows]] - sums[low[k : k + rows]]).astype(np.float32)
                 near = v @ self.queries.T
                 near /= size[k : k + rows, None]
-                p, q = np.nonzero(near >= self.least)
+                p, q = np.divmod(np.flatnonzero(near >= self.least), near.shape[1])
                 out.append((doc[k + p], np.full(len(p), scale), at[k + p] * half, q, near[p, q] * self.cosine / self.least[q]))
         none = [(np.empty(0, np.int64),) * 4 + (np.empty(0),)]
         return [np.concatenate(x) for x in zip(*(out or none), strict=True)], np.split(said, np.cumsum(counts)[:-1])
@@ -254,12 +257,15 @@ class Searcher:
         for a, b in zip(cuts, cuts[1:], strict=False):
             d, k = int(doc[a]), int(n[a])
             item_id, item, bag, a_to_b = self.probes.items[k][0], self.probes.numbers[k], self.probes.bags[k], slice(a, b)
-            self.mark[self.bag_ids[k]] = True  # how many words of the item a region has, in whatever order
-            have = np.concatenate([[0], np.cumsum(self.mark[ids[d]])])
-            self.mark[self.bag_ids[k]] = False
-            enough = np.flatnonzero(have[high[a_to_b]] - have[low[a_to_b]] >= self.share * len(item)) + a
+            enough: Iterable[int] = range(a, b)
+            if b - a > FEW:
+                begin, end = int(low[a]), int(high[a_to_b].max())  # no region lies outside, however long the document
+                self.mark[self.bag_ids[k]] = True  # how many words of the item a region has, in whatever order
+                have = np.concatenate([[0], np.cumsum(self.mark[ids[d][begin:end]])])
+                self.mark[self.bag_ids[k]] = False
+                enough = (np.flatnonzero(have[high[a_to_b] - begin] - have[low[a_to_b] - begin] >= self.share * len(item)) + a).tolist()
             reach, words, answer = -1, ids[d], item[-ANSWER_WORDS:]
-            for i in enough.tolist():
+            for i in enough:
                 if high[i] <= reach:
                     continue  # inside a region that has failed
                 reach = int(high[i])

@@ -827,3 +827,23 @@ def test_a_cluster_needs_a_shared_folder():
     unset = N(get=lambda key, default=None: default)
     with pytest.raises(ValueError):
         common.shared_dir(N(sparkContext=N(getConf=lambda: unset, master="spark://host:7077", applicationId="x"), conf=unset))
+
+
+def test_leaks_do_not_depend_on_counts_before(monkeypatch):
+    """Regions that are looked at without a count of their words give the rows that those with one give."""
+    import pandas as pd
+
+    from riskweave.llm import decontaminate as D
+
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(words, 20))) for i in range(12)]
+    texts = [" ".join([*r.choice(words, 40), *(items[i % 12][1].split() * (i % 3)), *r.choice(words, 30)]) for i in range(40)]
+    probes = D.Probes(items)
+    frame = next(D._numbered(probes)(iter([pd.DataFrame({"doc_id": range(40), "body": texts})])))
+    idf = np.append(0.0, np.ones(len(probes.vocabulary)))
+    found = []
+    for few in (0, D.FEW, 10**9):
+        monkeypatch.setattr(D, "FEW", few)
+        found.append(next(D._search(probes, idf, np.eye(len(idf)), D.COSINE, D.LCS)(iter([frame]))))
+    assert len(found[0]) >= 20 and found[0].equals(found[1]) and found[0].equals(found[2])
