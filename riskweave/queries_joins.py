@@ -461,14 +461,15 @@ def streamed_scores(v):
 
 @query("SELECT f.iid, w.model, CAST(sum(f.x * w.coef100) AS BIGINT) AS score, TRUE AS complete FROM feature_rows f JOIN weights w USING (feature) GROUP BY f.iid, w.model")
 def streamed_pieces(v):
-    """The same people in three pieces each, dealt over four files, some of them twice."""
+    """The same people in three pieces each, dealt over four folders of files, some of them twice."""
     path = folder(v.spark, "pieces")
     piece = F.pmod(F.xxhash64("feature"), F.lit(3)).cast("int")
-    rows = v.written("feature_rows").withColumn("piece", piece).groupBy("iid", "piece").agg(F.collect_list(F.struct("feature", "x")).alias("rows"))
-    pieces = rows.join(rows.groupBy("iid").agg(F.count("*").cast("int").alias("pieces")), "iid").select("iid", "piece", "pieces", "rows")
-    for k in range(4):
-        here = F.pmod(F.xxhash64("iid", "piece"), F.lit(4))
-        pieces.filter((here == k) | ((here == (k + 1) % 4) & (F.col("iid") % 5 == 0))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = v.feature_rows.withColumn("piece", piece).repartition("iid").groupBy("iid", "piece").agg(F.collect_list(F.struct("feature", "x")).alias("rows"))
+    own = rows.groupBy("iid").agg(F.collect_list(F.struct("piece", "rows")).alias("own"))
+    pieces = own.select("iid", F.size("own").alias("pieces"), F.explode("own").alias("p")).select("iid", "p.piece", "pieces", "p.rows")
+    here = F.pmod(F.xxhash64("iid", "piece"), F.lit(4))
+    files = F.when(F.col("iid") % 5 == 0, F.array(here, F.pmod(here + 3, F.lit(4)))).otherwise(F.array(here))
+    pieces.withColumn("file", F.explode(files)).write.partitionBy("file").parquet(f"{path}/in")
     edges = B.quantile_edges(v.prs, "prs100", 10, ["model"])
     score_pieces(v.spark, f"{path}/in", v.weights, edges, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{path}/out").select("iid", "model", "score", "complete")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from riskweave import queries, queries_files
@@ -88,3 +89,10 @@ def test_each_pass_of_a_boosted_fit_reads_written_vectors(spark, monkeypatch):
     monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: plans.append(data._jdf.queryExecution().executedPlan().toString()) or fit(self, data))
     assert queries.QUERIES["tree_shap_rank"](spark, SMALL).count() > 0
     assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_pieces_are_dealt_and_scored_without_a_single_task_or_python(spark, monkeypatch):
+    plans, put = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(plan(self._df)), put(self, *a, **b))[1])
+    assert queries.QUERIES["streamed_pieces"](spark, SMALL).count() > 0
+    assert len(plans) > 3 and not any("Coalesce 1" in p or "InPandas" in p for p in plans)

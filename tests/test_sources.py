@@ -135,6 +135,18 @@ def test_copies_of_a_piece_in_another_order(spark, tmp_path):
     assert got == [(i, "m", 111, True) for i in range(20)]
 
 
+def test_who_waits_too_long_is_told_as_far_as_known(spark, tmp_path):
+    """Once, with the next data, and then forgotten; who was told whole isn't told again."""
+    weights = spark.createDataFrame([("a", "m", 3), ("b", "n", 7)], "feature string, model string, coef100 int")
+    edges, kind = spark.createDataFrame([("m", [4.0]), ("n", [4.0])], "model string, edges array<double>"), "iid long, piece int, pieces int, rows array<struct<feature: string, x: long>>"
+    told, seen = lambda: sorted((r["iid"], r["model"], r["score"], r["complete"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()), []
+    for rows in ([(1, 0, 2, [("a", 9)]), (2, 0, 1, [("b", 1)]), (3, 0, 2, [("zz", 1)])], [(4, 0, 1, [("a", 1)])], [(1, 1, 2, [("a", 1)]), (5, 0, 1, [("b", 2)])]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        score_pieces(spark, str(tmp_path / "in"), weights, edges, str(tmp_path / "out"), str(tmp_path / "ck"), patience=1).awaitTermination(120)
+        seen.append(told())
+    assert seen == [[(2, "n", 7, True)], [(1, "m", 27, False), (2, "n", 7, True), (4, "m", 3, True)], [(1, "m", 27, False), (2, "n", 7, True), (4, "m", 3, True), (5, "n", 14, True)]]
+
+
 @pytest.mark.parametrize("view", ["covar", "hla", "env", "cluster_genes"])
 def test_fixture_views_have_rows(spark, view):
     assert frame(spark, SMALL, view).count() > 0
