@@ -477,8 +477,8 @@ def streamed_pieces(v):
 
 @query()
 def iterative_clinical_imputation(v):
-    """The clinical marker from other measures, by forests in rounds."""
+    """The clinical marker and other measures from each other, by forests of 100 trees in ten rounds."""
     wide = v.env.filter(F.col("env_feature").isin("avg_qty", "n_orders")).groupBy("iid").pivot("env_feature", ["avg_qty", "n_orders"]).agg(F.max("value"))
     rows = v.written("clinical").join(wide, "iid", "left").join(v.split.select("iid", "split"), "iid")
     rows = written(rows, "measures")
-    return M.iterative_impute(rows.filter(F.col("split") == "train").drop("split"), rows.drop("split"), ["marker", "avg_qty", "n_orders"], rounds=1, trees=5)
+    return M.iterative_impute(rows.filter(F.col("split") == "train").drop("split"), rows.drop("split"), ["marker", "avg_qty", "n_orders"])

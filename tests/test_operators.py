@@ -5,7 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave import queries
 from riskweave.operators import binning, clean, cohort, evaluation, features, genomics, models, plots, selection
+from riskweave.plans.fixtures import frame
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def _scores(spark, values):
@@ -166,6 +170,22 @@ def test_imputation_fits_each_column_once(spark, monkeypatch):
     assert fits == ["a", "b"] and len(got) == 60 and all(r["a"] is not None and r["b"] is not None for r in got)
 
 
+def test_clinical_imputation_has_all_rounds_and_trees(spark, monkeypatch):
+    """Ten rounds of a hundred trees for each measure that somebody lacks, as in the reference; a column that nobody lacks has no forest."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    fits, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, data: fits.append((self.getLabelCol(), self.getNumTrees())) or fit(self.copy({self.numTrees: 2}), data))
+    got = queries.QUERIES["iterative_clinical_imputation"](spark, SMALL)
+    assert fits == [("marker", 100)] * 10  # at this size nobody lacks the others
+    people = got.toPandas()
+    assert len(people) == frame(spark, SMALL, "clinical").count() and not people.isna().any().any()
+    fits.clear()
+    rows = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else float(2 * i)) for i in range(60)], "iid long, a double, b double")
+    models.iterative_impute(rows, rows, ["a", "b"], rounds=2, trees=3)
+    assert fits == [("b", 3)] * 2
+
+
 def test_imputation_in_rounds(spark):
     r = np.random.default_rng(4)
     a = r.normal(size=300)
