@@ -1,10 +1,12 @@
 """L1 logistic paths against a plain solver, and their conditions at the minimum."""
 
+import inspect
 import zlib
 
 import numpy as np
 import pytest
 
+from riskweave import queries
 from riskweave.operators import penalised
 
 
@@ -123,3 +125,17 @@ def test_rows_are_shuffled_once_for_vectors(data):
     _, _, rows, people = data
     plan = penalised.vectors(rows, people, ["f0", "f1"], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(iid") <= 2  # rows, people
+
+
+def test_lasso_walks_the_whole_path(spark, monkeypatch):
+    """A hundred penalties down to 1e-4 of the first, or to 0.01 with more features than people, as glmnet's; the query asks for no fewer."""
+    rows = spark.createDataFrame([(i, f"f{j}", float((i * 7 + j * 3) % 5)) for i in range(40) for j in range(2)], "iid long, feature string, x double")
+    people = spark.createDataFrame([(i, 1 + (i % 3 == 0)) for i in range(40)], "iid long, phenotype int")
+    losses = lambda some, names: penalised.fit_paths(rows, some, {"s": names}, [], folds=0).losses.orderBy("step").toPandas()
+    path = losses(people, ["f0", "f1"])
+    assert len(path) == 100 and np.isclose(path["lambda"].iloc[-1], 1e-4 * path["lambda"].iloc[0])
+    asked, fit = [], penalised.fit_paths
+    monkeypatch.setattr(penalised, "fit_paths", lambda *a, **b: asked.append(inspect.signature(fit).bind(*a, **b)) or fit(rows, people, {"s": ["f0"]}, [], lambdas=1, folds=0))
+    queries.QUERIES["lasso_logistic"](spark, "/root/testdata/sf0.001")
+    asked[0].apply_defaults()
+    assert {k: asked[0].arguments[k] for k in ("lambdas", "ratio", "folds")} == {"lambdas": 99, "ratio": None, "folds": 5} and len(asked[0].arguments["sets"]) == 10
